@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, quality_classifier, quality_rules, sharding, toxicity
 from .common import table
 
 
+def op1_quality_rules(spark, sf_dir):
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark, sf_dir):
+    return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries():
     return {
+        "op1_quality_rules": op1_quality_rules,
+        "op2_toxicity": op2_toxicity,
         "op6_sharding": op6_sharding,
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
