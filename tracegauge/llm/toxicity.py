@@ -1,10 +1,10 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are runs of letters and digits, whole and as their first 4, 5 and 6 bytes (which catch inflected
-forms).  A document has each term once.  Two passes over at most TRAIN_ROWS labelled documents: the first
+Terms are runs of letters and digits, whole and as their first 4 to 8 bytes (which catch inflected
+forms).  A document has each term once, and a second time as "twice or more" if it repeats.  Two passes over at most TRAIN_ROWS labelled documents: the first
 counts, for every bucket, in how many toxic and other documents it lies (added up on the executors) and
 picks the FEATURES buckets that tell the classes apart best; the second brings those features of the sample
-to the driver, at most TRAIN_ROWS x FEATURES bits.  The machine adds to linear weights the inner products
+to the driver, at most TRAIN_ROWS x FEATURES small numbers.  The machine adds to linear weights the inner products
 of RANK-sized factors for every pair of terms, so that pairs count that are harmless apart.
 
 Defined cases: a null or empty text has no terms and gets the score of the shift alone; labels with a null
@@ -26,11 +26,11 @@ from .textkit import Chunk, add_columns, by_chunk, chunks, mix
 BITS = 20
 TRAIN_ROWS = 20_000
 FEATURES = 2048
-MIN_ROWS = 5
+MIN_ROWS = 3
 RANK = 8
 #: Fixed threshold.
 TOXIC_AT = 0.3
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 #: Rows whose crc32(doc_id as text) mod 4 is 2 are held out.
 FOLD = (4, 2)
 SEPARATOR = np.ones(256, bool)
@@ -52,12 +52,15 @@ def buckets(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _unique(of: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key = np.unique((of.astype(np.int64) << BITS) | b)
-    return key >> BITS, key & ((1 << BITS) - 1)
+    """Distinct (text number, feature); a bucket met twice gives a second feature, 1 << BITS further on."""
+    key, times = np.unique((of.astype(np.int64) << BITS) | b, return_counts=True)
+    of, b = key >> BITS, key & ((1 << BITS) - 1)
+    more = times > 1
+    return np.concatenate([of, of[more]]), np.concatenate([b, b[more] + (1 << BITS)])
 
 
 def _term_counts(batches):
-    counts = np.zeros((2, 1 << BITS), np.int32)
+    counts = np.zeros((2, 2 << BITS), np.int32)
     for batch in batches:
         texts = [b"" if x is None else x for x in batch.column("text").cast(pa.binary()).to_pylist()]
         y, at = np.array(batch.column("y").to_pylist(), int), 0
@@ -65,7 +68,7 @@ def _term_counts(batches):
             c = Chunk(part, separator=SEPARATOR)
             of, b = _unique(*buckets(c))
             for k in (0, 1):
-                counts[k] += np.bincount(b[y[at + of] == k], minlength=1 << BITS).astype(np.int32)
+                counts[k] += np.bincount(b[y[at + of] == k], minlength=2 << BITS).astype(np.int32)
             at += c.n
     some = np.flatnonzero(counts.sum(0))
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some].astype(np.int64)), pa.array(counts[1, some].astype(np.int64))], ["bucket", "n0", "n1"])
@@ -84,16 +87,17 @@ def select_terms(sample: DataFrame) -> np.ndarray:
 
 
 def _place(terms: np.ndarray) -> np.ndarray:
-    place = np.full(1 << BITS, -1, np.int16)
+    place = np.full(2 << BITS, -1, np.int16)
     place[terms] = np.arange(len(terms))
     return place
 
 
 def _active(c: Chunk, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     of, b = buckets(c)
-    at = place[b]
-    on = at >= 0
-    return _unique(of[on], at[on].astype(np.int64))
+    on = (place[: 1 << BITS][b] >= 0) | (place[1 << BITS :][b] >= 0)
+    of, b = _unique(of[on], b[on])
+    at = place[b].astype(np.int64)
+    return of[at >= 0], at[at >= 0]
 
 
 def train(docs: DataFrame, labels: DataFrame, fold=FOLD, bound: int = TRAIN_ROWS, seed: int = 1) -> dict:
@@ -108,6 +112,8 @@ def train(docs: DataFrame, labels: DataFrame, fold=FOLD, bound: int = TRAIN_ROWS
 
         def run(c: Chunk) -> dict:
             of, at = _active(c, place)
+            order = np.argsort(of, kind="stable")
+            of, at = of[order], at[order]
             cut = np.searchsorted(of, np.arange(c.n + 1))
             return {"on": np.array([at[i:j].astype(np.int16).tobytes() for i, j in zip(cut, cut[1:], strict=False)], object)}
 
@@ -120,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, fold=FOLD, bound: int = TRAIN_ROWS
     return fit(Sparse([(i, np.ones(len(i))) for i in on], len(terms)), y, seed) | {"terms": terms}
 
 
-def fit(x: Sparse, y: np.ndarray, seed: int = 1, steps: int = 200, l2: float = 2e-4, rate: float = 0.1) -> dict:
+def fit(x: Sparse, y: np.ndarray, seed: int = 1, steps: int = 300, l2: float = 1e-4, rate: float = 0.1) -> dict:
     """Full-batch AdaGrad on the logistic loss."""
     rng = np.random.default_rng(seed)
     shift = float(np.log((y.sum() + 0.5) / ((1 - y).sum() + 0.5)))
