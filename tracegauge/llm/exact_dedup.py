@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, durable, filled, row_uid
 
-BLOCK_BYTES = 4096
+BLOCK_BYTES = 16384
 #: Keys named apart from the rest: the most frequent ones, if they have more than HOT_ROWS rows.
 HOT_KEYS, HOT_ROWS = 512, 256
 
