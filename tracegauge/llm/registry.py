@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_classifier, quality_rules, sharding, toxicity
+import public_tokenizers
+
+from . import exact_dedup, quality_classifier, quality_rules, sharding, token_counts, toxicity, warc
 from .common import table
 
 
@@ -18,6 +20,15 @@ def op6_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_token_counts(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op9_quality_classifier(spark, sf_dir):
     return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,10 +42,12 @@ def queries():
         "op1_quality_rules": op1_quality_rules,
         "op2_toxicity": op2_toxicity,
         "op6_sharding": op6_sharding,
+        "op7_warc": op7_warc,
+        "op8_token_counts": op8_token_counts,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
 
 def oracle_sql():
-    return {"op10_exact_dedup": exact_dedup.SQL}
+    return {"op7_warc": warc.SQL, "op10_exact_dedup": exact_dedup.SQL}
