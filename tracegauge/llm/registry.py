@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import exact_dedup, quality_classifier, quality_rules, sharding, token_counts, toxicity, warc
+from . import bpe, exact_dedup, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity, warc
 from .common import table
 
 
@@ -16,6 +16,15 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_byte_bpe(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op4_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -41,6 +50,8 @@ def queries():
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_toxicity": op2_toxicity,
+        "op3_byte_bpe": op3_byte_bpe,
+        "op4_packing": op4_packing,
         "op6_sharding": op6_sharding,
         "op7_warc": op7_warc,
         "op8_token_counts": op8_token_counts,
