@@ -35,8 +35,17 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{root}/{kind}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in shared storage, so that lost executors cost no recomputation."""
+#: Rows of a narrow table to a file of its checkpoint.
+FILE_ROWS = 250_000
+
+
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut lineage with a checkpoint in shared storage, so that lost executors cost no recomputation.
+
+    ``rows``: about how many narrow rows there are, so that few of them aren't spread over many files.
+    """
+    if rows is not None:
+        df = df.coalesce(max(6, -(-rows // FILE_ROWS)))
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_root(df.sparkSession))

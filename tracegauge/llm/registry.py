@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity, warc
+from . import bpe, exact_dedup, near_dedup, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity, warc
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op4_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_near_dedup(spark, sf_dir):
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries():
         "op2_toxicity": op2_toxicity,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_packing": op4_packing,
+        "op5_near_dedup": op5_near_dedup,
         "op6_sharding": op6_sharding,
         "op7_warc": op7_warc,
         "op8_token_counts": op8_token_counts,

@@ -133,7 +133,7 @@ def add_columns(
 
 def by_chunk(f: Callable[[Chunk], dict], fold: bool = True, separator: np.ndarray = SPACE) -> Callable[[list[bytes]], dict]:
     def run(texts: list[bytes]) -> dict:
-        parts = [f(Chunk(c, fold, separator)) for c in chunks(texts)] or [f(Chunk([], fold, separator))]
-        return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+        parts = [f(Chunk(c, fold, separator)) for c in chunks(texts or [b""])]
+        return {k: np.concatenate([p[k] for p in parts])[: len(texts)] for k in parts[0]}
 
     return run
