@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ensure
+
 #: Words are maximal runs of anything but these six ASCII characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -59,3 +61,9 @@ def row_uid() -> Column:
 
 def filled(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+
+def arrow_map(df: DataFrame, f, schema) -> DataFrame:
+    """``mapInArrow`` whose function finds this package on the executors."""
+    ensure(df.sparkSession)
+    return df.mapInArrow(f, schema)

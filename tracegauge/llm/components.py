@@ -22,16 +22,15 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
         seen = now
         # larger neighbours of u, and u, go to u's smallest neighbour
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), rows)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = durable(large.union(least.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct(), rows)
         # smaller neighbours of u, and u, go to the smallest of them
-        least = durable(large.groupBy("u").agg(F.min("v").alias("m")), rows)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         current = durable(small.union(least.select("u", F.col("m").alias("v"))).distinct(), rows)
     nodes = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return durable(nodes.union(roots), rows)
+    return nodes.union(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def _print(edges: DataFrame) -> tuple:

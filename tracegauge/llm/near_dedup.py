@@ -28,13 +28,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable
+from .common import arrow_map, durable
 from .components import components
 from .textkit import Chunk, add_columns, by_chunk, mix
 
@@ -42,7 +41,7 @@ WORDS = 3
 #: Link at 100 * intersection >= PERCENT * union.
 PERCENT = 85
 COORDINATES, ROWS, MATCHES = 32, 4, 4
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 BLOCK = 512
 #: Classes whose sets are wanted are found by a broadcast up to so many (16 bytes each), else by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -135,7 +134,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("class").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("class").alias("b"), F.col("set").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def _count_matches(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
@@ -150,30 +149,46 @@ def _count_matches(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFr
             on = pa.array((x == y).sum(1) >= matches)
             yield pa.RecordBatch.from_arrays([a.filter(on), b.filter(on)], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _block_pairs(matches: int) -> Callable:
-    """Within one block pair of a list: pairs of different components with enough collisions."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        one = group["row"].iloc[0] == group["column"].iloc[0]
-        left = group if one else group[group["side"] == 0]
-        right = group if one else group[group["side"] == 1]
-        out_a, out_b = [], []
-        x = np.frombuffer(b"".join(left["signature"]), np.uint64).reshape(-1, COORDINATES)
-        y = np.frombuffer(b"".join(right["signature"]), np.uint64).reshape(-1, COORDINATES)
-        ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
-        ia, ib = left["class"].to_numpy(), right["class"].to_numpy()
-        for i in range(len(x)):
-            same = y == x[i]
-            on = (same.sum(1) >= matches) & (cb != ca[i])
-            if one:
-                on &= np.arange(len(y)) > i
-            at = np.flatnonzero(on)
-            out_a += [ia[i]] * len(at)
-            out_b += ib[at].tolist()
-        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+    return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
+
+
+def _pairs_in_blocks(matches: int) -> Callable:
+    """Pairs of different components with enough collisions, among rows sorted by block pair (``key``).
+
+    Row i is compared with row i + 1, i + 2 and so on of its block pair, for all block pairs of a batch at
+    once; a block pair that goes on in the next batch waits for it (it has at most 2 x BLOCK rows or so).
+    """
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        key, one, side, node, component = (rows[c].to_numpy() for c in ("key", "one", "side", "class", "component"))
+        x = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint64).reshape(-1, COORDINATES)
+        found: list[np.ndarray] = []
+        i = np.arange(len(x))
+        for lag in range(1, len(x)):
+            i = i[i + lag < len(x)]
+            i = i[key[i] == key[i + lag]]
+            if not len(i):
+                break
+            j = i + lag
+            want = (component[i] != component[j]) & ((one[i] == 1) | (side[i] != side[j]))
+            p, q = i[want], j[want]
+            on = (x[p] == x[q]).sum(1) >= matches
+            found.append(np.stack([node[p[on]], node[q[on]]], 1))
+        pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0) if found else np.empty((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            key = rows["key"].to_numpy()
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            held = rows.slice(cut)
+            if cut:
+                yield compare(rows.slice(0, cut))
+        if held is not None:
+            yield compare(held)
 
     return run
 
@@ -227,7 +242,7 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     rows = classes.count()
     of_class = classes.select("name", "class", "low").join(component, F.col("class") == F.col("node"), "left")
     of_class = durable(of_class.select("name", "low", F.coalesce("component", "class").alias("component")), rows)
-    least = durable(of_class.groupBy("component").agg(F.min("low").alias("component_id")), rows)
+    least = of_class.groupBy("component").agg(F.min("low").alias("component_id"))
     named = durable(of_class.join(least, "component").select("name", "component_id"), rows)
     rows = signed.select("doc_id", "n_shingles", "name")
     return rows.where("name is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")).union(
@@ -260,7 +275,7 @@ def _unsettled(shared: DataFrame, component: DataFrame, n: int) -> DataFrame:
     """The postings of lists that hold more than one component."""
     rows = durable(_labelled(shared, component), n)
     mixed = rows.groupBy("coordinate", "value").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q")
-    return durable(rows.join(durable(mixed.select("coordinate", "value"), n), ["coordinate", "value"], "left_semi"), n)
+    return durable(rows.join(mixed.select("coordinate", "value"), ["coordinate", "value"]), n)
 
 
 def _across(pairs: DataFrame, component: DataFrame) -> DataFrame:
@@ -276,15 +291,16 @@ def _all_across(members: DataFrame, classes: DataFrame, matches: int, n: int) ->
         members.join(sizes, ["coordinate", "value"])
         .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-        .join(classes.select("class", "signature"), "class")
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other).select(
-        "coordinate", "value", "class", "component", "signature",
-        F.least("own", "other").alias("row"), F.greatest("own", "other").alias("column"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"),
+        F.xxhash64("coordinate", "value", F.least("own", "other"), F.greatest("own", "other")).alias("key"),
+        (F.col("own") == F.col("other")).cast("int").alias("one"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "class", "component",
     )
-    return rows.groupBy("coordinate", "value", "row", "column").applyInPandas(_block_pairs(matches), "a long, b long").distinct()
+    rows = rows.join(classes.select("class", "signature"), "class").repartition("key").sortWithinPartitions("key")
+    rows = rows.select("key", "one", "side", "class", "component", "signature")
+    return arrow_map(rows, _pairs_in_blocks(matches), "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import filled
+from .common import arrow_map, filled
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 256, 2048
 POOL_SEQUENCES = 32
@@ -216,4 +216,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = END, tokens: int
         packer.pack()
         yield rows()
 
-    return docs.select(F.col("doc_id").cast("long"), filled().alias("text")).mapInArrow(run, SCHEMA)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), filled().alias("text")), run, SCHEMA)

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .common import arrow_map
+
 CHUNK_BYTES = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -128,7 +130,7 @@ def add_columns(
             arrays += [pa.array(new[x.name], arrow.field(x.name).type) for x in fields]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return source.mapInArrow(run, schema)
+    return arrow_map(source, run, schema)
 
 
 def by_chunk(f: Callable[[Chunk], dict], fold: bool = True, separator: np.ndarray = SPACE) -> Callable[[list[bytes]], dict]:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, filled, shared_folder
+from .common import arrow_map, durable, filled, shared_folder
 from .files import Ranges, blocks, published
 
 BLOCK_BYTES = 4 << 20
@@ -55,7 +55,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, pattern: str, end: int =
                     length += len(data)
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([uri]), pa.array([length]), pa.array([ids], pa.list_(pa.int64()))], ["file", "uri", "length", "ids"])
 
-    return durable(docs.select(F.col("doc_id").cast("long"), filled().alias("text")).mapInArrow(run, "file long, uri string, length long, ids array<long>"))
+    rows = docs.select(F.col("doc_id").cast("long"), filled().alias("text"))
+    return durable(arrow_map(rows, run, "file long, uri string, length long, ids array<long>"))
 
 
 def scan(files: DataFrame, end: int = END, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -72,7 +73,7 @@ def scan(files: DataFrame, end: int = END, block_bytes: int = BLOCK_BYTES) -> Da
                     ["file", "offset", "upto", "ends"],
                 )
 
-    found = blocks(files, block_bytes).mapInArrow(search, "file long, offset long, upto long, ends array<long>")
+    found = arrow_map(blocks(files, block_bytes), search, "file long, offset long, upto long, ends array<long>")
     before = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("file").orderBy("offset").rowsBetween(1, Window.unboundedFollowing)
     stitched = found.select(

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import arrow_map
 from .learning import Sparse, labelled, sigmoid
 from .textkit import Chunk, add_columns, by_chunk, chunks, mix
 
@@ -78,7 +79,7 @@ def select_terms(sample: DataFrame) -> np.ndarray:
     n = {int(r["y"]): r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return np.empty(0, np.int64)
-    counts = sample.select("text", "y").mapInArrow(_term_counts, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = arrow_map(sample.select("text", "y"), _term_counts, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
     total, seen = float(n[0] + n[1]), a + b
     chi = total * F.pow(a * n[0] - b * n[1], 2) / (seen * (total - seen + 1.0) * float(n[0]) * float(n[1]))

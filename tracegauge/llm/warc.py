@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, filled, shared_folder
+from .common import arrow_map, durable, filled, shared_folder
 from .files import Ranges, blocks, published
 
 MIN_REVISIT = 1000
@@ -115,7 +115,7 @@ def write_archives(pages: DataFrame, packed: bool = True) -> DataFrame:
                     length += len(data)
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([uri]), pa.array([length])], ["file", "uri", "length"])
 
-    return durable(rows.mapInArrow(run, "file long, uri string, length long"))
+    return durable(arrow_map(rows, run, "file long, uri string, length long"))
 
 
 def candidates(files: DataFrame, packed: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -143,7 +143,7 @@ def candidates(files: DataFrame, packed: bool = True, block_bytes: int = BLOCK_B
                     ["file", "block", "offset", "exit"],
                 )
 
-    return blocks(files, block_bytes).mapInArrow(search, "file long, block long, offset long, exit long")
+    return arrow_map(blocks(files, block_bytes), search, "file long, block long, offset long, exit long")
 
 
 def entries(files: DataFrame, found: DataFrame) -> DataFrame:
@@ -186,9 +186,8 @@ def read_archives(files: DataFrame, packed: bool = True, block_bytes: int = BLOC
                     at += size
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, TYPES, strict=True)], NAMES)
 
-    return starts.select("uri", "length", "offset").repartition("uri", "offset").mapInArrow(
-        read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    )
+    dealt = starts.select("uri", "length", "offset").repartition("uri", "offset")
+    return arrow_map(dealt, read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 NAMES = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
