@@ -1,15 +1,681 @@
-"""Registered event-log queries: name -> (Spark plan, equivalent SQL or None)."""
+"""Registered event-log queries: a name, the Spark plan, and the same as SQL where SQL can say it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import templates as tp
+from ..operators import comparison, measures, mining, pruning, resampling, significance, tests_of_difference
+from ..operators.statistics import act_stats, alphabet, opposite_direction, pair_stats
+from ..sources import event_log
+from . import logs
+from .logs import CHECKS, CUSTOMER_ORDERS, ENABLED_SQL, ORDER_LINES, USER_DAYS, USERS
 
-def oracle_sql():
-    return {}
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prevalence_user_days(spark, sf_dir)
+
+
+def _cands(traces: DataFrame, binary=tp.ENABLED, minimum: int = 1) -> DataFrame:
+    return measures.candidates(alphabet(traces, minimum), binary)
+
+
+def _r(c: str | object, digits: int = 9):
+    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+
+
+# ---- logs and their statistics -------------------------------------------------------------------------
+
+
+def _trace_query(make):
+    def run(spark, sf_dir):
+        return make(spark, sf_dir).select("case_id", "outcome", F.array_join("trace", ">").alias("trace"), F.col("n_events").cast("long").alias("n_events"))
+
+    return run
+
+
+for _name, _make, _cte in (
+    ("traces_user_days", logs.user_days, USER_DAYS), ("traces_customer_orders", logs.customer_orders, CUSTOMER_ORDERS),
+    ("traces_order_lines", logs.order_lines, ORDER_LINES), ("traces_users", logs.users, USERS),
+):
+    _QUERIES[_name] = _trace_query(_make)
+    _SQL[_name] = f"with {_cte} select case_id, outcome, array_to_string(t, '>') as trace, len(t)::bigint as n_events from tr"
+
+
+@query(f"with {CUSTOMER_ORDERS} select array_to_string(t, '>') as trace, count_if(outcome = 0)::bigint as n0, count_if(outcome = 1)::bigint as n1 from tr group by 1")
+def variants_customer_orders(spark, sf_dir):
+    v = event_log.variants(logs.customer_orders(spark, sf_dir))
+    return v.select(F.array_join("trace", ">").alias("trace"), "n0", "n1")
+
+
+@query(f"with {USERS} select act, count(*)::bigint as n_events, count(distinct case_id)::bigint as n_cases from (select case_id, unnest(t) as act from tr) group by 1")
+def alphabet_users(spark, sf_dir):
+    return alphabet(logs.users(spark, sf_dir)).select("act", F.col("n_events").cast("long").alias("n_events"), "n_cases")
+
+
+@query(f"""with {USERS}, p as (select case_id, act, i from (select case_id, unnest(t) as act, unnest(range(len(t))) as i from tr))
+select case_id, act, count(*)::bigint as cnt, min(i)::bigint as first_pos, max(i)::bigint as last_pos from p group by 1, 2""")
+def activity_statistics(spark, sf_dir):
+    s = act_stats(logs.users(spark, sf_dir), ["case_id"])
+    return s.select("case_id", "act", *[F.col(c).cast("long").alias(c) for c in ("cnt", "first_pos", "last_pos")])
+
+
+@query(f"""with {USERS}, {CHECKS} select case_id, a as x, b as y, cx::bigint as cx, cy::bigint as cy, (fx - 1)::bigint as fx, (lx - 1)::bigint as lx,
+(fy - 1)::bigint as fy, (ly - 1)::bigint as ly, nb::bigint as b, gx::bigint as gx, gy::bigint as gy, xb::bigint as xb, ya::bigint as ya from st where cx > 0 and cy > 0""")
+def pair_statistics(spark, sf_dir):
+    s = pair_stats(logs.users(spark, sf_dir), ["case_id"])
+    return s.select("case_id", "x", "y", *[F.col(c).cast("long").alias(c) for c in tp.STATS])
+
+
+@query("""select p_name as name, p_type as other, false as opposite from part where false
+union all select 'VALVE INCREASE A', 'VALVE DECREASE A', true union all select 'ENABLE X', 'DISABLE X', true
+union all select 'INCREASE A', 'DECREASE B', false union all select 'OPEN A', 'CLOSE A', false union all select 'increase_a', 'decrease_a', true""")
+def opposite_direction_pairs(spark, sf_dir):
+    rows = [("VALVE INCREASE A", "VALVE DECREASE A"), ("ENABLE X", "DISABLE X"), ("INCREASE A", "DECREASE B"), ("OPEN A", "CLOSE A"), ("increase_a", "decrease_a")]
+    return spark.createDataFrame(rows, "name string, other string").withColumn("opposite", opposite_direction("name", "other"))
+
+
+@query("""select bracket, count(*)::bigint as n from (select case when c_acctbal is null then 'UNKNOWN' when c_acctbal / 100 < 40 then '<40'
+when c_acctbal / 100 < 60 then '40-59' when c_acctbal / 100 < 75 then '60-74' else '75+' end as bracket from customer) group by 1""")
+def age_brackets(spark, sf_dir):
+    c = logs.read(spark, sf_dir, "customer").select((F.col("c_acctbal") / 100).alias("age"))
+    return c.groupBy(event_log.age_bracket("age").alias("bracket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select 'Segment_' || replace(c_mktsegment, ' ', '_') as subgroup, count(*)::bigint as n_cases, array_to_string(list(c_custkey::varchar order by c_custkey::varchar), ',') as cases from customer group by 1""")
+def subgroup_cases(spark, sf_dir):
+    c = logs.read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("case_id"), "c_mktsegment")
+    s = event_log.subgroups(c, {"c_mktsegment": "Segment"})
+    return s.select("subgroup", "n_cases", F.array_join("case_ids", ",").alias("cases"))
+
+
+@query("select trim(o_orderpriority) as label, count(*)::bigint as n from orders where trim(o_orderpriority) not in ('1-URGENT', '2-HIGH', '5-LOW') group by 1")
+def unexpected_labels(spark, sf_dir):
+    return event_log.unexpected_labels(logs.read(spark, sf_dir, "orders"), "o_orderpriority", ["1-URGENT", "2-HIGH", "5-LOW"])
+
+
+@query("""with a as (select distinct event_type as act from events),
+c as (select t as ctype, act as a, null as b from a, (select unnest(['Init','End']) as t)
+union all select t, x.act, y.act from a x, a y, (select unnest(['Response','AlternateResponse','ChainResponse','NotResponse','Succession','AlternateSuccession','ChainSuccession','NotChainSuccession']) as t) where x.act <> y.act)
+select ctype, a, b from c""")
+def candidate_constraints(spark, sf_dir):
+    return _cands(logs.users(spark, sf_dir))
+
+
+@query(f"""with {USERS}, {CHECKS} select case when ctype like 'Not%' then 'Negative' when ctype in ('Init','End') then 'Unary' when ctype like '%Succession' then 'Succession'
+when ctype like '%Precedence' then 'Precedence' else 'Response' end as family, count(*)::bigint as n from (select distinct ctype, a, b from chk) group by 1""")
+def template_families(spark, sf_dir):
+    c = _cands(logs.users(spark, sf_dir), tp.BINARY)
+    return c.groupBy(tp.family().alias("family")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- measures and holds --------------------------------------------------------------------------------
+
+_PREVALENCE = """select ctype, a, b, sum(app::int) filter (where outcome = 0)::bigint as n_app0, sum(sat::int) filter (where outcome = 0)::bigint as n_sat0,
+sum(app::int) filter (where outcome = 1)::bigint as n_app1, sum(sat::int) filter (where outcome = 1)::bigint as n_sat1 from chk"""
+
+
+def _prevalence_sql(cte: str, where: str) -> str:
+    return f"""with {cte}, {CHECKS}, q as ({_PREVALENCE} where {where} group by 1, 2, 3),
+s as (select *, if(n_app0 > 0, n_sat0 / n_app0::double, 0) as p0, if(n_app1 > 0, n_sat1 / n_app1::double, 0) as p1 from q)
+select ctype, a, b, n_app0, n_sat0, n_app1, n_sat1, round(p0, 9) as prev0, round(p1, 9) as prev1, round(p1 - p0, 9) as delta from s"""
+
+
+def _prevalence(traces: DataFrame, binary) -> DataFrame:
+    p = measures.class_prevalence(event_log.variants(traces), _cands(traces, binary), binary)
+    return p.select("ctype", "a", "b", "n_app0", "n_sat0", "n_app1", "n_sat1", _r("prev0").alias("prev0"), _r("prev1").alias("prev1"), _r("delta").alias("delta"))
+
+
+@query(_prevalence_sql(USER_DAYS, f"ctype in {ENABLED_SQL}"))
+def prevalence_user_days(spark, sf_dir):
+    return _prevalence(logs.user_days(spark, sf_dir), tp.ENABLED)
+
+
+@query(_prevalence_sql(CUSTOMER_ORDERS, "app is not null and ctype not in ('RespondedExistence','NotRespondedExistence')"))
+def prevalence_customer_orders(spark, sf_dir):
+    return _prevalence(logs.customer_orders(spark, sf_dir), tp.TRACE_BINARY)
+
+
+@query(_prevalence_sql(ORDER_LINES, f"ctype in {ENABLED_SQL}"))
+def prevalence_order_lines(spark, sf_dir):
+    return _prevalence(logs.order_lines(spark, sf_dir), tp.ENABLED)
+
+
+@query(_prevalence_sql(USERS, "ctype not in ('RespondedExistence','NotRespondedExistence')"))
+def prevalence_users(spark, sf_dir):
+    return _prevalence(logs.users(spark, sf_dir), tp.TRACE_BINARY)
+
+
+def _measures_sql(cte: str, outcome: int) -> str:
+    return f"""with {cte}, {CHECKS}, n as (select count(*)::bigint as nt, sum(len(t))::bigint as ne from tr where outcome = {outcome}),
+q as (select ctype, a, b, sum(act)::bigint as n_act, sum(ful)::bigint as n_ful, count_if(act > 0)::bigint as t_act, count_if(act > 0 and ful = act)::bigint as t_sat
+from chk where outcome = {outcome} group by 1, 2, 3)
+select ctype, a, b, round(n_ful / greatest(1, n_act)::double, 9) as econf, round(n_act / ne::double, 9) as ecov, round(n_ful / ne::double, 9) as esupp,
+round(t_sat / greatest(1, t_act)::double, 9) as tconf, round(t_act / nt::double, 9) as tcov, round(t_sat / nt::double, 9) as tsupp,
+n_act, n_ful, t_act, t_sat, ne as n_events, nt as n_traces from q, n"""
+
+
+def _measured(traces: DataFrame, weight: str, binary=tp.BINARY) -> DataFrame:
+    return measures.measures(event_log.variants(traces), _cands(traces, binary), weight, binary)
+
+
+def _measured_rounded(traces: DataFrame, weight: str) -> DataFrame:
+    return _measured(traces, weight).select(
+        "ctype", "a", "b", *[_r(c).alias(c) for c in ("econf", "ecov", "esupp", "tconf", "tcov", "tsupp")], "n_act", "n_ful", "t_act", "t_sat", "n_events", "n_traces")
+
+
+@query(_measures_sql(CUSTOMER_ORDERS, 1))
+def measures_customer_orders_positive(spark, sf_dir):
+    return _measured_rounded(logs.customer_orders(spark, sf_dir), "n1")
+
+
+@query(_measures_sql(USERS, 0))
+def measures_users_negative(spark, sf_dir):
+    return _measured_rounded(logs.users(spark, sf_dir), "n0")
+
+
+@query(f"with {USERS}, {CHECKS} select case_id, ctype, a, b, sat::int as sat from chk where app and ctype in {ENABLED_SQL}")
+def holds_users(spark, sf_dir):
+    t = logs.users(spark, sf_dir)
+    return measures.holds(t, _cands(t), ["case_id"])
+
+
+@query(f"""with {USER_DAYS}, {CHECKS}, q as ({_PREVALENCE} where ctype in {ENABLED_SQL} group by 1, 2, 3),
+n as (select count_if(outcome = 0) as a0, count_if(outcome = 1) as a1 from tr)
+select ctype, a, b, round(n_sat0 / a0::double, 9) as supp0, round(n_sat1 / a1::double, 9) as supp1,
+round(if(n_app0 > 0, n_sat0 / n_app0::double, 0), 9) as conf0, round(if(n_app1 > 0, n_sat1 / n_app1::double, 0), 9) as conf1 from q, n""")
+def support_confidence(spark, sf_dir):
+    t = logs.user_days(spark, sf_dir)
+    s = measures.support_confidence(event_log.variants(t), _cands(t), tp.ENABLED)
+    return s.select("ctype", "a", "b", *[_r(c).alias(c) for c in ("supp0", "supp1", "conf0", "conf1")])
+
+
+@query(f"""with {USER_DAYS}, {CHECKS} select ctype, a, b, count_if(outcome = 1 and sat)::bigint as sat1, count_if(outcome = 1 and app and not sat)::bigint as vio1,
+count_if(outcome = 0 and sat)::bigint as sat0, count_if(outcome = 0 and app and not sat)::bigint as vio0 from chk where ctype in {ENABLED_SQL} group by 1, 2, 3""")
+def contingency_tables(spark, sf_dir):
+    t = logs.user_days(spark, sf_dir)
+    p = measures.class_prevalence(event_log.variants(t), _cands(t), tp.ENABLED)
+    return p.select("ctype", "a", "b", F.col("n_sat1").alias("sat1"), (F.col("n_app1") - F.col("n_sat1")).alias("vio1"), F.col("n_sat0").alias("sat0"), (F.col("n_app0") - F.col("n_sat0")).alias("vio0"))
+
+
+@query(f"""with {USER_DAYS}, {CHECKS}, q as ({_PREVALENCE} where ctype in {ENABLED_SQL} group by 1, 2, 3),
+m as (select *, n_sat1::double as tp, n_sat0::double as fp, (n_app1 - n_sat1)::double as fn, (n_app0 - n_sat0)::double as tn from q),
+s as (select *, tp / (tp + fp + 1e-10) as pr, tp / (tp + fn + 1e-10) as re, tn / (tn + fp + 1e-10) as sp from m)
+select ctype, a, b, round(pr, 9) as precision, round(re, 9) as recall, round(2 * pr * re / (pr + re + 1e-10), 9) as f1, round((tp + tn) / (tp + tn + fp + fn + 1e-10), 9) as accuracy,
+round((re + sp) / 2, 9) as balanced_accuracy, round(sp, 9) as specificity, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) + 1e-10), 9) as mcc, round((re + sp) / 2, 9) as auroc from s""")
+def pattern_classifiers(spark, sf_dir):
+    t = logs.user_days(spark, sf_dir)
+    p = measures.class_prevalence(event_log.variants(t), _cands(t), tp.ENABLED).select("ctype", "a", "b", *significance.classifier_metrics())
+    return p.select("ctype", "a", "b", *[_r(c).alias(c) for c in p.columns[3:]])
+
+
+@query(_prevalence_sql(USER_DAYS, f"ctype in {ENABLED_SQL}") + " order by abs(p1 - p0) desc, ctype, a, b nulls first limit 20")
+def top_differences(spark, sf_dir):
+    """A top-k report: the 20 largest prevalence differences."""
+    t = logs.user_days(spark, sf_dir)
+    p = measures.class_prevalence(event_log.variants(t), _cands(t), tp.ENABLED).orderBy(F.desc(F.abs("delta")), "ctype", "a", F.asc_nulls_first("b")).limit(20)
+    return p.select("ctype", "a", "b", "n_app0", "n_sat0", "n_app1", "n_sat1", _r("prev0").alias("prev0"), _r("prev1").alias("prev1"), _r("delta").alias("delta"))
+
+
+# ---- pruning and set algebra ---------------------------------------------------------------------------
+
+
+def _spec(spark, sf_dir, weight):
+    return _measured(logs.customer_orders(spark, sf_dir), weight, tp.TRACE_BINARY)
+
+
+@query()
+def prune_subsumption(spark, sf_dir):
+    return pruning.subsumption(_spec(spark, sf_dir, "n1")).select("ctype", "a", "b")
+
+
+@query()
+def prune_equivalence(spark, sf_dir):
+    return pruning.equivalence(_spec(spark, sf_dir, "n1")).select("ctype", "a", "b")
+
+
+@query()
+def prune_negation(spark, sf_dir):
+    return pruning.negation(_spec(spark, sf_dir, "n1")).select("ctype", "a", "b")
+
+
+_STRONG = f"with {CUSTOMER_ORDERS}, {CHECKS}, k as (select ctype, a, b from chk where outcome = 1 and app is not null and ctype not in ('RespondedExistence','NotRespondedExistence') group by 1, 2, 3 having count_if(act > 0 and ful = act) / greatest(1, count_if(act > 0))::double >= 0.3)"
+
+
+def _strong(spark, sf_dir):
+    return _spec(spark, sf_dir, "n1").where(F.col("tconf") >= 0.3)
+
+
+@query(_STRONG + """, f as (select *, 'Response' as e from k where ctype in ('Response','AlternateResponse','ChainResponse','Succession','AlternateSuccession','ChainSuccession')
+union all select *, 'Precedence' from k where ctype in ('Precedence','AlternatePrecedence','ChainPrecedence','Succession','AlternateSuccession','ChainSuccession')),
+gone as (select distinct p.e as ctype, p.a, q.b from f p join f q on p.e = q.e and p.b = q.a and p.a <> q.b)
+select ctype, a, b from k where not exists (select 1 from gone g where g.ctype = k.ctype and g.a = k.a and g.b = k.b)""")
+def prune_transitivity(spark, sf_dir):
+    return pruning.transitivity(_strong(spark, sf_dir)).select("ctype", "a", "b")
+
+
+def _entailment_rows() -> str:
+    from ..functions.catalogues import entailment
+
+    return ", ".join(f"('{p}', '{q}', '{e}')" for p, q, e in entailment())
+
+
+@query(_STRONG + f""", rel(p, q, e) as (values {_entailment_rows()}),
+gone as (select distinct r.e as ctype, x.a, x.b from rel r join k x on x.ctype = r.p join k y on y.ctype = r.q and y.a = x.a and y.b = x.b)
+select ctype, a, b from k where not exists (select 1 from gone g where g.ctype = k.ctype and g.a = k.a and g.b = k.b)""")
+def prune_entailment(spark, sf_dir):
+    return pruning.entailment(_strong(spark, sf_dir)).select("ctype", "a", "b")
+
+
+@query()
+def prune_all(spark, sf_dir):
+    return pruning.prune(_spec(spark, sf_dir, "n1")).select("ctype", "a", "b", *[_r(c).alias(c) for c in pruning.ORDER])
+
+
+@query(_STRONG + """, r as (select distinct 'Response' as family, a, b from k where ctype in ('Response','AlternateResponse','ChainResponse')
+union select distinct 'Precedence', a, b from k where ctype in ('Precedence','AlternatePrecedence','ChainPrecedence'))
+select x.family, x.a, x.b from r x join r y on x.family = y.family and x.a = y.b and x.b = y.a where x.a < x.b""")
+def collapse_warnings(spark, sf_dir):
+    return pruning.collapse_warnings(_strong(spark, sf_dir))
+
+
+@query(_STRONG + """, o as (select row_number() over (order by ctype, a, b) as i, * from k)
+select x.ctype, x.a, x.b, count(*)::bigint as n_neighbours from o x join o y on x.i <> y.i and (x.a = y.a or x.b = y.b or x.a = y.b or x.b = y.a) group by 1, 2, 3""")
+def constraint_neighbourhoods(spark, sf_dir):
+    return pruning.neighbourhood(_strong(spark, sf_dir))
+
+
+def _two_specs(spark, sf_dir):
+    t = logs.customer_orders(spark, sf_dir)
+    keep = F.col("tconf") >= 0.3
+    return [_measured(t, w, tp.ENABLED).where(keep).select("ctype", "a", "b") for w in ("n1", "n0")]
+
+
+_SPECS = f"with {CUSTOMER_ORDERS}, {CHECKS}, k as (select outcome, ctype, a, b from chk where ctype in {ENABLED_SQL} group by 1, 2, 3, 4 having count_if(act > 0 and ful = act) / greatest(1, count_if(act > 0))::double >= 0.3), s as (select ctype, a, b, max((outcome = 1)::int) as x, max((outcome = 0)::int) as y from k group by 1, 2, 3)"
+
+
+@query(_SPECS + " select case when x = 1 and y = 1 then 'shared' when x = 1 then 'positive_only' else 'negative_only' end as part, count(*)::bigint as n from s group by 1")
+def specification_algebra(spark, sf_dir):
+    pos, neg = _two_specs(spark, sf_dir)
+    s = significance._sides(pos, neg, ["ctype", "a", "b"], [])
+    part = F.when((F.col("x") == 1) & (F.col("y") == 1), "shared").when(F.col("x") == 1, "positive_only").otherwise("negative_only")
+    return s.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_SPECS + """ select sum(x)::bigint as n_a, sum(y)::bigint as n_b, sum(x * y)::bigint as shared, (sum(y) - sum(x * y))::bigint as gained, (sum(x) - sum(x * y))::bigint as lost,
+round(sum(x * y) / count(*)::double, 9) as jaccard from s""")
+def specification_jaccard(spark, sf_dir):
+    pos, neg = _two_specs(spark, sf_dir)
+    j = significance.jaccard(pos, neg, ["ctype", "a", "b"])
+    return j.select(*[F.col(c).cast("long").alias(c) for c in ("n_a", "n_b", "shared", "gained", "lost")], _r("jaccard").alias("jaccard"))
+
+
+@query(_SPECS + """, c as (select sum(x * y)::double as tp, sum((1 - x) * y)::double as fp, sum(x * (1 - y))::double as fn, sum(x)::double as na, sum(y) as nb, count(*) as u from s)
+select tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, round(tp / u, 9) as jaccard, round(fp / nullif(tp + fp, 0), 9) as fdr_ref, round(tp / nullif(tp + fp, 0), 9) as precision, round(tp / nullif(tp + fn, 0), 9) as recall,
+round(2 * tp / nullif(2 * tp + fp + fn, 0), 9) as f1, round(fp / nullif(na, 0), 9) as fp_burden, round(fn / nullif(na, 0), 9) as fn_burden, nb >= 10 as reliable from c""")
+def specification_agreement(spark, sf_dir):
+    pos, neg = _two_specs(spark, sf_dir)
+    m = significance.reference_metrics(pos, neg, ["ctype", "a", "b"])
+    return m.select(*[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")], *[_r(c).alias(c) for c in ("jaccard", "fdr_ref", "precision", "recall", "f1", "fp_burden", "fn_burden")], "reliable")
+
+
+# ---- resampling and perturbation -----------------------------------------------------------------------
+
+
+@query(f"""with {CUSTOMER_ORDERS}, r as (select rep, case_id, outcome, row_number() over (partition by rep order by md5('42|' || rep || '|' || case_id), case_id) as k, sum(outcome) over (partition by rep) as n1 from tr, range(5) as g(rep))
+select rep::int as rep, case_id, (k <= n1)::int as label from r""")
+def permuted_labels(spark, sf_dir):
+    return resampling.permuted_labels(logs.customer_orders(spark, sf_dir), 5)
+
+
+@query(f"""with {USERS}, e as (select rep, case_id, outcome, unnest(t) as act, unnest(range(len(t))) as i from tr, range(3) as g(rep))
+select rep::int as rep, case_id, outcome, string_agg(act, '>' order by md5('42|' || rep || '|' || case_id || '|' || i), i) as trace from e group by 1, 2, 3""")
+def permuted_traces(spark, sf_dir):
+    p = resampling.permuted_traces(logs.users(spark, sf_dir), 3)
+    return p.select("rep", "case_id", "outcome", F.array_join("trace", ">").alias("trace"))
+
+
+@query(f"""with {CUSTOMER_ORDERS}, r as (select rep, case_id, outcome, row_number() over (partition by rep order by md5('42|' || rep || '|' || case_id), case_id) as k, sum(outcome) over (partition by rep) as n1 from tr, range(2) as g(rep)),
+e as (select rep, case_id, unnest(t) as act, unnest(range(len(t))) as i from tr, range(2) as g(rep)),
+p as (select rep, case_id, string_agg(act, '>' order by md5('43|' || rep || '|' || case_id || '|' || i), i) as trace from e group by 1, 2)
+select r.rep::int as rep, r.case_id, (k <= n1)::int as outcome, trace from r join p on r.rep = p.rep and r.case_id = p.case_id""")
+def double_null_logs(spark, sf_dir):
+    d = resampling.double_null(logs.customer_orders(spark, sf_dir), 2)
+    return d.select("rep", "case_id", "outcome", F.array_join("trace", ">").alias("trace"))
+
+
+_LABEL_NULL = f"""with {USER_DAYS}, {CHECKS}, r as (select rep, case_id, row_number() over (partition by rep order by md5('42|' || rep || '|' || case_id), case_id) as k, sum(outcome) over (partition by rep) as n1 from tr, range(20) as g(rep)),
+l as (select rep, case_id, (k <= n1)::int as y from r),
+d as (select rep, ctype, a, b, round(coalesce(sum(sat::int * y) / nullif(sum(app::int * y), 0)::double, 0) - coalesce(sum(sat::int * (1 - y)) / nullif(sum(app::int * (1 - y)), 0)::double, 0), 12) as d
+  from chk join l using (case_id) where ctype in {ENABLED_SQL} group by 1, 2, 3, 4),
+o as (select ctype, a, b, round(coalesce(sum(sat::int * outcome) / nullif(sum(app::int * outcome), 0)::double, 0) - coalesce(sum(sat::int * (1 - outcome)) / nullif(sum(app::int * (1 - outcome)), 0)::double, 0), 12) as delta
+  from chk where ctype in {ENABLED_SQL} group by 1, 2, 3 having sum(app::int) > 0)"""
+
+
+@query(_LABEL_NULL + """ select o.ctype, o.a, o.b, round(delta, 9) as delta, count_if(abs(d) >= abs(delta))::bigint as exceed_two, count_if(if(delta >= 0, d >= delta, d <= delta))::bigint as exceed_one,
+round((1 + count_if(abs(d) >= abs(delta))) / 21.0::double, 9) as p_two from o join d on o.ctype = d.ctype and o.a = d.a and o.b is not distinct from d.b group by 1, 2, 3, delta""")
+def label_permutation_test(spark, sf_dir):
+    t = logs.user_days(spark, sf_dir)
+    p = tests_of_difference.label_permutation(t, _cands(t), 20)
+    return p.select("ctype", "a", "b", _r("delta").alias("delta"), "exceed_two", "exceed_one", _r("p_two").alias("p_two"))
+
+
+@query(_LABEL_NULL + """, c as (select o.ctype, o.a, o.b, round(abs(delta), 9) as ediff, (1 + count_if(abs(d) >= abs(delta)))::bigint as count_c
+from o join d on o.ctype = d.ctype and o.a = d.a and o.b is not distinct from d.b group by 1, 2, 3, delta)
+select ctype, a, b, ediff, count_c, round(count_c / 20.0::double, 9) as p, round(count_c / 21.0::double, 9) as p_plus, count_c / 20.0 <= 0.05 as significant from c""")
+def unsigned_difference_test(spark, sf_dir):
+    t = logs.user_days(spark, sf_dir)
+    p = tests_of_difference.difference_test(t, _cands(t), 20)
+    return p.select("ctype", "a", "b", _r("ediff").alias("ediff"), "count_c", _r("p").alias("p"), _r("p_plus").alias("p_plus"), "significant")
+
+
+@query()
+def structural_permutation_test(spark, sf_dir):
+    t = logs.customer_orders(spark, sf_dir).where("outcome = 1")
+    p = tests_of_difference.structural_permutation(t, _cands(t), 8)
+    return p.select("ctype", "a", "b", _r("prev").alias("prev"), _r("p_screen").alias("p_screen"), _r("p_struct").alias("p_struct"))
+
+
+def _uniform_sql(*parts: str) -> str:
+    return f"('0x' || substr(md5({' || chr(124) || '.join(parts)}), 1, 8))::bigint / 4294967296.0::double"
+
+
+@query(f"with {CUSTOMER_ORDERS} select case_id, if({_uniform_sql(chr(39) + '42' + chr(39), 'case_id')} < 0.1, 1 - outcome, outcome)::int as outcome from tr")
+def label_noise(spark, sf_dir):
+    return resampling.label_noise(logs.customer_orders(spark, sf_dir), 0.1).select("case_id", "outcome")
+
+
+@query()
+def order_noise(spark, sf_dir):
+    n = resampling.order_noise(logs.users(spark, sf_dir), 0.3)
+    return n.select("case_id", "outcome", F.array_join("trace", ">").alias("trace"))
+
+
+@query()
+def joint_noise(spark, sf_dir):
+    n = resampling.joint_noise(logs.customer_orders(spark, sf_dir), 0.1, 0.5)
+    return n.select("case_id", "outcome", F.array_join("trace", ">").alias("trace"))
+
+
+@query(f"""with {USERS}, d as (select case_id, t, {_uniform_sql(chr(39) + '42' + chr(39), 'case_id')} < 0.5 as hit, list_sort([{{'h': md5('43|' || case_id || '|' || i), 'i': i}} for i in range(len(t))]) as o from tr)
+select case_id, array_to_string(if(hit and len(t) >= 2, [if(j = o[1].i + 1, t[o[2].i + 1], if(j = o[2].i + 1, t[o[1].i + 1], t[j])) for j in range(1, len(t) + 1)], t), '>') as trace from d""")
+def random_swap(spark, sf_dir):
+    return resampling.random_swap(logs.users(spark, sf_dir), 0.5).select("case_id", F.array_join("trace", ">").alias("trace"))
+
+
+_PICKED = "n as (select greatest(1, round_even(count(*) * 0.1, 0))::bigint as k from tr), p as (select case_id, outcome, t, row_number() over (order by md5('42|' || case_id), case_id) <= (select k from n) as hit from tr)"
+
+
+@query(f"with {CUSTOMER_ORDERS}, {_PICKED} select case_id, if(hit, 1 - outcome, outcome)::int as outcome from p")
+def flip_exact_share(spark, sf_dir):
+    return resampling.flip_exactly(logs.customer_orders(spark, sf_dir), 0.1).select("case_id", "outcome")
+
+
+@query(f"with {CUSTOMER_ORDERS}, {_PICKED} select case_id, array_to_string(if(hit, t[1:greatest(1, ceil(round(0.9 * len(t), 9)))::bigint], t), '>') as trace from p")
+def truncate_share(spark, sf_dir):
+    return resampling.truncate(logs.customer_orders(spark, sf_dir), 0.1).select("case_id", F.array_join("trace", ">").alias("trace"))
+
+
+# ---- p-values and false discovery rate, on drawn p-values of parts -------------------------------------
+
+_P = f"p as (select p_partkey as id, ({_uniform_sql(chr(39) + 'a' + chr(39), 'p_partkey')} + 1e-9) * if(p_partkey % 5 = 0, 0.002::double, 1::double) as p1, {_uniform_sql(chr(39) + 'b' + chr(39), 'p_partkey')} * if(p_partkey % 5 = 0, 0.01::double, 1::double) + 1e-9 as p2 from part)"
+
+
+def _p_values(spark, sf_dir):
+    part = logs.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    hit = F.col("id") % 5 == 0
+    return part.select(
+        "id", ((resampling.uniform(F.lit("a"), F.col("id")) + 1e-9) * F.when(hit, 0.002).otherwise(1.0)).alias("p1"),
+        (resampling.uniform(F.lit("b"), F.col("id")) * F.when(hit, 0.01).otherwise(1.0) + 1e-9).alias("p2"),
+    )
+
+
+def _step_sql(c: str) -> str:
+    return f"""with {_P}, r as (select *, row_number() over (order by p1, id) as rank, count(*) over () as m from p),
+t as (select *, rank * 0.05::double / (m * {c}) as threshold from r), k as (select max(rank) filter (where p1 <= threshold) as k from t)
+select id, rank::int as rank, round(threshold, 12) as threshold, coalesce(rank <= k, false) as reject from t, k"""
+
+
+def _step(spark, sf_dir, dependent):
+    return significance.step_up(_p_values(spark, sf_dir), "p1", ["id"], 0.05, dependent).select("id", "rank", F.round("threshold", 12).alias("threshold"), "reject")
+
+
+@query(_step_sql("1"))
+def fdr_step_up(spark, sf_dir):
+    return _step(spark, sf_dir, False)
+
+
+@query(_step_sql("(select sum(1.0::double / i) from range(1, (select count(*) + 1 from part)) as g(i))"))
+def fdr_step_up_dependent(spark, sf_dir):
+    return _step(spark, sf_dir, True)
+
+
+@query(f"""with {_P}, r as (select *, row_number() over (order by p1, id) as rank, count(*) over () as m from p)
+select id, round(least(1, min(0.8::double * m * p1 / rank) over (order by rank rows between current row and unbounded following)), 12) as q from r""")
+def q_values(spark, sf_dir):
+    return significance.q_values(_p_values(spark, sf_dir), "p1", ["id"], 0.8).select("id", F.round("q", 12).alias("q"))
+
+
+@query(f"""with {_P} select id, round(exp(-x) * (1 + x), 12) as p_fisher, round(greatest(p1, p2), 12) as p_iut, round(-2 * (0.4::double * ln(p1) + 0.6::double * ln(p2)), 9) as t from (select *, -(ln(p1) + ln(p2)) as x from p)""")
+def combined_evidence(spark, sf_dir):
+    w = significance.weights()
+    return _p_values(spark, sf_dir).select(
+        "id", F.round(significance.fisher_combined("p1", "p2"), 12).alias("p_fisher"), F.round(significance.intersection_union("p1", "p2"), 12).alias("p_iut"),
+        _r(significance.combined_statistic("p1", "p2", *w)).alias("t"))
+
+
+@query(f"with {_P} select count(*)::bigint as m, round(corr(-ln(p1), -ln(p2)), 9) as rho from p")
+def log_p_correlation(spark, sf_dir):
+    return significance.log_p_correlation(_p_values(spark, sf_dir), "p1", "p2").select("m", _r("rho").alias("rho"))
+
+
+@query()
+def analytic_combination(spark, sf_dir):
+    p = _p_values(spark, sf_dir)
+    rho = significance.log_p_correlation(p, "p1", "p2").first()["rho"]
+    w = significance.weights()
+    c, f = significance.moment_match(rho, *w)
+    out = significance.analytic_p(p.withColumn("t", significance.combined_statistic("p1", "p2", *w)), "t", c, f)
+    return out.select("id", F.round("p_conj", 12).alias("p_conj"))
+
+
+@query(f"""with {_P}, g as (select round(0.05 * j, 2)::double as lam, j from range(1, 18) as r(j)), m as (select count(*) as m from p),
+w as (select j, lam, count_if(p2 > lam)::double as w from p, g group by 1, 2), e as (select *, least(1, w / (m * (1 - lam))) as pi0 from w, m),
+f as (select quantile_cont(pi0, 0.1) as floor from e), s as (select *, round(w / (m::double * m * pow(1 - lam, 2)) * (1 - w / m) + pow(pi0 - floor, 2), 15) as mse from e, f)
+select m::bigint as m, round(lam, 9) as lam, round(pi0, 9) as pi0 from s order by mse, j limit 1""")
+def null_share_bootstrap(spark, sf_dir):
+    return significance.pi0_bootstrap(_p_values(spark, sf_dir), "p2").select("m", _r("lam").alias("lam"), _r("pi0").alias("pi0"))
+
+
+@query(f"""with {_P}, m as (select count(*) as m from p), s as (select m, greatest(0.75::double / 50, 1.0::double / m) as step from m),
+g as (select j, 0.05::double + step * j as lam, m from s, range(1, 60) as r(j) where 0.05::double + step * j <= 0.8 + 1e-12),
+w as (select j, lam, m, count_if(p2 > lam)::double as w from p, g group by 1, 2, 3), e as (select *, least(1, w / (m * (1 - lam))) as pi0 from w),
+v as (select *, round(pi0 + greatest(0, pi0 * (1 - (1 - lam) * pi0) / (m * (1 - lam))), 12) as psi from e), n as (select *, lead(psi) over (order by j) as next from v)
+select m::bigint as m, round(lam, 9) as lam, round(pi0, 9) as pi0 from n where next is null or next >= psi order by j limit 1""")
+def null_share_adaptive(spark, sf_dir):
+    return significance.pi0_adaptive(_p_values(spark, sf_dir), "p2", 0.05).select("m", _r("lam").alias("lam"), _r("pi0").alias("pi0"))
+
+
+@query(f"""with {_P} select id, case when not (p1 * p2 < 0.02) then case when p1 <= 0.05 then 'structural_only' else 'none' end when p1 <= 0.05 and p2 <= 0.05 then 'both'
+when p2 <= 0.05 then 'discriminative_only' when p1 <= 0.05 then 'structural_only' else 'both' end as category from p""")
+def evidence_taxonomy(spark, sf_dir):
+    p = _p_values(spark, sf_dir).withColumn("significant", F.col("p1") * F.col("p2") < 0.02)
+    return p.select("id", significance.taxonomy(p_order="p1", p_label="p2").alias("category"))
+
+
+# ---- comparison methods --------------------------------------------------------------------------------
+
+
+def _conf(spark, sf_dir):
+    t = logs.user_days(spark, sf_dir)
+    return measures.support_confidence(event_log.variants(t), _cands(t), tp.ENABLED)
+
+
+_CONF = f"""with {USER_DAYS}, {CHECKS}, q as ({_PREVALENCE} where ctype in {ENABLED_SQL} group by 1, 2, 3),
+c as (select *, if(n_app0 > 0, n_sat0 / n_app0::double, 0) as conf0, if(n_app1 > 0, n_sat1 / n_app1::double, 0) as conf1 from q)"""
+
+
+@query(_CONF + " select ctype, a, b, round(abs(conf1 - conf0), 9) as delta_conf from c where abs(conf1 - conf0) >= 0.02 and (conf0 >= 0.01 or conf1 >= 0.01)")
+def threshold_decision(spark, sf_dir):
+    return comparison.threshold_decision(_conf(spark, sf_dir), 0.02).select("ctype", "a", "b", _r("delta_conf").alias("delta_conf"))
+
+
+@query(_CONF + """, k as (select least(floor(round(abs(conf1 - conf0) / 0.0001::double, 6)), 9000)::int as k from c where conf0 >= 0.01 or conf1 >= 0.01),
+gr as (select j as g, count_if(k >= j)::bigint as r_obs from range(1, 9001) as r(j), k group by 1), b as (select max(g) filter (where r_obs >= 20) as best from gr)
+select round(g * 0.0001::double, 6) as tau, r_obs, r_obs - 20 as overshoot, case when best is null then 'under_discovery_capped' when best = 9000 then 'over_discovery' else 'normal' end as pathology
+from gr, b where g = coalesce(best, 1)""")
+def calibrated_threshold(spark, sf_dir):
+    return comparison.calibrate_threshold(_conf(spark, sf_dir), 20)
+
+
+@query(_CONF + """, gr as (select tau::double as tau, least::double as least from (select unnest([0.001, 0.01, 0.02, 0.05]) as tau), (select unnest([0.0, 0.01, 0.5]) as least)),
+n as (select tau, least, count_if(abs(conf1 - conf0) >= tau and (conf0 >= least or conf1 >= least))::bigint as n from c, gr group by 1, 2)
+select tau, max(n) filter (where least = 0.0) as "0.0", max(n) filter (where least = 0.01) as "0.01", max(n) filter (where least = 0.5) as "0.5" from n group by 1""")
+def threshold_scan(spark, sf_dir):
+    return comparison.threshold_scan(_conf(spark, sf_dir), [0.001, 0.01, 0.02, 0.05], [0.0, 0.01, 0.5])
+
+
+@query(_CONF + """, s as (select *, pow(conf1 - conf0, 2) as num, if(n_app0 > 0, conf0 * (1 - conf0) / n_app0, 0) + if(n_app1 > 0, conf1 * (1 - conf1) / n_app1, 0) as den from c),
+f as (select *, case when den > 1e-12 then num / den when num <= 1e-12 then 0 else num / 1e-12 end as score from s)
+select ctype, a, b, round(score, 6) as score, score >= 3.841458820694124 as significant from f""")
+def fisher_scores(spark, sf_dir):
+    c = _conf(spark, sf_dir).withColumn("score", comparison.fisher_score())
+    return c.select("ctype", "a", "b", F.round("score", 6).alias("score"), (F.col("score") >= 3.841458820694124).alias("significant"))
+
+
+@query()
+def contingency_tests(spark, sf_dir):
+    t = logs.user_days(spark, sf_dir)
+    p = comparison.contingency_test(measures.class_prevalence(event_log.variants(t), _cands(t), tp.ENABLED))
+    return p.select("ctype", "a", "b", _r("chi2", 6).alias("chi2"), _r("p").alias("p"), "small_cells", "reject")
+
+
+def _null(spark, sf_dir):
+    t = logs.user_days(spark, sf_dir)
+    return tests_of_difference.label_permutation(t, _cands(t), 20, keep_null=True)
+
+
+@query(_LABEL_NULL + """, u as (select abs(delta) as t, 1 as o, 0 as z from o union all select abs(d.d), 0, 1 from d where exists (select 1 from o where o.ctype = d.ctype and o.a = d.a and o.b is not distinct from d.b)),
+lv as (select round(t, 12) as t, sum(o) as o, sum(z) as z from u group by 1), s as (select t, o, sum(o) over (order by t desc) as r, sum(z) over (order by t desc) / 20.0::double as v from lv)
+select round(t, 9) as tau, r::bigint as r, round(least(1, v / greatest(r, 1)), 9) as fdp from s where o > 0 and least(1, v / greatest(r, 1)) <= 0.5 order by t limit 1""")
+def pooled_null_threshold(spark, sf_dir):
+    n = _null(spark, sf_dir)
+    s = comparison.pooled_null_sweep(n, n.select(F.explode("null").alias("stat")), 20, 0.5)
+    return s.select(_r("tau").alias("tau"), "r", _r("fdp").alias("fdp"))
+
+
+@query(_LABEL_NULL + """, p as (select ctype, a, b, stddev_pop(abs(d.d)) as sd from d where exists (select 1 from o where o.ctype = d.ctype and o.a = d.a and o.b is not distinct from d.b) group by 1, 2, 3),
+f as (select case when ctype like 'Not%' then 'Negative' when ctype in ('Init','End') then 'Unary' when ctype like '%Succession' then 'Succession' else 'Response' end as family, sd from p)
+select family, round(avg(sd), 9) as mean, round(stddev_pop(sd), 9) as std, round(min(sd), 9) as min, round(max(sd), 9) as max, round(median(sd), 9) as median, count(*)::bigint as n from f group by 1""")
+def null_spread_by_family(spark, sf_dir):
+    n = _null(spark, sf_dir).select("ctype", "a", "b", F.explode("null").alias("stat"))
+    s = comparison.null_spread_by_family(n, tp.family())
+    return s.select("family", *[_r(c).alias(c) for c in ("mean", "std", "min", "max", "median")], "n")
+
+
+@query(_LABEL_NULL + """, v as (select rep, count_if(abs(d) >= 0.05) as v from d group by 1)
+select count(*)::bigint as b_null, round(avg(v), 9) as e_v, round(avg(v) / 10, 9) as fdr_emp, round(avg(v) / 104, 9) as pcer_emp, round(avg((v > 0)::int), 9) as fwer_emp, round(stddev_pop(v), 9) as v_std, max(v)::bigint as v_max, count_if(v = 0)::bigint as v_zero from v""")
+def empirical_error_rates(spark, sf_dir):
+    n = _null(spark, sf_dir).select(F.posexplode("null").alias("rep", "stat"))
+    v = n.groupBy("rep").agg(F.count_if(F.abs("stat") >= 0.05).alias("v"))
+    e = significance.empirical_error_rates(v, 10, 104)
+    return e.select("b_null", *[_r(c).alias(c) for c in ("e_v", "fdr_emp", "pcer_emp", "fwer_emp", "v_std")], "v_max", "v_zero")
+
+
+# ---- feature mining ------------------------------------------------------------------------------------
+
+
+@query(f"with {USERS} select case_id, outcome, act as feature, count(*)::double as value from (select case_id, outcome, unnest(t) as act from tr) group by 1, 2, 3")
+def activity_counts(spark, sf_dir):
+    return mining.activity_counts(logs.users(spark, sf_dir))
+
+
+@query(f"""with {CUSTOMER_ORDERS}, g as (select array_to_string(unnest([t[i:i + 2] for i in range(1, len(t) - 1)]), '>') as gram, case_id from tr)
+select gram, count(*)::bigint as n, count(distinct case_id)::bigint as cases from g group by 1""")
+def trigrams(spark, sf_dir):
+    g = logs.customer_orders(spark, sf_dir).select("case_id", F.explode(mining.ngrams(3)).alias("g")).select("case_id", F.array_join("g", ">").alias("gram"))
+    return g.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("case_id").alias("cases"))
+
+
+@query(f"""with {CUSTOMER_ORDERS}, n as (select ceil(0.6 * count(*)) as need from tr), s as (select distinct case_id, unnest(t) as x from tr)
+select x as items, count(*)::bigint as n from s group by 1 having count(*) >= (select need from n)
+union all select p.x || ',' || q.x, count(*)::bigint from s p join s q on p.case_id = q.case_id and p.x < q.x group by 1 having count(*) >= (select need from n)""")
+def frequent_itemsets(spark, sf_dir):
+    return mining.frequent_itemsets(logs.customer_orders(spark, sf_dir), 0.6).select(F.array_join("items", ",").alias("items"), "n")
+
+
+@query(f"""with {USERS}, f as (select case_id, outcome, act, count(*)::double as v from (select case_id, outcome, unnest(t) as act from tr) group by 1, 2, 3),
+n as (select count_if(outcome = 0)::double as n0, count_if(outcome = 1)::double as n1 from tr),
+s as (select act, sum(if(outcome = 0, v, 0)) / n0 as m0, sum(if(outcome = 1, v, 0)) / n1 as m1, sum(v) / (n0 + n1) as m, sum(if(outcome = 0, v * v, 0)) / n0 as q0, sum(if(outcome = 1, v * v, 0)) / n1 as q1, n0, n1 from f, n group by act, n0, n1)
+select act as feature, round((n1 * pow(m1 - m, 2) + n0 * pow(m0 - m, 2)) / (n1 * (q1 - m1 * m1) + n0 * (q0 - m0 * m0)), 9) as score from s""")
+def feature_scores(spark, sf_dir):
+    t = logs.users(spark, sf_dir)
+    return mining.fisher_scores(mining.activity_counts(t), t).select("feature", _r("score").alias("score"))
+
+
+@query()
+def sequential_patterns(spark, sf_dir):
+    t = logs.customer_orders(spark, sf_dir)
+    return mining.discriminative(mining.sequential_patterns(t), t, 0.1)
+
+
+@query()
+def coverage_selection(spark, sf_dir):
+    t = logs.customer_orders(spark, sf_dir)
+    names = mining.select_by_coverage(mining.three_way(t, _cands(t)), t, 20)
+    return spark.createDataFrame(list(enumerate(names)), "place int, feature string")
+
+
+@query("""with b as (select user_id::varchar as case_id, value, ts, event_id, event_type from events),
+w as (select case_id, min(value) as mi, max(value) as ma, avg(value) as av, count(*)::double as n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as dur from b group by 1)
+select case_id, 'value_min' as feature, round(mi, 6) as value from w union all select case_id, 'value_max', round(ma, 6) from w union all select case_id, 'value_avg', round(av, 6) from w
+union all select case_id, 'length', n from w union all select case_id, 'duration', round(dur, 6) from w union all select case_id, 'event_type==' || event_type, count(*)::double from b group by 1, 2""")
+def data_features(spark, sf_dir):
+    f = mining.data_features(logs.read(spark, sf_dir, "events"), "user_id", "ts", ["value"], ["event_type"])
+    return f.where(~F.col("feature").isin("value_first", "value_last")).select("case_id", "feature", F.round("value", 6).alias("value"))
+
+
+@query(f"""with {CUSTOMER_ORDERS}, {CHECKS}, q as ({_PREVALENCE} where ctype in {ENABLED_SQL} group by 1, 2, 3), n as (select count_if(outcome = 0) as c0, count_if(outcome = 1) as c1 from tr)
+select ctype, a, b, case when n_sat1 >= greatest(1, ceil(0.3 * c1)) then 'positive' else 'negative' end as source from q, n
+where n_sat1 >= greatest(1, ceil(0.3 * c1)) or (n_app1 = 0 and n_sat0 >= greatest(1, ceil(0.3 * c0)))""")
+def declarative_features(spark, sf_dir):
+    t = logs.customer_orders(spark, sf_dir)
+    return mining.declare_features(t, _cands(t), 0.3)
+
+
+@query(f"""with {CUSTOMER_ORDERS}, r as (select case_id, outcome, row_number() over (partition by outcome order by md5('42|' || case_id), case_id) as k from tr)
+select case_id, outcome, ((k - 1) % 10)::int as fold from r""")
+def stratified_folds(spark, sf_dir):
+    return mining.folds(logs.customer_orders(spark, sf_dir), 10)
+
+
+@query()
+def tree_cross_validation(spark, sf_dir):
+    t = logs.users(spark, sf_dir)
+    f = mining.activity_counts(t)
+    names = sorted(r[0] for r in f.select("feature").distinct().collect())
+    return mining.cross_validate(f, t, names, 3, (5,))
