@@ -17,9 +17,12 @@ gives an empty result; further columns of the input are ignored.
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +38,22 @@ POOL_SEQUENCES = 32
 END = 1
 #: Encodings of word pieces that a Python worker remembers.
 MEMORY = 1_000_000
-TEXTS = 2000
+TEXTS = 500
 
 #: Where an ASCII letter meets ASCII punctuation or a digit, the tokenizer's pattern splits anyway; an
 #: apostrophe may belong to a contraction.
 _SEAM = re.compile(rb"([a-z])(?=[!-&(-@\[-`{-~])")
 
 
+def _byte_alphabet() -> dict[int, int]:
+    """Byte-level tokenizers write a byte as a printable character: itself, or the next one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in plain)}
+
+
+BYTE_ALPHABET = _byte_alphabet()
+
+
 class WordEncoder:
     """The tokenizer's ids of whole texts, by way of pieces between white space, each encoded once.
 
@@ -50,27 +62,47 @@ class WordEncoder:
     """
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel
         self.tokenizer = Tokenizer.from_str(definition)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
 
     def _encode(self, pieces: list[bytes]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").astype("<u2").tobytes() for e in got]
+        """Ids of pieces; lower-case Latin words, which the normaliser and pattern leave whole, go straight to
+        the tokenizer's model in its byte alphabet."""
+        out: list[bytes] = [b""] * len(pieces)
+        tokenize, slow = self.tokenizer.model.tokenize, []
+        for i, piece in enumerate(pieces):
+            word = piece.decode()
+            if word.isalpha() and (word.isascii() and word.islower() or max(word) < "\u0250" and word == word.lower() and is_normalized("NFC", word)):
+                out[i] = array("H", [t.id for t in tokenize(word if len(word) == len(piece) else piece.decode("latin-1").translate(BYTE_ALPHABET))]).tobytes()
+            else:
+                slow.append((i, word))
+        got = self.tokenizer.encode_batch_fast([w for _, w in slow], add_special_tokens=False) if slow else []
+        for (i, _), e in zip(slow, got, strict=True):
+            out[i] = array("H", e.ids).tobytes()
+        return out
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        whole = dict(zip(odd, self._encode([texts[i] for i in odd]), strict=True)) if odd else {}
-        split = [[] if i in whole else _SEAM.sub(rb"\1 ", t.lower()).split() for i, t in enumerate(texts)]
-        known = self.known
-        missing = list({p for s in split for p in s if p not in known})
-        own = dict(zip(missing, self._encode(missing), strict=True)) if missing else {}
-        if len(known) + len(own) <= MEMORY:
-            known.update(own)
-            ids = [b"".join([known[p] for p in s]) for s in split]
-        else:
-            ids = [b"".join([known[p] if p in known else own[p] for p in s]) for s in split]
-        return [np.frombuffer(whole.get(i, x), "<u2") for i, x in enumerate(ids)]
+        if any(s in t for s in self.special for t in texts):
+            return [self._whole(t) if any(s in t for s in self.special) else self.encode([t])[0] for t in texts]
+        split = [_SEAM.sub(rb"\1 ", t.lower()).split() for t in texts]
+        look = self.known.get
+        ids = [list(map(look, s)) for s in split]  # one look-up for each piece; most are known
+        holes = [(i, [j for j, v in enumerate(x) if v is None]) for i, x in enumerate(ids) if None in x]
+        if holes:
+            missing = list({split[i][j] for i, at in holes for j in at})
+            own = dict(zip(missing, self._encode(missing), strict=True))
+            if len(self.known) + len(own) <= MEMORY:
+                self.known.update(own)
+            for i, at in holes:
+                x, s = ids[i], split[i]
+                for j in at:
+                    x[j] = own[s[j]]
+        return [np.frombuffer(b"".join(x), "<u2") for x in ids]
+
+    def _whole(self, text: bytes) -> np.ndarray:
+        return np.frombuffer(self._encode([text])[0], "<u2")
 
 
 class Packer:
