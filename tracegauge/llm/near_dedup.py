@@ -1,21 +1,23 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
-A document's signature has COORDINATES values, each mixed from ROWS minima of its hashed word shingles.
-Documents are posted under each (coordinate, value); two documents collide once for each list they share.
-At the threshold similarity s a coordinate agrees with probability s ** ROWS; pairs with fewer than MATCHES
-collisions are given up (at s = 0.85 one pair in some millions), so by the prefix rule each document need
-not be posted in its MATCHES - 1 longest lists: a pair with MATCHES collisions still meets in another.
+A document's signature has COORDINATES minima of its hashed word shingles.  Documents are posted under each
+(coordinate, value), a posting coordinate being ROWS minima in a row; they collide in every minimum that they
+share.  At the threshold similarity s a posting coordinate agrees with probability s ** ROWS, and a pair at
+s = 0.85 shares fewer than POSTINGS lists once in some millions; so by the prefix rule each document need not
+be posted in its POSTINGS - 1 longest lists: a pair that shares POSTINGS lists still meets in another.  Pairs
+with fewer than MATCHES collisions of COORDINATES are given up (at 0.85, five standard deviations off).
 
 Documents with equal shingle sets are one class from the start.  A list never becomes all its pairs:
 
-1. each list links its members to a pivot, the member that collides most; collisions are counted, and what
-   passes is confirmed on the full sets; components are formed; lists inside one component are skipped;
-   this is repeated with other pivots (PIVOT_ROUNDS);
-2. in lists that still hold several components, the pairs of members from different components are counted
-   block by block (BLOCK rows a side) in numpy, and only pairs above the match threshold leave a task.  They
-   are confirmed on the full sets as well.
+1. each list links its members to a pivot, the member that collides most; collisions are counted, and what is
+   above the match threshold is confirmed on the full sets.  Confirmed links give components; all counted
+   pairs give families, which hold one component or more;
+2. families of several components are compared block by block (BLOCK members a side) on the full sets; a task
+   gives out only links that join components that it hasn't joined yet;
+3. in lists that hold several families, collisions between members of different families are counted block by
+   block, and only pairs above the match threshold leave a task; they are confirmed on the full sets.
 
-So what is given out grows with the documents and with links between components that no pivot shows.
+So what is given out grows with the documents and with links that no pivot shows.
 
 Defined cases: a text without words, or null, has no set and is linked with nothing; fewer words than a
 shingle count as one shingle; repeated rows are in one class; a row without doc_id has a component_id only
@@ -40,13 +42,20 @@ from .textkit import Chunk, add_columns, by_chunk, mix
 WORDS = 3
 #: Link at 100 * intersection >= PERCENT * union.
 PERCENT = 85
-COORDINATES, ROWS, MATCHES = 32, 4, 4
-PIVOT_ROUNDS = 2
+COORDINATES, ROWS, POSTINGS = 128, 4, 4
+#: A pair at the threshold may lose as many collisions as five standard deviations.
+DEVIATIONS = 5
 BLOCK = 512
 #: Classes whose sets are wanted are found by a broadcast up to so many (16 bytes each), else by a shuffle.
 BROADCAST_IDS = 1_000_000
 
-_SEEDS = mix(np.arange(1, 2 * COORDINATES * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+def least_matches(percent: int) -> int:
+    s = percent / 100
+    return int(COORDINATES * s - DEVIATIONS * (COORDINATES * s * (1 - s)) ** 0.5)
+
+
+_SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def shingle_sets(c: Chunk, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,20 +95,27 @@ def _names(x: np.ndarray, cut: np.ndarray, some: np.ndarray) -> np.ndarray:
 
 
 def _signature_kernel(words: int) -> Callable:
+    """n_shingles, name, ``posts`` (COORDINATES / ROWS values of 8 bytes) and ``sketch`` (2 bytes of each minimum)."""
+
     def run(c: Chunk) -> dict:
         x, cut = shingle_sets(c, words)
         size = np.diff(cut)
         some = np.flatnonzero(size)
-        signature = np.zeros((len(some), COORDINATES), np.uint64)
+        posts, sketch = np.zeros((len(some), COORDINATES // ROWS), np.uint64), np.zeros((len(some), COORDINATES), np.uint16)
         if len(some):
             with np.errstate(over="ignore"):
-                for k in range(COORDINATES * ROWS):
+                for k in range(COORDINATES):
                     least = np.minimum.reduceat((x ^ _SEEDS[2 * k]) * _SEEDS[2 * k + 1], cut[some])
-                    signature[:, k // ROWS] = mix(signature[:, k // ROWS] + least)
-        raw = np.full(c.n, None, object)
-        for i, d in enumerate(some):
-            raw[d] = signature[i].tobytes()
-        return {"n_shingles": size, "name": _names(x, cut, some), "signature": raw}
+                    least = mix(least)
+                    sketch[:, k] = least.astype(np.uint16)
+                    posts[:, k // ROWS] = mix(posts[:, k // ROWS] + least)
+        out = {"n_shingles": size, "name": _names(x, cut, some)}
+        for name, values in (("posts", posts), ("sketch", sketch)):
+            raw = np.full(c.n, None, object)
+            for i, d in enumerate(some):
+                raw[d] = values[i].tobytes()
+            out[name] = raw
+        return out
 
     return by_chunk(run)
 
@@ -123,6 +139,13 @@ def linked(a: bytes, b: bytes, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """The pairs (a, b) with the value of either side, x and y."""
+    left = table.select(F.col("class").alias("a"), F.col(value).alias("x"))
+    right = table.select(F.col("class").alias("b"), F.col(value).alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
 
@@ -132,49 +155,30 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             on = pa.array([linked(p.as_py(), q.as_py(), percent) for p, q in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(on), b.filter(on)], ["a", "b"])
 
-    left = sets.select(F.col("class").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("class").alias("b"), F.col("set").alias("y"))
-    return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
+    return arrow_map(_both(pairs, sets, "set"), run, "a long, b long")
+
+
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDINATES)
 
 
 def _count_matches(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
-    """The pairs (a, b) with enough collisions, counted over whole signatures."""
-    left = classes.select(F.col("class").alias("a"), F.col("signature").alias("x"))
-    right = classes.select(F.col("class").alias("b"), F.col("signature").alias("y"))
+    """The pairs (a, b) with enough collisions."""
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, COORDINATES) for c in ("x", "y"))
-            on = pa.array((x == y).sum(1) >= matches)
-            yield pa.RecordBatch.from_arrays([a.filter(on), b.filter(on)], ["a", "b"])
+            on = pa.array((_sketches(batch.column("x")) == _sketches(batch.column("y"))).sum(1) >= matches)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(on) for c in ("a", "b")], ["a", "b"])
 
-    return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
+    return arrow_map(_both(pairs, classes, "sketch"), run, "a long, b long")
 
 
-def _pairs_in_blocks(matches: int) -> Callable:
-    """Pairs of different components with enough collisions, among rows sorted by block pair (``key``).
+def _grouped(compare: Callable[[pa.Table], np.ndarray]) -> Callable:
+    """A function over batches sorted by ``key`` that hands whole keys to ``compare``; a key that goes on in the
+    next batch waits for it (block pairs have at most about 2 x BLOCK rows)."""
 
-    Row i is compared with row i + 1, i + 2 and so on of its block pair, for all block pairs of a batch at
-    once; a block pair that goes on in the next batch waits for it (it has at most 2 x BLOCK rows or so).
-    """
-
-    def compare(rows: pa.Table) -> pa.RecordBatch:
-        key, one, side, node, component = (rows[c].to_numpy() for c in ("key", "one", "side", "class", "component"))
-        x = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint64).reshape(-1, COORDINATES)
-        found: list[np.ndarray] = []
-        i = np.arange(len(x))
-        for lag in range(1, len(x)):
-            i = i[i + lag < len(x)]
-            i = i[key[i] == key[i + lag]]
-            if not len(i):
-                break
-            j = i + lag
-            want = (component[i] != component[j]) & ((one[i] == 1) | (side[i] != side[j]))
-            p, q = i[want], j[want]
-            on = (x[p] == x[q]).sum(1) >= matches
-            found.append(np.stack([node[p[on]], node[q[on]]], 1))
-        pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0) if found else np.empty((0, 2), np.int64)
+    def out(rows: pa.Table) -> pa.RecordBatch:
+        pairs = compare(rows)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def run(batches):
@@ -186,59 +190,143 @@ def _pairs_in_blocks(matches: int) -> Callable:
             cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
             held = rows.slice(cut)
             if cut:
-                yield compare(rows.slice(0, cut))
-        if held is not None:
-            yield compare(held)
+                yield out(rows.slice(0, cut))
+        if held is not None and len(held):
+            yield out(held)
 
     return run
 
 
-def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
+def _collisions_across(matches: int) -> Callable:
+    """Pairs of different families with enough collisions.  Row i is compared with row i + 1, i + 2 and so on of
+    its block pair, for all block pairs at once."""
+
+    def compare(rows: pa.Table) -> np.ndarray:
+        key, one, side, node, family = (rows[c].to_numpy() for c in ("key", "one", "side", "class", "family"))
+        x, found, i = _sketches(rows["sketch"]), [], np.arange(len(rows))
+        for lag in range(1, len(x)):
+            i = i[i + lag < len(x)]
+            i = i[key[i] == key[i + lag]]
+            if not len(i):
+                break
+            j = i + lag
+            want = (family[i] != family[j]) & ((one[i] == 1) | (side[i] != side[j]))
+            p, q = i[want], j[want]
+            on = (x[p] == x[q]).sum(1) >= matches
+            found.append(np.stack([node[p[on]], node[q[on]]], 1))
+        return np.unique(np.sort(np.concatenate(found), 1), axis=0) if found else np.empty((0, 2), np.int64)
+
+    return compare
+
+
+def _links_within(percent: int) -> Callable:
+    """In each block pair of a family: links on the full sets that join components which the task hasn't joined."""
+
+    def compare(rows: pa.Table) -> np.ndarray:
+        key = rows["key"].to_numpy()
+        edge = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if len(key) else 0))
+        out = [_block(rows.slice(i, j - i), percent) for i, j in zip(edge, np.append(edge[1:], len(key)), strict=True)]
+        return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
+    return compare
+
+
+def _block(rows: pa.Table, percent: int) -> np.ndarray:
+    one, side, node, component = (rows[c].to_numpy() for c in ("one", "side", "class", "component"))
+    sets = [np.frombuffer(x, np.uint64) for x in rows["set"].to_pylist()]
+    size = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets)
+    of = np.repeat(np.arange(len(sets)), size)
+    _, word, times = np.unique(flat, return_inverse=True, return_counts=True)
+    on = times[word] > 1  # a shingle of one document meets no other
+    of, word = of[on], np.unique(word[on], return_inverse=True)[1]
+    left = np.arange(len(sets)) if one[0] else np.flatnonzero(side == 0)
+    right = left if one[0] else np.flatnonzero(side == 1)
+    both = np.zeros((len(left), len(right)), np.float32)
+    row_l, row_r = np.full(len(sets), -1), np.full(len(sets), -1)
+    row_l[left], row_r[right] = np.arange(len(left)), np.arange(len(right))
+    order = np.argsort(word, kind="stable")
+    of, word = of[order], word[order]
+    for base in range(0, int(word[-1]) + 1 if len(word) else 0, 4096):
+        i, j = np.searchsorted(word, (base, base + 4096))
+        w, d = word[i:j] - base, of[i:j]
+        x, y = np.zeros((len(left), 4096), np.float32), np.zeros((len(right), 4096), np.float32)
+        l, r = row_l[d] >= 0, row_r[d] >= 0
+        x[row_l[d[l]], w[l]] = 1
+        y[row_r[d[r]], w[r]] = 1
+        both += x @ y.T
+    union = size[left][:, None] + size[right][None, :] - both
+    p, q = np.nonzero((100 * both >= percent * union) & (component[left][:, None] != component[right][None, :]))
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := parent.get(c, c)) != c:
+            c = up
+        return c
+
+    out = []
+    for i, j in zip(left[p].tolist(), right[q].tolist(), strict=True):
+        a, b = root(int(component[i])), root(int(component[j]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((node[i], node[j]))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _block_pairs(members: DataFrame, group: list[str], keep: list[str], n: int) -> DataFrame:
+    """Every member once for each block pair of its group that it belongs to: (key, one, side, class, keep)."""
+    sizes = durable(members.groupBy(*group).agg(F.count(F.lit(1)).alias("n")), n)
+    rows = (
+        members.join(sizes, group).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    )
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(
+        F.xxhash64(*group, F.least("own", "other"), F.greatest("own", "other")).alias("key"),
+        (F.col("own") == F.col("other")).cast("int").alias("one"), (F.col("own") > F.col("other")).cast("int").alias("side"), "class", *keep,
+    )
+
+
+def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id: the smallest doc_id reachable."""
-    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("name", T.StringType()), T.StructField("signature", T.BinaryType())]
+    matches = least_matches(percent)
+    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("name", T.StringType()), T.StructField("posts", T.BinaryType()), T.StructField("sketch", T.BinaryType())]
     signed = durable(add_columns(docs, lambda: _signature_kernel(words), fields, ["doc_id"]))
     classes = durable(
         signed.where(F.col("name").isNotNull()).groupBy("name")
-        .agg(F.min("doc_id").alias("low"), F.first("signature").alias("signature"))
+        .agg(F.min("doc_id").alias("low"), F.first("posts").alias("posts"), F.first("sketch").alias("sketch"))
         .withColumn("class", F.monotonically_increasing_id())
     )
     # lists with two members or more; each document leaves its longest ones
-    values = F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.substring("signature", i * 8 + 1, F.lit(8)))
+    lists = COORDINATES // ROWS
+    values = F.transform(F.sequence(F.lit(0), F.lit(lists - 1)), lambda i: F.substring("posts", i * 8 + 1, F.lit(8)))
     posts = classes.select("class", F.posexplode(values).alias("coordinate", "value")).select(
         "class", "coordinate", F.conv(F.hex("value"), 16, -10).cast("long").alias("value")
     )
-    lists = durable(
-        posts.groupBy("coordinate", "value").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
-    )
+    long = durable(posts.groupBy("coordinate", "value").agg(F.count(F.lit(1)).alias("length")).where("length > 1"))
     # the order of lists is the same for all, longest last; what a class shares with nobody comes before
     rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("length"), F.desc("coordinate")))
     total = F.sum("length").over(Window.partitionBy("class"))
     shared = durable(
-        posts.join(lists, ["coordinate", "value"]).withColumn("rank", rank).withColumn("central", total)
-        .where(F.col("rank") > matches - 1).drop("rank", "length")
+        posts.join(long, ["coordinate", "value"]).withColumn("rank", rank).withColumn("central", total)
+        .where(F.col("rank") > POSTINGS - 1).drop("rank", "length")
     )
     n = shared.count()
-    sets = _sets(docs, shared.select("class").distinct().join(classes, "class"), words)
-    component = None
-    for r in range(PIVOT_ROUNDS):
-        members = shared if component is None else _unsettled(shared, component, n)
-        if r and members.isEmpty():
-            break
-        order = F.struct("central", "class") if r == 0 else F.struct(F.xxhash64("class", F.lit(r)), "class")
-        pivots = members.groupBy("coordinate", "value").agg(F.max(order).alias("pivot"))
-        pairs = (
-            members.join(durable(pivots, n), ["coordinate", "value"])
-            .select(F.least("class", "pivot.class").alias("a"), F.greatest("class", "pivot.class").alias("b"))
-            .where("a <> b").distinct()
-        )
-        if component is not None:
-            pairs = _across(pairs, component)
-        component = _joined(component, durable(_confirm(_count_matches(pairs, classes, matches), sets, percent), n), n)
-    else:
-        members = _unsettled(shared, component, n)
-        if not members.isEmpty():
-            pairs = _all_across(members, classes, matches, n)
-            component = _joined(component, durable(_confirm(pairs, sets, percent), n), n)
+    pivots = durable(shared.groupBy("coordinate", "value").agg(F.max(F.struct("central", "class")).alias("pivot")), n)
+    pairs = (
+        shared.join(pivots, ["coordinate", "value"])
+        .select(F.least("class", "pivot.class").alias("a"), F.greatest("class", "pivot.class").alias("b")).where("a <> b").distinct()
+    )
+    counted = durable(_count_matches(pairs, classes, matches), n)
+    family = components(counted, n)
+    across = _across_families(shared, family, classes, matches, n)
+    wanted = counted.union(across).select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sets = _sets(docs, wanted.join(classes, "class"), words)
+    edges = durable(_confirm(counted, sets, percent), n)
+    component = components(edges, n)
+    more = durable(_within_families(family, component, sets, percent, n).union(_confirm(across, sets, percent)), n)
+    if not more.isEmpty():
+        component = components(edges.union(more), n)
     rows = classes.count()
     of_class = classes.select("name", "class", "low").join(component, F.col("class") == F.col("node"), "left")
     of_class = durable(of_class.select("name", "low", F.coalesce("component", "class").alias("component")), rows)
@@ -250,10 +338,30 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     )
 
 
-def _joined(component: DataFrame | None, edges: DataFrame, rows: int) -> DataFrame:
-    if component is not None:
-        edges = edges.union(component.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return components(edges, rows)
+def _across_families(shared: DataFrame, family: DataFrame, classes: DataFrame, matches: int, n: int) -> DataFrame:
+    """Pairs of different families in one list with enough collisions."""
+    rows = durable(_labelled(shared, family, "family"), n)
+    mixed = rows.groupBy("coordinate", "value").agg(F.min("family").alias("p"), F.max("family").alias("q")).where("p <> q")
+    members = durable(rows.join(mixed.select("coordinate", "value"), ["coordinate", "value"]), n)
+    dealt = _block_pairs(members, ["coordinate", "value"], ["family"], n).join(classes.select("class", "sketch"), "class")
+    dealt = dealt.select("key", "one", "side", "class", "family", "sketch").repartition("key").sortWithinPartitions("key")
+    return durable(arrow_map(dealt, _grouped(_collisions_across(matches)), "a long, b long").distinct(), n)
+
+
+def _within_families(family: DataFrame, component: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
+    """Links that join components of one family."""
+    members = durable(_labelled(family.select(F.col("node").alias("class"), F.col("component").alias("family")), component, "component"), n)
+    mixed = members.groupBy("family").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q")
+    members = durable(members.join(mixed.select("family"), "family"), n)
+    dealt = _block_pairs(members, ["family"], ["component"], n).join(sets, "class")
+    dealt = dealt.select("key", "one", "side", "class", "component", "set").repartition("key").sortWithinPartitions("key")
+    return arrow_map(dealt, _grouped(_links_within(percent)), "a long, b long")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the component of each class as ``name``; a class without links is its own."""
+    at = labels.select(F.col("node").alias("class"), F.col("component").alias(name))
+    return rows.join(at, "class", "left").withColumn(name, F.coalesce(name, "class"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -266,43 +374,6 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return durable(made.where(F.col("name") == F.col("_name")).groupBy("class").agg(F.first("set").alias("set")))
 
 
-def _labelled(rows: DataFrame, component: DataFrame) -> DataFrame:
-    at = component.select(F.col("node").alias("class"), "component")
-    return rows.join(at, "class", "left").withColumn("component", F.coalesce("component", "class"))
-
-
-def _unsettled(shared: DataFrame, component: DataFrame, n: int) -> DataFrame:
-    """The postings of lists that hold more than one component."""
-    rows = durable(_labelled(shared, component), n)
-    mixed = rows.groupBy("coordinate", "value").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q")
-    return durable(rows.join(mixed.select("coordinate", "value"), ["coordinate", "value"]), n)
-
-
-def _across(pairs: DataFrame, component: DataFrame) -> DataFrame:
-    p = component.select(F.col("node").alias("a"), F.col("component").alias("p"))
-    q = component.select(F.col("node").alias("b"), F.col("component").alias("q"))
-    return pairs.join(p, "a", "left").join(q, "b", "left").where(~F.coalesce("p", "a").eqNullSafe(F.coalesce("q", "b"))).select("a", "b")
-
-
-def _all_across(members: DataFrame, classes: DataFrame, matches: int, n: int) -> DataFrame:
-    """Pairs of different components in one list with enough collisions, by block pairs of the list."""
-    sizes = durable(members.groupBy("coordinate", "value").agg(F.count(F.lit(1)).alias("n")), n)
-    rows = (
-        members.join(sizes, ["coordinate", "value"])
-        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).select(
-        F.xxhash64("coordinate", "value", F.least("own", "other"), F.greatest("own", "other")).alias("key"),
-        (F.col("own") == F.col("other")).cast("int").alias("one"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "class", "component",
-    )
-    rows = rows.join(classes.select("class", "signature"), "class").repartition("key").sortWithinPartitions("key")
-    rows = rows.select("key", "one", "side", "class", "component", "signature")
-    return arrow_map(rows, _pairs_in_blocks(matches), "a long, b long").distinct()
-
-
 def near_dedup(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     found = near_components(docs)
