@@ -37,11 +37,11 @@ def _counts(name: str, semantics: str, missing: dict | None = None) -> dict[str,
 
 def _facts(variants: DataFrame, weights: list[str]) -> DataFrame:
     """(x, y, statistics, weights) for every pair of activities of a trace; y null: x alone; x null: y alone;
-    both null: the trace itself (``n`` events).  One pass, no shuffle."""
-    rows = activities(variants, weights).selectExpr(*weights, "size(trace) as n", "array_append(acts, null) as acts")
-    rows = rows.selectExpr(*weights, "n", "acts", "explode(acts) as p").selectExpr(*weights, "n", "p", "explode(acts) as q")
-    rows = rows.where("not (p.act <=> q.act) or (p is null and q is null)").selectExpr(*weights, "n", "p.act as x", "q.act as y", "p.at as px", "q.at as py")
-    return rows.selectExpr(*weights, "n", "x", "y", *PAIR_SQL)
+    both null: the trace itself (``_len`` events).  One pass, no shuffle."""
+    rows = activities(variants, weights).selectExpr(*weights, "size(trace) as _len", "array_append(acts, null) as acts")
+    rows = rows.selectExpr(*weights, "_len", "acts", "explode(acts) as p").selectExpr(*weights, "_len", "p", "explode(acts) as q")
+    rows = rows.where("not (p.act <=> q.act) or (p is null and q is null)").selectExpr(*weights, "_len", "p.act as x", "q.act as y", "p.at as px", "q.at as py")
+    return rows.selectExpr(*weights, "_len", "x", "y", *PAIR_SQL)
 
 
 def pattern_sums(variants: DataFrame, cands: DataFrame, semantics: str, weights: list[str], binary=tp.BINARY) -> DataFrame:
@@ -63,15 +63,15 @@ def pattern_sums(variants: DataFrame, cands: DataFrame, semantics: str, weights:
         alone_x.append(entry(name, x0))
         alone_y.append(entry(name, y0))
     hit = {v: "1" for v in values}
-    for name, test in (("Init", "fx = 0"), ("End", "lx = n - 1")):
+    for name, test in (("Init", "fx = 0"), ("End", "lx = _len - 1")):
         # all traces are applicable; what is added up here is the satisfied ones
         alone_x.append(entry(name, {v: f"int({test})" if v in ("sat", "ful", "t_sat") else "0" for v in values}))
     stack = f"""explode(case when x is null and y is null then array({entry("*", {v: "0" for v in hit})})
         when y is null then array({", ".join(alone_x)}) when x is null then array({", ".join(alone_y)})
         else array({", ".join(both)}) end) as t"""
-    rows = _facts(variants, weights).selectExpr(*weights, "x", "y", "n", stack)
+    rows = _facts(variants, weights).selectExpr(*weights, "x", "y", "_len", stack)
     sums = [f"sum({w} * t.{v}) as {w}_{v}" for w in weights for v in values]
-    sums += [f"sum(if(t.ctype = '*', {w}, 0)) as {w}_all" for w in weights] + [f"sum(if(t.ctype = '*', {w} * n, 0)) as {w}_events" for w in weights]
+    sums += [f"sum(if(t.ctype = '*', {w}, 0)) as {w}_all" for w in weights] + [f"sum(if(t.ctype = '*', {w} * _len, 0)) as {w}_events" for w in weights]
     facts = rows.groupBy(F.col("t.ctype").alias("f_ctype"), F.col("x").alias("f_x"), F.col("y").alias("f_y")).agg(*[F.expr(e) for e in sums])
     parts = """explode(array(named_struct('k', ctype, 'x', a, 'y', b), named_struct('k', if(b is null, null, ctype), 'x', a, 'y', string(null)),
         named_struct('k', if(b is null, null, ctype), 'x', string(null), 'y', b), named_struct('k', '*', 'x', string(null), 'y', string(null)))) as key"""
@@ -129,7 +129,7 @@ def holds(traces: DataFrame, cands: DataFrame, keep: list[str]) -> DataFrame:
     # one activity alone: only templates whose activation needs no partner
     x_led, y_led = ("Response", "AlternateResponse", "ChainResponse"), ("Precedence", "AlternatePrecedence", "ChainPrecedence", "NotPrecedence")
     rows = _facts(traces.withColumn("_acts", F.array_distinct("trace")), [*keep, "_acts"]).where("x is not null or y is not null")
-    stack = f"""explode(case when y is null then array({", ".join([entry(n, tp.X_ONLY) for n in x_led] + ["named_struct('ctype', 'Init', 'app', true, 'sat', fx = 0)", "named_struct('ctype', 'End', 'app', true, 'sat', lx = n - 1)"])})
+    stack = f"""explode(case when y is null then array({", ".join([entry(n, tp.X_ONLY) for n in x_led] + ["named_struct('ctype', 'Init', 'app', true, 'sat', fx = 0)", "named_struct('ctype', 'End', 'app', true, 'sat', lx = _len - 1)"])})
         when x is null then array({", ".join(entry(n, tp.Y_ONLY) for n in y_led)})
         else array({", ".join(entry(n) for n in tp.TRACE_BINARY)}) end) as t"""
     rows = rows.selectExpr(*keep, "_acts", "x", "y", stack).where("t.app").selectExpr(*keep, "_acts", "x", "y", "t.ctype as ctype", "int(t.sat) as sat")

@@ -88,8 +88,9 @@ def difference_test(traces: DataFrame, cands: DataFrame, count: int, alpha: floa
     """The unsigned permutation test of confidences: the observed log counts as one replicate (C starts at 1)."""
     tested = label_permutation(traces, cands, count, seed)
     prevalence = measures.class_prevalence(_variants(traces), cands)
-    out = tested.join(prevalence.select("ctype", "a", "b", "prev0", "prev1"), (F.struct(tested.ctype, tested.a, F.coalesce(tested.b, F.lit("\0"))) == F.struct(prevalence.ctype, prevalence.a, F.coalesce(prevalence.b, F.lit("\0"))))).select(
-        tested.ctype, tested.a, tested.b, F.col("prev0").alias("conf0"), F.col("prev1").alias("conf1"), F.abs("delta").alias("ediff"), (1 + F.col("exceed_two")).alias("count_c"),
+    conf = prevalence.select(F.col("ctype").alias("_c"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("prev0").alias("conf0"), F.col("prev1").alias("conf1"))
+    out = tested.join(conf, (F.col("ctype") == F.col("_c")) & (F.col("a") == F.col("_a")) & F.col("b").eqNullSafe(F.col("_b"))).select(
+        "ctype", "a", "b", "conf0", "conf1", F.abs("delta").alias("ediff"), (1 + F.col("exceed_two")).alias("count_c"),
     )
     out = out.where((F.col("ediff") >= least_difference) & (F.greatest("conf0", "conf1") >= least_interest))
     p = F.col("count_c") / F.lit(float(count))

@@ -679,3 +679,70 @@ def tree_cross_validation(spark, sf_dir):
     f = mining.activity_counts(t)
     names = sorted(r[0] for r in f.select("feature").distinct().collect())
     return mining.cross_validate(f, t, names, 3, (5,))
+
+
+# ---- whole jobs, small budgets -------------------------------------------------------------------------
+
+
+@query()
+def full_protocol(spark, sf_dir):
+    from .protocol import Budget, run
+
+    t = logs.user_days(spark, sf_dir)
+    out = run(t, _cands(t), Budget(label=40, order=20, outer=10, inner_label=10, inner_order=10))
+    return out.select("ctype", "a", "b", *[_r(c).alias(c) for c in ("delta", "p_disc", "p_struct", "t", "p_conj", "p_emp", "q")], "dominant", "significant", "category")
+
+
+@query()
+def null_error_rates(spark, sf_dir):
+    from .experiments import error_rates
+
+    t = logs.user_days(spark, sf_dir)
+    e = error_rates(t, _cands(t), 20)
+    return e.select("method", "r_obs", "b_null", *[_r(c).alias(c) for c in ("e_v", "fdr_emp", "pcer_emp", "fwer_emp", "bca_low", "bca_high", "fdr_low", "fdr_high")], "controls")
+
+
+@query()
+def noise_grid(spark, sf_dir):
+    from .experiments import noise_grid as grid, threshold_method
+
+    t = logs.user_days(spark, sf_dir)
+    return grid(t, {"threshold": threshold_method(_cands(t))}, (0.0, 0.1), (0.0, 0.5)).select("eps", "rho", "method", "tp", "fp", "fn", _r("jaccard").alias("jaccard"), _r("f1").alias("f1"), "reliable")
+
+
+@query()
+def perturbation_study(spark, sf_dir):
+    from .experiments import perturbation_study as study, summarise, threshold_method
+
+    t = logs.user_days(spark, sf_dir)
+    s = study(t, threshold_method(_cands(t)), levels=(0.1,), repeats=2).cache()
+    return summarise(s).select("family", "eps", "n", *[_r(c).alias(c) for c in ("jaccard", "fdr_ref", "pct_low", "pct_high")])
+
+
+@query("select p as premise_1, q as premise_2, e as conclusion, true as proven from (values ('Response(a, b)', 'Response(b, c)', 'Response(a, c)'), ('ChainResponse(a, b)', 'Precedence(a, b)', 'AlternateResponse(a, b)'), ('Succession(a, b)', 'NotSuccession(a, b)', 'ChainSuccession(a, b)')) v(p, q, e)")
+def automata_entailment(spark, sf_dir):
+    """Entailments proven by automata; the middle one needs the pairwise reading of alternation."""
+    from ..operators.automata import entails
+
+    rows = [(("Response", "a", "b"), ("Response", "b", "c"), ("Response", "a", "c")), (("ChainResponse", "a", "b"), ("Precedence", "a", "b"), ("AlternateResponse", "a", "b")), (("Succession", "a", "b"), ("NotSuccession", "a", "b"), ("ChainSuccession", "a", "b"))]
+    text = lambda c: f"{c[0]}({c[1]}, {c[2]})"
+    return spark.createDataFrame([(text(p), text(q), text(c), entails([p, q], c)) for p, q, c in rows], "premise_1 string, premise_2 string, conclusion string, proven boolean")
+
+
+@query()
+def streaming_verdicts(spark, sf_dir):
+    """Verdicts of the user sessions that a stream over the events has closed."""
+    import tempfile
+
+    from ..streaming.monitor import available_now
+
+    static = logs.read(spark, sf_dir, "events")
+    cands = measures.candidates(static.select(F.col("event_type").alias("act")).distinct())
+    live = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/events.parquet*")
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tracegauge-")
+    import uuid
+
+    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    available_now(live, cands, lambda df, i: df.write.mode("append").parquet(f"{folder}/out"), f"{folder}/progress", "user_id", "event_type", "ts", gap="12 hours")
+    v = spark.read.schema("case_id string, ctype string, a string, b string, sat int").parquet(f"{folder}/out")
+    return v.groupBy("ctype", "a", "b").agg(F.count(F.lit(1)).alias("applicable"), F.sum("sat").alias("satisfied"))
