@@ -44,16 +44,17 @@ def _tandem(trace) -> dict[str, int]:
     return found
 
 
-def _maximal(trace, longest: int = 8) -> dict[str, int]:
+def _maximal(trace) -> dict[str, int]:
     """Runs that occur twice or more and lie in no longer such run."""
-    t, kept = list(trace), {}
-    for size in range(min(longest, len(t) - 1), 0, -1):
+    t, kept, inside = tuple(trace), {}, set()
+    for size in range(len(t) - 1, 0, -1):
         seen: dict[tuple, int] = {}
         for i in range(len(t) - size + 1):
-            seen[tuple(t[i : i + size])] = seen.get(tuple(t[i : i + size]), 0) + 1
-        for run, n in seen.items():
-            if n >= 2 and not any(run == k[j : j + size] for k in kept for j in range(len(k) - size + 1)):
-                kept[run] = n
+            seen[t[i : i + size]] = seen.get(t[i : i + size], 0) + 1
+        found = {run: n for run, n in seen.items() if n >= 2 and run not in inside}
+        kept |= found
+        # a run lies in a longer one if it is one of the two that are shorter by an end, or lies in those
+        inside |= {part for run, n in seen.items() if n >= 2 for part in (run[1:], run[:-1])}
     return {"\x1f".join(k): n for k, n in kept.items()}
 
 

@@ -42,7 +42,7 @@ def combined_statistic(p_order: str, p_label: str, w_order: float, w_label: floa
 def log_p_correlation(df: DataFrame, p_order: str, p_label: str) -> DataFrame:
     """(m, rho): correlation of -ln p; 0 with fewer than three rows or a constant side."""
     x, y = (-F.log(F.greatest(F.col(c), F.lit(1e-300))) for c in (p_order, p_label))
-    r = F.corr(x, y)
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))  # null for a constant side
     return df.agg(F.count(F.lit(1)).alias("m"), r.alias("r")).select("m", F.when((F.col("m") < 3) | F.col("r").isNull() | F.isnan("r"), 0.0).otherwise(F.col("r")).alias("rho"))
 
 
