@@ -48,6 +48,8 @@ DEVIATIONS = 5
 BLOCK = 512
 #: Classes whose sets are wanted are found by a broadcast up to so many (16 bytes each), else by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Tables made from sets or sketches get so many times the tasks of narrow ones.
+WIDE = 8
 
 
 def least_matches(percent: int) -> int:
@@ -317,14 +319,14 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         shared.join(pivots, ["coordinate", "value"])
         .select(F.least("class", "pivot.class").alias("a"), F.greatest("class", "pivot.class").alias("b")).where("a <> b").distinct()
     )
-    counted = durable(_count_matches(pairs, classes, matches), n)
+    counted = durable(_count_matches(pairs, classes, matches), WIDE * n)
     family = components(counted, n)
     across = _across_families(shared, family, classes, matches, n)
     wanted = counted.union(across).select(F.explode(F.array("a", "b")).alias("class")).distinct()
     sets = _sets(docs, wanted.join(classes, "class"), words)
-    edges = durable(_confirm(counted, sets, percent), n)
+    edges = durable(_confirm(counted, sets, percent), WIDE * n)
     component = components(edges, n)
-    more = durable(_within_families(family, component, sets, percent, n).union(_confirm(across, sets, percent)), n)
+    more = durable(_within_families(family, component, sets, percent, n).union(_confirm(across, sets, percent)), WIDE * n)
     if not more.isEmpty():
         component = components(edges.union(more), n)
     rows = classes.count()
@@ -342,17 +344,18 @@ def _across_families(shared: DataFrame, family: DataFrame, classes: DataFrame, m
     """Pairs of different families in one list with enough collisions."""
     rows = durable(_labelled(shared, family, "family"), n)
     mixed = rows.groupBy("coordinate", "value").agg(F.min("family").alias("p"), F.max("family").alias("q")).where("p <> q")
-    members = durable(rows.join(mixed.select("coordinate", "value"), ["coordinate", "value"]), n)
+    # written first, so that both join sides are shuffles and a large group's rows can be split over tasks
+    members = durable(rows.join(durable(mixed.select("coordinate", "value"), n), ["coordinate", "value"]), n)
     dealt = _block_pairs(members, ["coordinate", "value"], ["family"], n).join(classes.select("class", "sketch"), "class")
     dealt = dealt.select("key", "one", "side", "class", "family", "sketch").repartition("key").sortWithinPartitions("key")
-    return durable(arrow_map(dealt, _grouped(_collisions_across(matches)), "a long, b long").distinct(), n)
+    return durable(arrow_map(dealt, _grouped(_collisions_across(matches)), "a long, b long").distinct(), WIDE * n)
 
 
 def _within_families(family: DataFrame, component: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
     """Links that join components of one family."""
     members = durable(_labelled(family.select(F.col("node").alias("class"), F.col("component").alias("family")), component, "component"), n)
     mixed = members.groupBy("family").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q")
-    members = durable(members.join(mixed.select("family"), "family"), n)
+    members = durable(members.join(durable(mixed.select("family"), n), "family"), n)
     dealt = _block_pairs(members, ["family"], ["component"], n).join(sets, "class")
     dealt = dealt.select("key", "one", "side", "class", "component", "set").repartition("key").sortWithinPartitions("key")
     return arrow_map(dealt, _grouped(_links_within(percent)), "a long, b long")
