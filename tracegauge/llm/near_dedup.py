@@ -384,6 +384,6 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows whose doc_id is the smallest of its component, with all their columns."""
+    """The rows whose doc_id is the smallest of its component, with all their columns; rows without one stay."""
     kept = near_components(docs, words, percent).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
