@@ -345,3 +345,22 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     got = spark.read.schema("case_id string, ctype string, a string, b string, sat int").parquet(out)
     batch = holds(closed_cases(ev, "user_id", "event_type", "ts", gap="6 hours"), cands, ["case_id"])
     assert got.count() > 0 and got.exceptAll(batch).count() == 0
+
+
+def test_encodings(spark):
+    df, rows = log(spark, 30)
+    data = spark.createDataFrame([(r[0], "size", float(len(r[2]))) for r in rows], "case_id string, feature string, value double")
+    c = candidates(alphabet(df))
+    assert len(mining.encodings()) == 19
+    ia = mining.encode(df, "ia", c)
+    assert ia.agg(F.sum("value")).first()[0] == sum(len(r[2]) for r in rows)
+    both = mining.encode(df, "ia+data", c, data=data)
+    assert both.where("feature = 'size'").count() == len(rows) and both.count() == ia.count() + len(rows)
+    with pytest.raises(ValueError):
+        mining.encode(df, "ia+nothing", c)
+
+
+def test_control_tests():
+    r = significance.control_tests([0] * 19 + [1], 10, 0.05)
+    assert math.isclose(r["fdr_emp"], 0.005) and math.isclose(r["fwer_p"], 1 - 0.95**20) and r["fdr_p"] > 0.99
+    assert significance.control_tests([0, 0], 0)["fdr_p"] == 1.0

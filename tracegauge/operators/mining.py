@@ -120,7 +120,7 @@ def frequent_itemsets(traces: DataFrame, theta: float) -> DataFrame:
     return one.union(two.where(F.col("n") >= need).select(F.array("x", "y"), "n"))
 
 
-def declare_features(traces: DataFrame, cands: DataFrame, theta: float = 0.0) -> DataFrame:
+def template_features(traces: DataFrame, cands: DataFrame, theta: float = 0.0) -> DataFrame:
     """(ctype, a, b, source): candidates satisfied in enough cases of the positive class, else of the other.
 
     A candidate that the positive class has but does not satisfy often enough is not tried in the other.
@@ -305,3 +305,64 @@ def root_condition(features: DataFrame, cases: DataFrame, names: list[str]) -> t
     if model.depth == 0:
         return None
     return names[root.split().featureIndex()], float(root.split().threshold())
+
+
+#: Single encodings; "h" is all repeats plus constraints; compounds join names by "+".
+PARTS = ("ia", "mr", "tr", "mra", "tra", "template", "h", "data", "conditional")
+
+
+def encodings() -> list[str]:
+    """The standard encodings: every part, each of them with data, and the hybrid with conditional constraints."""
+    return [*PARTS, *[f"data+{p}" for p in PARTS if p != "data"], "h+conditional", "h+data+conditional"]
+
+
+def conditional_templates(traces: DataFrame, cands: DataFrame, data: DataFrame, most: int = 10) -> DataFrame:
+    """(case_id, outcome, feature, value): the ``most`` best constraints, each under its data condition.
+
+    The condition is the best single split of the data features over the cases that activate the constraint;
+    outside it the constraint counts as vacuous.
+    """
+    coded, data = three_way(traces, cands).cache(), data.cache()
+    best = [r["feature"] for r in fisher_scores(coded, traces).orderBy(F.desc("score"), "feature").limit(most).collect()]
+    names = sorted(r[0] for r in data.select("feature").distinct().collect())
+    out = None
+    for name in best:
+        active = coded.where(F.col("feature") == name)
+        split = root_condition(data, active, names)
+        part = active.withColumn("feature", F.concat(F.col("feature"), F.lit(" if any")))
+        if split:
+            inside = data.where(F.col("feature") == split[0]).where(F.col("value") > split[1]).select("case_id").distinct()
+            part = active.join(inside, "case_id", "left_semi").withColumn("feature", F.lit(f"{name} if {split[0]} > {split[1]:.6g}"))
+        out = part if out is None else out.unionByName(part)
+    return coded.limit(0) if out is None else out
+
+
+def encode(traces: DataFrame, encoding: str, cands: DataFrame, theta: float = 0.1, data: DataFrame | None = None, most: int = 10) -> DataFrame:
+    """(case_id, outcome, feature, value) of an encoding such as "h+data+conditional"; absent values are 0.
+
+    ``data``: the cases' data features (case_id, feature, value), for the parts that use them.
+    """
+    parts = {p.strip() for p in encoding.lower().split("+")}
+    if unknown := parts - set(PARTS):
+        raise ValueError(f"unknown encoding {sorted(unknown)}")
+    blocks = []
+    if "ia" in parts:
+        blocks.append(activity_counts(traces).withColumn("feature", F.concat(F.lit("ia:"), F.col("feature"))))
+    kinds = tuple(k for k in ("tr", "tra", "mr", "mra") if k in parts or "h" in parts)
+    if kinds:
+        seq = sequential_patterns(traces, kinds)
+        blocks.append(seq.join(F.broadcast(discriminative(seq, traces, theta).select("feature")), "feature"))
+    if parts & {"template", "h"}:
+        blocks.append(three_way(traces, template_features(traces, cands).select("ctype", "a", "b")))
+    if "data" in parts or "conditional" in parts:
+        if data is None:
+            raise ValueError("data features are needed")
+        held = data.join(traces.select("case_id", "outcome"), "case_id").select("case_id", "outcome", "feature", "value")
+        if "data" in parts:
+            blocks.append(held)
+        if "conditional" in parts:
+            blocks.append(conditional_templates(traces, cands, data, most))
+    out = blocks[0]
+    for b in blocks[1:]:
+        out = out.unionByName(b.select(*out.columns))
+    return out.where("value <> 0 and not isnan(value)").select("case_id", "outcome", "feature", "value")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import chi2_tail
+from ..functions.special import binomial_sf, chi2_tail, student_sf
 
 #: Budgets of the two resampling axes; the weights follow from them.
 B_LABEL, B_ORDER = 1500, 2000
@@ -210,3 +210,14 @@ def augmentation_targets(rows: DataFrame, low: str, high: str, centre: float = 0
 
 def harmonic(m: int) -> float:
     return math.fsum(1 / i for i in range(1, m + 1))
+
+
+def control_tests(counts: list[int], observed: int, alpha: float = 0.05) -> dict[str, float]:
+    """One-sided tests of error control from null counts of replicates: a t test of the mean false share, an
+    exact binomial test of the share of replicates with any discovery."""
+    n, any_hit = len(counts), sum(c > 0 for c in counts)
+    shares = [c / max(1, observed) for c in counts]
+    mean = math.fsum(shares) / n
+    var = math.fsum((s - mean) ** 2 for s in shares) / max(1, n - 1)
+    p_mean = student_sf((mean - alpha) / math.sqrt(var / n), n - 1) if var > 0 else float(mean <= alpha)
+    return {"fdr_emp": mean, "fdr_p": p_mean, "fwer_emp": any_hit / n, "fwer_p": binomial_sf(any_hit, n, alpha)}

@@ -664,7 +664,7 @@ select ctype, a, b, case when n_sat1 >= greatest(1, ceil(0.3 * c1)) then 'positi
 where n_sat1 >= greatest(1, ceil(0.3 * c1)) or (n_app1 = 0 and n_sat0 >= greatest(1, ceil(0.3 * c0)))""")
 def declarative_features(spark, sf_dir):
     t = logs.customer_orders(spark, sf_dir)
-    return mining.declare_features(t, _cands(t), 0.3)
+    return mining.template_features(t, _cands(t), 0.3)
 
 
 @query(f"""with {CUSTOMER_ORDERS}, r as (select case_id, outcome, row_number() over (partition by outcome order by md5('42|' || case_id), case_id) as k from tr)
@@ -746,3 +746,25 @@ def streaming_verdicts(spark, sf_dir):
     available_now(live, cands, lambda df, i: df.write.mode("append").parquet(f"{folder}/out"), f"{folder}/progress", "user_id", "event_type", "ts", gap="12 hours")
     v = spark.read.schema("case_id string, ctype string, a string, b string, sat int").parquet(f"{folder}/out")
     return v.groupBy("ctype", "a", "b").agg(F.count(F.lit(1)).alias("applicable"), F.sum("sat").alias("satisfied"))
+
+
+@query()
+def composite_encoding(spark, sf_dir):
+    """Number of cases and sum of values of every feature of a composite encoding."""
+    t = logs.users(spark, sf_dir)
+    data = mining.data_features(logs.read(spark, sf_dir, "events"), "user_id", "ts", ["value"], ["event_type"])
+    e = mining.encode(t, "ia+data+conditional", _cands(t), data=data, most=2)
+    return e.groupBy("feature").agg(F.count(F.lit(1)).alias("cases"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query()
+def error_control_tests(spark, sf_dir):
+    """Whether null counts of the threshold method are compatible with error control at 5 %."""
+    from .experiments import null_confidences
+
+    t = logs.user_days(spark, sf_dir)
+    null = null_confidences(t, _cands(t), 20)
+    counts = [r["v"] for r in null.groupBy("rep").agg(F.count_if(comparison.differs(0.02)).alias("v")).collect()]
+    counts += [0] * (20 - len(counts))
+    r = significance.control_tests(counts, 56, 0.05)
+    return spark.createDataFrame([tuple(round(v, 9) for v in r.values())], ", ".join(f"{k} double" for k in r))
