@@ -48,7 +48,7 @@ DEVIATIONS = 5
 BLOCK = 512
 #: Classes whose sets are wanted are found by a broadcast up to so many (16 bytes each), else by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Tables made from sets or sketches get so many times the tasks of narrow ones.
+#: Tables made from whole signatures, sets or sketches get so many times the tasks of narrow ones.
 WIDE = 8
 
 
@@ -297,21 +297,24 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = durable(
         signed.where(F.col("name").isNotNull()).groupBy("name")
         .agg(F.min("doc_id").alias("low"), F.first("posts").alias("posts"), F.first("sketch").alias("sketch"))
-        .withColumn("class", F.monotonically_increasing_id())
+        .withColumn("class", F.monotonically_increasing_id()),
+        WIDE * signed.count(),
     )
+    count = classes.count()
     # lists with two members or more; each document leaves its longest ones
     lists = COORDINATES // ROWS
     values = F.transform(F.sequence(F.lit(0), F.lit(lists - 1)), lambda i: F.substring("posts", i * 8 + 1, F.lit(8)))
     posts = classes.select("class", F.posexplode(values).alias("coordinate", "value")).select(
         "class", "coordinate", F.conv(F.hex("value"), 16, -10).cast("long").alias("value")
     )
-    long = durable(posts.groupBy("coordinate", "value").agg(F.count(F.lit(1)).alias("length")).where("length > 1"))
+    long = durable(posts.groupBy("coordinate", "value").agg(F.count(F.lit(1)).alias("length")).where("length > 1"), WIDE * count)
     # the order of lists is the same for all, longest last; what a class shares with nobody comes before
     rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("length"), F.desc("coordinate")))
     total = F.sum("length").over(Window.partitionBy("class"))
     shared = durable(
         posts.join(long, ["coordinate", "value"]).withColumn("rank", rank).withColumn("central", total)
-        .where(F.col("rank") > POSTINGS - 1).drop("rank", "length")
+        .where(F.col("rank") > POSTINGS - 1).drop("rank", "length"),
+        WIDE * count,
     )
     n = shared.count()
     pivots = durable(shared.groupBy("coordinate", "value").agg(F.max(F.struct("central", "class")).alias("pivot")), n)
@@ -323,17 +326,16 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     family = components(counted, n)
     across = _across_families(shared, family, classes, matches, n)
     wanted = counted.union(across).select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    sets = _sets(docs, wanted.join(classes, "class"), words)
+    sets = _sets(docs, wanted.join(classes, "class"), words, n)
     edges = durable(_confirm(counted, sets, percent), WIDE * n)
     component = components(edges, n)
     more = durable(_within_families(family, component, sets, percent, n).union(_confirm(across, sets, percent)), WIDE * n)
     if not more.isEmpty():
         component = components(edges.union(more), n)
-    rows = classes.count()
     of_class = classes.select("name", "class", "low").join(component, F.col("class") == F.col("node"), "left")
-    of_class = durable(of_class.select("name", "low", F.coalesce("component", "class").alias("component")), rows)
+    of_class = durable(of_class.select("name", "low", F.coalesce("component", "class").alias("component")), count)
     least = of_class.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = durable(of_class.join(least, "component").select("name", "component_id"), rows)
+    named = durable(of_class.join(least, "component").select("name", "component_id"), count)
     rows = signed.select("doc_id", "n_shingles", "name")
     return rows.where("name is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")).union(
         rows.join(named, "name").select("doc_id", "n_shingles", "component_id")
@@ -367,14 +369,14 @@ def _labelled(rows: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     return rows.join(at, "class", "left").withColumn(name, F.coalesce(name, "class"))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, words: int, n: int) -> DataFrame:
     """(class, set) of the wanted classes, from any row that has the class's smallest doc_id and its set."""
-    wanted = durable(wanted.select(F.col("low").alias("_low"), F.col("name").alias("_name"), "class"))
+    wanted = durable(wanted.select(F.col("low").alias("_low"), F.col("name").alias("_name"), "class"), n)
     small = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     rows = docs.select("doc_id", "text").join(small, F.col("doc_id").eqNullSafe(F.col("_low")))
     made = add_columns(rows, lambda: _set_kernel(words), [T.StructField("name", T.StringType()), T.StructField("set", T.BinaryType())], ["class", "_name"])
     # a repeated doc_id gives the set more than once
-    return durable(made.where(F.col("name") == F.col("_name")).groupBy("class").agg(F.first("set").alias("set")))
+    return durable(made.where(F.col("name") == F.col("_name")).groupBy("class").agg(F.first("set").alias("set")), WIDE * n)
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
