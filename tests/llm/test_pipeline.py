@@ -6,6 +6,8 @@ from tracegauge.llm import near_dedup, packing
 from . import cases
 
 SF = "/root/testdata/sf0.001"
+#: Enough labels to learn from.
+LARGER = "/root/testdata/sf0.01"
 
 
 def test_stage_names():
@@ -13,16 +15,16 @@ def test_stage_names():
 
 
 def test_stages_keep_columns_and_clean_rows(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
     n, was = docs.count(), docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, was, SF).cache()
+        out = stage(spark, was, LARGER).cache()
         assert out.columns == docs.columns, name
         assert out.count() > 0.6 * n, name
         assert out.join(docs, docs.columns, "left_anti").count() == 0
         was = out
-    clean = spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 0 and quality = 1").join(docs, "doc_id", "left_semi").select("doc_id")
-    first = corpus_pipeline.drop_toxic(spark, docs, SF)
+    clean = spark.read.parquet(f"{LARGER}/labels.parquet").where("toxic = 0 and quality = 1").join(docs, "doc_id", "left_semi").select("doc_id")
+    first = corpus_pipeline.drop_toxic(spark, docs, LARGER)
     assert clean.join(first, "doc_id", "left_anti").count() <= 0.01 * clean.count()
 
 
