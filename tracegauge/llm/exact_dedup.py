@@ -103,7 +103,7 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     ids = identities(docs, block_bytes)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "uid"))
     # written, so that both join sides are shuffles and a large group's rows can be split over tasks
-    groups = durable(ids.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), first.alias("first")))
+    groups = durable(ids.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), first.alias("first")), ids.count())
     return ids.join(groups, ["level", "name"]).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
