@@ -119,11 +119,14 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", bound: in
     y = np.array([r["y"] for r in rows], float)
     if len(set(y)) < 2:
         return {"weights": np.zeros(3 * WIDTH, np.float32), "shift": 0.0, "a": 0.0, "b": 4.0}
-    x = [(np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32) * SCALE) for r in rows]
     held = np.arange(len(y)) % 5 == 4
-    w, shift = fit_logistic(Sparse([x[i] for i in np.flatnonzero(~held)], 3 * WIDTH), y[~held], 1e-4)
+    pairs = lambda which: [(np.frombuffer(rows[i]["index"], np.int32), np.frombuffer(rows[i]["value"], np.float32)) for i in np.flatnonzero(which)]
+    fitted, rest = Sparse(pairs(~held), 3 * WIDTH), Sparse(pairs(held), 3 * WIDTH)
+    del rows
+    fitted.value *= SCALE
+    w, shift = fit_logistic(fitted, y[~held], 1e-4)
     w *= SCALE
-    score = Sparse([(i, v / SCALE) for i, v in (x[i] for i in np.flatnonzero(held))], 3 * WIDTH).dot(w) + shift
+    score = rest.dot(w) + shift
     a, b = calibrate(score, y[held])
     return {"weights": w.astype(np.float32), "shift": shift, "a": a, "b": b}
 
@@ -132,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", bound: in
 SCALE = 20.0
 
 
-def score_columns(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
+def score_columns(docs: DataFrame, model: dict, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` plus the five counts and the calibrated probability of good quality."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 3 x WIDTH floats
 
@@ -147,7 +150,7 @@ def score_columns(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
 
         return by_chunk(run, fold=False)
 
-    return add_columns(docs, kernel, [*COUNTS, T.StructField("p_good", T.DoubleType())], keep)
+    return add_columns(docs, kernel, [*COUNTS, T.StructField("p_good", T.DoubleType())], keep, text)
 
 
 def verdict(scored: DataFrame) -> DataFrame:
@@ -163,7 +166,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that pass, with all their columns; a row's own columns of clashing names stay."""
     names = [f"__c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
-    at = names[docs.columns.index("text")]
-    scored = verdict(score_columns(plain.withColumn("text", F.col(at)), train(docs, labels), names))
+    scored = verdict(score_columns(docs.toDF(*names), train(docs, labels), names, names[docs.columns.index("text")]))
     return scored.where("kept").select(*[F.col(a).alias(b) for a, b in zip(names, docs.columns, strict=True)])

@@ -17,6 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import arrow_map
 
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch that are handled, and given out, at a time.
+SLICE_ROWS = 1000
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 FOLD = np.arange(256, dtype=np.uint8)
@@ -119,16 +121,19 @@ def add_columns(
     kept = [docs.schema[c] for c in keep]
     schema = T.StructType([*kept, *fields])
     arrow = to_arrow_schema(schema)
-    source = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__text"))
+    source = docs.select(*[docs[c] for c in keep], *([] if text in keep else [docs[text].alias("__text")]))
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches):
         f = kernel()
-        for batch in batches:
-            texts = [b"" if x is None else x for x in batch.column(len(keep)).cast(pa.binary()).to_pylist()]
-            new = f(texts)
-            arrays = [batch.column(i).cast(arrow.field(i).type) for i in range(len(keep))]
-            arrays += [pa.array(new[x.name], arrow.field(x.name).type) for x in fields]
-            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(i, SLICE_ROWS)
+                texts = [b"" if x is None else x for x in batch.column(at).cast(pa.string()).cast(pa.binary()).to_pylist()]
+                new = f(texts)
+                arrays = [batch.column(i).cast(arrow.field(i).type) for i in range(len(keep))]
+                arrays += [pa.array(new[x.name], arrow.field(x.name).type) for x in fields]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return arrow_map(source, run, schema)
 

@@ -156,7 +156,7 @@ def logits(x: Sparse, model: dict) -> np.ndarray:
     return model["shift"] + x.dot(model["linear"]) + 0.5 * (s**2).sum(1) - 0.5 * x.dot((v**2).sum(1))
 
 
-def score_columns(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
+def score_columns(docs: DataFrame, model: dict, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` plus ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -176,7 +176,7 @@ def score_columns(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
 
         return by_chunk(run, separator=SEPARATOR)
 
-    return add_columns(docs, kernel, [T.StructField("score", T.DoubleType())], keep)
+    return add_columns(docs, kernel, [T.StructField("score", T.DoubleType())], keep, text)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -192,6 +192,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows below the threshold, with all their columns."""
     names = [f"__c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
-    scored = score_columns(plain, train(docs, labels), names)
+    scored = score_columns(docs.toDF(*names), train(docs, labels), names, names[docs.columns.index("text")])
     return scored.where(F.col("score") < TOXIC_AT).select(*[F.col(a).alias(b) for a, b in zip(names, docs.columns, strict=True)])
