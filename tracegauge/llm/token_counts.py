@@ -104,4 +104,5 @@ def token_counts(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """Write token files of all documents, then count each document's tokens by scanning the files."""
     files = write_token_files(docs, vocabulary, pattern)
     names = files.select("file", F.posexplode("ids").alias("ordinal", "doc_id")).withColumn("ordinal", F.col("ordinal").cast("long"))
-    return scan(files).join(names, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    # both grow with the documents, though the plan's estimate of the unfolded names is small: no broadcast
+    return scan(files).hint("merge").join(names.hint("merge"), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
