@@ -148,7 +148,8 @@ def candidates(files: DataFrame, packed: bool = True, block_bytes: int = BLOCK_B
 
 def entries(files: DataFrame, found: DataFrame) -> DataFrame:
     """(file, offset): where the chain from each file's start enters its blocks, by pointer jumping."""
-    jumps = found.select("file", "offset", "exit")
+    # candidates grow with the archives, whatever the plan estimates: merge joins, no broadcast
+    jumps = found.select("file", "offset", "exit").hint("merge")
     reached = files.where("length > 0").select("file", F.lit(0).cast("long").alias("offset"))
     furthest = found.agg(F.max("block")).first()[0] or 0
     for _ in range(int(furthest).bit_length()):
@@ -156,15 +157,15 @@ def entries(files: DataFrame, found: DataFrame) -> DataFrame:
         reached = durable(reached.union(step).distinct())
         onward = jumps.select("file", F.col("offset").alias("exit"), F.col("exit").alias("next"))
         jumps = durable(
-            jumps.join(onward, ["file", "exit"], "left").select("file", "offset", F.coalesce("next", "exit").alias("exit"))
-        )
+            jumps.join(onward.hint("merge"), ["file", "exit"], "left").select("file", "offset", F.coalesce("next", "exit").alias("exit"))
+        ).hint("merge")
     return reached
 
 
 def read_archives(files: DataFrame, packed: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every record on the chain: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     found = durable(candidates(files, packed, block_bytes))
-    starts = entries(files, found).join(found, ["file", "offset"], "left_semi").join(files, "file")
+    starts = entries(files, found).join(found.hint("merge"), ["file", "offset"], "left_semi").join(files, "file")
 
     def read(batches):
         source = Ranges()
