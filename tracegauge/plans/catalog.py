@@ -686,10 +686,10 @@ def tree_cross_validation(spark, sf_dir):
 
 @query()
 def full_protocol(spark, sf_dir):
-    from .protocol import Budget, run
+    from .protocol import run
 
     t = logs.user_days(spark, sf_dir)
-    out = run(t, _cands(t), Budget(label=40, order=20, outer=10, inner_label=10, inner_order=10))
+    out = run(t, _cands(t))
     return out.select("ctype", "a", "b", *[_r(c).alias(c) for c in ("delta", "p_disc", "p_struct", "t", "p_conj", "p_emp", "q")], "dominant", "significant", "category")
 
 
