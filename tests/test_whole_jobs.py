@@ -2,9 +2,12 @@
 
 import datetime
 
+import duckdb
 import pytest
 
+from tracegauge.operators import significance
 from tracegauge.plans import catalog
+from tracegauge.plans.logs import CHECKS, ENABLED_SQL, USER_DAYS
 
 
 @pytest.fixture(scope="module")
@@ -24,3 +27,25 @@ def test_full_protocol_finds_planted_order(spark, planted):
     r = found["Response", "view", "click"]
     assert r["significant"] and r["dominant"] == 1 and r["category"] != "none"
     assert found["Response", "click", "view"]["significant"] and found["Response", "click", "view"]["dominant"] == 0
+
+
+_NULL_LOGS = f"""{USER_DAYS.replace("tr as", "own as")}, r as (select rep, case_id, row_number() over (partition by rep order by md5('42|' || rep || '|' || case_id), case_id) as k, sum(outcome) over (partition by rep) as n1 from own, range(200) as g(rep)),
+e as (select rep, case_id, unnest(t) as act, unnest(range(len(t))) as i from own, range(200) as g(rep)),
+tr as (select r.rep || '#' || r.case_id as case_id, any_value((k <= n1)::int) as outcome, list(act order by md5('43|' || rep || '|' || case_id || '|' || i), i) as t from e join r using (rep, case_id) group by r.rep, r.case_id)"""
+
+
+def _discoveries(con, logs: str, rep: str) -> dict:
+    conf = lambda k: f"coalesce(sum((sat and outcome = {k})::int) / nullif(sum((app and outcome = {k})::int), 0)::double, 0)"
+    return dict(con.execute(f"""with {logs}, {CHECKS}, c as (select {rep} as rep, ctype, a, b, {conf(0)} as c0, {conf(1)} as c1 from chk where ctype in {ENABLED_SQL} group by all having sum(app::int) > 0)
+        select rep, count(*) from c where abs(c1 - c0) >= 0.02 and greatest(c0, c1) >= 0.01 group by 1""").fetchall())
+
+
+def test_error_control_by_brute_force(spark, planted):
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{planted}/events.parquet/*.parquet'")
+    observed = _discoveries(con, USER_DAYS, "0")[0]
+    null = _discoveries(con, _NULL_LOGS, "split_part(case_id, '#', 1)::int")
+    want = significance.control_tests([null.get(k, 0) for k in range(200)], observed, 0.05)
+    assert observed not in (0, 56) and want["fdr_emp"] > 0
+    got = catalog.queries()["error_control_tests"](spark, planted).first().asDict()
+    assert got == pytest.approx(want, abs=1e-8)

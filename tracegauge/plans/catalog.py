@@ -760,11 +760,13 @@ def composite_encoding(spark, sf_dir):
 @query()
 def error_control_tests(spark, sf_dir):
     """Whether null counts of the threshold method are compatible with error control at 5 %."""
-    from .experiments import null_confidences
+    from .experiments import null_confidences, threshold_method
 
     t = logs.user_days(spark, sf_dir)
-    null = null_confidences(t, _cands(t), 20)
+    c, replicates = _cands(t), 200
+    observed = threshold_method(c, 0.02)(t).count()
+    null = null_confidences(t, c, replicates)
     counts = [r["v"] for r in null.groupBy("rep").agg(F.count_if(comparison.differs(0.02)).alias("v")).collect()]
-    counts += [0] * (20 - len(counts))
-    r = significance.control_tests(counts, 56, 0.05)
+    counts += [0] * (replicates - len(counts))
+    r = significance.control_tests(counts, observed, 0.05)
     return spark.createDataFrame([tuple(round(v, 9) for v in r.values())], ", ".join(f"{k} double" for k in r))
