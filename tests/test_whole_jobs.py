@@ -1,12 +1,13 @@
 """Registered queries that do the whole job: on a log with planted effects, where a cut budget can't tell them."""
 
 import datetime
+import inspect
 
 import duckdb
 import pytest
 
-from tracegauge.operators import significance
-from tracegauge.plans import catalog
+from tracegauge.operators import mining, significance
+from tracegauge.plans import catalog, experiments
 from tracegauge.plans.logs import CHECKS, ENABLED_SQL, USER_DAYS
 
 
@@ -49,3 +50,38 @@ def test_error_control_by_brute_force(spark, planted):
     assert observed not in (0, 56) and want["fdr_emp"] > 0
     got = catalog.queries()["error_control_tests"](spark, planted).first().asDict()
     assert got == pytest.approx(want, abs=1e-8)
+
+
+class _Called(Exception):
+    pass
+
+
+@pytest.mark.parametrize("module, operator, name, want", [
+    (experiments, "noise_grid", "noise_grid", {"eps": experiments.EPS, "rho": experiments.RHO}),
+    (experiments, "perturbation_study", "perturbation_study", {"levels": experiments.LEVELS, "repeats": 10}),
+    (experiments, "error_rates", "null_error_rates", {"count": 200}),
+    (mining, "cross_validate", "tree_cross_validation", {"k": 10, "depths": mining.DEPTHS}),
+    (catalog.tests_of_difference, "structural_permutation", "structural_permutation_test", {"count": 2000}),
+])
+def test_queries_take_whole_budgets(spark, planted, monkeypatch, module, operator, name, want):
+    signature = inspect.signature(getattr(module, operator))
+
+    def stop(*args, **named):
+        given = signature.bind(*args, **named)
+        given.apply_defaults()
+        raise _Called({k: given.arguments[k] for k in want}, given.arguments.get("methods"))
+
+    monkeypatch.setattr(module, operator, stop)
+    source = "/root/testdata/sf0.001" if name == "structural_permutation_test" else planted
+    with pytest.raises(_Called) as called:
+        catalog.queries()[name](spark, source)
+    assert called.value.args[0] == want
+    if operator == "noise_grid":
+        assert set(called.value.args[1]) == {"threshold", "fisher"}
+
+
+def test_noise_grid_has_every_cell(spark, planted):
+    traces = catalog.logs.user_days(spark, planted)
+    methods = {"threshold": experiments.threshold_method(catalog._cands(traces))}
+    cells = experiments.noise_grid(traces, methods, (0.0, 0.5), (0.0,)).collect()
+    assert [(r["eps"], r["rho"], r["method"]) for r in cells] == [(0.0, 0.0, "threshold"), (0.5, 0.0, "threshold")] and cells[0]["jaccard"] == 1.0

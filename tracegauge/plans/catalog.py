@@ -396,7 +396,7 @@ def unsigned_difference_test(spark, sf_dir):
 @query()
 def structural_permutation_test(spark, sf_dir):
     t = logs.customer_orders(spark, sf_dir).where("outcome = 1")
-    p = tests_of_difference.structural_permutation(t, _cands(t), 8)
+    p = tests_of_difference.structural_permutation(t, _cands(t), 2000)
     return p.select("ctype", "a", "b", _r("prev").alias("prev"), _r("p_screen").alias("p_screen"), _r("p_struct").alias("p_struct"))
 
 
@@ -678,10 +678,10 @@ def tree_cross_validation(spark, sf_dir):
     t = logs.users(spark, sf_dir)
     f = mining.activity_counts(t)
     names = sorted(r[0] for r in f.select("feature").distinct().collect())
-    return mining.cross_validate(f, t, names, 3, (5,))
+    return mining.cross_validate(f, t, names)
 
 
-# ---- whole jobs, small budgets -------------------------------------------------------------------------
+# ---- whole jobs -------------------------------------------------------------------------
 
 
 @query()
@@ -698,16 +698,17 @@ def null_error_rates(spark, sf_dir):
     from .experiments import error_rates
 
     t = logs.user_days(spark, sf_dir)
-    e = error_rates(t, _cands(t), 20)
+    e = error_rates(t, _cands(t), 200)
     return e.select("method", "r_obs", "b_null", *[_r(c).alias(c) for c in ("e_v", "fdr_emp", "pcer_emp", "fwer_emp", "bca_low", "bca_high", "fdr_low", "fdr_high")], "controls")
 
 
 @query()
 def noise_grid(spark, sf_dir):
-    from .experiments import noise_grid as grid, threshold_method
+    from .experiments import fisher_method, noise_grid as grid, threshold_method
 
     t = logs.user_days(spark, sf_dir)
-    return grid(t, {"threshold": threshold_method(_cands(t))}, (0.0, 0.1), (0.0, 0.5)).select("eps", "rho", "method", "tp", "fp", "fn", _r("jaccard").alias("jaccard"), _r("f1").alias("f1"), "reliable")
+    c = _cands(t)
+    return grid(t, {"threshold": threshold_method(c), "fisher": fisher_method(c)}).select("eps", "rho", "method", "tp", "fp", "fn", _r("jaccard").alias("jaccard"), _r("f1").alias("f1"), "reliable")
 
 
 @query()
@@ -715,7 +716,7 @@ def perturbation_study(spark, sf_dir):
     from .experiments import perturbation_study as study, summarise, threshold_method
 
     t = logs.user_days(spark, sf_dir)
-    s = study(t, threshold_method(_cands(t)), levels=(0.1,), repeats=2).cache()
+    s = study(t, threshold_method(_cands(t))).cache()
     return summarise(s).select("family", "eps", "n", *[_r(c).alias(c) for c in ("jaccard", "fdr_ref", "pct_low", "pct_high")])
 
 

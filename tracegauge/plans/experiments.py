@@ -59,30 +59,32 @@ def error_rates(traces: DataFrame, cands: DataFrame, count: int, seed: int = 42,
 
 def noise_grid(traces: DataFrame, methods: dict[str, Method], eps=EPS, rho=RHO, seed: int = 42) -> DataFrame:
     """(eps, rho, method, agreement with the clean result).  Order noise is applied once for each rho: label
-    noise leaves traces alone."""
+    noise leaves traces alone.  A cell is one row, which is fetched before the next: a plan of all cells would grow
+    with their number."""
     clean = {n: f(traces).cache() for n, f in methods.items()}
-    out = None
+    rows = []
     for i, r in enumerate(rho):
         row = resampling.order_noise(traces, r, seed + 1000 * i).cache()
         for j, e in enumerate(eps):
             noisy = resampling.label_noise(row, e, seed + j)
             for n, f in methods.items():
                 cell = significance.reference_metrics(clean[n], f(noisy), KEYS).select(F.lit(float(e)).alias("eps"), F.lit(float(r)).alias("rho"), F.lit(n).alias("method"), "*")
-                out = cell if out is None else out.unionByName(cell)
-    return out
+                rows += cell.collect()
+        row.unpersist()
+    return traces.sparkSession.createDataFrame(rows, cell.schema)
 
 
 def perturbation_study(traces: DataFrame, method: Method, families=tuple(resampling.PERTURBATIONS), levels=LEVELS, repeats: int = 10, seed: int = 42) -> DataFrame:
-    """(family, eps, rep, agreement metrics) against the clean result."""
-    clean, out = method(traces).cache(), None
+    """(family, eps, rep, agreement metrics) against the clean result, one row fetched after another."""
+    clean, rows = method(traces).cache(), []
     for k, name in enumerate(families):
         for e in levels:
             for rep in range(repeats):
                 changed = resampling.PERTURBATIONS[name](traces, e, seed + 100_000 * (k + 1) + round(1e4 * e) + 7919 * rep)
                 row = significance.reference_metrics(clean, method(changed), KEYS)
                 row = row.select(F.lit(name).alias("family"), F.lit(float(e)).alias("eps"), F.lit(rep).alias("rep"), "*")
-                out = row if out is None else out.unionByName(row)
-    return out
+                rows += row.collect()
+    return traces.sparkSession.createDataFrame(rows, row.schema)
 
 
 def summarise(study: DataFrame) -> DataFrame:
