@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from tracegauge.operators import mining, significance
+from tracegauge.operators.automata import prune_entailed
 from tracegauge.plans import catalog, experiments
 from tracegauge.plans.logs import CHECKS, ENABLED_SQL, USER_DAYS
 
@@ -85,3 +86,11 @@ def test_noise_grid_has_every_cell(spark, planted):
     methods = {"threshold": experiments.threshold_method(catalog._cands(traces))}
     cells = experiments.noise_grid(traces, methods, (0.0, 0.5), (0.0,)).collect()
     assert [(r["eps"], r["rho"], r["method"]) for r in cells] == [(0.0, 0.0, "threshold"), (0.5, 0.0, "threshold")] and cells[0]["jaccard"] == 1.0
+
+
+def test_pruning_takes_every_neighbour():
+    far = [("Precedence", "a", f"x{i}") for i in range(13)]
+    spec = [*far, ("Response", "a", "b"), ("Response", "b", "c"), ("Response", "a", "c")]
+    assert prune_entailed(spec) == spec[:-1]
+    apart = [("Response", f"p{i}", f"q{i}") for i in range(500)]
+    assert prune_entailed([*apart, *spec[13:]]) == [*apart, *spec[13:15]]
