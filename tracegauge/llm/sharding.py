@@ -9,7 +9,8 @@ reaches the driver is at most shards x BUCKETS rows, whatever the input.
 Law: ``bytes``.  Equal texts may lie in different shards: one text may fill more than a shard.
 
 Defined cases: a null text has no bytes (size 8, crc 0); null metadata sorts before all else; rows that
-tie in a dimension, repeated rows too, are split by a row number; an empty table gives an empty result;
+tie in a dimension, repeated rows too, are split by a row number; strings count by their first 7 bytes, so
+a dimension whose values share these is never split on; an empty table gives an empty result;
 further columns of the input are ignored.
 """
 
