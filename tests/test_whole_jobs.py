@@ -94,3 +94,11 @@ def test_pruning_takes_every_neighbour():
     assert prune_entailed(spec) == spec[:-1]
     apart = [("Response", f"p{i}", f"q{i}") for i in range(500)]
     assert prune_entailed([*apart, *spec[13:]]) == [*apart, *spec[13:15]]
+
+
+def test_mined_specification_is_pruned(spark):
+    source = "/root/testdata/sf0.001"
+    mined = {tuple(r) for r in catalog._two_specs(spark, source)[0].collect()}
+    kept = {tuple(r) for r in catalog.queries()["entailment_pruning"](spark, source).collect()}
+    assert kept < mined
+    assert kept and len(prune_entailed(sorted(kept, key=str))) == len(kept)

@@ -730,6 +730,15 @@ def automata_entailment(spark, sf_dir):
     return spark.createDataFrame([(text(p), text(q), text(c), entails([p, q], c)) for p, q, c in rows], "premise_1 string, premise_2 string, conclusion string, proven boolean")
 
 
+@query()
+def entailment_pruning(spark, sf_dir):
+    """What automata leave of the specification mined from positive cases; contradictory neighbours entail all."""
+    from ..operators.automata import prune_entailed
+
+    mined = sorted((tuple(r) for r in _two_specs(spark, sf_dir)[0].collect()), key=lambda c: (c[0], c[1], c[2] or ""))
+    return spark.createDataFrame(prune_entailed(mined), "ctype string, a string, b string")
+
+
 @query()
 def streaming_verdicts(spark, sf_dir):
     """Verdicts of the user sessions that a stream over the events has closed."""
