@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracegauge.functions import catalogues, special
+from tracegauge.functions import catalogues, special, templates
 from tracegauge.operators import comparison, mining, pruning, resampling, significance, tests_of_difference as tod
 from tracegauge.operators.measures import candidates
 from tracegauge.operators.statistics import alphabet
@@ -57,7 +57,7 @@ def test_age_brackets(spark):
 
 def _random_spec(spark, seed):
     rng = random.Random(seed)
-    names = list(catalogues.SHORT.values())
+    names = list(templates.TRACE_BINARY)
     rows = [(n, a, b, *[rng.choice([0.1, 0.5, 0.9]) for _ in range(4)]) for a, b in (("x", "y"), ("y", "x"), ("x", "z"), ("z", "y")) for n in rng.sample(names, 10)]
     rows.append(("Init", "x", None, 0.1, 0.1, 0.1, 0.1))
     return spark.createDataFrame(rows, "ctype string, a string, b string, econf double, esupp double, tconf double, tsupp double"), rows
@@ -81,9 +81,9 @@ LEQ = lambda u, v: all(x <= y for x, y in zip(u, v, strict=True))
 def test_order_dependent_pruning(spark, seed):
     df, rows = _random_spec(spark, seed)
     got = lambda f: {(r["ctype"], r["a"], r["b"]) for r in f(df).collect()}
-    assert got(pruning.subsumption) == _fold(rows, catalogues.subsumption(), lambda s, w: 1 if LEQ(w, s) else 0)
-    assert got(pruning.equivalence) == _fold(rows, catalogues.equivalence(), lambda p, q: 1 if LEQ(q, p) else 0)
-    assert got(pruning.negation) == _fold(rows, catalogues.negation(), lambda p, q: (1 if LEQ(q, p) and not LEQ(p, q) else 0 if LEQ(p, q) and not LEQ(q, p) else None))
+    assert got(pruning.subsumption) == _fold(rows, catalogues.SUBSUMPTION, lambda s, w: 1 if LEQ(w, s) else 0)
+    assert got(pruning.equivalence) == _fold(rows, catalogues.EQUIVALENCE, lambda p, q: 1 if LEQ(q, p) else 0)
+    assert got(pruning.negation) == _fold(rows, catalogues.NEGATION, lambda p, q: (1 if LEQ(q, p) and not LEQ(p, q) else 0 if LEQ(p, q) and not LEQ(q, p) else None))
 
 
 def test_swapped_subsumption(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracegauge.functions import templates as tp
 from tracegauge.operators import measures
 from tracegauge.operators.automata import build, entails
-from tracegauge.functions.catalogues import entailment, subsumption, transitivity
+from tracegauge.functions.catalogues import ENTAILMENT, SUBSUMPTION, TRANSITIVITY
 
 TRACES = ["".join(t) for k in range(1, 7) for t in itertools.product("abc", repeat=k)]
 
@@ -107,13 +107,13 @@ def test_automata_agree_with_words():
 
 def test_catalogues_by_automata():
     """Subsumption and transitivity are language facts (alternation is stricter here than pairwise counting)."""
-    for strong, weak in subsumption():
+    for strong, weak in SUBSUMPTION:
         if "Not" in strong:
             continue
         assert entails([(strong, "a", "b")], (weak, "a", "b")), (strong, weak)
-    for family, entailed in transitivity():
+    for family, entailed in TRANSITIVITY:
         for t in family:
             assert entails([(t, "a", "b"), (t, "b", "c")], (entailed, "a", "c")), t
     assert entails([("Response", "a", "b"), ("Precedence", "a", "b")], ("Succession", "a", "b"))
     assert not entails([("Response", "a", "b")], ("Response", "b", "a"))
-    assert len(entailment()) == 20
+    assert len(ENTAILMENT) == 20

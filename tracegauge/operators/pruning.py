@@ -40,18 +40,18 @@ def _folded(constraints: DataFrame, steps: list[tuple[str, str]], decide) -> Dat
 
 def subsumption(constraints: DataFrame) -> DataFrame:
     """A stronger constraint at least as good replaces the weaker; else it goes itself."""
-    return _folded(constraints, cat.subsumption(), lambda strong, weak, s: F.when(_leq(weak, strong), s["q"]).otherwise(s["p"]))
+    return _folded(constraints, cat.SUBSUMPTION, lambda strong, weak, s: F.when(_leq(weak, strong), s["q"]).otherwise(s["p"]))
 
 
 def equivalence(constraints: DataFrame) -> DataFrame:
     """Of equal languages the better stays, on ties the first."""
-    return _folded(constraints, cat.equivalence(), lambda p, q, s: F.when(_leq(q, p), s["q"]).otherwise(s["p"]))
+    return _folded(constraints, cat.EQUIVALENCE, lambda p, q, s: F.when(_leq(q, p), s["q"]).otherwise(s["p"]))
 
 
 def negation(constraints: DataFrame) -> DataFrame:
     """A side that is strictly dominated by its negation goes."""
     return _folded(
-        constraints, cat.negation(),
+        constraints, cat.NEGATION,
         lambda p, q, s: F.when(_leq(q, p) & ~_leq(p, q), s["q"]).when(_leq(p, q) & ~_leq(q, p), s["p"]),
     )
 
@@ -77,7 +77,7 @@ def transitivity(constraints: DataFrame) -> DataFrame:
     """T1(a, b) and T2(b, c) of a family entail the family's basic template on (a, c), which goes."""
     out = constraints
     gone = None
-    for family, entailed in cat.transitivity():
+    for family, entailed in cat.TRANSITIVITY:
         links = constraints.where(F.col("ctype").isin(*family) & F.col("b").isNotNull()).select("a", "b").distinct()
         via = links.select(F.col("a").alias("mid"), F.col("b").alias("c"))
         reach = links.join(via, F.col("b") == F.col("mid")).where("a <> c").select(F.lit(entailed).alias("ctype"), "a", F.col("c").alias("b")).distinct()
@@ -88,7 +88,7 @@ def transitivity(constraints: DataFrame) -> DataFrame:
 def entailment(constraints: DataFrame) -> DataFrame:
     """What two constraints on the same activities entail together goes."""
     spark = constraints.sparkSession
-    rel = F.broadcast(spark.createDataFrame(cat.entailment(), "p string, q string, ctype string"))
+    rel = F.broadcast(spark.createDataFrame(cat.ENTAILMENT, "p string, q string, ctype string"))
     one = constraints.select(F.col("ctype").alias("p"), "a", "b").join(rel, "p")
     gone = one.join(constraints.select(F.col("ctype").alias("q"), "a", "b"), ["q", "a", "b"]).select("ctype", "a", "b").distinct()
     return constraints.join(gone, ["ctype", "a", "b"], "left_anti")

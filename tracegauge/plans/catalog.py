@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import templates as tp
 from ..operators import comparison, measures, mining, pruning, resampling, significance, tests_of_difference
 from ..operators.statistics import act_stats, alphabet, opposite_direction, pair_stats
+from ..shared import shared_folder
 from ..sources import event_log
 from . import logs
 from .logs import CHECKS, CUSTOMER_ORDERS, ENABLED_SQL, ORDER_LINES, USER_DAYS, USERS
@@ -278,13 +279,17 @@ def prune_transitivity(spark, sf_dir):
     return pruning.transitivity(_strong(spark, sf_dir)).select("ctype", "a", "b")
 
 
-def _entailment_rows() -> str:
-    from ..functions.catalogues import entailment
+#: (premise, premise, entailed), written out for the SQL alone.
+_ENTAILED = """('AlternateResponse', 'ChainPrecedence', 'ChainResponse'), ('AlternatePrecedence', 'ChainResponse', 'ChainPrecedence'),
+('Response', 'NotResponse', 'AlternateResponse'), ('Response', 'NotResponse', 'ChainResponse'), ('Precedence', 'NotResponse', 'AlternatePrecedence'),
+('Precedence', 'NotResponse', 'ChainPrecedence'), ('AlternateResponse', 'NotResponse', 'ChainResponse'), ('AlternatePrecedence', 'NotResponse', 'ChainPrecedence'),
+('ChainResponse', 'NotChainResponse', 'NotResponse'), ('Response', 'Precedence', 'Succession'), ('AlternateResponse', 'AlternatePrecedence', 'AlternateSuccession'),
+('ChainResponse', 'ChainPrecedence', 'ChainSuccession'), ('NotResponse', 'NotPrecedence', 'NotSuccession'), ('NotChainResponse', 'NotChainPrecedence', 'NotChainSuccession'),
+('Succession', 'NotSuccession', 'AlternateSuccession'), ('Succession', 'NotSuccession', 'ChainSuccession'), ('Succession', 'NotResponse', 'AlternateSuccession'),
+('Succession', 'NotResponse', 'ChainSuccession'), ('AlternateSuccession', 'NotResponse', 'ChainSuccession'), ('ChainSuccession', 'NotChainSuccession', 'NotSuccession')"""
 
-    return ", ".join(f"('{p}', '{q}', '{e}')" for p, q, e in entailment())
 
-
-@query(_STRONG + f""", rel(p, q, e) as (values {_entailment_rows()}),
+@query(_STRONG + f""", rel(p, q, e) as (values {_ENTAILED}),
 gone as (select distinct r.e as ctype, x.a, x.b from rel r join k x on x.ctype = r.p join k y on y.ctype = r.q and y.a = x.a and y.b = x.b)
 select ctype, a, b from k where not exists (select 1 from gone g where g.ctype = k.ctype and g.a = k.a and g.b = k.b)""")
 def prune_entailment(spark, sf_dir):
@@ -742,17 +747,12 @@ def entailment_pruning(spark, sf_dir):
 @query()
 def streaming_verdicts(spark, sf_dir):
     """Verdicts of the user sessions that a stream over the events has closed."""
-    import tempfile
-
     from ..streaming.monitor import available_now
 
     static = logs.read(spark, sf_dir, "events")
     cands = measures.candidates(static.select(F.col("event_type").alias("act")).distinct())
     live = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/events.parquet*")
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tracegauge-")
-    import uuid
-
-    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
     available_now(live, cands, lambda df, i: df.write.mode("append").parquet(f"{folder}/out"), f"{folder}/progress", "user_id", "event_type", "ts", gap="12 hours")
     v = spark.read.schema("case_id string, ctype string, a string, b string, sat int").parquet(f"{folder}/out")
     return v.groupBy("ctype", "a", "b").agg(F.count(F.lit(1)).alias("applicable"), F.sum("sat").alias("satisfied"))
