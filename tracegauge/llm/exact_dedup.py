@@ -1,110 +1,107 @@
 """Exact dedup by deterministic block naming (DataFrame operators only).
 
-Texts are normalised (each run of ASCII white space becomes one space), cut into blocks of a fixed
-number of bytes, and every distinct block gets an integer name: its place in the sorted order of its
-partition.  Adjacent names are then paired and named again until each document has one name.  Two
-documents get the same name at the same level exactly when their texts are equal, as names come from
-comparing whole keys and never from hashes.
-
-Defined cases: a null or empty text is the empty text, one block; repeated rows (same doc_id, same text)
-are members of a group like any other and one row of them can be the one kept; a null doc_id sorts last;
-an empty table gives an empty result; further columns of the input are ignored.
+Texts are normalised (each run of ASCII white space becomes one space) and cut into blocks of BLOCK_BYTES bytes.
+Every distinct block gets an integer name, its place in the sorted order of its partition.  Adjacent names are
+then paired, every distinct pair gets a name in the same way, and so on until each document has one name.  Two
+documents get the same name at the same level exactly when their texts are equal.
+
+Names come from comparing whole blocks.  What rows carry to fetch them is a fingerprint of 16 bytes; when the
+distinct blocks have been named, all of them are checked for fingerprints that two blocks share, and if there is
+one, other fingerprints are taken and the naming starts again.  So blocks move once, pre-aggregated, and levels
+move (uid, width, pos, name) only.  A block, pair or text that very many rows have is one row of the names, and
+the join that hands it out is one of two written tables, which adaptive execution splits over tasks.
+
+Defined cases: a null or empty text is the empty text, one block; repeated rows (same doc_id, same text) are
+members of a group like any other and one of them is kept; of equal texts that tie in doc_id the row read first
+stays; a null doc_id sorts last; texts of any length are read whole; an empty table gives an empty result; further
+columns are ignored, and ``keep_first`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, durable, filled, row_uid
 
-BLOCK_BYTES = 16384
-#: Keys named apart from the rest: the most frequent ones, if they have more than HOT_ROWS rows.
-HOT_KEYS, HOT_ROWS = 512, 256
+BLOCK_BYTES = 512
 
 
 def normalised(text: str = "text"):
     return F.regexp_replace(filled(text), f"{SPACE_CLASS}+", " ")
 
 
-def named(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Give rows with equal keys the same integer ``name``, different ones different names.
+def _names(distinct: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``name``: different in every row, by sorted place."""
+    return distinct.sortWithinPartitions(*order).withColumn("name", F.monotonically_increasing_id())
 
-    Rows are dealt and sorted by key and a key's name is the row number of its first row, so the keys
-    move once.  The most frequent keys (at most HOT_KEYS, found by their hash) take another way, as one
-    task would get all their rows: they are pre-aggregated and joined back by a broadcast of at most
-    HOT_KEYS hash values' keys.  Names of the two ways differ in sign.
-    """
-    df = df.withColumn("_h", F.xxhash64(*keys))
-    hot = (
-        df.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
-        .orderBy(F.desc("_n"), "_h").limit(HOT_KEYS).where(F.col("_n") > HOT_ROWS).select("_h")
-    )
-    hot_hashes = [r[0] for r in hot.collect()]
-    is_hot = F.col("_h").isin(hot_hashes) if hot_hashes else F.lit(False)
-    cold = (
-        df.where(~is_hot).repartition(*keys).sortWithinPartitions(*keys)
-        .withColumn("_row", F.monotonically_increasing_id())
-        .withColumn("name", F.min("_row").over(Window.partitionBy(*keys)))
-        .drop("_row", "_h", *keys)
-    )
-    if not hot_hashes:
-        return cold
-    few = (
-        df.where(is_hot).select(*keys).distinct().coalesce(1).sortWithinPartitions(*keys)
-        .withColumn("name", -1 - F.monotonically_increasing_id())
-    )
-    warm = df.where(is_hot).join(F.broadcast(few), keys).drop("_h", *keys)
-    return cold.unionByName(warm)
+
+def _blocks(block_bytes: int):
+    """The blocks of a binary column ``bytes``, in order; one at least."""
+    size = F.greatest(F.octet_length("bytes"), F.lit(1))
+    places = F.sequence(F.lit(0).cast("long"), F.floor((size - 1) / F.lit(block_bytes)))
+    return F.transform(places, lambda i: F.substring(F.col("bytes"), (i * block_bytes + 1).cast("int"), F.lit(block_bytes)))
+
+
+def _fingerprint(seed: int) -> list:
+    return [F.xxhash64(F.lit(2 * seed + k), "block").alias(f"f{k}") for k in (0, 1)]
+
+
+def _first_level(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFrame, int]:
+    """(uid, doc_id, text_sha256) of every row; (uid, width, pos, name) of every block; the greatest width."""
+    texts = docs.select("doc_id", F.encode(normalised(), "UTF-8").alias("bytes"))
+    cut = texts.select("doc_id", "bytes", _blocks(block_bytes).alias("blocks"))
+    seed = 0
+    while True:
+        names = _names(cut.select(F.explode("blocks").alias("block")).select(*_fingerprint(seed), "block").distinct(), ["block"]).select("f0", "f1", "name")
+        names = durable(names)
+        if names.groupBy("f0", "f1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            break
+        seed += 1
+    # a document's rows are made in one pass, so that its number is drawn once (before its blocks are unfolded); what
+    # is said once goes with block 0
+    rows = cut.select(row_uid().alias("uid"), "doc_id", F.sha2("bytes", 256).alias("sha"), F.size("blocks").alias("width"), "blocks")
+    rows = rows.select("uid", "doc_id", "sha", "width", F.posexplode("blocks").alias("pos", "block"))
+    head = F.col("pos") == 0
+    posts = durable(rows.select(
+        "uid", F.when(head, F.col("doc_id")).alias("doc_id"), F.when(head, F.col("sha")).alias("text_sha256"), "width", "pos", *_fingerprint(seed),
+    ))
+    base = posts.where(head).select("uid", "doc_id", "text_sha256")
+    most = posts.agg(F.max("width")).first()[0] or 1
+    return base, posts.select("uid", "width", "pos", "f0", "f1").join(names.hint("merge"), ["f0", "f1"]).select("uid", "width", "pos", "name"), most
 
 
 def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(uid, doc_id, text_sha256, level, name): rows with the same (level, name) have equal texts."""
-    base = docs.select(row_uid().alias("uid"), "doc_id", F.encode(normalised(), "UTF-8").alias("bytes"))
-    size = F.octet_length("bytes")
-    base = base.select(
-        "uid", "doc_id", F.sha2("bytes", 256).alias("text_sha256"),
-        F.greatest(F.lit(1), F.ceil(size / F.lit(block_bytes))).cast("int").alias("width"), "bytes",
-    )
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.col("width") - 1),
-        lambda i: F.substring(F.col("bytes"), i * F.lit(block_bytes) + 1, F.lit(block_bytes)),
-    )
-    posts = base.select("uid", "doc_id", "text_sha256", "width", F.posexplode(blocks).alias("pos", "block"))
-    current = durable(named(posts, ["block"]))
+    base, current, width = _first_level(docs, block_bytes)
     level, done = 0, []
     while True:
-        single = F.col("width") == 1
-        done.append(
-            current.where(single).select("uid", "doc_id", "text_sha256", F.lit(level).alias("level"), "name")
-        )
-        if (current.agg(F.max("width")).first()[0] or 1) <= 1:
+        if width > 1:
+            current = durable(current)
+        done.append(current.where("width = 1").select("uid", F.lit(level).alias("level"), "name"))
+        if width <= 1:
             break
         half = F.col("pos").bitwiseAND(1)
-        pairs = (
-            current.where(~single)
-            .groupBy("uid", "doc_id", "text_sha256", "width", F.floor(F.col("pos") / 2).cast("int").alias("pos"))
-            .agg(
-                F.max(F.when(half == 0, F.col("name"))).alias("left"),
-                F.max(F.when(half == 1, F.struct("name"))).alias("right"),
-            )
-            .withColumn("width", F.ceil(F.col("width") / 2).cast("int"))
+        pairs = durable(
+            current.where("width > 1").groupBy("uid", "width", F.shiftright("pos", 1).alias("pos"))
+            .agg(F.max(F.when(half == 0, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(half == 1, F.col("name"))), F.lit(-1)).alias("right"))
+            .withColumn("width", F.shiftright(F.col("width") + 1, 1))
         )
-        current = durable(named(pairs, ["left", "right"]))
-        level += 1
-    out = done[0]
+        names = durable(_names(pairs.select("left", "right").distinct(), ["left", "right"]))
+        current = pairs.join(names.hint("merge"), ["left", "right"]).select("uid", "width", "pos", "name")
+        level, width = level + 1, (width + 1) // 2
+    ids = done[0]
     for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+        ids = ids.unionByName(x)
+    return base.hint("merge").join(ids, "uid")
 
 
-def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row: doc_id, keep_id, group_size, kept, text_sha256.  Of equal texts the smallest doc_id stays."""
-    ids = identities(docs, block_bytes)
+def _grouped(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Of every row: its doc_id and digest, its group's first row and size, and whether it is that row."""
+    ids = durable(identities(docs, block_bytes))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "uid"))
-    # written, so that both join sides are shuffles and a large group's rows can be split over tasks
-    groups = durable(ids.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), first.alias("first")), ids.count())
-    return ids.join(groups, ["level", "name"]).select(
+    groups = durable(ids.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), first.alias("first")))
+    return ids.join(groups.hint("merge"), ["level", "name"]).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",
@@ -113,19 +110,28 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row: doc_id, keep_id, group_size, kept, text_sha256.  Of equal texts the smallest doc_id stays."""
+    return _grouped(docs, block_bytes)
+
+
+def keep_first(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")
-    )
-    rows = docs.withColumn("_sha", F.sha2(F.encode(normalised(), "UTF-8"), 256))
-    held = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_sha"] == kept["_sha"]), "left_semi")
-    repeats = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if not repeats.isEmpty():
-        # the same doc_id and the same text again: any one of these rows stays
-        others = [F.first(F.col(c)).alias(c) for c in docs.columns if c != "doc_id"]
-        held = held.groupBy("doc_id", "_sha").agg(*others)
-    return held.select(*docs.columns)
+    found = durable(exact_dedup(docs.select("doc_id", "text"), block_bytes))
+    kept = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    own = [f"__c{i}" for i in range(len(docs.columns))]
+    place = dict(zip(docs.columns, own, strict=True))
+    rows = docs.toDF(*own).withColumn("_sha", F.sha2(F.encode(normalised(place["text"]), "UTF-8"), 256)).withColumn("_id", F.col(place["doc_id"]))
+    same = lambda x, y: x["_id"].eqNullSafe(y["_id"]) & (x["_sha"] == y["_sha"])
+    held = rows.join(kept, same(rows, kept), "left_semi")
+    # the same doc_id with the same text again: of these rows, and only of these, one is picked
+    twice = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = durable(twice.join(kept, ["_sha"], "left_semi").select("_id", "_sha"))
+    if not twice.isEmpty():
+        again = held.join(twice, same(held, twice), "left_semi").groupBy("_id", "_sha").agg(*[F.first(F.struct(c)).alias(c) for c in own])
+        again = again.select("_sha", "_id", *[F.col(c)[c].alias(c) for c in own])
+        held = held.join(twice, same(held, twice), "left_anti").select("_sha", "_id", *own).unionByName(again)
+    return held.select(*[F.col(c).alias(n) for n, c in place.items()])
 
 
 SQL = r"""

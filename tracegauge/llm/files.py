@@ -47,13 +47,24 @@ class Ranges:
         return self._file.read_at(length, offset)
 
 
+#: Bytes of files that a task reads, where there are more tasks than that for every core.
+TASK_BYTES, TASKS_A_CORE = 64 << 20, 4
+
+
+def task_count(files: DataFrame, block_bytes: int) -> int:
+    """How many tasks read files(length): as many as there are blocks, until every core has TASKS_A_CORE and every
+    task TASK_BYTES; beyond that, the number grows with the bytes."""
+    n, size = files.agg(F.sum(F.ceil(F.col("length") / block_bytes)), F.sum("length")).first()
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return int(max(1, min(n or 0, max(TASKS_A_CORE * cores, -(-(size or 0) // TASK_BYTES)))))
+
+
 def blocks(files: DataFrame, block_bytes: int) -> DataFrame:
     """(file, uri, length, block, offset): every block of files(file, uri, length), dealt over tasks."""
-    n = files.select(F.sum(F.ceil(F.col("length") / block_bytes))).first()[0] or 1
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("length") / block_bytes), F.lit(1)) - 1)
     return (
         files.where(F.col("length") > 0)
         .select("file", "uri", "length", F.explode(starts).alias("block"))
         .withColumn("offset", F.col("block") * block_bytes)
-        .repartition(int(min(max(n, 1), 4096)), "file", "block")
+        .repartition(task_count(files, block_bytes), "file", "block")
     )

@@ -2,10 +2,11 @@
 
 A document's signature has COORDINATES minima of its hashed word shingles.  Documents are posted under each
 (coordinate, value), a posting coordinate being ROWS minima in a row; they collide in every minimum that they
-share.  At the threshold similarity s a posting coordinate agrees with probability s ** ROWS, and a pair at
-s = 0.85 shares fewer than POSTINGS lists with probability 3.9e-7 (at 0.80: 9.1e-5); so by the prefix rule each document need not
-be posted in its POSTINGS - 1 longest lists: a pair that shares POSTINGS lists still meets in another.  Pairs
-with fewer than MATCHES collisions of COORDINATES are given up (at 0.85, five standard deviations off).
+share.  At the threshold similarity s a posting coordinate agrees with probability s ** ROWS.  Let a pair at the
+threshold share fewer than p lists with a probability of MISS at most (``least_postings``: p is 4 at 0.85 and 2 at
+0.80); by the prefix rule a document then need not be posted in its p - 1 longest lists, as a pair that shares p lists
+still meets in another.  Pairs with fewer collisions than five standard deviations below the expected ones are
+given up.
 
 Documents with equal shingle sets are one class from the start.  A list never becomes all its pairs:
 
@@ -17,17 +18,22 @@ Documents with equal shingle sets are one class from the start.  A list never be
 3. in lists that hold several families, collisions between members of different families are counted block by
    block, and only pairs above the match threshold leave a task; they are confirmed on the full sets.
 
-So what is given out grows with the documents and with links that no pivot shows.
+Blocks hold members of one component (or family) where it has BLOCK of them, and such blocks are not compared with
+blocks of the same one.  So of a family of n members that are joined but for r of them, 2 n r / BLOCK rows are moved;
+n * n / BLOCK are only where nothing is joined.  What is given out grows with the documents and with links that no
+pivot shows.
 
 Defined cases: a text without words, or null, has no set and is linked with nothing; fewer words than a
 shingle count as one shingle; repeated rows are in one class; a row without doc_id has a component_id only
-if it is linked with a row that has one, and isn't kept; an empty table gives an empty result; further
-columns of the input are ignored.
+if it is linked with a row that has one, and isn't kept; lists of equal length are ranked by their coordinate;
+texts of any length are read whole; an empty table gives an empty result; further columns are ignored, and
+``keep_first`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,23 +41,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, durable
+from .common import BROADCAST_BYTES, arrow_map, durable
 from .components import components
 from .textkit import Chunk, add_columns, by_chunk, mix
 
 WORDS = 3
 #: Link at 100 * intersection >= PERCENT * union.
 PERCENT = 85
-COORDINATES, ROWS, POSTINGS = 128, 4, 4
+COORDINATES, ROWS = 128, 4
+#: The probability that a pair at the threshold goes unseen because it shares too few lists.
+MISS = 2e-6
 #: A pair at the threshold may lose as many collisions as five standard deviations.
 DEVIATIONS = 5
 BLOCK = 512
-#: Classes whose sets are wanted are found by a broadcast up to so many (16 bytes each), else by a shuffle.
-BROADCAST_IDS = 1_000_000
 #: Tables made from whole signatures, sets or sketches get so many times the tasks of narrow ones.
 WIDE = 8
 
 
+def least_postings(percent: int) -> int:
+    """The most lists that a pair at the threshold shares all but certainly (1 at least)."""
+    n, p = COORDINATES // ROWS, (percent / 100) ** ROWS
+    fewer, k = 0.0, 0
+    while fewer + (more := comb(n, k) * p**k * (1 - p) ** (n - k)) <= MISS:
+        fewer, k = fewer + more, k + 1
+    return max(1, k)
+
+
 def least_matches(percent: int) -> int:
     s = percent / 100
     return int(COORDINATES * s - DEVIATIONS * (COORDINATES * s * (1 - s)) ** 0.5)
@@ -275,14 +290,27 @@ def _block(rows: pa.Table, percent: int) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def _block_pairs(members: DataFrame, group: list[str], keep: list[str], n: int) -> DataFrame:
-    """Every member once for each block pair of its group that it belongs to: (key, one, side, class, keep)."""
-    sizes = durable(members.groupBy(*group).agg(F.count(F.lit(1)).alias("n")), n)
-    rows = (
-        members.join(sizes, group).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    )
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _block_pairs(members: DataFrame, group: list[str], label: str, keep: list[str], n: int) -> DataFrame:
+    """Every member once for each block pair of its group that it belongs to: (key, one, side, class, keep).
+
+    A label with BLOCK members or more in the group has blocks of its own, which aren't paired with each other; the
+    members of all other labels share the group's first blocks.
+    """
+    labels = durable(members.groupBy(*group, label).agg(F.count(F.lit(1)).alias("n")), n)
+    up = lambda c: F.ceil(c / BLOCK).cast("int")
+    # the labels that have blocks of their own are at most one for every BLOCK members of a group
+    before = Window.partitionBy(*group).orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
+    large = labels.where(F.col("n") >= BLOCK).select(*group, label, up(F.col("n")).alias("own_blocks"), F.coalesce(F.sum(up(F.col("n"))).over(before), F.lit(0)).cast("int").alias("first"))
+    rest = F.sum(F.when(F.col("n") < BLOCK, F.col("n")).otherwise(0))
+    whole = durable(labels.groupBy(*group).agg(up(rest).alias("rest_blocks"), F.sum(F.when(F.col("n") >= BLOCK, up(F.col("n"))).otherwise(0)).cast("int").alias("large_blocks")), n)
+    # written tables on both sides, so that a very large group's members are split over tasks
+    rows = members.join(durable(large, n).hint("merge"), [*group, label], "left").join(whole.hint("merge"), group)
+    has_own, h = F.col("own_blocks").isNotNull(), F.xxhash64("class")
+    begin = F.col("rest_blocks") + F.col("first")
+    rows = rows.withColumn("own", F.when(has_own, begin + F.pmod(h, F.col("own_blocks"))).otherwise(F.pmod(h, F.greatest("rest_blocks", F.lit(1)))).cast("int"))
+    every = F.sequence(F.lit(0), F.col("rest_blocks") + F.col("large_blocks") - 1)
+    others = F.filter(every, lambda x: ~has_own | (x < begin) | (x >= begin + F.col("own_blocks")))
+    rows = rows.withColumn("other", F.explode(others))
     return rows.select(
         F.xxhash64(*group, F.least("own", "other"), F.greatest("own", "other")).alias("key"),
         (F.col("own") == F.col("other")).cast("int").alias("one"), (F.col("own") > F.col("other")).cast("int").alias("side"), "class", *keep,
@@ -313,7 +341,7 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     total = F.sum("length").over(Window.partitionBy("class"))
     shared = durable(
         posts.join(long, ["coordinate", "value"]).withColumn("rank", rank).withColumn("central", total)
-        .where(F.col("rank") > POSTINGS - 1).drop("rank", "length"),
+        .where(F.col("rank") >= least_postings(percent)).drop("rank", "length"),
         WIDE * count,
     )
     n = shared.count()
@@ -348,7 +376,7 @@ def _across_families(shared: DataFrame, family: DataFrame, classes: DataFrame, m
     mixed = rows.groupBy("coordinate", "value").agg(F.min("family").alias("p"), F.max("family").alias("q")).where("p <> q")
     # written first, so that both join sides are shuffles and a large group's rows can be split over tasks
     members = durable(rows.join(durable(mixed.select("coordinate", "value"), n), ["coordinate", "value"]), n)
-    dealt = _block_pairs(members, ["coordinate", "value"], ["family"], n).join(classes.select("class", "sketch"), "class")
+    dealt = _block_pairs(members, ["coordinate", "value"], "family", ["family"], n).join(classes.select("class", "sketch"), "class")
     dealt = dealt.select("key", "one", "side", "class", "family", "sketch").repartition("key").sortWithinPartitions("key")
     return durable(arrow_map(dealt, _grouped(_collisions_across(matches)), "a long, b long").distinct(), WIDE * n)
 
@@ -358,7 +386,7 @@ def _within_families(family: DataFrame, component: DataFrame, sets: DataFrame, p
     members = durable(_labelled(family.select(F.col("node").alias("class"), F.col("component").alias("family")), component, "component"), n)
     mixed = members.groupBy("family").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q")
     members = durable(members.join(durable(mixed.select("family"), n), "family"), n)
-    dealt = _block_pairs(members, ["family"], ["component"], n).join(sets, "class")
+    dealt = _block_pairs(members, ["family"], "component", ["component"], n).join(sets, "class")
     dealt = dealt.select("key", "one", "side", "class", "component", "set").repartition("key").sortWithinPartitions("key")
     return arrow_map(dealt, _grouped(_links_within(percent)), "a long, b long")
 
@@ -372,7 +400,8 @@ def _labelled(rows: DataFrame, labels: DataFrame, name: str) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, words: int, n: int) -> DataFrame:
     """(class, set) of the wanted classes, from any row that has the class's smallest doc_id and its set."""
     wanted = durable(wanted.select(F.col("low").alias("_low"), F.col("name").alias("_name"), "class"), n)
-    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    size = wanted.agg(F.sum(F.octet_length("_name") + 48)).first()[0] or 0  # two numbers and what a row adds
+    small = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted.hint("merge")
     rows = docs.select("doc_id", "text").join(small, F.col("doc_id").eqNullSafe(F.col("_low")))
     made = add_columns(rows, lambda: _set_kernel(words), [T.StructField("name", T.StringType()), T.StructField("set", T.BinaryType())], ["class", "_name"])
     # a repeated doc_id gives the set more than once

@@ -6,7 +6,9 @@ into one Spark column expression over the statistics, which are computed from wh
 
 Defined cases: a null or empty text has all statistics 0 and is scored like any other; labels with a null
 are not learnt from; with no labels or one class only, every score is the share of label 1 (0.5 without
-labels); repeated rows are scored each; an empty table gives an empty result.
+labels); a doc_id labelled twice counts with its larger label; repeated rows are scored each; of splits and
+penalties that tie the first is taken; texts of any length are read whole; an empty table gives an empty result;
+further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

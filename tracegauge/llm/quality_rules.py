@@ -7,7 +7,9 @@ batches.
 
 Defined cases: a null or empty text has all counts 0 and fails the base rules; labels with a null are not
 learnt from; without both classes among the labels the model keeps everything that passes the base rules;
-repeated rows are scored each; an empty table gives an empty result.
+a doc_id labelled twice counts with its larger label; repeated rows are scored each; there is nothing to tie;
+texts of any length are read whole; an empty table gives an empty result; further columns are ignored by the
+scores, and ``keep_good`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ boundaries.
 
 Defined cases: a null or empty text is a document of no tokens; tokens behind a file's last separator are
 a document that has no end mark (``ended`` false); repeated rows are documents each; an empty table, and an
-empty file, give no rows; further columns of the input are ignored.
+empty file, give no rows; further columns of the input, whatever their names, are ignored; there is nothing to
+tie.  doc_id must be an integer (any other type is refused); a text is tokenised and written whole, however long.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, durable, filled, shared_folder
+from .common import arrow_map, durable, filled, integer_id, shared_folder
 from .files import Ranges, blocks, published
 
 BLOCK_BYTES = 4 << 20
@@ -55,7 +56,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, pattern: str, end: int =
                     length += len(data)
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([uri]), pa.array([length]), pa.array([ids], pa.list_(pa.int64()))], ["file", "uri", "length", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), filled().alias("text"))
+    rows = docs.select(integer_id(docs, "doc_id"), filled().alias("text"))
     return durable(arrow_map(rows, run, "file long, uri string, length long, ids array<long>"))
 
 
@@ -73,15 +74,18 @@ def scan(files: DataFrame, end: int = END, block_bytes: int = BLOCK_BYTES) -> Da
                     ["file", "offset", "upto", "ends"],
                 )
 
-    found = arrow_map(blocks(files, block_bytes), search, "file long, offset long, upto long, ends array<long>")
+    # written, as the scan over blocks and the blocks' own separators are two uses
+    found = durable(arrow_map(blocks(files, block_bytes), search, "file long, offset long, upto long, ends array<long>"))
     before = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("file").orderBy("offset").rowsBetween(1, Window.unboundedFollowing)
-    stitched = found.select(
-        "file", "ends",
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("documents_before"),
-        F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))).over(before), F.lit(-1)).alias("end_before"),
-        F.when(F.count(F.lit(1)).over(after) == 0, F.col("upto")).alias("file_end"),
+    # of each block the scan moves two numbers, not its separators
+    totals = found.select("file", "offset", "upto", F.size("ends").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last"))
+    scanned = totals.select(
+        "file", "offset",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("documents_before"),
+        F.coalesce(F.max("last").over(before), F.lit(-1)).alias("end_before"),
+        F.when(F.lead("offset").over(Window.partitionBy("file").orderBy("offset")).isNull(), F.col("upto")).alias("file_end"),
     )
+    stitched = found.select("file", "offset", "ends").hint("merge").join(scanned.hint("merge"), ["file", "offset"])
     # the last block also closes a document without an end mark
     last = F.coalesce(F.try_element_at("ends", F.lit(-1)), F.col("end_before"))
     open_end = (F.col("file_end") > last + 1)

@@ -8,8 +8,11 @@ to the driver, at most TRAIN_ROWS x FEATURES small numbers.  The machine adds to
 of RANK-sized factors for every pair of terms, so that pairs count that are harmless apart.
 
 Defined cases: a null or empty text has no terms and gets the score of the shift alone; labels with a null
-are not learnt from; with no labels or one class only, every score is 0; repeated rows are scored each;
-an empty table gives an empty result.
+are not learnt from; with labels of one class only, or without a term that MIN_ROWS labelled texts have, every
+score is the smoothed share of label 1, and without any labels it is 0; a doc_id labelled twice counts with its
+larger label; repeated rows are scored each; terms that tie are taken in order of their buckets; texts of any
+length are read whole; an empty table gives an empty result; further columns are ignored by the scores, and
+``keep_clean`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -104,8 +107,10 @@ def _active(c: Chunk, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, fold=FOLD, bound: int = TRAIN_ROWS, seed: int = 1) -> dict:
     sample = labelled(docs, labels, "toxic", bound, fold)
     terms = select_terms(sample)
-    if not len(terms):
-        return {"terms": terms, "shift": -35.0, "linear": np.zeros(0), "factors": np.zeros((0, RANK))}
+    if not len(terms):  # nothing to tell texts apart by: the smoothed share of label 1
+        n, n1 = sample.select("doc_id", "y").distinct().agg(F.count(F.lit(1)), F.sum("y")).first()
+        shift = float(np.log(((n1 or 0) + 0.5) / (n - (n1 or 0) + 0.5))) if n else -35.0
+        return {"terms": terms, "shift": shift, "linear": np.zeros(0), "factors": np.zeros((0, RANK))}
     shared = docs.sparkSession.sparkContext.broadcast(terms)  # at most FEATURES numbers
 
     def kernel():

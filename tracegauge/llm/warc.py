@@ -12,7 +12,10 @@ header's extra field ``sl`` holds the compressed length.
 Defined cases: a null html is an empty payload; equal payloads of MIN_REVISIT bytes or more are stored once,
 by the row with the largest page_id (rows that repeat this page_id and payload are responses too; payloads
 whose rows have no page_id are all responses); a null url is left out; an empty table gives an empty result;
-further columns of the input are ignored.
+further columns of the input, whatever their names, are ignored; a page_id that isn't an integer is refused; a
+payload of any length is one record.  A file that doesn't begin with a record, or whose chain breaks off before
+its end, is an error.  Reading knows the two framings above and no others (in a gzip file, members without ``sl``
+are such an error).
 """
 
 from __future__ import annotations
@@ -29,14 +32,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, durable, filled, shared_folder
-from .files import Ranges, blocks, published
+from .common import BROADCAST_BYTES, arrow_map, durable, filled, integer_id, shared_folder
+from .files import Ranges, blocks, published, task_count
 
 MIN_REVISIT = 1000
 BLOCK_BYTES = 2 << 20
-#: Groups of equal payloads are broadcast up to so many (about 60 MB), else joined by a shuffle.
-BROADCAST_GROUPS = 500_000
+#: A group of equal payloads takes so many bytes at most: 40 of the digest, 8 of the number, and what a row adds.
+GROUP_BYTES = 96
 HEADER_BYTES = 64 << 10
+#: Records that a reading task gives out at a time.
+READ_ROWS = 10_000
 PLAIN, GZIP = b"WARC/1.1\r\n", b"\x1f\x8b\x08\x04\0\0\0\0\x02\xff\x0c\0sl\x08\0"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -87,14 +92,15 @@ def successor(data: bytes, at: int, packed: bool) -> int | None:
 
 def write_archives(pages: DataFrame, packed: bool = True) -> DataFrame:
     """One archive for each partition; returns (file, uri, length)."""
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), filled("html").alias("html"))
+    base = pages.select(integer_id(pages, "page_id"), F.col("url").cast("string").alias("url"), filled("html").alias("html"))
     base = base.withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
     equal = (
         base.where(F.octet_length("html") >= MIN_REVISIT).groupBy("sha1")
         .agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("first")).where("n > 1 and first is not null").select("sha1", "first")
     )
+    # written: so its size is known, and a join by shuffle can split a very large group of pages over tasks
     equal = durable(equal)
-    if equal.count() <= BROADCAST_GROUPS:
+    if equal.count() * GROUP_BYTES <= BROADCAST_BYTES:
         equal = F.broadcast(equal)
     rows = base.join(equal, "sha1", "left").select(
         "page_id", "url", "html", "sha1",
@@ -165,8 +171,15 @@ def entries(files: DataFrame, found: DataFrame) -> DataFrame:
 def read_archives(files: DataFrame, packed: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every record on the chain: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     found = durable(candidates(files, packed, block_bytes))
+    headless = files.where("length > 0").join(found.where("offset = 0").select("file").hint("merge"), "file", "left_anti")
+    if (bad := headless.select("uri").first()) is not None:
+        raise ValueError(f"{bad[0]} doesn't begin with a record of this framing")
     starts = entries(files, found).join(found.hint("merge"), ["file", "offset"], "left_semi").join(files, "file")
 
+    def table(rows):
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], NAMES)
+
     def read(batches):
         source = Ranges()
         for batch in batches:
@@ -185,9 +198,13 @@ def read_archives(files: DataFrame, packed: bool = True, block_bytes: int = BLOC
                     raw = data[at - base : at - base + size]
                     rows.append(parse(zlib.decompress(raw, 31) if packed else raw))
                     at += size
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, TYPES, strict=True)], NAMES)
+                    if len(rows) >= READ_ROWS:
+                        yield table(rows)
+                        rows = []
+            yield table(rows)
 
-    dealt = starts.select("uri", "length", "offset").repartition("uri", "offset")
+    # a number is given, as the offsets are so few bytes that adaptive execution would read all records in one task
+    dealt = starts.select("uri", "length", "offset").repartition(task_count(files, block_bytes), "uri", "offset")
     return arrow_map(dealt, read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
@@ -211,8 +228,9 @@ def parse(data: bytes) -> tuple:
     return page(field[b"warc-record-id"]), size, digest, "response", None
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
-    return read_archives(write_archives(pages))
+def round_trip(pages: DataFrame, packed: bool = False) -> DataFrame:
+    """Write archives and read them back; plain records, so that payloads that hold records' magic are met."""
+    return read_archives(write_archives(pages, packed), packed)
 
 
 SQL = f"""
