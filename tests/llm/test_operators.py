@@ -108,7 +108,6 @@ def test_long_pieces_merge_as_the_library_does():
     whole = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = np.random.default_rng(5)
     texts = ["a" * 997, "the" * 400, "=" * 501, "".join(rng.choice(list("etaoin"), 1500)), "é" * 333, "ab" * 700]
-    assert codec.rising
     for t, ids in zip(texts, codec.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode_ordinary(t)
     codec.close()
@@ -116,7 +115,7 @@ def test_long_pieces_merge_as_the_library_does():
 
 def test_packing(docs):
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    for limits in ({}, {"tokens": 64, "segments": 5, "loss": 50}):
+    for limits in ({}, {"tokens": 64, "segments": 5, "loss": 50, "mask": None}):
         got = packing.pack_documents(docs, TOKENIZER, **limits).collect()
         texts = {}
         for doc_id, text, *_ in cases.rows():
@@ -147,16 +146,49 @@ def test_packer_counts_loss_tokens_by_mask():
         p.add(k, np.arange(n, dtype="<u2"), masks[k])
     p.pack()
     used, seen = {}, {k: np.zeros(len(m), int) for k, m in masks.items()}
-    for key, start, length, _, _, sequence, _ in p.out:
+    for key, start, length, _, _, loss, sequence, _ in p.out:
         u = used.setdefault(sequence, [0, 0, 0])
         u[0] += length
         u[1] += 1
         u[2] += masks[key][start : start + length].sum()
+        assert loss == masks[key][start : start + length].sum()
         seen[key][start : start + length] += 1
     assert all((s == 1).all() for s in seen.values())
     assert all(a <= 10 and b <= 3 and c <= 4 for a, b, c in used.values())
 
 
+def test_packing_keeps_the_limits_of_its_mask(spark):
+    """The query's own limits and mask, on enough documents that the loss limit is what closes some sequences."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = packing.pack_documents(docs, TOKENIZER).toPandas()
+    quarter = got["doc_tokens"] // 4
+    lead = (quarter - got["start"]).clip(0, got["length"])
+    assert (got["loss_tokens"] == got["length"] - lead).all()
+    per = got.groupby("sequence_id").agg(tokens=("length", "sum"), loss=("loss_tokens", "sum"), pieces=("length", "size"))
+    assert (per["tokens"] <= packing.MAX_TOKENS).all() and (per["loss"] <= packing.MAX_LOSS).all() and (per["pieces"] <= packing.MAX_SEGMENTS).all()
+    assert (per["loss"] == packing.MAX_LOSS).sum() > 0.02 * len(per)
+    padded = per[(per["tokens"] & (per["tokens"] - 1)) != 0]
+    assert (packing.MAX_TOKENS - padded["tokens"]).sum() <= 0.01 * per["tokens"].sum()
+    assert per.loc[per["tokens"] == packing.MAX_TOKENS, "tokens"].sum() > 0.95 * per["tokens"].sum()
+    for start, total in zip(got["start"], got["doc_tokens"], strict=True):
+        assert 0 <= start < total
+    assert got.groupby("doc_id")["length"].sum().eq(got.groupby("doc_id")["doc_tokens"].max()).all()
+
+
+def test_tokenizer_that_looks_across_words_is_used_whole():
+    """A definition without lower-casing isn't read word by word."""
+    import json
+
+    with open(TOKENIZER, encoding="utf-8") as f:
+        d = json.load(f)
+    d["normalizer"] = None
+    encoder = packing.WordEncoder(json.dumps(d))
+    whole = Tokenizer.from_str(json.dumps(d))
+    text = "Some Words THAT keep their Case"
+    assert not encoder.by_word
+    assert encoder.encode([text.encode()])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_near_dedup(spark, docs):
     data = [tuple(r) for r in docs.collect()]
     want = sorted(cases.near_components(data).values(), key=lambda r: tuple((x is None, str(x)) for x in r))

@@ -1,23 +1,28 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries in each partition.
 
 Texts are split by the vocabulary's pattern.  A piece that is a token of its own is looked up; the distinct
-other pieces become rows (piece, position, token), and a recursive query joins adjacent tokens with the merge
-table and contracts, in every round, each piece's leftmost pair of minimum rank, until no pair is in the
+other pieces become rows of tokens by position, and a recursive query joins adjacent tokens with the merge
+table and contracts, in every round, each word's leftmost pairs of minimum rank, until no pair is in the
 table.  Ordered aggregation gives a piece's ids, and, by the table of token bytes, a document's bytes back.
 
-Pieces of over LONG bytes may contract several pairs in a round: all those of the lowest rank among the REACH
-tokens on either side (where two overlap, the left one).  This gives the same result, as a merge only makes pairs of
-higher rank (checked for the vocabulary when it is read; if it doesn't hold, long pieces go one pair at a
-time) and as no token spans REACH tokens.
+Every piece goes the same way, however long.  The minimum is taken over stretches of 1 << STRETCH bytes and their
+neighbours on both sides, which is the whole word unless it is longer; so far-off parts of a long word are contracted
+in one round.  Of equal pairs that overlap, the first, third and so on are contracted.  The result is that of one
+leftmost pair at a time, as no token spans a stretch and as a merge only makes pairs of higher rank; both are checked
+when a vocabulary is read, and one that breaks them is refused.  A query makes as many rounds as keep its rows under
+ROWS; words that aren't finished then go into the next one.
 
-Ids of pieces are remembered by the Python worker, at most MEMORY of them.
+Ids of short pieces are remembered by the Python worker, up to MEMORY bytes.  DuckDB may spill into the worker's own
+temporary folder, as Spark does; nobody else reads from there.
 
 Defined cases: a null text is empty; an empty text has no ids and decodes to no bytes; repeated rows are
-encoded each; an empty table gives an empty result; further columns of the input are ignored.
+encoded each; of equal pairs the left one goes first; texts and pieces of any length are encoded whole; an empty
+table gives an empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import shutil
 import tempfile
@@ -32,10 +37,12 @@ from pyspark.sql import types as T
 from .textkit import add_columns
 from .token_counts import read_ranks
 
-LONG, REACH = 96, 128
-#: Pieces in one recursive query; bytes of text whose ids are decoded by one query.
-PIECES, DECODE_BYTES = 40_000, 2 << 20
-MEMORY = 800_000
+#: Bytes of a stretch, as a power of two, twice the longest token at least; bits of a position in a piece.
+STRETCH, PLACE = 8, 40
+#: Pieces in one recursive query; its rows, of all rounds; bytes of text whose ids are decoded by one query.
+PIECES, ROWS, DECODE_BYTES = 30_000, 1_500_000, 4 << 20
+#: Bytes of remembered pieces, and the longest of them.
+MEMORY, REMEMBERED = 64 << 20, 32
 
 
 def merge_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -68,57 +75,47 @@ def _becomes_one(token: bytes, ranks: dict[bytes, int]) -> bool:
     return True
 
 
-#: Each row knows its right neighbour, so that a round needs no sort.
-WHOLE = """
-with recursive step(piece, pos, after, token, next, round) as (
-  select piece, pos, after, token, next, 0 from start
+#: id: piece << PLACE | position.  Each row knows its right neighbour (after, next) and the rank of their pair, so that
+#: a round needs no sort and looks up only pairs that are new.
+CONTRACT = f"""create or replace temp table state as
+with recursive step(id, after, token, next, rank, round) as (
+  select id, after, token, next, rank, 0 from todo
   union all (
     with ranked as materialized (
-      select s.*, m.rank from step s left join merges m on m.key = (s.token << 32 | s.next)
-    ), lowest as (
-      select piece, min(rank << 24 | pos) as low from ranked where rank is not null group by piece
+      select * from step where rank is not null and round < {{rounds}}
+    ), lowest as materialized (
+      select id >> {STRETCH} as block, min(rank) as low from ranked group by 1
+    ), near as (
+      select block, min(low) as low from (
+        select block, low from lowest
+        union all select block + d, low from lowest join wide on piece = block >> {PLACE - STRETCH}, (values (-1), (1)) as n(d)
+      ) group by 1
+    ), low as materialized (
+      select r.id, r.after, r.rank from near join ranked r on r.id >> {STRETCH} = near.block and r.rank = near.low
+    ), overlap as materialized (
+      select l.id as one, n.id as two from low l join low n on n.id = l.after
+    ), runs as materialized (
+      select id, i - max(case when starts then i end) over (order by i) as place from (
+        select id, id not in (select two from overlap) as starts, row_number() over (order by id) as i
+        from (select one as id from overlap union select two from overlap)
+      )
     ), hit as materialized (
-      select a.piece, a.pos, a.after as gone, a.rank as merged, b.after, b.next
-      from lowest join ranked a on a.piece = lowest.piece and a.pos = lowest.low & 16777215
-      join ranked b on b.piece = a.piece and b.pos = a.after
+      select l.id, l.after as gone, l.rank as merged from low l left join runs on runs.id = l.id where place is null or place % 2 = 0
+    ), made as materialized (
+      select h.id, h.gone, h.merged, b.after, coalesce(x.merged, b.next) as next
+      from hit h join step b on b.id = h.gone left join hit x on x.id = b.after
+    ), active as (select distinct id >> {PLACE} as piece from hit),
+    moved as (
+      select r.id, case when f.id is null then r.after else f.after end as after, coalesce(f.merged, r.token) as token,
+        case when f.id is null then coalesce(x.merged, r.next) else f.next end as next, r.rank, f.id is not null or x.id is not null as new, r.round + 1 as round
+      from step r join active on active.piece = r.id >> {PLACE} left join made f on f.id = r.id left join made x on x.id = r.after
+      where not exists (select 1 from made g where g.gone = r.id)
     )
-    select r.piece, r.pos,
-      case when r.pos = h.pos then h.after else r.after end,
-      case when r.pos = h.pos then h.merged else r.token end,
-      case when r.pos = h.pos then h.next when r.after = h.pos then h.merged else r.next end,
-      r.round + 1
-    from ranked r join hit h on r.piece = h.piece where r.pos <> h.gone
+    select id, after, moved.token, moved.next, case when new then m.rank else moved.rank end, round
+    from moved left join merges m on m.key = case when new then (moved.token << 32 | moved.next) end
   )
 )
-select piece, list(token order by pos) as ids
-from step join (select piece as p, max(round) as last from step group by piece) on piece = p and round = last
-group by piece order by piece
-"""
-#: For long pieces: every pair that has the lowest rank in reach, of overlapping ones the first, third and so on.
-NEAR = f"""
-with recursive step(piece, pos, token, round) as (
-  select piece, pos, token, 0 from start
-  union all
-  select piece, pos, case when hit then rank else token end, round + 1
-  from (
-    select *, coalesce(lag(hit) over (partition by piece order by pos), false) as gone, bool_or(hit) over (partition by piece) as more
-    from (
-      select *, low and row_number() over (partition by piece, low, run order by pos) % 2 = 1 as hit
-      from (
-        select *, row_number() over (partition by piece order by pos) - row_number() over (partition by piece, low order by pos) as run
-        from (
-          select p.*, m.rank, m.rank is not null and m.rank = min(m.rank) over (
-            partition by piece order by pos rows between {REACH} preceding and {REACH} following) as low
-          from (select *, lead(token) over (partition by piece order by pos) as next from step) p
-          left join merges m on m.key = (p.token << 32 | p.next)
-        )
-      )
-    )
-  ) where more and not gone
-)
-select piece, list(token order by pos) as ids
-from (select *, max(round) over (partition by piece) as last from step)
-where round = last group by piece order by piece
+select id, after, token, next, rank, last from (select id >> {PLACE} as piece, max(round) as last from step group by 1) join step on piece = id >> {PLACE} and round = last
 """
 
 
@@ -127,7 +124,9 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], merges: tuple, pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        keys, merged, self.rising = merges
+        keys, merged, rising = merges
+        if not rising or 2 * max(map(len, ranks)) > 1 << STRETCH:
+            raise ValueError("not a vocabulary that stretches of a word can be contracted by")
         self.spill = tempfile.mkdtemp(prefix="bpe-")
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": self.spill})
         self.con.register("m", pa.table({"key": keys, "rank": merged}))
@@ -136,6 +135,8 @@ class Codec:
         self.con.execute("create table vocabulary as select * from v")
         self.single = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
         self.known: dict[str, bytes] = {}
+        self.held = 0
+        atexit.register(self.close)
 
     def close(self):
         self.con.close()
@@ -144,22 +145,28 @@ class Codec:
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece, as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(pieces)
-        short = [i for i, p in enumerate(pieces) if len(p) <= LONG]
-        long = [i for i, p in enumerate(pieces) if len(p) > LONG]
-        for query, chosen, at_once in ((WHOLE, short, PIECES), (NEAR if self.rising else WHOLE, long, 64)):
-            for k in range(0, len(chosen), at_once):
-                some = chosen[k : k + at_once]
-                sizes = np.array([len(pieces[i]) for i in some], np.int64)
-                ids = self.single[np.frombuffer(b"".join(pieces[i] for i in some), np.uint8)]
-                pos = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                more = np.ones(len(ids), bool)
-                more[np.cumsum(sizes) - 1] = False
-                after, following = pa.array(pos + 1, mask=~more), pa.array(np.append(ids[1:], 0), mask=~more)
-                self.con.register("start", pa.table({"piece": np.repeat(np.arange(len(some)), sizes), "pos": pos, "after": after, "token": ids, "next": following}))
-                got = self.con.sql(query).to_arrow_table()["ids"].combine_chunks()
-                cut, flat = got.offsets.to_numpy(), got.values.to_numpy().astype("<u4")
-                for i, a, b in zip(some, cut, cut[1:], strict=False):
-                    out[i] = flat[a:b].tobytes()
+        for k in range(0, len(pieces), PIECES):
+            some = pieces[k : k + PIECES]
+            sizes = np.array([len(p) for p in some], np.int64)
+            tokens, last = self.single[np.frombuffer(b"".join(some), np.uint8)], np.cumsum(sizes) - 1
+            pos = np.arange(len(tokens)) - np.repeat(last + 1 - sizes, sizes)
+            ids, ends = np.repeat(np.arange(len(some)), sizes) << PLACE | pos, np.zeros(len(tokens), bool)
+            ends[last] = True
+            self.con.register("begin", pa.table({"id": ids, "after": pa.array(ids + 1, mask=ends), "token": tokens, "next": pa.array(np.append(tokens[1:], 0), mask=ends)}))
+            self.con.execute("create or replace table todo as select b.*, rank from begin b left join merges on key = (token << 32 | next)")
+            self.con.execute(f"create or replace table wide as select distinct id >> {PLACE} as piece from todo where id & {(1 << PLACE) - 1} >= {1 << STRETCH}")
+            rows = len(tokens)
+            while rows:
+                rounds = max(1, ROWS // rows)
+                self.con.execute(CONTRACT.format(rounds=rounds))
+                got = self.con.sql(f"select id >> {PLACE} as piece, list(token order by id) as ids from state where last < {rounds} group by 1").to_arrow_table().combine_chunks()
+                if len(got):
+                    lists = got["ids"].combine_chunks()
+                    cut, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
+                    for i, a, b in zip(got["piece"].to_pylist(), cut, cut[1:], strict=False):
+                        out[k + i] = flat[a:b].tobytes()
+                self.con.execute(f"create or replace table todo as select id, after, token, next, rank from state where last = {rounds}")
+                rows = self.con.execute("select count(*) from todo").fetchall()[0][0]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -171,10 +178,14 @@ class Codec:
                 own[p] = np.array([r], "<u4").tobytes() if (r := self.ranks.get(raw)) is not None else None
         missing = [p for p, ids in own.items() if ids is None]
         own.update(zip(missing, self.encode_pieces([p.encode() for p in missing]), strict=True))
-        if len(known) + len(own) <= MEMORY:
-            known.update(own)
-            return [b"".join([known[p] for p in s]) for s in split]
-        return [b"".join([known.get(p) or own[p] for p in s]) for s in split]
+        out = [b"".join([known.get(p) or own[p] for p in s]) for s in split]
+        for p, ids in own.items():
+            if self.held >= MEMORY:
+                break
+            if len(p) <= REMEMBERED:  # 200: two objects and their place in the dictionary
+                known[p] = ids
+                self.held += 4 * len(p) + len(ids) + 200
+        return out
 
     def decode(self, ids: list[bytes]) -> list[memoryview]:
         """The bytes of each document."""

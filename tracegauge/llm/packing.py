@@ -3,42 +3,53 @@
 A sequence has three capacities: tokens, segments and loss-bearing tokens.  With a sequence open, the
 example goes in next that fits and whose demand vector has the largest dot product with what is left of the
 capacities (both as shares), so that scarce capacities are used by those who need little of them.  When
-nothing fits, an example is cut to fill the sequence.  Examples longer than a sequence first give whole
-sequences.  At the end of a task the last, partly filled sequence is cut into lengths that are powers of
-two, which need no padding.
+nothing fits, or when one segment is left, an example is cut: the one that gives the most tokens within what is left.
+A sequence that a limit closes early is cut into lengths that are powers of two, which need no padding, unless its
+padding is small; so is the last one of a task.
+
+Which tokens bear loss is told by a mask.  ``first_quarter_is_prompt`` reads a document as instruction data: the
+first quarter of its tokens is the prompt and bears no loss.
 
 Each task packs its own partition as it streams by; of each Arrow batch all but the last POOL_SEQUENCES
-sequences' worth of short pieces is packed, the rest waits for the next.
+sequences' worth of pieces is packed, the rest waits for the next.
 
-Defined cases: a null or empty text is its end mark alone; repeated rows are examples each; an empty table
-gives an empty result; further columns of the input are ignored.
+Defined cases: a null or empty text is its end mark alone; repeated rows are examples each; of examples with the
+same demand the one that came last goes first, and of equal products the shorter example; texts of any length are
+tokenised whole; an empty table gives an empty result; further columns, whatever their names, are ignored; doc_id
+must be an integer (any other type is refused).
 """
 
 from __future__ import annotations
 
-import heapq
 import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import arrow_map, filled
+from .common import arrow_map, filled, integer_id
+from .textkit import SLICE_ROWS
 
-MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 256, 2048
+MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 16, 1792
+#: A cut of fewer tokens isn't worth a segment; a sequence with less padding than this part of it isn't cut up.
+LEAST_CUT, SMALL_PADDING = 8, 32
 POOL_SEQUENCES = 32
 END = 1
-#: Encodings of word pieces that a Python worker remembers.
-MEMORY = 1_000_000
+#: Bytes of word pieces and their ids that a Python worker remembers, and the longest such piece.
+MEMORY, REMEMBERED = 64 << 20, 32
 TEXTS = 500
+#: Read one way and the other when a tokenizer is loaded.
+PROBE = [
+    "The  quick\tBROWN fox's naïve café-au-lait,\u00a0don't stop!? 3.14 x_y (a+b)=c; e.g. http://a.b/c?d=1&e",
+    "ABC123def 日本語テスト ÀÉÎ straße\r\nnew-line...done \x1c odd \x85 space \u2028 \u3000 '' `` -- 'tis we'll",
+]
 
 #: Where an ASCII letter meets ASCII punctuation or a digit, the tokenizer's pattern splits anyway; an
 #: apostrophe may belong to a contraction.
@@ -57,15 +68,21 @@ BYTE_ALPHABET = _byte_alphabet()
 class WordEncoder:
     """The tokenizer's ids of whole texts, by way of pieces between white space, each encoded once.
 
-    Its normaliser and pattern never look across white space, so the pieces' ids in a row are the text's.
-    Texts that may hold a special token's string are encoded as they are.
+    This is right for a normaliser that lower-cases and a pattern that never look across white space, and that split
+    where a letter meets punctuation; whether the pieces' ids in a row are the text's is tried on PROBE when a
+    definition is read, and where they aren't, and in texts that may hold a special token's string, texts are encoded as
+    they are.
     """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel
         self.tokenizer = Tokenizer.from_str(definition)
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
+        self.held, self.by_word = 0, True
+        self.by_word = all(self.encode([x.encode()])[0].tolist() == self.tokenizer.encode(x, add_special_tokens=False).ids for x in PROBE)
 
     def _encode(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pieces; lower-case Latin words, which the normaliser and pattern leave whole, go straight to
@@ -75,15 +92,17 @@ class WordEncoder:
         for i, piece in enumerate(pieces):
             word = piece.decode()
             if word.isalpha() and (word.isascii() and word.islower() or max(word) < "\u0250" and word == word.lower() and is_normalized("NFC", word)):
-                out[i] = array("H", [t.id for t in tokenize(word if len(word) == len(piece) else piece.decode("latin-1").translate(BYTE_ALPHABET))]).tobytes()
+                out[i] = array(self.code, [t.id for t in tokenize(word if len(word) == len(piece) else piece.decode("latin-1").translate(BYTE_ALPHABET))]).tobytes()
             else:
                 slow.append((i, word))
         got = self.tokenizer.encode_batch_fast([w for _, w in slow], add_special_tokens=False) if slow else []
         for (i, _), e in zip(slow, got, strict=True):
-            out[i] = array("H", e.ids).tobytes()
+            out[i] = array(self.code, e.ids).tobytes()
         return out
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        if not self.by_word:
+            return [self._whole(t) for t in texts]
         if any(s in t for s in self.special for t in texts):
             return [self._whole(t) if any(s in t for s in self.special) else self.encode([t])[0] for t in texts]
         split = [_SEAM.sub(rb"\1 ", t.lower()).split() for t in texts]
@@ -93,134 +112,205 @@ class WordEncoder:
         if holes:
             missing = list({split[i][j] for i, at in holes for j in at})
             own = dict(zip(missing, self._encode(missing), strict=True))
-            if len(self.known) + len(own) <= MEMORY:
-                self.known.update(own)
+            for piece, v in own.items():
+                if self.held >= MEMORY:
+                    break
+                if len(piece) <= REMEMBERED:  # 200: two objects and their place in the dictionary
+                    self.known[piece] = v
+                    self.held += len(piece) + len(v) + 200
             for i, at in holes:
                 x, s = ids[i], split[i]
                 for j in at:
                     x[j] = own[s[j]]
-        return [np.frombuffer(b"".join(x), "<u2") for x in ids]
+        return [np.frombuffer(b"".join(x), self.dtype) for x in ids]
 
     def _whole(self, text: bytes) -> np.ndarray:
-        return np.frombuffer(self._encode([text])[0], "<u2")
+        ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+        return np.array(ids, self.dtype)
+
+
+def first_quarter_is_prompt(ids: np.ndarray) -> np.ndarray:
+    """Flags of the loss-bearing tokens of a document (its end mark included): all but its first quarter."""
+    return np.arange(len(ids)) >= len(ids) // 4
+
+
+class Piece:
+    """Some tokens of an example that go together: ``before[i]`` loss-bearing ones are among its first i."""
+
+    __slots__ = ("before", "ids", "key", "start", "total")
+
+    def __init__(self, key, start: int, ids: np.ndarray, before: np.ndarray, total: int):
+        self.key, self.start, self.ids, self.before, self.total = key, start, ids, before, total
+
+    @property
+    def kind(self) -> tuple[int, int, int]:
+        """Tokens, loss-bearing tokens, and how many tokens come before the first of these."""
+        return len(self.ids), int(self.before[-1] - self.before[0]), int(np.searchsorted(self.before, self.before[0], "right")) - 1
+
+    def within(self, tokens: int, loss: int) -> int:
+        """The most leading tokens that keep both limits."""
+        return min(len(self.ids), tokens, int(np.searchsorted(self.before, self.before[0] + loss, "right")) - 1)
+
+    def cut(self, n: int) -> tuple[Piece, Piece | None]:
+        if n >= len(self.ids):
+            return self, None
+        first = Piece(self.key, self.start, self.ids[:n], self.before[: n + 1], self.total)
+        return first, Piece(self.key, self.start + n, self.ids[n:], self.before[n:], self.total)
 
 
 class Packer:
-    """Places pieces; ``out`` gets (piece, sequence, offset) rows."""
+    """Places pieces; ``out`` gets (key, start, length, crc, total, loss-bearing tokens, sequence, offset) rows."""
 
     def __init__(self, tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, loss: int = MAX_LOSS):
-        self.capacity = np.array([tokens, segments, loss], float)
         self.tokens, self.segments, self.loss = tokens, segments, loss
         self.sequence, self.out = 0, []
-        self.kinds: dict[tuple[int, int], list] = {}  # pieces by (tokens, loss-bearing tokens)
+        self.kinds: dict[tuple[int, int, int], list[Piece]] = {}
         self.waiting = 0
 
     def add(self, key, ids: np.ndarray, bears: np.ndarray | None = None) -> None:
-        """An example; ``bears`` flags its loss-bearing tokens (None: all)."""
-        start, total = 0, len(ids)
-        while total - start >= self.tokens:
-            n = self._fits(start, bears, self.tokens, self.loss)
-            self._emit([(key, start, ids[start : start + n], total)])
-            start += n
-        if start < total:
-            self._hold(key, start, ids[start:].copy(), None if bears is None else bears[start:].copy(), total)
-
-    def _fits(self, start: int, bears, tokens: int, loss: int) -> int:
-        """The most tokens from ``start`` on within both limits (1 at least)."""
-        if bears is None:
-            return max(1, min(tokens, loss))
-        return max(1, int(np.searchsorted(np.cumsum(bears[start : start + tokens]), loss, "right")))
-
-    def _hold(self, key, start, ids, bears, total) -> None:
-        loss = len(ids) if bears is None else int(bears.sum())
-        self.kinds.setdefault((len(ids), loss), []).append((key, start, ids, bears, total))
-        self.waiting += len(ids)
-
-    def _emit(self, pieces: list) -> None:
+        """An example; ``bears`` flags its loss-bearing tokens (None: all).  One that no sequence can take whole is
+        cut into pieces that one can."""
+        before = np.zeros(len(ids) + 1, np.int32)
+        np.cumsum(np.ones(len(ids), np.int32) if bears is None else bears, out=before[1:])
+        rest = Piece(key, 0, ids, before, len(ids))
+        while rest is not None:
+            piece, rest = rest.cut(max(1, rest.within(self.tokens, self.loss)))
+            self._hold(piece)
+
+    def _hold(self, piece: Piece) -> None:
+        self.kinds.setdefault(piece.kind, []).append(piece)
+        self.waiting += len(piece.ids)
+
+    def _emit(self, pieces: list[Piece]) -> None:
         at = 0
-        for key, start, ids, total in pieces:
-            self.out.append((key, start, len(ids), zlib.crc32(ids.tobytes() if ids.dtype == np.dtype("<u4") else ids.astype("<u4").tobytes()), total, self.sequence, at))
-            at += len(ids)
+        for p in pieces:
+            loss = int(p.before[-1] - p.before[0])
+            self.out.append((p.key, p.start, len(p.ids), zlib.crc32(p.ids.astype("<u4").tobytes()), p.total, loss, self.sequence, at))
+            at += len(p.ids)
         self.sequence += 1
 
     def pack(self, keep: int = 0) -> None:
         """Fill sequences until no more than ``keep`` tokens wait."""
-        kinds = np.array(sorted(self.kinds), float).reshape(-1, 2)
-        count = np.array([len(self.kinds[int(a), int(b)]) for a, b in kinds])
-        heap = [(-int(a), i) for i, (a, _) in enumerate(kinds)]  # longest first, for cutting
-        heapq.heapify(heap)
+        pool = _Pool(self.kinds)
         while self.waiting > keep:
-            left, held = self.capacity.copy(), []
-            while left[1] >= 1 and left[0] >= 1:
-                fits = (count > 0) & (kinds[:, 0] <= left[0]) & (kinds[:, 1] <= left[2])
-                if fits.any():
-                    gain = kinds[:, 0] * (left[0] / self.tokens**2) + left[1] / self.segments**2 + kinds[:, 1] * (left[2] / self.loss**2)
-                    i = int(np.where(fits, gain, -1.0).argmax())
-                    key, start, ids, bears, total = self._take(kinds, count, i)
-                else:
-                    while heap and not count[heap[0][1]]:
-                        heapq.heappop(heap)
-                    if not heap or left[2] < 1:
-                        break
-                    i = heap[0][1]
-                    key, start, ids, bears, total = self._take(kinds, count, i)
-                    n = min(len(ids), self._fits(0, bears, int(left[0]), int(left[2])))
-                    rest = (key, start + n, ids[n:], None if bears is None else bears[n:], total)
-                    ids, bears = ids[:n], None if bears is None else bears[:n]
-                    if len(rest[2]):
-                        kinds, count = self._return(kinds, count, heap, rest)
-                left -= (len(ids), 1, len(ids) if bears is None else bears.sum())
-                held.append((key, start, ids, total))
-            if self.waiting <= 0 and keep == 0 and sum(len(p[2]) for p in held) < self.tokens:
-                self._tail(held)
+            left, held = [self.tokens, self.segments, self.loss], []
+            while left[0] and left[1]:
+                piece = self._next(pool, left, bool(held))
+                if piece is None:
+                    break
+                left[0], left[1], left[2] = left[0] - len(piece.ids), left[1] - 1, left[2] - int(piece.before[-1] - piece.before[0])
+                held.append(piece)
+            if 0 < left[0] and left[0] * SMALL_PADDING > self.tokens:
+                self._powers(held)
             else:
                 self._emit(held)
         self.kinds = {k: v for k, v in self.kinds.items() if v}
 
-    def _take(self, kinds, count, i):
-        piece = self.kinds[int(kinds[i, 0]), int(kinds[i, 1])].pop()
-        count[i] -= 1
-        self.waiting -= len(piece[2])
+    def _next(self, pool: _Pool, left: list[int], open_: bool) -> Piece | None:
+        shares = (left[0] / self.tokens**2, left[1] / self.segments**2, left[2] / self.loss**2)
+        i = pool.best(left, shares)
+        if i is not None and (left[1] > 1 or pool.kinds[i][0] == left[0]):
+            return self._take(pool, i)
+        # nothing fits whole, or this is the last segment: cut, where that gives more
+        j, n = pool.longest(left)
+        if i is not None and (j is None or pool.kinds[i][0] >= n):
+            return self._take(pool, i)
+        if j is None or (open_ and n < min(LEAST_CUT, left[0])):
+            return None
+        piece = self._take(pool, j)
+        first, rest = piece.cut(max(1, piece.within(left[0], left[2])))
+        if rest is not None:
+            pool.put(rest)
+            self.waiting += len(rest.ids)
+        return first
+
+    def _take(self, pool: _Pool, i: int) -> Piece:
+        piece = pool.take(i)
+        self.waiting -= len(piece.ids)
         return piece
 
-    def _return(self, kinds, count, heap, piece):
-        size = len(self.kinds)
-        self._hold(*piece)
-        loss = len(piece[2]) if piece[3] is None else int(piece[3].sum())
-        at = np.flatnonzero((kinds[:, 0] == len(piece[2])) & (kinds[:, 1] == loss))
-        if len(at):
-            count[at[0]] += 1
-            i = int(at[0])
-        else:
-            assert len(self.kinds) > size
-            kinds, count, i = np.vstack([kinds, [len(piece[2]), loss]]), np.append(count, 1), len(count)
-        heapq.heappush(heap, (-len(piece[2]), i))
-        return kinds, count
-
-    def _tail(self, held: list) -> None:
-        """Cut what is left into sequences whose lengths are powers of two."""
-        n, held = sum(len(p[2]) for p in held), held[::-1]
+    def _powers(self, held: list[Piece]) -> None:
+        """Cut what is held into sequences whose lengths are powers of two."""
+        n, held = sum(len(p.ids) for p in held), held[::-1]
         for bit in range(n.bit_length() - 1, -1, -1):
             if not n >> bit & 1:
                 continue
             want, out = 1 << bit, []
             while want:
-                key, start, ids, total = held.pop()
-                if len(ids) > want:
-                    held.append((key, start + want, ids[want:], total))
-                    ids = ids[:want]
-                out.append((key, start, ids, total))
-                want -= len(ids)
+                piece, rest = held.pop().cut(want)
+                if rest is not None:
+                    held.append(rest)
+                out.append(piece)
+                want -= len(piece.ids)
             self._emit(out)
 
 
+class _Pool:
+    """Waiting pieces by kind, with the kinds as arrays to choose from."""
+
+    def __init__(self, pieces: dict[tuple[int, int, int], list[Piece]]):
+        self.pieces = pieces
+        self.kinds = sorted(pieces)
+        self.place = {k: i for i, k in enumerate(self.kinds)}
+        self.size = np.array(self.kinds, float).reshape(-1, 3)
+        self.count = np.array([len(pieces[k]) for k in self.kinds], int)
+        self.gone = 0
+
+    def best(self, left: list[int], shares: tuple) -> int | None:
+        """The kind that fits with the largest dot product."""
+        tokens, loss = self.size[:, 0], self.size[:, 1]
+        fits = (self.count > 0) & (tokens <= left[0]) & (loss <= left[2])
+        i = int(np.where(fits, tokens * shares[0] + shares[1] + loss * shares[2], -1.0).argmax()) if len(fits) else 0
+        return i if len(fits) and fits[i] else None
+
+    def longest(self, left: list[int]) -> tuple[int | None, int]:
+        """The kind whose beginning gives the most tokens, and how many at least; of equal ones the longest."""
+        reach = np.minimum(np.minimum(self.size[:, 0], left[0]), self.size[:, 2] + left[2])
+        reach = np.where(self.count > 0, reach * 1e6 + self.size[:, 0], -1.0)
+        i = int(reach.argmax()) if len(reach) else 0
+        if not len(reach) or reach[i] < 1e6:
+            return None, 0
+        return i, int(reach[i] // 1e6)
+
+    def take(self, i: int) -> Piece:
+        self.count[i] -= 1
+        piece = self.pieces[self.kinds[i]].pop()
+        if not self.count[i]:
+            self.gone += 1
+            if self.gone > 64 and 2 * self.gone > len(self.kinds):
+                self._shrink()
+        return piece
+
+    def put(self, piece: Piece) -> None:
+        kind = piece.kind
+        self.pieces.setdefault(kind, []).append(piece)
+        if kind in self.place:
+            i = self.place[kind]
+            self.gone -= not self.count[i]
+            self.count[i] += 1
+        else:
+            self.place[kind] = len(self.kinds)
+            self.kinds.append(kind)
+            self.size, self.count = np.vstack([self.size, kind]), np.append(self.count, 1)
+
+    def _shrink(self) -> None:
+        """Leave out kinds that no piece is of any more."""
+        kept = np.flatnonzero(self.count)
+        self.kinds = [self.kinds[i] for i in kept]
+        self.place = {k: i for i, k in enumerate(self.kinds)}
+        self.size, self.count, self.gone = self.size[kept], self.count[kept], 0
+
+
 _encoders: dict[str, WordEncoder] = {}
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end: int = END, tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, loss: int = MAX_LOSS) -> DataFrame:
-    """Pieces of all documents (every token bears loss) and their places in sequences."""
+def pack_documents(
+    docs: DataFrame, tokenizer: str, end: int = END, tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, loss: int = MAX_LOSS, mask: Callable[[np.ndarray], np.ndarray] | None = first_quarter_is_prompt
+) -> DataFrame:
+    """Pieces of all documents and their places in sequences.  ``mask`` flags the loss-bearing ones of a document's
+    ids, end mark included (None: all of them)."""
     with open(tokenizer, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary of fixed size
 
@@ -229,23 +319,26 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = END, tokens: int
             _encoders[tokenizer] = WordEncoder(shared.value)
         encoder, packer = _encoders[tokenizer], Packer(tokens, segments, loss)
         first = TaskContext.get().partitionId() << 40
-        mark = np.array([end], "<u2")
+        mark = np.array([end], encoder.dtype)
 
         def rows():
-            columns = list(zip(*packer.out, strict=True)) if packer.out else [[]] * 7
+            columns = list(zip(*packer.out, strict=True)) if packer.out else [[]] * len(NAMES)
             packer.out = []
             arrays = [pa.array(c, pa.int64()) for c in columns]
-            arrays[5] = pa.array(np.array(columns[5], np.int64) + first)
+            arrays[6] = pa.array(np.array(columns[6], np.int64) + first)
             return pa.RecordBatch.from_arrays(arrays, NAMES)
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
-            for i in range(0, len(keys), TEXTS):
-                for key, ids in zip(keys[i:], encoder.encode(texts.slice(i, TEXTS).to_pylist()), strict=False):
-                    packer.add(key, np.concatenate([ids, mark]))
-            packer.pack(POOL_SEQUENCES * tokens)
-            yield rows()
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(i, SLICE_ROWS)
+                keys, texts = part.column(0).to_pylist(), part.column(1).cast(pa.binary())
+                for j in range(0, len(keys), TEXTS):
+                    for key, ids in zip(keys[j:], encoder.encode(texts.slice(j, TEXTS).to_pylist()), strict=False):
+                        ids = np.concatenate([ids, mark])
+                        packer.add(key, ids, None if mask is None else mask(ids))
+                packer.pack(POOL_SEQUENCES * tokens)
+                yield rows()
         packer.pack()
         yield rows()
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), filled().alias("text")), run, SCHEMA)
+    return arrow_map(docs.select(integer_id(docs, "doc_id"), filled().alias("text")), run, SCHEMA)
