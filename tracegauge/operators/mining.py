@@ -178,11 +178,18 @@ def select_by_coverage(features: DataFrame, traces: DataFrame, threshold: int =
 
 
 def folds(traces: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
-    """Stratified folds: hash rank within the class, modulo k."""
+    """Stratified folds: hash rank within the class, modulo k.
+
+    A class is ranked in parts by the first digits of the hash, whose offsets are broadcast.
+    """
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy("outcome").orderBy(draw(seed, "case_id"), "case_id"))
-    return traces.select("case_id", "outcome", ((rank - 1) % k).cast("int").alias("fold"))
+    rows = traces.select("case_id", "outcome", draw(seed, "case_id").alias("_h")).withColumn("_part", F.substring("_h", 1, 3))
+    before = Window.partitionBy("outcome").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("outcome", "_part").agg(F.count(F.lit(1)).alias("n")).select("outcome", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    within = F.row_number().over(Window.partitionBy("outcome", "_part").orderBy("_h", "case_id"))
+    placed = rows.withColumn("_within", within).join(F.broadcast(offsets), ["outcome", "_part"])  # at most 16 ** 3 rows a class
+    return placed.select("case_id", "outcome", ((F.col("_offset") + F.col("_within") - 1) % k).cast("int").alias("fold"))
 
 
 def assemble(features: DataFrame, cases: DataFrame, names: list[str]) -> DataFrame:
@@ -200,13 +207,15 @@ def classification_metrics(predicted: DataFrame, score: str = "score", label: st
     """Precision, recall, F1, accuracy and AUC (by rank sums) from (label, prediction, score)."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*by)
-    ranked = predicted.withColumn("_r", F.rank().over(w.orderBy(score)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, score)) - 1) / 2.0)
     y, p = F.col(label) == 1, F.col("prediction") == 1
-    a = ranked.groupBy(*by).agg(
+    # by score first: what is put in order are distinct scores, not cases
+    levels = predicted.groupBy(*by, score).agg(
         F.count_if(y & p).cast("double").alias("tp"), F.count_if(~y & p).cast("double").alias("fp"), F.count_if(y & ~p).cast("double").alias("fn"), F.count_if(~y & ~p).cast("double").alias("tn"),
-        F.sum(F.when(y, F.col("_r")).otherwise(0.0)).alias("rs"),
     )
+    each = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    before = F.coalesce(F.sum(each).over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    levels = levels.withColumn("rs", (F.col("tp") + F.col("fn")) * (before + (each + 1) / 2))
+    a = levels.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn", "rs")])
     z = lambda n, d: F.coalesce(F.try_divide(n, d), F.lit(0.0))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     n1, n0 = tp + fn, fp + tn

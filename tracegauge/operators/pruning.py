@@ -107,10 +107,11 @@ def collapse_warnings(constraints: DataFrame) -> DataFrame:
 
 
 def prune(constraints: DataFrame) -> DataFrame:
-    """The whole chain in its order."""
-    out = constraints
+    """The whole chain in its order.  Every step reads its input more than once, so inputs are kept (a specification has
+    templates x activities^2 rows at most)."""
+    out = constraints.persist()
     for step in (subsumption, swapped_subsumption, equivalence, negation, transitivity, entailment):
-        out = step(out)
+        out = step(out).persist()
     return out
 
 

@@ -80,12 +80,23 @@ def random_swap(traces: DataFrame, eps: float, seed: int = 42) -> DataFrame:
     return traces.withColumn("trace", F.when((n >= 2) & (uniform(seed, "case_id") < eps), other).otherwise(F.col("trace")))
 
 
+#: Half of the band around an expected cut, in standard deviations.
+BAND = 6.0
+
+
 def _chosen(traces: DataFrame, eps: float, seed: int) -> DataFrame:
-    """``picked``: max(1, round(n eps)) drawn cases; the two counts and the cut are found without one sort task."""
-    n = traces.count()
-    k = max(1, round(n * eps))
-    low = traces.select(draw(seed, "case_id").alias("h"), "case_id").orderBy("h", "case_id").limit(k)
-    return traces.join(low.select("case_id", F.lit(True).alias("picked")), "case_id", "left").withColumn("picked", F.coalesce("picked", F.lit(False)))
+    """``picked``: max(1, round(n eps)) drawn cases.  Draws are uniform, so the cut lies in a narrow band around eps;
+    only cases in it are sorted, about sqrt(n) of them (all of them, should the cut lie outside the band)."""
+    rows = traces.withColumn("_h", draw(seed, "case_id")).withColumn("_u", F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") / F.lit(4294967296.0))
+    n = rows.count()
+    k, half = max(1, round(n * eps)), BAND * (eps * (1 - eps) / max(n, 1)) ** 0.5 + 1e-6
+    for low, high in ((eps - half, eps + half), (-1.0, 2.0)):
+        below, near = rows.agg(F.count_if(F.col("_u") < low), F.count_if((F.col("_u") >= low) & (F.col("_u") <= high))).first()
+        if 0 <= k - below <= near or n < k:
+            break
+    cut = rows.where((F.col("_u") >= low) & (F.col("_u") <= high)).orderBy("_h", "case_id").limit(max(0, k - below)).select("case_id", F.lit(True).alias("_in"))
+    picked = (F.col("_u") < low) | F.coalesce("_in", F.lit(False))
+    return rows.join(cut, "case_id", "left").withColumn("picked", picked).drop("_h", "_u", "_in")
 
 
 def flip_exactly(traces: DataFrame, eps: float, seed: int = 42) -> DataFrame:

@@ -79,7 +79,7 @@ def q_values(df: DataFrame, p: str, ids: list[str], pi0: float = 1.0) -> DataFra
     m = df.count()
     ranked = df.withColumn("rank", F.row_number().over(Window.orderBy(p, *ids)))
     fdp = F.lit(pi0) * F.lit(m) * F.col(p) / F.col("rank")
-    down = Window.orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
+    down = Window.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)  # a running minimum, not one for each row
     return ranked.withColumn("q", F.least(F.lit(1.0), F.min(fdp).over(down)))
 
 

@@ -2,16 +2,19 @@
 
 Label permutations leave traces alone: a replicate is no more than how many of each variant's cases are
 positive.  So holds are evaluated once for each variant, and a replicate's statistic is a product of the
-pattern x variant matrix with the variant x replicate counts.  Variants are dealt over partitions; every
-partition multiplies its own part with numpy and gives partial sums, which are added by pattern.
+pattern x variant matrix with the variant x replicate counts.  Cases aren't moved or sorted: a task counts its own
+cases' draws.  Variants are dealt over partitions; every partition multiplies its own part with numpy and gives
+partial sums, which are added by pattern and range of replicates.
 """
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ensure
@@ -23,14 +26,86 @@ def with_variant(traces: DataFrame) -> DataFrame:
     return traces.withColumn("variant", F.md5(F.to_json("trace")))
 
 
+#: Half of the band around a replicate's expected cut, in standard deviations; only draws in it are ranked.
+BAND = 6.0
+#: Replicates of a pattern that are added up at a time; cases whose draws are held at a time; variants held by a task.
+CHUNK, CASES, HELD = 256, 128, 2000
+
+
+def _draws(cases: DataFrame, count: int, seed: int, low: int, high: int) -> DataFrame:
+    """Every case's draw in every replicate, against a band: rows of kind 0 have a variant's cases, positives and draws
+    below the band by replicate; of kind 1 one draw in the band; of kind 2 a task's draws below it."""
+
+    def run(batches):
+        heads = [f"{seed}|{r}|".encode() for r in range(count)]
+        below_all = np.zeros(count, np.int64)
+        index: dict[str, int] = {}
+        n, n1, ones = np.zeros(HELD + CASES, np.int64), np.zeros(HELD + CASES, np.int64), np.zeros((HELD + CASES, count), np.int64)
+        names = ["kind", "variant", "n", "n1", "ones", "rep", "h", "case_id"]
+        types = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.string()]
+
+        def rows(kind, size, **given):
+            return pa.RecordBatch.from_arrays([pa.array(given.get(c, [kind] * size if c == "kind" else [None] * size), t) for c, t in zip(names, types, strict=True)], names)
+
+        def sums():
+            k = len(index)
+            out = rows(0, k, variant=list(index), n=n[:k].copy(), n1=n1[:k].copy(), ones=list(ones[:k]))
+            n[:k], n1[:k], ones[:k] = 0, 0, 0
+            index.clear()
+            return out
+
+        for whole in batches:
+            for i in range(0, whole.num_rows, CASES):
+                ids, outcome, variant = (whole.column(c).slice(i, CASES).to_pylist() for c in ("case_id", "outcome", "variant"))
+                raw = b"".join([md5(h + c).digest() for c in (x.encode() for x in ids) for h in heads])
+                h = np.frombuffer(raw, ">u8").reshape(len(ids), count, 2)[:, :, 0]
+                below = h < low
+                below_all += below.sum(0)
+                at = np.array([index.setdefault(v, len(index)) for v in variant])
+                own, local = np.unique(at, return_inverse=True)
+                member = np.zeros((len(own), len(ids)), np.float32)
+                member[local, np.arange(len(ids))] = 1
+                ones[own] += (member @ below.astype(np.float32)).astype(np.int64)
+                np.add.at(n, at, 1)
+                np.add.at(n1, at, np.array(outcome))
+                c, r = np.nonzero(~below & (h <= high))
+                if len(c):
+                    yield rows(1, len(c), variant=[variant[j] for j in c], rep=r, h=[raw[16 * (j * count + k) : 16 * (j * count + k) + 16] for j, k in zip(c.tolist(), r.tolist(), strict=True)], case_id=[ids[j] for j in c])
+                if len(index) >= HELD:
+                    yield sums()
+        yield sums()
+        yield rows(2, 1, ones=[below_all])
+
+    ensure(cases.sparkSession)
+    return cases.select("case_id", "outcome", "variant").mapInArrow(run, "kind int, variant string, n long, n1 long, ones array<long>, rep int, h binary, case_id string")
+
+
 def replicate_counts(traces: DataFrame, count: int, seed: int = 42) -> DataFrame:
-    """(variant, n, n1, ones): cases, observed positives, and positives in each replicate as an array."""
+    """(variant, n, n1, ones, reps, ks): of parts of a variant's cases, how many there are, how many are positive, and
+    how many are in each replicate, in ``ones`` by replicate, or for replicates ``reps`` in ``ks``; the parts add up.
+
+    A replicate's positives are its n1 smallest draws.  Draws are uniform, so all below a band around n1 / n are
+    positive and all above it aren't; those in the band, some sqrt(n) of them, are ranked.  Should a replicate's cut lie
+    outside the band, everything is ranked.
+    """
     cases = with_variant(traces).select("case_id", "outcome", "variant")
-    labels = resampling.permuted_labels(cases, count, seed)
-    per = labels.join(cases.select("case_id", "variant"), "case_id").groupBy("variant", "rep").agg(F.sum("label").alias("k"))
-    ones = per.groupBy("variant").agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "k"))), lambda s: s["k"]).alias("ones"))
-    own = cases.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.sum("outcome").alias("n1"))
-    return own.join(ones, "variant")
+    n, n1 = cases.agg(F.count(F.lit(1)), F.sum("outcome")).first()
+    share, half = (n1 or 0) / max(n, 1), BAND * (((n1 or 0) / max(n, 1)) * (1 - (n1 or 0) / max(n, 1)) / max(n, 1)) ** 0.5
+    for low, high in ((max(0.0, share - half), min(1.0, share + half)), (0.0, 1.0)):
+        drawn = _draws(cases, count, seed, min(int(low * 2.0**64), 2**64 - 1), min(int(high * 2.0**64), 2**64 - 1)).persist()
+        below = drawn.where("kind = 2").select(F.posexplode("ones").alias("rep", "c")).groupBy("rep").agg(F.sum("c").alias("c"))
+        near = drawn.where("kind = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("m"))
+        left = [(r["rep"], (n1 or 0) - r["c"], r["m"] or 0) for r in below.join(near, "rep", "left").collect()]  # count rows
+        if all(0 <= k <= m for _, k, m in left):
+            break
+        drawn.unpersist()
+    quota = traces.sparkSession.createDataFrame([(r, k) for r, k, _ in left], "rep int, quota long")
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("h", "case_id"))
+    more = drawn.where("kind = 1").join(F.broadcast(quota), "rep").withColumn("rank", rank).where("rank <= quota").groupBy("variant", "rep").agg(F.count(F.lit(1)).alias("k"))
+    more = more.groupBy("variant").agg(F.collect_list("rep").alias("reps"), F.collect_list("k").alias("ks"))
+    none = F.lit(None)
+    return drawn.where("kind = 0").select("variant", "n", "n1", "ones", none.cast("array<int>").alias("reps"), none.cast("array<long>").alias("ks")).unionByName(
+        more.select("variant", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("n1"), none.cast("array<long>").alias("ones"), "reps", "ks"))
 
 
 def label_permutation(traces: DataFrame, cands: DataFrame, count: int, seed: int = 42, keep_null: bool = False) -> DataFrame:
@@ -44,42 +119,59 @@ def label_permutation(traces: DataFrame, cands: DataFrame, count: int, seed: int
 
     def partial(batches):
         index: dict[tuple, int] = {}
-        sums = np.zeros((0, 4, count + 1))  # app and sat of class 1 and of all, by replicate; last the observed
-        for batch in batches:
-            for held, n, n1, ones in zip(batch.column("holds"), batch.column("n").to_pylist(), batch.column("n1").to_pylist(), batch.column("ones").to_pylist(), strict=True):
-                held = held.as_py()
-                at = np.array([index.setdefault((s["spec"]["ctype"], s["spec"]["a"], s["spec"]["b"]), len(index)) for s in held])
-                if len(index) > len(sums):
-                    sums = np.concatenate([sums, np.zeros((max(len(index) - len(sums), 64 + len(sums)), 4, count + 1))])
-                sat = np.array([s["sat"] for s in held], float)[:, None]
-                one = np.append(ones, n1).astype(float)[None, :]
-                sums[at, 0] += one
-                sums[at, 1] += sat * one
-                sums[at, 2] += n
-                sums[at, 3] += sat * n
+        ones = np.zeros((2, 0, count + 1))  # app and sat of class 1, by replicate; last the observed
+        every = np.zeros((2, 0))  # app and sat of all cases
+        for whole in batches:
+            for i in range(0, whole.num_rows, CASES):
+                part = whole.slice(i, CASES).to_pylist()
+                spec = [[index.setdefault((s["spec"]["ctype"], s["spec"]["a"], s["spec"]["b"]), len(index)) for s in r["holds"]] for r in part]
+                if len(index) > every.shape[1]:
+                    extra = max(len(index) - every.shape[1], 64 + every.shape[1])
+                    ones, every = np.concatenate([ones, np.zeros((2, extra, count + 1))], 1), np.concatenate([every, np.zeros((2, extra))], 1)
+                held, y = np.zeros((2, every.shape[1], len(part))), np.zeros((len(part), count + 1))
+                for j, (r, at) in enumerate(zip(part, spec, strict=True)):
+                    held[0, at, j], held[1, at, j] = 1, [s["sat"] for s in r["holds"]]
+                    if r["ones"] is not None:
+                        y[j, :count] = r["ones"]
+                        y[j, count] = r["n1"]
+                    else:
+                        y[j, r["reps"]] = r["ks"]
+                ones += held @ y
+                every += held @ np.array([r["n"] for r in part], float)
         specs = list(index)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([s[i] for s in specs], pa.string()) for i in range(3)] + [pa.array([sums[i].ravel() for i in range(len(specs))], pa.list_(pa.float64()))],
-            ["ctype", "a", "b", "sums"],
-        )
+        for c in range(0, count, CHUNK):
+            upto = min(c + CHUNK, count)
+            values = [np.concatenate([ones[k, i, c:upto], ones[k, i, count:], every[k, i : i + 1]]) for i in range(len(specs)) for k in (0, 1)]
+            sums = [np.concatenate(values[2 * i : 2 * i + 2]) for i in range(len(specs))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s[i] for s in specs], pa.string()) for i in range(3)] + [pa.array(np.full(len(specs), c), pa.int32()), pa.array(sums, pa.list_(pa.float64()))],
+                ["ctype", "a", "b", "chunk", "sums"],
+            )
 
     ensure(traces.sparkSession)
-    parts = rows.select("holds", "n", "n1", "ones").mapInArrow(partial, "ctype string, a string, b string, sums array<double>")
+    parts = rows.select("holds", "n", "n1", "ones", "reps", "ks").mapInArrow(partial, "ctype string, a string, b string, chunk int, sums array<double>")
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.sum(np.stack(pdf["sums"].to_numpy()), 0).reshape(4, count + 1)
-        app1, sat1, app0, sat0 = s[0], s[1], s[2] - s[0], s[3] - s[1]
+        app, sat = np.sum(np.stack(pdf["sums"].to_numpy()), 0).reshape(2, -1)
+        app1, sat1 = app[:-1], sat[:-1]
         share = lambda x, y: np.divide(x, y, out=np.zeros_like(x), where=y > 0)
-        stat = np.round(share(sat1, app1) - share(sat0, app0), 12)
+        stat = np.round(share(sat1, app1) - share(sat[-1] - sat1, app[-1] - app1), 12)
         null, seen = stat[:-1], stat[-1]
         return pd.DataFrame({
-            "ctype": [pdf["ctype"].iloc[0]], "a": [pdf["a"].iloc[0]], "b": [pdf["b"].iloc[0]], "delta": [seen],
+            "ctype": [pdf["ctype"].iloc[0]], "a": [pdf["a"].iloc[0]], "b": [pdf["b"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "delta": [seen],
             "exceed_two": [int((np.abs(null) >= abs(seen)).sum())], "exceed_one": [int((null >= seen).sum() if seen >= 0 else (null <= seen).sum())],
-            "null_mean": [null.mean()], "null_std": [null.std()], "null": [null.tolist() if keep_null else []],
+            "s": [null.sum()], "ss": [(null**2).sum()], "null": [null.tolist() if keep_null else []],
         })
 
-    out = parts.groupBy("ctype", "a", "b").applyInPandas(
-        total, "ctype string, a string, b string, delta double, exceed_two long, exceed_one long, null_mean double, null_std double, null array<double>"
+    # a group has one row for every task of the product and CHUNK replicates
+    chunks = parts.groupBy("ctype", "a", "b", "chunk").applyInPandas(
+        total, "ctype string, a string, b string, chunk int, delta double, exceed_two long, exceed_one long, s double, ss double, null array<double>"
+    )
+    mean = F.sum("s") / count
+    out = chunks.groupBy("ctype", "a", "b").agg(
+        F.first("delta").alias("delta"), F.sum("exceed_two").alias("exceed_two"), F.sum("exceed_one").alias("exceed_one"), mean.alias("null_mean"),
+        F.sqrt(F.greatest(F.lit(0.0), F.sum("ss") / count - mean * mean)).alias("null_std"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "null"))), lambda x: x["null"])).alias("null"),
     )
     return out.withColumn("p_two", (1 + F.col("exceed_two")) / F.lit(count + 1.0)).withColumn("p_one", (1 + F.col("exceed_one")) / F.lit(count + 1.0))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import templates as tp
+from ..functions import catalogues, templates as tp
 from ..operators import comparison, measures, mining, pruning, resampling, significance, tests_of_difference
 from ..operators.statistics import act_stats, alphabet, opposite_direction, pair_stats
 from ..shared import shared_folder
@@ -249,17 +249,43 @@ def _spec(spark, sf_dir, weight):
     return _measured(logs.customer_orders(spark, sf_dir), weight, tp.TRACE_BINARY)
 
 
-@query()
+def _fold_sql(name: str, steps, rule: str) -> str:
+    """A fold over an ordered rule list (i, p, q) within each (a, b), as a recursive CTE; ``rule`` names what goes from
+    the two sides' measures x and y, or null."""
+    values = ", ".join(f"({i}, '{p}', '{q}')" for i, (p, q) in enumerate(steps, 1))
+    return f"""{name}_rules(i, p, q) as (values {values}),
+{name}_fold(i, a, b, gone) as (select 0, a, b, []::varchar[] from {name}_in where b is not null group by a, b
+  union all select f.i + 1, f.a, f.b, case when x.ctype is null or y.ctype is null or list_contains(f.gone, r.p) or list_contains(f.gone, r.q) then f.gone
+    else list_concat(f.gone, [x for x in [{rule}] if x is not null]) end
+  from {name}_fold f join {name}_rules r on r.i = f.i + 1 left join {name}_in x on x.a = f.a and x.b = f.b and x.ctype = r.p left join {name}_in y on y.a = f.a and y.b = f.b and y.ctype = r.q),
+{name}_out as (select k.* from {name}_in k where k.b is null or not exists (select 1 from {name}_fold f where f.i = {len(steps)} and f.a = k.a and f.b = k.b and list_contains(f.gone, k.ctype)))"""
+
+
+def _most(p: str, q: str) -> str:
+    return "(" + " and ".join(f"{p}.{m} <= {q}.{m}" for m in pruning.ORDER) + ")"
+
+
+_SUBSUMPTION_RULE = f"if({_most('y', 'x')}, r.q, r.p)"
+_EQUIVALENCE_RULE = f"if({_most('y', 'x')}, r.q, r.p)"
+_NEGATION_RULE = f"case when {_most('y', 'x')} and not {_most('x', 'y')} then r.q when {_most('x', 'y')} and not {_most('y', 'x')} then r.p end"
+#: The positive class's specification with its measures, for SQL.
+_SPEC = f"""with recursive {CUSTOMER_ORDERS}, {CHECKS}, n as (select count(*)::bigint as nt, sum(len(t))::bigint as ne from tr where outcome = 1),
+raw as (select ctype, a, b, sum(act)::bigint as n_act, sum(ful)::bigint as n_ful, count_if(act > 0)::bigint as t_act, count_if(act > 0 and ful = act)::bigint as t_sat
+  from chk where outcome = 1 and ctype not in ('RespondedExistence','NotRespondedExistence') group by 1, 2, 3),
+spec as materialized (select ctype, a, b, n_ful / greatest(1, n_act)::double as econf, n_ful / greatest(1, ne)::double as esupp, t_sat / greatest(1, t_act)::double as tconf, t_sat / greatest(1, nt)::double as tsupp from raw, n)"""
+
+
+@query(f"{_SPEC}, s_in as (select * from spec), {_fold_sql('s', catalogues.SUBSUMPTION, _SUBSUMPTION_RULE)} select ctype, a, b from s_out")
 def prune_subsumption(spark, sf_dir):
     return pruning.subsumption(_spec(spark, sf_dir, "n1")).select("ctype", "a", "b")
 
 
-@query()
+@query(f"{_SPEC}, e_in as (select * from spec), {_fold_sql('e', catalogues.EQUIVALENCE, _EQUIVALENCE_RULE)} select ctype, a, b from e_out")
 def prune_equivalence(spark, sf_dir):
     return pruning.equivalence(_spec(spark, sf_dir, "n1")).select("ctype", "a", "b")
 
 
-@query()
+@query(f"{_SPEC}, g_in as (select * from spec), {_fold_sql('g', catalogues.NEGATION, _NEGATION_RULE)} select ctype, a, b from g_out")
 def prune_negation(spark, sf_dir):
     return pruning.negation(_spec(spark, sf_dir, "n1")).select("ctype", "a", "b")
 
@@ -296,7 +322,17 @@ def prune_entailment(spark, sf_dir):
     return pruning.entailment(_strong(spark, sf_dir)).select("ctype", "a", "b")
 
 
-@query()
+@query(f"""{_SPEC}, s_in as (select * from spec), {_fold_sql('s', catalogues.SUBSUMPTION, _SUBSUMPTION_RULE)},
+e_in as (select * from s_out), {_fold_sql('e', catalogues.EQUIVALENCE, _EQUIVALENCE_RULE)},
+g_in as (select * from e_out), {_fold_sql('g', catalogues.NEGATION, _NEGATION_RULE)},
+f as (select *, 'Response' as e from g_out where ctype in ('Response','AlternateResponse','ChainResponse','Succession','AlternateSuccession','ChainSuccession')
+  union all select *, 'Precedence' from g_out where ctype in ('Precedence','AlternatePrecedence','ChainPrecedence','Succession','AlternateSuccession','ChainSuccession')),
+far as (select distinct p.e as ctype, p.a, q.b from f p join f q on p.e = q.e and p.b = q.a and p.a <> q.b),
+t as (select * from g_out k where not exists (select 1 from far g where g.ctype = k.ctype and g.a = k.a and g.b = k.b)),
+rel(p, q, e) as (values {_ENTAILED}),
+gone as (select distinct r.e as ctype, x.a, x.b from rel r join t x on x.ctype = r.p join t y on y.ctype = r.q and y.a = x.a and y.b = x.b)
+select ctype, a, b, round(econf, 9) as econf, round(esupp, 9) as esupp, round(tconf, 9) as tconf, round(tsupp, 9) as tsupp from t k
+where not exists (select 1 from gone g where g.ctype = k.ctype and g.a = k.a and g.b = k.b)""")
 def prune_all(spark, sf_dir):
     return pruning.prune(_spec(spark, sf_dir, "n1")).select("ctype", "a", "b", *[_r(c).alias(c) for c in pruning.ORDER])
 
@@ -414,13 +450,21 @@ def label_noise(spark, sf_dir):
     return resampling.label_noise(logs.customer_orders(spark, sf_dir), 0.1).select("case_id", "outcome")
 
 
-@query()
+def _order_noise_sql(log: str, seed: int, rho: float, outcome: str = "outcome") -> str:
+    """Adjacent swaps at drawn places, from the left, one after another."""
+    return f"""with {log}, d as (select case_id, {outcome} as outcome, t, round_even({rho} * (len(t) - 1), 0)::int as k,
+  list_sort([{{'h': md5('{seed}|' || case_id || '|' || i), 'i': i}} for i in range(len(t) - 1)]) as o from tr),
+c as (select *, list_sort([x.i for x in list_slice(o, 1, k)]) as places from d)
+select case_id, outcome, array_to_string(list_reduce(list_concat([t], [[i::varchar] for i in places]), lambda t, i: list_concat(list_concat(list_slice(t, 1, i[1]::int), [t[i[1]::int + 2], t[i[1]::int + 1]]), list_slice(t, i[1]::int + 3, len(t)))), '>') as trace from c"""
+
+
+@query(_order_noise_sql(USERS, 42, 0.3))
 def order_noise(spark, sf_dir):
     n = resampling.order_noise(logs.users(spark, sf_dir), 0.3)
     return n.select("case_id", "outcome", F.array_join("trace", ">").alias("trace"))
 
 
-@query()
+@query(_order_noise_sql(CUSTOMER_ORDERS, 43, 0.5, f"if({_uniform_sql(chr(39) + '42' + chr(39), 'case_id')} < 0.1, 1 - outcome, outcome)::int"))
 def joint_noise(spark, sf_dir):
     n = resampling.joint_noise(logs.customer_orders(spark, sf_dir), 0.1, 0.5)
     return n.select("case_id", "outcome", F.array_join("trace", ">").alias("trace"))
@@ -572,11 +616,27 @@ def fisher_scores(spark, sf_dir):
     return c.select("ctype", "a", "b", F.round("score", 6).alias("score"), (F.col("score") >= 3.841458820694124).alias("significant"))
 
 
-@query()
+def _normal_tail_sql(x: str) -> str:
+    """Two-sided normal tail of sqrt(x), the chi-square tail of one degree of freedom: a series, or a continued fraction
+    above 9, taken from its end."""
+    z = f"sqrt({x})"
+    series = f"list_sum([exp(-({x}) / 2 + i * ln({x}) - list_sum([ln(2 * j + 1.0::double) for j in range(1, i + 1)])) for i in range(1, 80)])"
+    inner = f"list_reduce([{z} for k in range(61)], lambda f, s, k: s + (62 - k) / f)"
+    return f"case when {x} <= 0 then 1 when {x} < 9 then 1 - sqrt(2 / pi()) * {z} * (exp(-({x}) / 2) + coalesce({series}, 0)) else 2 * exp(-({x}) / 2) / sqrt(2 * pi()) / {inner} end"
+
+
+@query(f"""with {USER_DAYS}, {CHECKS}, q as ({_PREVALENCE} where ctype in {ENABLED_SQL} group by 1, 2, 3),
+c as (select ctype, a, b, n_sat1::double as w, (n_app1 - n_sat1)::double as x, n_sat0::double as y, (n_app0 - n_sat0)::double as z from q),
+m as (select *, w + x + y + z as n, (w + x) * (y + z) * (w + y) * (x + z) as margins from c),
+e as (select *, if(margins > 0, n * pow(greatest(0, abs(w * z - x * y) - n / 2), 2) / greatest(margins, 1), 0) as chi2,
+  least((w + x) * (w + y), (w + x) * (x + z), (y + z) * (w + y), (y + z) * (x + z)) / greatest(n, 1) < 5 as small_cells from m),
+p as (select *, {_normal_tail_sql('chi2')} as p from e),
+r as (select *, row_number() over (order by p, ctype, a, b nulls first) as rank, count(*) over () as k from p), l as (select max(rank) filter (where p <= rank * 0.05::double / k) as last from r)
+select ctype, a, b, round(chi2, 6) as chi2, round(p, 7) as p, small_cells, coalesce(rank <= last, false) as reject from r, l""")
 def contingency_tests(spark, sf_dir):
     t = logs.user_days(spark, sf_dir)
     p = comparison.contingency_test(measures.class_prevalence(event_log.variants(t), _cands(t), tp.ENABLED))
-    return p.select("ctype", "a", "b", _r("chi2", 6).alias("chi2"), _r("p").alias("p"), "small_cells", "reject")
+    return p.select("ctype", "a", "b", _r("chi2", 6).alias("chi2"), _r("p", 7).alias("p"), "small_cells", "reject")
 
 
 def _null(spark, sf_dir):
@@ -602,12 +662,14 @@ def null_spread_by_family(spark, sf_dir):
     return s.select("family", *[_r(c).alias(c) for c in ("mean", "std", "min", "max", "median")], "n")
 
 
-@query(_LABEL_NULL + """, v as (select rep, count_if(abs(d) >= 0.05) as v from d group by 1)
-select count(*)::bigint as b_null, round(avg(v), 9) as e_v, round(avg(v) / 10, 9) as fdr_emp, round(avg(v) / 104, 9) as pcer_emp, round(avg((v > 0)::int), 9) as fwer_emp, round(stddev_pop(v), 9) as v_std, max(v)::bigint as v_max, count_if(v = 0)::bigint as v_zero from v""")
+@query(_LABEL_NULL + """, v as (select rep, count_if(abs(d) >= 0.05) as v from d where exists (select 1 from o where o.ctype = d.ctype and o.a = d.a and o.b is not distinct from d.b) group by 1),
+m as (select greatest(1, count(*)) as m, greatest(1, count_if(abs(delta) >= 0.05)) as r from o)
+select count(*)::bigint as b_null, round(avg(v), 9) as e_v, round(avg(v) / any_value(r), 9) as fdr_emp, round(avg(v) / any_value(m), 9) as pcer_emp, round(avg((v > 0)::int), 9) as fwer_emp, round(stddev_pop(v), 9) as v_std, max(v)::bigint as v_max, count_if(v = 0)::bigint as v_zero from v, m""")
 def empirical_error_rates(spark, sf_dir):
-    n = _null(spark, sf_dir).select(F.posexplode("null").alias("rep", "stat"))
-    v = n.groupBy("rep").agg(F.count_if(F.abs("stat") >= 0.05).alias("v"))
-    e = significance.empirical_error_rates(v, 10, 104)
+    n = _null(spark, sf_dir).cache()
+    tested, observed = n.agg(F.count(F.lit(1)), F.count_if(F.abs("delta") >= 0.05)).first()
+    v = n.select(F.posexplode("null").alias("rep", "stat")).groupBy("rep").agg(F.count_if(F.abs("stat") >= 0.05).alias("v"))
+    e = significance.empirical_error_rates(v, observed, tested)
     return e.select("b_null", *[_r(c).alias(c) for c in ("e_v", "fdr_emp", "pcer_emp", "fwer_emp", "v_std")], "v_max", "v_zero")
 
 
