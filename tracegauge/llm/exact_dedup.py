@@ -51,9 +51,10 @@ def _first_level(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFram
     """(uid, doc_id, text_sha256) of every row; (uid, width, pos, name) of every block; the greatest width."""
     texts = docs.select("doc_id", F.encode(normalised(), "UTF-8").alias("bytes"))
     cut = texts.select("doc_id", "bytes", _blocks(block_bytes).alias("blocks"))
+    # the outer forms of explode: the others make the optimiser infer a filter that cuts a text anew for every block
     seed = 0
     while True:
-        names = _names(cut.select(F.explode("blocks").alias("block")).select(*_fingerprint(seed), "block").distinct(), ["block"]).select("f0", "f1", "name")
+        names = _names(cut.select(F.explode_outer("blocks").alias("block")).select(*_fingerprint(seed), "block").distinct(), ["block"]).select("f0", "f1", "name")
         names = durable(names)
         if names.groupBy("f0", "f1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             break
@@ -61,7 +62,7 @@ def _first_level(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFram
     # a document's rows are made in one pass, so that its number is drawn once (before its blocks are unfolded); what
     # is said once goes with block 0
     rows = cut.select(row_uid().alias("uid"), "doc_id", F.sha2("bytes", 256).alias("sha"), F.size("blocks").alias("width"), "blocks")
-    rows = rows.select("uid", "doc_id", "sha", "width", F.posexplode("blocks").alias("pos", "block"))
+    rows = rows.select("uid", "doc_id", "sha", "width", F.posexplode_outer("blocks").alias("pos", "block"))
     head = F.col("pos") == 0
     posts = durable(rows.select(
         "uid", F.when(head, F.col("doc_id")).alias("doc_id"), F.when(head, F.col("sha")).alias("text_sha256"), "width", "pos", *_fingerprint(seed),
