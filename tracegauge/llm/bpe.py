@@ -26,6 +26,7 @@ import atexit
 import hashlib
 import shutil
 import tempfile
+from collections.abc import Iterator
 
 import duckdb
 import numpy as np
@@ -39,8 +40,9 @@ from .token_counts import read_ranks
 
 #: Bytes of a stretch, as a power of two, twice the longest token at least; bits of a position in a piece.
 STRETCH, PLACE = 8, 40
-#: Pieces in one recursive query; its rows, of all rounds; bytes of text whose ids are decoded by one query.
-PIECES, ROWS, DECODE_BYTES = 30_000, 1_500_000, 4 << 20
+#: Pieces in one recursive query; its rows, of all rounds; bytes of texts that are encoded together, and of ids that
+#: are decoded by one query.
+PIECES, ROWS, ENCODE_BYTES, DECODE_BYTES = 30_000, 1_000_000, 4 << 20, 1 << 20
 #: Bytes of remembered pieces, and the longest of them.
 MEMORY, REMEMBERED = 64 << 20, 32
 
@@ -105,14 +107,16 @@ with recursive step(id, after, token, next, rank, round) as (
       select h.id, h.gone, h.merged, b.after, coalesce(x.merged, b.next) as next
       from hit h join step b on b.id = h.gone left join hit x on x.id = b.after
     ), active as (select distinct id >> {PLACE} as piece from hit),
-    moved as (
+    moved as materialized (
       select r.id, case when f.id is null then r.after else f.after end as after, coalesce(f.merged, r.token) as token,
         case when f.id is null then coalesce(x.merged, r.next) else f.next end as next, r.rank, f.id is not null or x.id is not null as new, r.round + 1 as round
       from step r join active on active.piece = r.id >> {PLACE} left join made f on f.id = r.id left join made x on x.id = r.after
       where not exists (select 1 from made g where g.gone = r.id)
+    ), pairs as (
+      select m.key, m.rank from merges m join (select distinct token << 32 | next as key from moved where new) k on m.key = k.key
     )
-    select id, after, moved.token, moved.next, case when new then m.rank else moved.rank end, round
-    from moved left join merges m on m.key = case when new then (moved.token << 32 | moved.next) end
+    select id, after, moved.token, moved.next, case when new then p.rank else moved.rank end, round
+    from moved left join pairs p on p.key = case when new then (moved.token << 32 | moved.next) end
   )
 )
 select id, after, token, next, rank, last from (select id >> {PLACE} as piece, max(round) as last from step group by 1) join step on piece = id >> {PLACE} and round = last
@@ -187,8 +191,18 @@ class Codec:
                 self.held += 4 * len(p) + len(ids) + 200
         return out
 
-    def decode(self, ids: list[bytes]) -> list[memoryview]:
+    def decode(self, ids: list[bytes]) -> Iterator[memoryview]:
         """The bytes of each document."""
+        i = 0
+        while i < len(ids):
+            j, size = i, 0
+            while j < len(ids) and (j == i or size + len(ids[j]) <= DECODE_BYTES):
+                size += len(ids[j])
+                j += 1
+            yield from self._decode(ids[i:j])
+            i = j
+
+    def _decode(self, ids: list[bytes]) -> list[memoryview]:
         sizes = np.array([len(x) // 4 for x in ids], np.int64)
         flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
         self.con.register("tokens", pa.table({"doc": np.repeat(np.arange(len(ids)), sizes), "pos": np.arange(len(flat)), "id": flat}))
@@ -227,7 +241,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
             n, hashes, decoded, i = [], [], [], 0
             while i < len(texts):
                 j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= DECODE_BYTES):
+                while j < len(texts) and (j == i or size + len(texts[j]) <= ENCODE_BYTES):
                     size += len(texts[j])
                     j += 1
                 ids = codec.encode([t.decode() for t in texts[i:j]])
