@@ -350,3 +350,41 @@ def test_vocabulary_reads():
     with open(RANKS, "rb") as f:
         first = f.readline().split()
     assert ranks[base64.b64decode(first[0])] == int(first[1])
+
+
+def auc(rows, y):
+    """The share of (1, 0) pairs that scores put in order; ties count half."""
+    one, zero = ([r["score"] for r in rows if y[r["doc_id"]] == k] for k in (1, 0))
+    return sum((a > b) + (a == b) / 2 for a in one for b in zero) / (len(one) * len(zero))
+
+
+@pytest.mark.parametrize(("name", "f"), [("toxic", toxicity.toxicity), ("quality", quality_classifier.quality_classifier)])
+def test_held_out_labels_are_ranked(spark, name, f):
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    y = {r["doc_id"]: r[name] for r in marks.where(f"{name} is not null").collect()}
+    rows = [r for r in f(docs, marks).where("held_out").collect() if r["doc_id"] in y]
+    assert auc(rows, y) > 0.8
+
+
+def test_toxicity_of_one_class(spark, docs):
+    ones = docs.where("doc_id is not null").select("doc_id", F.lit(1).alias("toxic"))
+    assert all(r["score"] > 0.9 and r["predicted"] == 1 for r in toxicity.toxicity(docs, ones).collect())
+
+
+def test_near_dedup_finds_all_links_of_a_table(spark):
+    """Whole documents of sf0.01 against a comparison of all pairs."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    data = [(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()]
+    want = sorted((d, n, d if n == 0 else c) for d, n, c in cases.near_components(data).values())
+    got = sorted(tuple(r) for r in near_dedup.near_dedup(table).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == want
+
+
+def test_exact_stage_returns_clashing_columns_as_they_are(spark):
+    data = [(i, f"text {i % 7}", "en", "s", 1) for i in range(20)]
+    docs = cases.documents(spark, data=data)
+    for c in ("_sha", "_id", "__c0", "uid", "first"):
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.col("doc_id")))
+    rows = exact_dedup.keep_first(docs).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(7))
+    assert all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in ("_sha", "_id", "__c0", "uid", "first"))
