@@ -21,6 +21,12 @@ def threshold_decision(conf: DataFrame, tau: float, least: float = TAU_LEAST) ->
     return conf.where(differs(float(tau), least)).withColumn("delta_conf", F.abs(F.col("conf1") - F.col("conf0")))
 
 
+def ranked_differences(conf: DataFrame) -> DataFrame:
+    """Adds place: by falling difference, then by the larger confidence, then by name.  One order over all patterns."""
+    order = [F.desc(F.abs(F.col("conf1") - F.col("conf0"))), F.desc(F.greatest("conf0", "conf1")), "ctype", "a", F.asc_nulls_first("b")]
+    return conf.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 def discovery_curve(conf: DataFrame, least: float = TAU_LEAST, step: float = GRID_STEP, size: int = GRID_SIZE) -> DataFrame:
     """(tau, r_obs) on the grid: a histogram and a running sum, not grid x patterns."""
     d = F.abs(F.col("conf1") - F.col("conf0"))

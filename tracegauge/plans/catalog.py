@@ -593,6 +593,11 @@ def threshold_decision(spark, sf_dir):
     return comparison.threshold_decision(_conf(spark, sf_dir), 0.02).select("ctype", "a", "b", _r("delta_conf").alias("delta_conf"))
 
 
+@query(_CONF + " select ctype, a, b, row_number() over (order by abs(conf1 - conf0) desc, greatest(conf0, conf1) desc, ctype, a, b nulls first)::int as place from c")
+def difference_ranking(spark, sf_dir):
+    return comparison.ranked_differences(_conf(spark, sf_dir)).select("ctype", "a", "b", "place")
+
+
 @query(_CONF + """, k as (select least(floor(round(abs(conf1 - conf0) / 0.0001::double, 6)), 9000)::int as k from c where conf0 >= 0.01 or conf1 >= 0.01),
 gr as (select j as g, count_if(k >= j)::bigint as r_obs from range(1, 9001) as r(j), k group by 1), b as (select max(g) filter (where r_obs >= 20) as best from gr)
 select round(g * 0.0001::double, 6) as tau, r_obs, r_obs - 20 as overshoot, case when best is null then 'under_discovery_capped' when best = 9000 then 'over_discovery' else 'normal' end as pathology
