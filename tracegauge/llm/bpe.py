@@ -32,6 +32,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -223,6 +224,17 @@ class Codec:
 
 _codecs: dict[str, Codec] = {}
 
+
+def worker_codec(name: str, shared: Broadcast) -> Codec:
+    """This worker's codec, with the pieces that it knows from earlier tasks.
+
+    A function of the module, as one made inside another is sent with a copy of the globals that it names.
+    """
+    if name not in _codecs:
+        _codecs[name] = Codec(*shared.value)
+    return _codecs[name]
+
+
 FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
 
@@ -233,9 +245,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     name = f"{vocabulary}|{pattern}"
 
     def kernel():
-        if name not in _codecs:  # a worker keeps it, with the pieces it knows, for its next tasks
-            _codecs[name] = Codec(*shared.value)
-        codec = _codecs[name]
+        codec = worker_codec(name, shared)
 
         def run(texts: list[bytes]) -> dict:
             n, hashes, decoded, i = [], [], [], 0
