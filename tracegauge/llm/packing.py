@@ -30,7 +30,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
@@ -302,6 +302,18 @@ class _Pool:
 
 
 _encoders: dict[str, WordEncoder] = {}
+
+
+def worker_encoder(name: str, shared: Broadcast) -> WordEncoder:
+    """This worker's encoder, with the pieces that it knows from earlier tasks.
+
+    A function of the module, as one made inside another is sent with a copy of the globals that it names.
+    """
+    if name not in _encoders:
+        _encoders[name] = WordEncoder(shared.value)
+    return _encoders[name]
+
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -315,9 +327,7 @@ def pack_documents(
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary of fixed size
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = WordEncoder(shared.value)
-        encoder, packer = _encoders[tokenizer], Packer(tokens, segments, loss)
+        encoder, packer = worker_encoder(tokenizer, shared), Packer(tokens, segments, loss)
         first = TaskContext.get().partitionId() << 40
         mark = np.array([end], encoder.dtype)
 
