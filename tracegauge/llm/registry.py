@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, conversations, exact_dedup, near_dedup, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity, warc
+from . import bpe, conversations, exact_dedup, near_dedup, packing, quality_classifier, quality_rules, recompression, sharding, token_counts, toxicity, warc
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op11_conversation_repair(spark, sf_dir):
     return conversations.conversation_repair(table(spark, sf_dir, "conversations"))
 
 
+def op12_substring_dedup(spark, sf_dir):
+    return recompression.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -67,8 +71,9 @@ def queries():
         "op9_quality_classifier": op9_quality_classifier,
         "op10_exact_dedup": op10_exact_dedup,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_substring_dedup": op12_substring_dedup,
     }
 
 
 def oracle_sql():
-    return {"op7_warc": warc.SQL, "op10_exact_dedup": exact_dedup.SQL, "op11_conversation_repair": conversations.SQL}
+    return {"op7_warc": warc.SQL, "op10_exact_dedup": exact_dedup.SQL, "op11_conversation_repair": conversations.SQL, "op12_substring_dedup": recompression.SQL}
