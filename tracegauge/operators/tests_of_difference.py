@@ -1,179 +1,142 @@
-"""Resampling tests of constraints, on variants.
+"""Resampling tests of constraints.
 
-Label permutations leave traces alone: a replicate is no more than how many of each variant's cases are
-positive.  So holds are evaluated once for each variant, and a replicate's statistic is a product of the
-pattern x variant matrix with the variant x replicate counts.  Cases aren't moved or sorted: a task counts its own
-cases' draws.  Variants are dealt over partitions; every partition multiplies its own part with numpy and gives
-partial sums, which are added by pattern and range of replicates.
+A replicate leaves the traces, or their activities, alone; so what a case adds to a pattern is known where the case is, for
+all replicates at once.  Tasks draw for their own cases and add up vectors, one for each pattern with a place for each
+replicate (:mod:`replicates`); only vectors are shuffled, and, for label permutations, the few draws that lie so close to
+a replicate's cut that they have to be ranked.
 """
 
 from __future__ import annotations
 
-from hashlib import md5
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import templates as tp
+from ..shared import shared_folder
 from ..shipping import ensure
-from . import measures, resampling
-
-
-def with_variant(traces: DataFrame) -> DataFrame:
-    """Adds ``variant``: a hash of the trace."""
-    return traces.withColumn("variant", F.md5(F.to_json("trace")))
+from . import measures, replicates
 
+KEYS = replicates.KEYS
+#: Draws that are handed out at a time.
+BATCH = 20_000
+_DRAWN = "outer int, ctype string, a string, b string, sums binary, rep int, h binary, case_id string, trace array<string>, below array<long>"
 
-#: Half of the band around a replicate's expected cut, in standard deviations; only draws in it are ranked.
-BAND = 6.0
-#: Replicates of a pattern that are added up at a time; cases whose draws are held at a time; variants held by a task.
-CHUNK, CASES, HELD = 256, 128, 2000
 
-
-def _draws(cases: DataFrame, count: int, seed: int, low: int, high: int) -> DataFrame:
-    """Every case's draw in every replicate, against a band: rows of kind 0 have a variant's cases, positives and draws
-    below the band by replicate; of kind 1 one draw in the band; of kind 2 a task's draws below it."""
+def _label_parts(cases: DataFrame, names: list[str], unary: list[str], count: int, seed: int, low: int, high: int) -> DataFrame:
+    """One pass over the cases, with their draws against a band: a task's vectors [applicable, satisfied] of [all cases,
+    positive ones, and each replicate's positives], as far as they lie below the band; every draw in the band with its
+    trace; and how many of a task's draws are below it."""
 
     def run(batches):
+        names_out = [c.split()[0] for c in _DRAWN.split(", ")]
+        types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int32(), pa.binary(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
+        rows = lambda n, **given: pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in zip(names_out, types, strict=True)], names_out)
+        sums = lambda: (rows(b.num_rows, **{c: b.column(c) for c in ("outer", *KEYS, "sums")}) for b in held.rows())
+        held, below = replicates.Products(count, names, unary), np.zeros(count, np.int64)
         heads = [f"{seed}|{r}|".encode() for r in range(count)]
-        below_all = np.zeros(count, np.int64)
-        index: dict[str, int] = {}
-        n, n1, ones = np.zeros(HELD + CASES, np.int64), np.zeros(HELD + CASES, np.int64), np.zeros((HELD + CASES, count), np.int64)
-        names = ["kind", "variant", "n", "n1", "ones", "rep", "h", "case_id"]
-        types = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.string()]
-
-        def rows(kind, size, **given):
-            return pa.RecordBatch.from_arrays([pa.array(given.get(c, [kind] * size if c == "kind" else [None] * size), t) for c, t in zip(names, types, strict=True)], names)
-
-        def sums():
-            k = len(index)
-            out = rows(0, k, variant=list(index), n=n[:k].copy(), n1=n1[:k].copy(), ones=list(ones[:k]))
-            n[:k], n1[:k], ones[:k] = 0, 0, 0
-            index.clear()
-            return out
-
-        for whole in batches:
-            for i in range(0, whole.num_rows, CASES):
-                ids, outcome, variant = (whole.column(c).slice(i, CASES).to_pylist() for c in ("case_id", "outcome", "variant"))
-                raw = b"".join([md5(h + c).digest() for c in (x.encode() for x in ids) for h in heads])
-                h = np.frombuffer(raw, ">u8").reshape(len(ids), count, 2)[:, :, 0]
-                below = h < low
-                below_all += below.sum(0)
-                at = np.array([index.setdefault(v, len(index)) for v in variant])
-                own, local = np.unique(at, return_inverse=True)
-                member = np.zeros((len(own), len(ids)), np.float32)
-                member[local, np.arange(len(ids))] = 1
-                ones[own] += (member @ below.astype(np.float32)).astype(np.int64)
-                np.add.at(n, at, 1)
-                np.add.at(n1, at, np.array(outcome))
-                c, r = np.nonzero(~below & (h <= high))
-                if len(c):
-                    yield rows(1, len(c), variant=[variant[j] for j in c], rep=r, h=[raw[16 * (j * count + k) : 16 * (j * count + k) + 16] for j, k in zip(c.tolist(), r.tolist(), strict=True)], case_id=[ids[j] for j in c])
-                if len(index) >= HELD:
-                    yield sums()
-        yield sums()
-        yield rows(2, 1, ones=[below_all])
+        waiting, size = [], 0
+
+        def in_band():
+            reps, digests, ids, traces = zip(*waiting, strict=True)
+            of = np.repeat(np.arange(len(ids)), [len(x) for x in reps])
+            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(of), [None, pa.py_buffer(np.concatenate(digests).tobytes())])
+            return rows(len(of), rep=np.concatenate(reps), h=raw.cast(pa.binary()), case_id=pa.array(ids, pa.string()).take(pa.array(of)), trace=pa.array(traces, pa.list_(pa.string())).take(pa.array(of)))
+
+        for batch in batches:
+            for case_id, outcome, trace in zip(*[batch.column(c).to_pylist() for c in ("case_id", "outcome", "trace")], strict=True):
+                raw, h = replicates.first64(heads, case_id)
+                under = h < low
+                below += under
+                of = held.of(trace)
+                of[0] += 1
+                of[1] += outcome
+                of[2:] += under
+                near = np.flatnonzero(~under & (h <= high))
+                if len(near):
+                    waiting.append((near, np.frombuffer(raw, "S16")[near], case_id, trace))
+                    size += len(near)
+                if size >= BATCH:
+                    yield in_band()
+                    waiting, size = [], 0
+                if held.full():
+                    yield from sums()
+        if waiting:
+            yield in_band()
+        yield from sums()
+        yield rows(1, below=[below])
 
     ensure(cases.sparkSession)
-    return cases.select("case_id", "outcome", "variant").mapInArrow(run, "kind int, variant string, n long, n1 long, ones array<long>, rep int, h binary, case_id string")
+    return cases.mapInArrow(run, _DRAWN)
 
 
-def replicate_counts(traces: DataFrame, count: int, seed: int = 42) -> DataFrame:
-    """(variant, n, n1, ones, reps, ks): of parts of a variant's cases, how many there are, how many are positive, and
-    how many are in each replicate, in ``ones`` by replicate, or for replicates ``reps`` in ``ks``; the parts add up.
+def label_sums(traces: DataFrame, cands: DataFrame, count: int, seed: int) -> DataFrame:
+    """Candidates' vectors [applicable, satisfied] of [all cases, positive ones, the positives of ``count`` permutations].
 
-    A replicate's positives are its n1 smallest draws.  Draws are uniform, so all below a band around n1 / n are
-    positive and all above it aren't; those in the band, some sqrt(n) of them, are ranked.  Should a replicate's cut lie
-    outside the band, everything is ranked.
+    A replicate's positives are its n1 smallest draws.  Draws are uniform, so all below a band around n1 / n are positive
+    and all above it aren't; those in the band, some sqrt(n) of them, are ranked.  Should a replicate's cut lie outside
+    the band, everything is ranked.
     """
-    cases = with_variant(traces).select("case_id", "outcome", "variant")
-    n, n1 = cases.agg(F.count(F.lit(1)), F.sum("outcome")).first()
-    share, half = (n1 or 0) / max(n, 1), BAND * (((n1 or 0) / max(n, 1)) * (1 - (n1 or 0) / max(n, 1)) / max(n, 1)) ** 0.5
+    spark, (names, unary) = traces.sparkSession, replicates.templates(cands)
+    n, n1 = traces.agg(F.count(F.lit(1)), F.sum("outcome")).first()
+    n1 = n1 or 0
+    share = n1 / max(n, 1)
+    half = replicates.BAND * (share * (1 - share) / max(n, 1)) ** 0.5
+    cases = replicates.dealt(traces.select("case_id", "outcome", "trace"), n, "case_id")
     for low, high in ((max(0.0, share - half), min(1.0, share + half)), (0.0, 1.0)):
-        drawn = _draws(cases, count, seed, min(int(low * 2.0**64), 2**64 - 1), min(int(high * 2.0**64), 2**64 - 1)).persist()
-        below = drawn.where("kind = 2").select(F.posexplode("ones").alias("rep", "c")).groupBy("rep").agg(F.sum("c").alias("c"))
-        near = drawn.where("kind = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("m"))
-        left = [(r["rep"], (n1 or 0) - r["c"], r["m"] or 0) for r in below.join(near, "rep", "left").collect()]  # count rows
+        folder = shared_folder(spark, "labels")
+        _label_parts(cases, names, unary, count, seed, *(min(int(x * 2.0**64), 2**64 - 1) for x in (low, high))).write.parquet(folder)
+        drawn = spark.read.schema(_DRAWN).parquet(folder)
+        below = drawn.where("below is not null").select(F.posexplode("below").alias("rep", "c")).groupBy("rep").agg(F.sum("c").alias("c"))
+        near = drawn.where("rep is not null").groupBy("rep").agg(F.count(F.lit(1)).alias("m"))
+        left = [(r["rep"], n1 - r["c"], r["m"] or 0) for r in below.join(near, "rep", "left").collect()]  # one row for each replicate
         if all(0 <= k <= m for _, k, m in left):
             break
-        drawn.unpersist()
-    quota = traces.sparkSession.createDataFrame([(r, k) for r, k, _ in left], "rep int, quota long")
+    quota = spark.createDataFrame([(r, k) for r, k, _ in left], "rep int, quota long")
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("h", "case_id"))
-    more = drawn.where("kind = 1").join(F.broadcast(quota), "rep").withColumn("rank", rank).where("rank <= quota").groupBy("variant", "rep").agg(F.count(F.lit(1)).alias("k"))
-    more = more.groupBy("variant").agg(F.collect_list("rep").alias("reps"), F.collect_list("k").alias("ks"))
-    none = F.lit(None)
-    return drawn.where("kind = 0").select("variant", "n", "n1", "ones", none.cast("array<int>").alias("reps"), none.cast("array<long>").alias("ks")).unionByName(
-        more.select("variant", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("n1"), none.cast("array<long>").alias("ones"), "reps", "ks"))
+    more = drawn.where("rep is not null").select("rep", "h", "case_id", "trace").join(F.broadcast(quota), "rep").withColumn("rank", rank).where("rank <= quota")
+    more = more.groupBy("trace", "rep").agg(F.count(F.lit(1)).alias("k")).groupBy("trace").agg(F.collect_list(F.struct("rep", "k")).alias("drawn"))
+
+    def add(batches):
+        held = replicates.Products(count, names, unary)
+        for batch in batches:
+            for trace, drawn in zip(batch.column("trace").to_pylist(), batch.column("drawn").to_pylist(), strict=True):
+                held.of(trace)[[2 + d["rep"] for d in drawn]] += [d["k"] for d in drawn]
+                if held.full():
+                    yield from held.rows()
+        yield from held.rows()
+
+    parts = drawn.where("sums is not null").select("outer", *KEYS, "sums").unionByName(more.mapInArrow(add, replicates.PARTIAL))
+    return replicates.by_candidate(replicates.added(parts), cands, 1)
 
 
 def label_permutation(traces: DataFrame, cands: DataFrame, count: int, seed: int = 42, keep_null: bool = False) -> DataFrame:
-    """Per pattern: observed prevalence difference, one- and two-sided p-values, null mean and deviation.
+    """Per pattern that applies somewhere: observed prevalence difference, one- and two-sided p-values, null mean and
+    deviation.
 
     With ``keep_null`` also ``null``: the statistic of every replicate.
     """
-    vt = with_variant(traces).groupBy("variant").agg(F.first("trace").alias("trace"))
-    h = measures.holds(vt, cands, ["variant"]).select("variant", F.struct("ctype", "a", "b").alias("spec"), "sat")
-    rows = h.groupBy("variant").agg(F.collect_list(F.struct("spec", "sat")).alias("holds")).join(replicate_counts(traces, count, seed), "variant")
-
-    def partial(batches):
-        index: dict[tuple, int] = {}
-        ones = np.zeros((2, 0, count + 1))  # app and sat of class 1, by replicate; last the observed
-        every = np.zeros((2, 0))  # app and sat of all cases
-        for whole in batches:
-            for i in range(0, whole.num_rows, CASES):
-                part = whole.slice(i, CASES).to_pylist()
-                spec = [[index.setdefault((s["spec"]["ctype"], s["spec"]["a"], s["spec"]["b"]), len(index)) for s in r["holds"]] for r in part]
-                if len(index) > every.shape[1]:
-                    extra = max(len(index) - every.shape[1], 64 + every.shape[1])
-                    ones, every = np.concatenate([ones, np.zeros((2, extra, count + 1))], 1), np.concatenate([every, np.zeros((2, extra))], 1)
-                held, y = np.zeros((2, every.shape[1], len(part))), np.zeros((len(part), count + 1))
-                for j, (r, at) in enumerate(zip(part, spec, strict=True)):
-                    held[0, at, j], held[1, at, j] = 1, [s["sat"] for s in r["holds"]]
-                    if r["ones"] is not None:
-                        y[j, :count] = r["ones"]
-                        y[j, count] = r["n1"]
-                    else:
-                        y[j, r["reps"]] = r["ks"]
-                ones += held @ y
-                every += held @ np.array([r["n"] for r in part], float)
-        specs = list(index)
-        for c in range(0, count, CHUNK):
-            upto = min(c + CHUNK, count)
-            values = [np.concatenate([ones[k, i, c:upto], ones[k, i, count:], every[k, i : i + 1]]) for i in range(len(specs)) for k in (0, 1)]
-            sums = [np.concatenate(values[2 * i : 2 * i + 2]) for i in range(len(specs))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([s[i] for s in specs], pa.string()) for i in range(3)] + [pa.array(np.full(len(specs), c), pa.int32()), pa.array(sums, pa.list_(pa.float64()))],
-                ["ctype", "a", "b", "chunk", "sums"],
-            )
-
-    ensure(traces.sparkSession)
-    parts = rows.select("holds", "n", "n1", "ones", "reps", "ks").mapInArrow(partial, "ctype string, a string, b string, chunk int, sums array<double>")
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        app, sat = np.sum(np.stack(pdf["sums"].to_numpy()), 0).reshape(2, -1)
-        app1, sat1 = app[:-1], sat[:-1]
-        share = lambda x, y: np.divide(x, y, out=np.zeros_like(x), where=y > 0)
-        stat = np.round(share(sat1, app1) - share(sat[-1] - sat1, app[-1] - app1), 12)
-        null, seen = stat[:-1], stat[-1]
-        return pd.DataFrame({
-            "ctype": [pdf["ctype"].iloc[0]], "a": [pdf["a"].iloc[0]], "b": [pdf["b"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "delta": [seen],
-            "exceed_two": [int((np.abs(null) >= abs(seen)).sum())], "exceed_one": [int((null >= seen).sum() if seen >= 0 else (null <= seen).sum())],
-            "s": [null.sum()], "ss": [(null**2).sum()], "null": [null.tolist() if keep_null else []],
-        })
-
-    # a group has one row for every task of the product and CHUNK replicates
-    chunks = parts.groupBy("ctype", "a", "b", "chunk").applyInPandas(
-        total, "ctype string, a string, b string, chunk int, delta double, exceed_two long, exceed_one long, s double, ss double, null array<double>"
-    )
-    mean = F.sum("s") / count
-    out = chunks.groupBy("ctype", "a", "b").agg(
-        F.first("delta").alias("delta"), F.sum("exceed_two").alias("exceed_two"), F.sum("exceed_one").alias("exceed_one"), mean.alias("null_mean"),
-        F.sqrt(F.greatest(F.lit(0.0), F.sum("ss") / count - mean * mean)).alias("null_std"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "null"))), lambda x: x["null"])).alias("null"),
-    )
-    return out.withColumn("p_two", (1 + F.col("exceed_two")) / F.lit(count + 1.0)).withColumn("p_one", (1 + F.col("exceed_one")) / F.lit(count + 1.0))
+
+    def statistics(batches):
+        share = lambda x, n: np.divide(x, n, out=np.zeros(len(x)), where=n > 0)
+        for pdf in batches:
+            out = []
+            for *key, both, x, y, every in zip(*[pdf[c] for c in (*KEYS, "both", "x", "y", "every")], strict=True):
+                app, sat = replicates.total((both, x, y, every), 2 * (count + 2)).reshape(2, -1)
+                if not app[0]:
+                    continue
+                stat = np.round(share(sat[1:], app[1:]) - share(sat[0] - sat[1:], app[0] - app[1:]), 12)
+                null, seen = stat[1:], stat[0]
+                mean = null.sum() / count
+                one = int((null >= seen).sum() if seen >= 0 else (null <= seen).sum())
+                out.append((*key, seen, int((np.abs(null) >= abs(seen)).sum()), one, mean, max(0.0, (null**2).sum() / count - mean * mean) ** 0.5, null if keep_null else np.zeros(0)))
+            yield pd.DataFrame(out, columns=[*KEYS, "delta", "exceed_two", "exceed_one", "null_mean", "null_std", "null"])
+
+    found = label_sums(traces, cands, count, seed).mapInPandas(
+        statistics, "ctype string, a string, b string, delta double, exceed_two long, exceed_one long, null_mean double, null_std double, null array<double>")
+    return found.withColumn("p_two", (1 + F.col("exceed_two")) / F.lit(count + 1.0)).withColumn("p_one", (1 + F.col("exceed_one")) / F.lit(count + 1.0))
 
 
 def difference_test(traces: DataFrame, cands: DataFrame, count: int, alpha: float = 0.05, seed: int = 42, least_difference: float = 0.0, least_interest: float = 0.0) -> DataFrame:
@@ -196,36 +159,22 @@ def _variants(traces: DataFrame) -> DataFrame:
     return variants(traces)
 
 
-def structural_permutation(traces: DataFrame, cands: DataFrame, count: int, seed: int = 42, negative=("NotResponse", "NotChainSuccession")) -> DataFrame:
-    """Per pattern: prevalence of one class against logs whose traces are shuffled.
+def structural_permutation(traces: DataFrame, cands: DataFrame, count: int, seed: int = 42, negative=tp.NEGATIVE) -> DataFrame:
+    """Per pattern that applies somewhere: prevalence of one class against logs whose traces are shuffled.
 
-    Even replicates screen, odd ones test.  Upper tail; for negative templates twice the smaller tail.
+    Even replicates screen, odd ones test.  Upper tail; for negative templates twice the smaller tail.  How many cases a
+    pattern applies to doesn't depend on their orders, so counts of satisfied cases stand for prevalences.
     """
-    permuted = resampling.permuted_traces(traces, count, seed)
-    weighted = permuted.groupBy("rep", "trace").agg(F.count(F.lit(1)).alias("n"))
-    null = _prevalence_by(weighted, cands, ["rep"])
-    seen = _prevalence_by(traces.groupBy("trace").agg(F.count(F.lit(1)).alias("n")), cands, []).withColumnRenamed("prev", "seen")
-    rows = null.withColumnRenamed("prev", "drawn").join(F.broadcast(seen.select("spec", "seen")), "spec")
-    half = lambda k: (F.col("rep") % 2) == k
-    up, low = F.col("drawn") >= F.col("seen"), F.col("drawn") <= F.col("seen")
-    # replicates in which a pattern applies nowhere have prevalence 0
-    n = {0: (count + 1) // 2, 1: count // 2}
-    agg = rows.groupBy("spec").agg(
-        F.first("seen").alias("seen"),
-        *[F.count_if(half(k)).alias(f"met{k}") for k in n], *[F.count_if(half(k) & up).alias(f"up{k}") for k in n], *[F.count_if(half(k) & low).alias(f"low{k}") for k in n],
-    )
-    out = seen.select("spec", F.col("seen").alias("prev")).join(agg.drop("seen"), "spec", "left")
-    for k, name in ((0, "p_screen"), (1, "p_struct")):
-        c = lambda x: F.coalesce(F.col(f"{x}{k}"), F.lit(0))  # noqa: B023, E731
-        missing = F.lit(n[k]) - c("met")
-        upper = (1 + c("up") + F.when(F.col("prev") <= 0, missing).otherwise(0)) / F.lit(n[k] + 1.0)
-        lower = (1 + c("low") + missing) / F.lit(n[k] + 1.0)
-        two = F.least(F.lit(1.0), 2 * F.least(upper, lower))
-        out = out.withColumn(name, F.when(F.col("spec.ctype").isin(*negative), two).otherwise(upper))
-    return out.select("spec.ctype", "spec.a", "spec.b", "prev", "p_screen", "p_struct")
-
-
-def _prevalence_by(weighted: DataFrame, cands: DataFrame, keys: list[str]) -> DataFrame:
-    """Prevalence (rounded, so that equal ratios are equal) of each pattern within keys, from (keys, trace, n)."""
-    h = measures.holds(weighted, cands, [*keys, "n"])
-    return h.groupBy(*keys, F.struct("ctype", "a", "b").alias("spec")).agg(F.round(F.sum(F.col("n") * F.col("sat")) / F.sum("n"), 12).alias("prev"))
+    sums = replicates.order_counts(traces, cands, count, seed)
+
+    def tails(batches):
+        for pdf in batches:
+            rows = []
+            for ctype, a, b, *parts in zip(*[pdf[c] for c in ("ctype", "a", "b", "both", "x", "y", "every")], strict=True):
+                v = replicates.total(parts, count + 2)
+                if v[0] > 0:
+                    p = [replicates.tail_p(v[2 + k :: 2], v[1], ctype in negative) for k in (0, 1)]
+                    rows.append((ctype, a, b, round(v[1] / v[0], 12), *p))
+            yield pd.DataFrame(rows, columns=["ctype", "a", "b", "prev", "p_screen", "p_struct"])
+
+    return sums.mapInPandas(tails, "ctype string, a string, b string, prev double, p_screen double, p_struct double")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import measures, resampling, significance, tests_of_difference
+from ..functions import templates as tp
+from ..operators import replicates, significance, tests_of_difference
+from ..shipping import ensure
 
 KEYS = ["ctype", "a", "b"]
 
@@ -54,31 +58,84 @@ def dominant(tested: DataFrame, w_order: float, w_label: float) -> DataFrame:
     return out.withColumn("t", significance.combined_statistic("p_struct", "p_disc", w_order, w_label))
 
 
-def null_statistics(traces: DataFrame, cands: DataFrame, b: Budget, w_order: float, w_label: float) -> DataFrame:
+def null_statistics(traces: DataFrame, cands: DataFrame, b: Budget, w_order: float, w_label: float, negative=tp.NEGATIVE) -> DataFrame:
     """(outer, ctype, a, b, t): the combined statistic on double-null logs, all outer replicates in one job.
 
-    The outer replicate is part of every key and of every draw, so replicates are independent.
+    A case is handed to as many tasks as there are blocks of outer replicates.  For each of them the task draws the case's
+    null label and null trace, the inner labels of that log and the inner orders of that trace, and adds the case to
+    the vectors of its patterns: a product of the verdicts on the null trace with the inner labels, and the verdicts
+    on the inner orders.  A vector holds, for one outer replicate, [applicable and satisfied positives, by inner labels
+    and as labelled; applicable cases by class; satisfied cases by class, as ordered and by inner orders].  Only
+    vectors are shuffled.  The outer replicate is part of every draw, so replicates are independent.
     """
-    null = resampling.double_null(traces, b.outer, b.seed + 100).withColumnRenamed("rep", "outer")
-    h = measures.holds(null, cands, ["outer", "case_id", "outcome"])
-    prev = lambda y: F.coalesce(F.try_divide(F.sum(F.col("sat") * y).cast("double"), F.sum(y)), F.lit(0.0))
-    diff = lambda y: F.round(prev(y) - prev(1 - y), 12)
-    seen = h.groupBy("outer", *KEYS).agg(diff(F.col("outcome")).alias("seen"), prev(F.col("outcome")).alias("prev1"), prev(1 - F.col("outcome")).alias("prev0"))
-    labels = resampling.permuted_labels(null, b.inner_label, b.seed + 200, ["outer"])
-    drawn = h.join(labels, ["outer", "case_id"]).groupBy("outer", "rep", *KEYS).agg(diff(F.col("label")).alias("d"))
-    met = _joined(drawn, seen, ["outer"])
-    p_label = met.groupBy("outer", *KEYS).agg(
-        ((1 + F.count_if(F.abs("d") >= F.abs("seen"))) / F.lit(b.inner_label + 1.0)).alias("p_disc"), F.first("prev0").alias("prev0"), F.first("prev1").alias("prev1"))
-    shuffled = resampling.permuted_traces(null, b.inner_order, b.seed + 300, ["outer"])
-    weighted = shuffled.groupBy("outer", "rep", "outcome", "trace").agg(F.count(F.lit(1)).alias("n"))
-    inner = measures.holds(weighted, cands, ["outer", "rep", "outcome", "n"]).groupBy("outer", "rep", "outcome", *KEYS).agg(F.round(F.sum(F.col("n") * F.col("sat")) / F.sum("n"), 12).alias("d"))
-    own = h.groupBy("outer", "outcome", *KEYS).agg(F.round(F.avg("sat"), 12).alias("seen"))
-    met = _joined(inner, own, ["outer", "outcome"]).where(F.col("rep") % 2 == 1)
-    tests = b.inner_order // 2
-    p_order = met.groupBy("outer", "outcome", *KEYS).agg(((1 + F.count_if(F.col("d") >= F.col("seen"))) / F.lit(tests + 1.0)).alias("p"))
-    wide = p_order.groupBy("outer", *KEYS).agg(F.max(F.when(F.col("outcome") == 0, F.col("p"))).alias("p_struct0"), F.max(F.when(F.col("outcome") == 1, F.col("p"))).alias("p_struct1"))
-    both = _joined(p_label, wide, ["outer"]).na.fill({"p_struct0": 1.0, "p_struct1": 1.0})
-    return dominant(both, w_order, w_label).select("outer", *KEYS, "t")
+    names, unary = replicates.templates(cands)
+    tests = range(1, b.inner_order, 2)  # even ones screen, which calibration has no use for
+    labels_to, app_to, orders = b.inner_label + 1, 2 * (b.inner_label + 1), len(tests) + 1
+    width = app_to + 2 + 2 * orders
+    n, n1 = traces.agg(F.count(F.lit(1)), F.sum("outcome")).first()
+    heads = [f"{b.seed + 100}|{o}|" for o in range(b.outer)] + [f"{b.seed + 200}|{o}|{r}|" for o in range(b.outer) for r in range(b.inner_label)]
+    labels = replicates.Labels(heads, replicates.label_cuts(traces, heads, n, n1 or 0))
+    size = max(1, min(b.outer, replicates.HELD_BYTES // (8 * width * max(1, cands.count()))))
+    blocks = -(-b.outer // size)
+
+    def add(held, case_id: str, t, first: int, low: int, high: int) -> None:
+        """Adds a case in the outer replicates from ``low`` up to ``high``; ``first`` is the block's."""
+        o, rows, many = range(low, high), slice(low - first, high - first), high - low
+        y = labels.of(case_id, low, high)
+        drawn = labels.of(case_id, b.outer + low * b.inner_label, b.outer + high * b.inner_label).reshape(many, -1)
+        drawn, classes = np.concatenate([drawn, y[:, None]], 1), np.stack([1 - y, y], 1)
+        if t.k > 1:
+            null = t.codes[replicates.drawn_orders([f"{b.seed + 101}|{x}|{case_id}|".encode() for x in o], len(t.codes))]
+            inner = replicates.drawn_orders([f"{b.seed + 300}|{x}|{r}|{case_id}|".encode() for x in o for r in tests], len(t.codes)).reshape(many, len(tests), -1)
+            inner = np.take_along_axis(null[:, None], inner, 2)
+            sat = t.verdicts(np.concatenate([null[:, None], inner], 1).reshape(many * orders, -1)).reshape(-1, many, orders)
+        else:
+            sat = np.broadcast_to(t.verdicts(t.codes[None])[:, :, None], (len(t.keys), many, orders))
+        at, app = held.at(t.keys), t.app[:, None, None]
+        v = held.values
+        v[at, rows, :labels_to] += app * drawn
+        v[at, rows, labels_to:app_to] += sat[:, :, :1] * drawn
+        v[at, rows, app_to : app_to + 2] += app * classes
+        v[at, rows, app_to + 2 :] += (classes[:, :, None] * sat[:, :, None, :]).reshape(-1, many, 2 * orders)
+
+    def run(batches):
+        held, block = replicates.Vectors((size, width)), None
+        for batch in batches:
+            for k, case_id, trace in zip(*[batch.column(c).to_pylist() for c in ("block", "case_id", "trace")], strict=True):
+                if block is not None and (k != block or held.full()):
+                    yield from held.rows(range(block * size, (block + 1) * size))
+                block = k
+                t = replicates.Trace(trace, names, unary)
+                step = max(1, replicates.EVENTS // (orders * len(trace) * t.k * t.k))
+                first, last = k * size, min(b.outer, (k + 1) * size)
+                for low in range(first, last, step):
+                    add(held, case_id, t, first, low, min(low + step, last))
+        if block is not None:
+            yield from held.rows(range(block * size, (block + 1) * size))
+
+    ensure(traces.sparkSession)
+    rows = traces.select("case_id", "trace", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    parts = replicates.dealt(rows, n * blocks, "block", "case_id").sortWithinPartitions("block").mapInArrow(run, replicates.PARTIAL).where(F.col("outer") < b.outer)
+
+    def statistics(batches):
+        share = lambda x, n: np.divide(x, n, out=np.zeros(len(x)), where=n > 0)
+        for pdf in batches:
+            out = []
+            for o, ctype, x, y, *vectors in zip(*[pdf[c] for c in ("outer", *KEYS, "both", "x", "y", "every")], strict=True):
+                v = replicates.total(vectors, width)
+                app, sat = v[app_to : app_to + 2], v[app_to + 2 :].reshape(2, orders)
+                if not app.sum():
+                    continue
+                app1, sat1 = v[:labels_to], v[labels_to:app_to]
+                d = np.round(share(sat1, app1) - share(sat[:, 0].sum() - sat1, app.sum() - app1), 12)
+                p_label = (1 + int((np.abs(d[:-1]) >= abs(d[-1])).sum())) / labels_to
+                prev = np.round(share(sat[:, 0], app), 12)
+                k = int(prev[1] >= prev[0])
+                p_order = replicates.tail_p(sat[k, 1:], sat[k, 0], ctype in negative) if app[k] else 1.0
+                out.append((o, ctype, x, y, -2 * (w_order * np.log(p_order) + w_label * np.log(p_label))))
+            yield pd.DataFrame(out, columns=["outer", *KEYS, "t"])
+
+    return replicates.by_candidate(replicates.added(parts), cands, b.outer).mapInPandas(statistics, "outer int, ctype string, a string, b string, t double")
 
 
 def calibrated(tested: DataFrame, null: DataFrame, outer: int) -> DataFrame:
