@@ -83,8 +83,7 @@ def test_queries_take_whole_budgets(spark, planted, monkeypatch, module, operato
 
 def test_noise_grid_has_every_cell(spark, planted):
     traces = catalog.logs.user_days(spark, planted)
-    methods = {"threshold": experiments.threshold_method(catalog._cands(traces))}
-    cells = experiments.noise_grid(traces, methods, (0.0, 0.5), (0.0,)).collect()
+    cells = experiments.noise_grid(traces, catalog._cands(traces), {"threshold": experiments.threshold_method()}, (0.0, 0.5), (0.0,)).orderBy("eps").collect()
     assert [(r["eps"], r["rho"], r["method"]) for r in cells] == [(0.0, 0.0, "threshold"), (0.5, 0.0, "threshold")] and cells[0]["jaccard"] == 1.0
 
 
@@ -102,3 +101,53 @@ def test_mined_specification_is_pruned(spark):
     kept = {tuple(r) for r in catalog.queries()["entailment_pruning"](spark, source).collect()}
     assert kept < mined
     assert kept and len(prune_entailed(sorted(kept, key=str))) == len(kept)
+
+
+def _adaptive_log(spark):
+    from tracegauge.sources.event_log import LogOptions, traces
+
+    rows = [(f"c{i}", act, datetime.datetime(2024, 1, 1, j), "deviant" if i % 3 else "regular") for i in range(30) for j, act in enumerate("abcab"[i % 4 :] if i % 2 else "cba")]
+    return traces(spark.createDataFrame(rows, "case_id string, activity string, timestamp timestamp, label string"), LogOptions(label="label"))
+
+
+def test_cells_equal_column_expressions(spark):
+    """Every change of a cell against the resampling expression that defines it."""
+    from tracegauge.operators import cells, resampling
+
+    t = _adaptive_log(spark)
+    rows = [(r["case_id"], r["outcome"], list(r["trace"])) for r in t.collect()]
+    got = lambda change: {(c, i): (y, x) for i, o, tr in rows for c, y, x in change.of(i, o, tr)}
+    want = lambda logs: {(c, r["case_id"]): (r["outcome"], list(r["trace"])) for c, d in enumerate(logs) for r in d.collect()}
+    grid = cells.NoiseGrid((0.0, 0.4), (0.3, 1.0), 7)
+    logs = [resampling.label_noise(resampling.order_noise(t, r, 7 + 1000 * i), e, 7 + j) for i, r in enumerate((0.3, 1.0)) for j, e in enumerate((0.0, 0.4))]
+    assert got(grid) == want(logs)
+    what = [(f, e, 100 * k + 3) for k, (f, e) in enumerate((f, e) for f in resampling.PERTURBATIONS for e in (0.1, 0.6, 1.0))]
+    assert got(cells.Perturbations(t, what)) == want([resampling.PERTURBATIONS[f](t, e, s) for f, e, s in what])
+    null = want([resampling.double_null(t, 3, 5).where(f"rep = {i}") for i in range(3)])
+    assert got(cells.DoubleNull(t, 3, 5)) == null
+
+
+def test_labels_of_one_class(spark):
+    from tracegauge.operators import replicates
+
+    cases = spark.createDataFrame([(f"c{i}",) for i in range(9)], "case_id string")
+    for n1 in (0, 9):
+        labels = replicates.Labels(["1|0|", "1|1|"], replicates.label_cuts(cases, ["1|0|", "1|1|"], 9, n1))
+        assert {tuple(labels.of(f"c{i}", 0, 2)) for i in range(9)} == {(n1 // 9, n1 // 9)}
+
+
+def test_adaptive_study_adds_repeats(spark):
+    t = _adaptive_log(spark)
+    out = experiments.adaptive_study(t, catalog._cands(t), {"threshold": experiments.threshold_method()}, first=2, more=2, levels=(0.1,), families=("labels", "order"))
+    counts = {(r["family"], r["n"]) for r in out.groupBy("family").count().withColumnRenamed("count", "n").collect()}
+    assert counts <= {("labels", 2), ("labels", 4), ("order", 2), ("order", 4)} and len(counts) == 2
+    assert out.select("family", "eps", "rep").distinct().count() == out.count()
+
+
+def test_stream_batches_overwrite_themselves(spark, tmp_path):
+    from tracegauge.streaming.monitor import batch_sink
+
+    sink, rows = batch_sink(str(tmp_path / "out")), spark.createDataFrame([("c", "Init", "a", None, 1)], "case_id string, ctype string, a string, b string, sat int")
+    for number in (0, 1, 1):
+        sink(rows, number)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2

@@ -152,13 +152,13 @@ class Vectors:
 
 
 class Products:
-    """Vectors [applicable, satisfied] x [all cases, positive ones, ``count`` replicates] as a matrix product: patterns of
-    distinct traces by how many of a trace's cases are positive.  Distinct traces are held up to HELD_TRACES."""
+    """Vectors [applicable, satisfied] x ``columns`` as a matrix product: the patterns of distinct traces by how many cases
+    of a trace each column counts.  Distinct traces are held up to HELD_TRACES."""
 
-    def __init__(self, count: int, names: list[str], unary: list[str]):
-        self.names, self.unary, self.count = names, unary, count
-        self.vectors = Vectors((1, 2 * (count + 2)))
-        self.cases = np.zeros((HELD_TRACES, count + 2))
+    def __init__(self, columns: int, names: list[str], unary: list[str]):
+        self.names, self.unary = names, unary
+        self.vectors = Vectors((1, 2 * columns))
+        self.cases = np.zeros((HELD_TRACES, columns))
         self.index: dict[tuple, int] = {}
 
     def of(self, trace: list[str]) -> np.ndarray:

@@ -169,14 +169,14 @@ def jaccard(a: DataFrame, b: DataFrame, ids: list[str], by: list[str] = ()) -> D
     )
 
 
-def reference_metrics(reference: DataFrame, found: DataFrame, ids: list[str], least: int = 10) -> DataFrame:
+def reference_metrics(reference: DataFrame, found: DataFrame, ids: list[str], least: int = 10, by: list[str] = ()) -> DataFrame:
     """Agreement of a found set with a reference: counts, FDR, precision, recall, F1; undefined ones are null."""
-    j = jaccard(reference, found, ids)
+    j = jaccard(reference, found, ids, by)
     tp, fp, fn = F.col("shared").cast("double"), F.col("gained").cast("double"), F.col("lost").cast("double")
     ratio = lambda n, d: F.try_divide(n, d)
     precision, recall = ratio(tp, tp + fp), ratio(tp, tp + fn)
     return j.select(
-        F.col("shared").alias("tp"), F.col("gained").alias("fp"), F.col("lost").alias("fn"), "jaccard",
+        *by, F.col("shared").alias("tp"), F.col("gained").alias("fp"), F.col("lost").alias("fn"), "jaccard",
         ratio(fp, tp + fp).alias("fdr_ref"), precision.alias("precision"), recall.alias("recall"),
         ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
         ratio(fp, F.col("n_a").cast("double")).alias("fp_burden"), ratio(fn, F.col("n_a").cast("double")).alias("fn_burden"),

@@ -35,7 +35,7 @@ def _label_parts(cases: DataFrame, names: list[str], unary: list[str], count: in
         types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int32(), pa.binary(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
         rows = lambda n, **given: pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in zip(names_out, types, strict=True)], names_out)
         sums = lambda: (rows(b.num_rows, **{c: b.column(c) for c in ("outer", *KEYS, "sums")}) for b in held.rows())
-        held, below = replicates.Products(count, names, unary), np.zeros(count, np.int64)
+        held, below = replicates.Products(count + 2, names, unary), np.zeros(count, np.int64)
         heads = [f"{seed}|{r}|".encode() for r in range(count)]
         waiting, size = [], 0
 
@@ -100,7 +100,7 @@ def label_sums(traces: DataFrame, cands: DataFrame, count: int, seed: int) -> Da
     more = more.groupBy("trace", "rep").agg(F.count(F.lit(1)).alias("k")).groupBy("trace").agg(F.collect_list(F.struct("rep", "k")).alias("drawn"))
 
     def add(batches):
-        held = replicates.Products(count, names, unary)
+        held = replicates.Products(count + 2, names, unary)
         for batch in batches:
             for trace, drawn in zip(batch.column("trace").to_pylist(), batch.column("drawn").to_pylist(), strict=True):
                 held.of(trace)[[2 + d["rep"] for d in drawn]] += [d["k"] for d in drawn]

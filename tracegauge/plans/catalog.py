@@ -434,7 +434,28 @@ def unsigned_difference_test(spark, sf_dir):
     return p.select("ctype", "a", "b", _r("ediff").alias("ediff"), "count_c", _r("p").alias("p"), _r("p_plus").alias("p_plus"), "significant")
 
 
-@query()
+#: (applicable, satisfied) of the enabled binary templates over a pair's statistics, written out for the SQL alone.
+_ORDER_TESTS = {
+    "Response": ("cx > 0", "cy > 0 and ly > lx"), "AlternateResponse": ("cx > 0", "gx = greatest(cx - 1, 0)"), "ChainResponse": ("cx > 0", "nb = cx"),
+    "NotResponse": ("cx > 0 and cy > 0", "ly < fx"), "Succession": ("cx > 0 and cy > 0", "ly > lx and fx < fy"),
+    "AlternateSuccession": ("cx > 0 and cy > 0", "gx = cx - 1 and gy = cy - 1"), "ChainSuccession": ("cx > 0 and cy > 0", "nb = cx and nb = cy"), "NotChainSuccession": ("cx > 0 and cy > 0", "nb = 0"),
+}
+#: 2000 logs of shuffled traces, and (-1) the log itself: a case is a distinct trace of a log, its outcome how many cases have it.
+_ORDER_NULL = f"""with own as (select case_id, t from (with {CUSTOMER_ORDERS} select * from tr) where outcome = 1),
+e as (select rep, case_id, unnest(t) as act, unnest(range(len(t))) as i from own, range(2000) as g(rep)),
+n as (select rep, list(act order by md5('42|' || rep || '|' || case_id || '|' || i), i) as t from e group by rep, case_id union all select -1, t from own),
+tr as (select rep as case_id, count(*) as outcome, t from n group by rep, t), {CHECKS[:CHECKS.index("chk as (")]}
+w as (select case_id as rep, a, b, {", ".join(f"sum(outcome * coalesce({app}, false)::int) as app_{c}, sum(outcome * coalesce({app} and {sat}, false)::int) as sat_{c}" for c, (app, sat) in _ORDER_TESTS.items())} from st group by 1, 2, 3),
+u as (select case_id as rep, act as a, sum(outcome) as n, sum(outcome * (t[1] = act)::int) as init, sum(outcome * (t[-1] = act)::int) as last from tr, al group by 1, 2),
+q as ({" union all ".join(f"select rep, '{c}' as ctype, a, b, app_{c} as app, sat_{c} as sat from w" for c in _ORDER_TESTS)}
+  union all select rep, 'Init', a, null, n, init from u union all select rep, 'End', a, null, n, last from u),
+c as (select o.ctype, o.a, o.b, o.sat / o.app::double as prev, q.rep % 2 as half, (1 + count_if(q.sat >= o.sat)) / 1001.0::double as up, (1 + count_if(q.sat <= o.sat)) / 1001.0::double as low
+  from q o join q on o.rep = -1 and q.rep >= 0 and o.app > 0 and o.ctype = q.ctype and o.a = q.a and o.b is not distinct from q.b group by all),
+p as (select ctype, a, b, prev, half, if(ctype in ('NotResponse', 'NotChainSuccession'), least(1, 2 * least(up, low)), up) as p from c)
+select ctype, a, b, round(any_value(prev), 9) as prev, round(max(p) filter (where half = 0), 9) as p_screen, round(max(p) filter (where half = 1), 9) as p_struct from p group by 1, 2, 3"""
+
+
+@query(_ORDER_NULL)
 def structural_permutation_test(spark, sf_dir):
     t = logs.customer_orders(spark, sf_dir).where("outcome = 1")
     p = tests_of_difference.structural_permutation(t, _cands(t), 2000)
@@ -774,24 +795,140 @@ def null_error_rates(spark, sf_dir):
     return e.select("method", "r_obs", "b_null", *[_r(c).alias(c) for c in ("e_v", "fdr_emp", "pcer_emp", "fwer_emp", "bca_low", "bca_high", "fdr_low", "fdr_high")], "controls")
 
 
-@query()
-def noise_grid(spark, sf_dir):
-    from .experiments import fisher_method, noise_grid as grid, threshold_method
+def _methods():
+    from .experiments import fisher_method, threshold_method
 
-    t = logs.user_days(spark, sf_dir)
-    c = _cands(t)
-    return grid(t, {"threshold": threshold_method(c), "fisher": fisher_method(c)}).select("eps", "rho", "method", "tp", "fp", "fn", _r("jaccard").alias("jaccard"), _r("f1").alias("f1"), "reliable")
+    return {"threshold": threshold_method(), "fisher": fisher_method()}
+
+
+_GRID_COLUMNS = ("eps", "rho", "method", "tp", "fp", "fn")
 
 
 @query()
 def perturbation_study(spark, sf_dir):
-    from .experiments import perturbation_study as study, summarise, threshold_method
+    from .experiments import perturbation_study as study, summarise
 
     t = logs.user_days(spark, sf_dir)
-    s = study(t, threshold_method(_cands(t))).cache()
+    s = study(t, _cands(t), {"threshold": _methods()["threshold"]})
     return summarise(s).select("family", "eps", "n", *[_r(c).alias(c) for c in ("jaccard", "fdr_ref", "pct_low", "pct_high")])
 
 
+def _agreement_sql(changed: list[tuple[str, str]], columns: str = "*") -> str:
+    """Both methods on changed logs against the clean one.  ``changed``: (cell, SELECT of case_id, outcome and t)."""
+    parts = " union all ".join(f"select '{cell}#' || case_id as case_id, outcome, t from ({text})" for cell, text in [("clean", f"with {USER_DAYS} select * from tr"), *changed])
+    return f"""with tr as ({parts}), {CHECKS},
+q as (select split_part(case_id, '#', 1) as cell, ctype, a, b, coalesce(sum(app::int) filter (where outcome = 0), 0) as a0, coalesce(sum(sat::int) filter (where outcome = 0), 0) as s0,
+  coalesce(sum(app::int) filter (where outcome = 1), 0) as a1, coalesce(sum(sat::int) filter (where outcome = 1), 0) as s1 from chk where ctype in {ENABLED_SQL} group by 1, 2, 3, 4),
+c as (select *, if(a0 > 0, s0 / a0::double, 0) as c0, if(a1 > 0, s1 / a1::double, 0) as c1 from q),
+f as (select *, pow(c1 - c0, 2) as num, if(a0 > 0, c0 * (1 - c0) / a0, 0) + if(a1 > 0, c1 * (1 - c1) / a1, 0) as den from c),
+hit as (select cell, 'threshold' as method, ctype, a, b from f where abs(c1 - c0) >= 0.02 and (c0 >= 0.01 or c1 >= 0.01)
+  union all select cell, 'fisher', ctype, a, b from f where case when den > 1e-12 then num / den when num <= 1e-12 then 0 else num / 1e-12 end >= 3.841458820694124),
+k as (select cell, method from (select distinct cell from q where cell <> 'clean'), (select unnest(['threshold', 'fisher']) as method)),
+s as (select k.cell, k.method, h.ctype, h.a, h.b, max((h.cell = 'clean')::int) as x, max((h.cell <> 'clean')::int) as y from k join hit h on h.method = k.method and h.cell in ('clean', k.cell) group by 1, 2, 3, 4, 5),
+m as (select k.cell, k.method, coalesce(sum(x * y), 0)::bigint as tp, coalesce(sum((1 - x) * y), 0)::bigint as fp, coalesce(sum(x * (1 - y)), 0)::bigint as fn from k left join s using (cell, method) group by 1, 2)
+select {columns} from (select split_part(cell, '/', 1) as first, split_part(cell, '/', 2)::double as second, method, tp, fp, fn, round(if(tp + fp + fn = 0, 1, tp / (tp + fp + fn)::double), 9) as jaccard from m)"""
+
+
+def _noisy_sql(log: str, seed: int, rho: float, label_seed: int, eps: float) -> str:
+    noisy = _order_noise_sql(log, seed, rho, f"if({_uniform_sql(f"'{label_seed}'", 'case_id')} < {eps}, 1 - outcome, outcome)::int")
+    return f"select case_id, outcome, string_split(trace, '>') as t from ({noisy})"
+
+
+@query(_agreement_sql([(f"{e}/{r}", _noisy_sql(USER_DAYS, 42 + 1000 * i, r, 42 + j, e)) for i, r in enumerate((0.0, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0)) for j, e in enumerate((0.0, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5))], """
+  first::double as eps, second as rho, method, tp, fp, fn, jaccard, round(2 * tp / nullif(2 * tp + fp + fn, 0)::double, 9) as f1, tp + fp >= 10 as reliable"""))
+def noise_grid(spark, sf_dir):
+    from .experiments import noise_grid as grid
+
+    t = logs.user_days(spark, sf_dir)
+    return grid(t, _cands(t), _methods()).select(*_GRID_COLUMNS, _r("jaccard").alias("jaccard"), _r("f1").alias("f1"), "reliable")
+
+
+def _perturbed_sql(family: str, eps: float, seed: int) -> str:
+    log = f"with {USER_DAYS}"
+    if family == "order":
+        return f"""{log}, d as (select case_id, outcome, t, {_uniform_sql(f"'{seed}'", 'case_id')} < {eps} as hit, list_sort([{{'h': md5('{seed + 1}|' || case_id || '|' || i), 'i': i}} for i in range(len(t))]) as o from tr)
+select case_id, outcome, if(hit and len(t) >= 2, [if(j = o[1].i + 1, t[o[2].i + 1], if(j = o[2].i + 1, t[o[1].i + 1], t[j])) for j in range(1, len(t) + 1)], t) as t from d"""
+    picked = f"{log}, p as (select case_id, outcome, t, row_number() over (order by md5('{seed}|' || case_id), case_id) <= (select greatest(1, round_even(count(*) * {eps}, 0))::bigint from tr) as hit from tr)"
+    if family == "labels":
+        return f"{picked} select case_id, if(hit, 1 - outcome, outcome)::int as outcome, t from p"
+    return f"{picked} select case_id, outcome, if(hit, t[1:greatest(1, ceil(round({1.0 - eps} * len(t), 9)))::bigint], t) as t from p"
+
+
+@query(_agreement_sql([(f"{f}/{rep}", _perturbed_sql(f, 0.2, 42 + 100_000 * (k + 1) + 2000 + 7919 * rep)) for k, f in enumerate(resampling.PERTURBATIONS) for rep in range(2)]))
+def perturbation_cells(spark, sf_dir):
+    """Two repeats of each perturbation at one level, both methods."""
+    from .experiments import perturbation_study as study
+
+    t = logs.user_days(spark, sf_dir)
+    s = study(t, _cands(t), _methods(), levels=(0.2,), repeats=2)
+    return s.select(F.col("family").alias("first"), F.col("rep").cast("double").alias("second"), "method", "tp", "fp", "fn", _r("jaccard").alias("jaccard"))
+
+
+#: Double-null logs of a noisy log with inner labels and orders, for SQL: 3 outer, 9 inner label, 7 inner order replicates.
+_CALIBRATION = f"""with own as ({_noisy_sql(USER_DAYS, 43, 0.3, 42, 0.1)}), o as (select unnest(range(3)) as o),
+y as (select o, case_id, (row_number() over (partition by o order by md5('142|' || o || '|' || case_id), case_id) <= sum(outcome) over (partition by o))::int as outcome from own, o),
+e as (select o, case_id, unnest(t) as act, unnest(range(len(t))) as i from own, o),
+n as (select o, case_id, list(act order by md5('143|' || o || '|' || case_id || '|' || i), i) as t from e group by 1, 2),
+ie as (select o, r, case_id, unnest(t) as act, unnest(range(len(t))) as i from n, (select unnest([1, 3, 5]) as r)),
+tr as (select o || '#0#' || case_id as case_id, outcome, t from n join y using (o, case_id)
+  union all select o || '#' || r || '#' || case_id, any_value(outcome), list(act order by md5('342|' || o || '|' || r || '|' || case_id || '|' || i), i) from ie join y using (o, case_id) group by o, r, case_id), {CHECKS},
+h as (select split_part(case_id, '#', 1)::int as o, split_part(case_id, '#', 2)::int as r, split_part(case_id, '#', 3) as case_id, outcome, ctype, a, b, sat::int as sat from chk where app and ctype in {ENABLED_SQL}),
+l as (select o, k, case_id, (row_number() over (partition by o, k order by md5('242|' || o || '|' || k || '|' || case_id), case_id) <= sum(outcome) over (partition by o, k))::int as z from y, range(9) as g(k)),
+d as (select o, k, ctype, a, b, round(coalesce(sum(sat * z) / nullif(sum(z), 0)::double, 0) - coalesce(sum(sat * (1 - z)) / nullif(sum(1 - z), 0)::double, 0), 12) as d from h join l using (o, case_id) where r = 0 group by 1, 2, 3, 4, 5),
+s as (select o, ctype, a, b, coalesce(sum(sat * outcome) / nullif(sum(outcome), 0)::double, 0) as p1, coalesce(sum(sat * (1 - outcome)) / nullif(sum(1 - outcome), 0)::double, 0) as p0 from h where r = 0 group by 1, 2, 3, 4),
+pl as (select s.*, (1 + (select count(*) from d where d.o = s.o and d.ctype = s.ctype and d.a = s.a and d.b is not distinct from s.b and abs(d.d) >= abs(round(p1 - p0, 12)))) / 10.0::double as p_label from s),
+c as (select o, r, outcome, ctype, a, b, sum(sat) as n from h group by 1, 2, 3, 4, 5, 6),
+w as (select x.o, x.outcome, x.ctype, x.a, x.b, (1 + count_if(y.n >= x.n)) / 4.0::double as up, (1 + count_if(y.n <= x.n)) / 4.0::double as low
+  from c x join c y on x.r = 0 and y.r > 0 and x.o = y.o and x.outcome = y.outcome and x.ctype = y.ctype and x.a = y.a and x.b is not distinct from y.b group by 1, 2, 3, 4, 5),
+po as (select *, if(ctype in ('NotResponse', 'NotChainSuccession'), least(1, 2 * least(up, low)), up) as p from w),
+f as (select pl.o, pl.ctype, pl.a, pl.b, p_label, coalesce(p, 1) as p_order from pl left join po on po.o = pl.o and po.outcome = (round(p1, 12) >= round(p0, 12))::int and po.ctype = pl.ctype and po.a = pl.a and po.b is not distinct from pl.b)
+"""
+
+
+def _noisy_calibration(spark, sf_dir):
+    from .protocol import Budget, null_statistics
+
+    t = resampling.joint_noise(logs.user_days(spark, sf_dir), 0.1, 0.3)
+    return null_statistics(t, _cands(t), Budget(outer=3, inner_label=9, inner_order=7), 0.4, 0.6)
+
+
+@query(_CALIBRATION + " select o::int as outer_rep, ctype, a, b, round(p_label, 9) as p_label, round(p_order, 9) as p_order, round(-2 * (0.4::double * ln(p_order) + 0.6::double * ln(p_label)), 9) as t from f")
+def calibration_on_noisy_log(spark, sf_dir):
+    """Null p-values and statistics of the protocol's calibration on a perturbed log."""
+    return _noisy_calibration(spark, sf_dir).select(F.col("outer").alias("outer_rep"), "ctype", "a", "b", *[_r(c).alias(c) for c in ("p_label", "p_order", "t")])
+
+
+@query(_CALIBRATION + """ select o::int as outer_rep, count_if(p_label <= 0.2)::bigint as v_label, count_if(p_order <= 0.3)::bigint as v_order, count_if(p_label <= 0.2 and p_order <= 0.3)::bigint as v_both, count(*)::bigint as m from f group by 1""")
+def null_counts_of_permutation_tests(spark, sf_dir):
+    """False discoveries of the label test, the order test and both on the double-null logs of a perturbed log."""
+    label, order = F.col("p_label") <= 0.2, F.col("p_order") <= 0.3
+    n = _noisy_calibration(spark, sf_dir).groupBy(F.col("outer").alias("outer_rep"))
+    return n.agg(F.count_if(label).alias("v_label"), F.count_if(order).alias("v_order"), F.count_if(label & order).alias("v_both"), F.count(F.lit(1)).alias("m"))
+
+
+_NULL_COUNTS = f"""with own as (select * from (with {USER_DAYS} select * from tr)),
+y as (select r, case_id, (row_number() over (partition by r order by md5('42|' || r || '|' || case_id), case_id) <= sum(outcome) over (partition by r))::int as outcome from own, range(10) as g(r)),
+e as (select r, case_id, unnest(t) as act, unnest(range(len(t))) as i from own, range(10) as g(r)),
+n as (select r, case_id, list(act order by md5('43|' || r || '|' || case_id || '|' || i), i) as t from e group by 1, 2),
+v as (select r, outcome, t, count(*) as k from (select r, outcome, t from n join y using (r, case_id) union all select 10, outcome, t from own) group by 1, 2, 3),
+tr as (select array_to_string(t, '>') as case_id, 0 as outcome, t from (select distinct t from v)), {CHECKS},
+q as (select r, ctype, a, b, coalesce(sum(k) filter (where app and v.outcome = 0), 0) as a0, coalesce(sum(k) filter (where sat and v.outcome = 0), 0) as s0, coalesce(sum(k) filter (where app and v.outcome = 1), 0) as a1,
+  coalesce(sum(k) filter (where sat and v.outcome = 1), 0) as s1 from chk join v on chk.case_id = array_to_string(v.t, '>') where ctype in {ENABLED_SQL} group by 1, 2, 3, 4),
+c as (select *, if(a0 > 0, s0 / a0::double, 0) as c0, if(a1 > 0, s1 / a1::double, 0) as c1 from q),
+f as (select *, pow(c1 - c0, 2) as num, if(a0 > 0, c0 * (1 - c0) / a0, 0) + if(a1 > 0, c1 * (1 - c1) / a1, 0) as den from c),
+m as (select r, count_if(abs(c1 - c0) >= 0.02 and (c0 >= 0.01 or c1 >= 0.01))::bigint as threshold, count_if(case when den > 1e-12 then num / den when num <= 1e-12 then 0 else num / 1e-12 end >= 3.841458820694124)::bigint as fisher from f group by 1)
+select r::int as rep, 'threshold' as method, threshold as v from m union all select r::int, 'fisher', fisher from m"""
+
+
+@query(_NULL_COUNTS)
+def null_counts_of_methods(spark, sf_dir):
+    """Discoveries of the threshold and Fisher methods on ten double-null logs, and (rep 10) on the log itself."""
+    from .experiments import null_counts
+
+    t = logs.user_days(spark, sf_dir)
+    return null_counts(t, _cands(t), _methods(), 10)
+
+
 @query("select p as premise_1, q as premise_2, e as conclusion, true as proven from (values ('Response(a, b)', 'Response(b, c)', 'Response(a, c)'), ('ChainResponse(a, b)', 'Precedence(a, b)', 'AlternateResponse(a, b)'), ('Succession(a, b)', 'NotSuccession(a, b)', 'ChainSuccession(a, b)')) v(p, q, e)")
 def automata_entailment(spark, sf_dir):
     """Entailments proven by automata; the middle one needs the pairwise reading of alternation."""
@@ -811,18 +948,23 @@ def entailment_pruning(spark, sf_dir):
     return spark.createDataFrame(prune_entailed(mined), "ctype string, a string, b string")
 
 
-@query()
+@query(f"""with e as (select user_id::varchar as u, event_type as act, ts from events where user_id is not null and event_type is not null and ts is not null),
+b as (select *, case when ts <= lag(ts) over (partition by u order by ts, act) + interval 12 hours then 0 else 1 end as opens from e),
+n as (select *, sum(opens) over (partition by u order by ts, act rows unbounded preceding) as session from b),
+s as (select u, session, max(ts) + interval 12 hours as end_ts, list(act order by ts, act) as t from n group by 1, 2),
+tr as (select u || '|' || session as case_id, 0 as outcome, t from s where end_ts <= (select date_trunc('milliseconds', max(ts)) - interval 1 hour from e)), {CHECKS}
+select ctype, a, b, count(*)::bigint as applicable, sum(sat::int)::bigint as satisfied from chk where app and ctype in {ENABLED_SQL} group by 1, 2, 3""")
 def streaming_verdicts(spark, sf_dir):
-    """Verdicts of the user sessions that a stream over the events has closed."""
-    from ..streaming.monitor import available_now
+    """Verdicts of the user sessions that a stream over the events has closed; a batch that is run again overwrites its own."""
+    from ..streaming.monitor import available_now, batch_sink
 
     static = logs.read(spark, sf_dir, "events")
     cands = measures.candidates(static.select(F.col("event_type").alias("act")).distinct())
     live = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/events.parquet*")
     folder = shared_folder(spark, "stream")
-    available_now(live, cands, lambda df, i: df.write.mode("append").parquet(f"{folder}/out"), f"{folder}/progress", "user_id", "event_type", "ts", gap="12 hours")
-    v = spark.read.schema("case_id string, ctype string, a string, b string, sat int").parquet(f"{folder}/out")
-    return v.groupBy("ctype", "a", "b").agg(F.count(F.lit(1)).alias("applicable"), F.sum("sat").alias("satisfied"))
+    available_now(live, cands, batch_sink(f"{folder}/out"), f"{folder}/progress", "user_id", "event_type", "ts", gap="12 hours")
+    v = spark.read.schema("case_id string, ctype string, a string, b string, sat int, batch long").parquet(f"{folder}/out")
+    return v.groupBy("ctype", "a", "b").agg(F.count(F.lit(1)).alias("applicable"), F.sum("sat").cast("long").alias("satisfied"))
 
 
 @query()
@@ -837,13 +979,10 @@ def composite_encoding(spark, sf_dir):
 @query()
 def error_control_tests(spark, sf_dir):
     """Whether null counts of the threshold method are compatible with error control at 5 %."""
-    from .experiments import null_confidences, threshold_method
+    from .experiments import null_counts
 
     t = logs.user_days(spark, sf_dir)
-    c, replicates = _cands(t), 200
-    observed = threshold_method(c, 0.02)(t).count()
-    null = null_confidences(t, c, replicates)
-    counts = [r["v"] for r in null.groupBy("rep").agg(F.count_if(comparison.differs(0.02)).alias("v")).collect()]
-    counts += [0] * (replicates - len(counts))
-    r = significance.control_tests(counts, observed, 0.05)
+    replicates = 200
+    found = {r["rep"]: r["v"] for r in null_counts(t, _cands(t), {"threshold": _methods()["threshold"]}, replicates).collect()}  # one for each replicate
+    r = significance.control_tests([found[i] for i in range(replicates)], found[replicates], 0.05)
     return spark.createDataFrame([tuple(round(v, 9) for v in r.values())], ", ".join(f"{k} double" for k in r))

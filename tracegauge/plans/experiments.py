@@ -1,109 +1,122 @@
 """Evaluation drivers: error rates under a double null, noise grids, perturbation families.
 
-A method is a function from traces to a DataFrame of discovered patterns (ctype, a, b).
+A method is a condition on a pattern's confidences and counts in the two classes: what it discovers are the patterns that
+meet it.  All cells of a study, and the log as it is, are evaluated in one job, keyed by the cell.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special, templates as tp
-from ..operators import comparison, measures, resampling, significance
-from ..sources.event_log import variants
+from ..operators import cells, comparison, resampling, significance
+from ..shared import shared_folder
 
-Method = Callable[[DataFrame], DataFrame]
 KEYS = ["ctype", "a", "b"]
 EPS = (0.0, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5)
 RHO = (0.0, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0)
 LEVELS = (0.02, 0.05, 0.1, 0.2, 0.3)
 
 
-def threshold_method(cands: DataFrame, tau: float = 0.02) -> Method:
-    return lambda t: comparison.threshold_decision(measures.support_confidence(variants(t), cands, tp.ENABLED), tau).select(*KEYS)
+def threshold_method(tau: float = 0.02) -> Column:
+    return comparison.differs(tau)
+
+
+def fisher_method(alpha: float = 0.05) -> Column:
+    return comparison.fisher_score() >= special.chi2_critical(alpha)
+
 
+def discoveries(traces: DataFrame, cands: DataFrame, change, methods: dict[str, Column]) -> DataFrame:
+    """(cell, method, pattern) over all cells, written to shared storage."""
+    conf = cells.confidences(traces, cands, change)
+    named = F.array_compact(F.array(*[F.when(hit, F.lit(m)) for m, hit in methods.items()]))
+    found = conf.select("cell", *KEYS, F.explode(named).alias("method"))
+    folder = shared_folder(traces.sparkSession, "discoveries")
+    found.write.parquet(folder)
+    return traces.sparkSession.read.schema(found.schema).parquet(folder)
 
-def fisher_method(cands: DataFrame, alpha: float = 0.05) -> Method:
-    return lambda t: comparison.fisher_decision(measures.support_confidence(variants(t), cands, tp.ENABLED), alpha).select(*KEYS)
 
+def agreement(found: DataFrame, clean: int, methods: dict[str, Column]) -> DataFrame:
+    """(cell, method, agreement with the cell ``clean``) of the cells before it, also of those without a discovery."""
+    spark = found.sparkSession
+    keys = spark.range(clean).select(F.col("id").cast("int").alias("cell")).crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in methods], "method string")))
+    reference = keys.join(found.where(F.col("cell") == clean).drop("cell"), "method")
+    met = significance.reference_metrics(reference, found.where(F.col("cell") < clean), KEYS, by=["cell", "method"])
+    # a cell in which neither side has anything: two empty sets are equal
+    zero = {"tp": 0, "fp": 0, "fn": 0, "jaccard": 1.0, "reliable": False}
+    return keys.join(met, ["cell", "method"], "left").na.fill(zero)
 
-def null_confidences(traces: DataFrame, cands: DataFrame, count: int, seed: int = 42) -> DataFrame:
-    """(rep, pattern, conf0, conf1, n_app0, n_app1) on double-null logs, all replicates in one job."""
-    null = resampling.double_null(traces, count, seed)
-    weighted = null.groupBy("rep", "trace").agg(F.count_if(F.col("outcome") == 0).alias("n0"), F.count_if(F.col("outcome") == 1).alias("n1"))
-    h = measures.holds(weighted, cands, ["rep", "n0", "n1"])
-    out = h.groupBy("rep", *KEYS).agg(*[F.sum(f"n{k}").alias(f"n_app{k}") for k in (0, 1)], *[F.sum(F.col("sat") * F.col(f"n{k}")).alias(f"n_sat{k}") for k in (0, 1)])
-    share = lambda k: F.coalesce(F.try_divide(F.col(f"n_sat{k}").cast("double"), F.col(f"n_app{k}")), F.lit(0.0))
-    return out.select("rep", *KEYS, share(0).alias("conf0"), share(1).alias("conf1"), "n_app0", "n_app1")
+
+def _with_names(rows: DataFrame, named: list[tuple], schema: str) -> DataFrame:
+    """Adds what a cell stands for."""
+    names = rows.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(named)], "cell int, " + schema)
+    return names.join(rows, "cell").drop("cell")
 
 
 def error_rates(traces: DataFrame, cands: DataFrame, count: int, seed: int = 42, tau: float = 0.02, alpha: float = 0.05) -> DataFrame:
     """(method, r_obs, b_null, e_v, fdr_emp, ..., bca_low, bca_high) of the threshold and the Fisher method."""
-    spark = traces.sparkSession
-    observed = {"threshold": threshold_method(cands, tau)(traces).count(), "fisher": fisher_method(cands, alpha)(traces).count()}
-    null = null_confidences(traces, cands, count, seed)
-    hit = {"threshold": comparison.differs(tau), "fisher": comparison.fisher_score() >= special.chi2_critical(alpha)}
-    reps = spark.range(count).select(F.col("id").cast("int").alias("rep"))
-    per = null.groupBy("rep").agg(*[F.count_if(c).alias(m) for m, c in hit.items()])
-    v = reps.join(per, "rep", "left").na.fill(0).unpivot(["rep"], list(hit), "method", "v").cache()
-    m = cands.count()
+    methods = {"threshold": threshold_method(tau), "fisher": fisher_method(alpha)}
+    v = null_counts(traces, cands, methods, count, seed).cache()
+    observed = {r["method"]: r["v"] for r in v.where(F.col("rep") == count).collect()}
+    null, m = v.where(F.col("rep") < count), cands.count()
     rates = None
-    for name, r in observed.items():
-        part = significance.empirical_error_rates(v.where(F.col("method") == name), r, m, ["method"]).withColumn("r_obs", F.lit(r)).withColumn("controls", F.col("fdr_emp") <= alpha)
+    for name in methods:
+        part = significance.empirical_error_rates(null.where(F.col("method") == name), observed[name], m, ["method"]).withColumn("r_obs", F.lit(observed[name]))
+        part = part.withColumn("controls", F.col("fdr_emp") <= alpha)
         rates = part if rates is None else rates.unionByName(part)
-    ends = special.grouped_intervals(v, "method", "v").select(F.col("key").alias("method"), "bca_low", "bca_high")
+    ends = special.grouped_intervals(null, "method", "v").select(F.col("key").alias("method"), "bca_low", "bca_high")
     return rates.join(ends, "method").withColumn("fdr_low", F.col("bca_low") / F.greatest("r_obs", F.lit(1))).withColumn("fdr_high", F.col("bca_high") / F.greatest("r_obs", F.lit(1)))
 
 
-def noise_grid(traces: DataFrame, methods: dict[str, Method], eps=EPS, rho=RHO, seed: int = 42) -> DataFrame:
-    """(eps, rho, method, agreement with the clean result).  Order noise is applied once for each rho: label
-    noise leaves traces alone.  A cell is one row, which is fetched before the next: a plan of all cells would grow
-    with their number."""
-    clean = {n: f(traces).cache() for n, f in methods.items()}
-    rows = []
-    for i, r in enumerate(rho):
-        row = resampling.order_noise(traces, r, seed + 1000 * i).cache()
-        for j, e in enumerate(eps):
-            noisy = resampling.label_noise(row, e, seed + j)
-            for n, f in methods.items():
-                cell = significance.reference_metrics(clean[n], f(noisy), KEYS).select(F.lit(float(e)).alias("eps"), F.lit(float(r)).alias("rho"), F.lit(n).alias("method"), "*")
-                rows += cell.collect()
-        row.unpersist()
-    return traces.sparkSession.createDataFrame(rows, cell.schema)
-
-
-def perturbation_study(traces: DataFrame, method: Method, families=tuple(resampling.PERTURBATIONS), levels=LEVELS, repeats: int = 10, seed: int = 42) -> DataFrame:
-    """(family, eps, rep, agreement metrics) against the clean result, one row fetched after another."""
-    clean, rows = method(traces).cache(), []
-    for k, name in enumerate(families):
-        for e in levels:
-            for rep in range(repeats):
-                changed = resampling.PERTURBATIONS[name](traces, e, seed + 100_000 * (k + 1) + round(1e4 * e) + 7919 * rep)
-                row = significance.reference_metrics(clean, method(changed), KEYS)
-                row = row.select(F.lit(name).alias("family"), F.lit(float(e)).alias("eps"), F.lit(rep).alias("rep"), "*")
-                rows += row.collect()
-    return traces.sparkSession.createDataFrame(rows, row.schema)
+def null_counts(traces: DataFrame, cands: DataFrame, methods: dict[str, Column], count: int, seed: int = 42) -> DataFrame:
+    """(rep, method, v): discoveries on double-null logs, and, as replicate ``count``, on the log as it is."""
+    found = discoveries(traces, cands, cells.Together(cells.DoubleNull(traces, count, seed), cells.Unchanged()), methods)
+    spark = traces.sparkSession
+    keys = spark.range(count + 1).select(F.col("id").cast("int").alias("cell")).crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in methods], "method string")))
+    seen = found.groupBy("cell", "method").agg(F.count(F.lit(1)).alias("v"))
+    return keys.join(seen, ["cell", "method"], "left").na.fill(0).withColumnRenamed("cell", "rep")
+
+
+def noise_grid(traces: DataFrame, cands: DataFrame, methods: dict[str, Column], eps=EPS, rho=RHO, seed: int = 42) -> DataFrame:
+    """(eps, rho, method, agreement with the clean result).  Order noise is drawn once for each rho: label noise leaves
+    traces alone."""
+    grid = cells.NoiseGrid(eps, rho, seed)
+    found = discoveries(traces, cands, cells.Together(grid, cells.Unchanged()), methods)
+    return _with_names(agreement(found, grid.cells, methods), [(float(e), float(r)) for r in rho for e in eps], "eps double, rho double")
+
+
+def perturbation_study(traces: DataFrame, cands: DataFrame, methods: dict[str, Column], families=tuple(resampling.PERTURBATIONS), levels=LEVELS, repeats: int = 10, seed: int = 42, first: int = 0) -> DataFrame:
+    """(family, eps, rep, method, agreement metrics) against the clean result; repeats are numbered from ``first``."""
+    order = list(resampling.PERTURBATIONS)
+    named = [(name, float(e), rep) for name in families for e in levels for rep in range(first, first + repeats)]
+    return _studied(traces, cands, methods, [(*x, seed + 100_000 * (order.index(x[0]) + 1) + round(1e4 * x[1]) + 7919 * x[2]) for x in named])
+
+
+def _studied(traces: DataFrame, cands: DataFrame, methods: dict[str, Column], what: list[tuple]) -> DataFrame:
+    change = cells.Perturbations(traces, [(name, e, s) for name, e, _, s in what])
+    found = discoveries(traces, cands, cells.Together(change, cells.Unchanged()), methods)
+    return _with_names(agreement(found, change.cells, methods), [x[:3] for x in what], "family string, eps double, rep int")
 
 
 def summarise(study: DataFrame) -> DataFrame:
-    """(family, eps, mean and interval of the Jaccard index, mean FDR) over repeats."""
-    keyed = study.withColumn("cell", F.concat_ws("|", "family", F.col("eps").cast("string")))
+    """(family, eps, method, mean and interval of the Jaccard index, mean FDR) over repeats."""
+    keyed = study.withColumn("cell", F.concat_ws("|", "family", F.col("eps").cast("string"), "method"))
     ends = special.grouped_intervals(keyed, "cell", "jaccard").select(F.col("key").alias("cell"), "pct_low", "pct_high")
-    means = keyed.groupBy("cell", "family", "eps").agg(F.avg("jaccard").alias("jaccard"), F.avg("fdr_ref").alias("fdr_ref"), F.count(F.lit(1)).alias("n"))
+    means = keyed.groupBy("cell", "family", "eps", "method").agg(F.avg("jaccard").alias("jaccard"), F.avg("fdr_ref").alias("fdr_ref"), F.count(F.lit(1)).alias("n"))
     return means.join(ends, "cell").drop("cell")
 
 
-def adaptive_study(traces: DataFrame, method: Method, first: int = 3, more: int = 7, **options) -> DataFrame:
-    """A first round of repeats, then more for cells whose interval meets the band around 0.80."""
-    start = perturbation_study(traces, method, repeats=first, **options).cache()
-    targets = significance.augmentation_targets(summarise(start), "pct_low", "pct_high").select("family", "eps").collect()
-    out = start
-    for r in targets:
-        extra = perturbation_study(traces, method, families=(r["family"],), levels=(r["eps"],), repeats=more, seed=options.get("seed", 42) + 1)
-        out = out.unionByName(extra.withColumn("rep", F.col("rep") + first))
-    return out
+def adaptive_study(traces: DataFrame, cands: DataFrame, methods: dict[str, Column], first: int = 3, more: int = 7, **options) -> DataFrame:
+    """A first round of repeats, then more, in one job, for cells whose interval meets the band around 0.80."""
+    start = perturbation_study(traces, cands, methods, repeats=first, **options).cache()
+    targets = significance.augmentation_targets(summarise(start), "pct_low", "pct_high").select("family", "eps").distinct().orderBy("family", "eps").collect()  # cells
+    if not targets:
+        return start
+    order, seed = list(resampling.PERTURBATIONS), options.get("seed", 42)
+    named = [(r["family"], r["eps"], rep) for r in targets for rep in range(first, first + more)]
+    extra = _studied(traces, cands, methods, [(*x, seed + 100_000 * (order.index(x[0]) + 1) + round(1e4 * x[1]) + 7919 * x[2]) for x in named])
+    return start.unionByName(extra)
 
 
 def family_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -59,7 +59,8 @@ def dominant(tested: DataFrame, w_order: float, w_label: float) -> DataFrame:
 
 
 def null_statistics(traces: DataFrame, cands: DataFrame, b: Budget, w_order: float, w_label: float, negative=tp.NEGATIVE) -> DataFrame:
-    """(outer, ctype, a, b, t): the combined statistic on double-null logs, all outer replicates in one job.
+    """(outer, ctype, a, b, p_label, p_order, t): p-values and combined statistic on double-null logs, all outer
+    replicates in one job.
 
     A case is handed to as many tasks as there are blocks of outer replicates.  For each of them the task draws the case's
     null label and null trace, the inner labels of that log and the inner orders of that trace, and adds the case to
@@ -132,15 +133,16 @@ def null_statistics(traces: DataFrame, cands: DataFrame, b: Budget, w_order: flo
                 prev = np.round(share(sat[:, 0], app), 12)
                 k = int(prev[1] >= prev[0])
                 p_order = replicates.tail_p(sat[k, 1:], sat[k, 0], ctype in negative) if app[k] else 1.0
-                out.append((o, ctype, x, y, -2 * (w_order * np.log(p_order) + w_label * np.log(p_label))))
-            yield pd.DataFrame(out, columns=["outer", *KEYS, "t"])
+                out.append((o, ctype, x, y, p_label, p_order, -2 * (w_order * np.log(p_order) + w_label * np.log(p_label))))
+            yield pd.DataFrame(out, columns=["outer", *KEYS, "p_label", "p_order", "t"])
 
-    return replicates.by_candidate(replicates.added(parts), cands, b.outer).mapInPandas(statistics, "outer int, ctype string, a string, b string, t double")
+    return replicates.by_candidate(replicates.added(parts), cands, b.outer).mapInPandas(
+        statistics, "outer int, ctype string, a string, b string, p_label double, p_order double, t double")
 
 
 def calibrated(tested: DataFrame, null: DataFrame, outer: int) -> DataFrame:
     """Adds p_emp: the share of null statistics of the same pattern that reach the observed one."""
-    met = _joined(tested.select(*KEYS, "t"), null.withColumnRenamed("t", "t_null"), how="left")
+    met = _joined(tested.select(*KEYS, "t"), null.select(*KEYS, F.col("t").alias("t_null")), how="left")
     reach = met.groupBy(*KEYS).agg(F.count_if(F.round("t_null", 9) >= F.round("t", 9)).alias("reach"))
     return _joined(tested, reach).withColumn("p_emp", (1 + F.col("reach")) / F.lit(outer + 1.0)).drop("reach")
 

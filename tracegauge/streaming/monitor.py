@@ -24,6 +24,16 @@ def verdicts(closed: DataFrame, cands: DataFrame) -> DataFrame:
     return measures.holds(closed, cands, ["case_id"])
 
 
+def batch_sink(folder: str):
+    """A sink that writes each micro-batch into its own partition, so that one which is run again doubles nothing."""
+
+    def write(df: DataFrame, number: int) -> None:
+        rows = df.withColumn("batch", F.lit(number).cast("long"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(folder)
+
+    return write
+
+
 def monitor(events: DataFrame, cands: DataFrame, sink, checkpoint: str, case: str, activity: str, ts: str, **windows):
     """Start a query that hands every micro-batch's verdicts to ``sink(df, batch id)``."""
     closed = closed_cases(events, case, activity, ts, **windows)
