@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import chi2_critical
+from .ranks import Ordered
 from .significance import step_up
 
 #: Threshold grid of the calibration: 0.0001 to 0.9 in steps of 0.0001.
@@ -22,9 +23,9 @@ def threshold_decision(conf: DataFrame, tau: float, least: float = TAU_LEAST) ->
 
 
 def ranked_differences(conf: DataFrame) -> DataFrame:
-    """Adds place: by falling difference, then by the larger confidence, then by name.  One order over all patterns."""
+    """Adds place: by falling difference, then by the larger confidence, then by name."""
     order = [F.desc(F.abs(F.col("conf1") - F.col("conf0"))), F.desc(F.greatest("conf0", "conf1")), "ctype", "a", F.asc_nulls_first("b")]
-    return conf.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    return Ordered(conf, *order).rows.drop("part").withColumnRenamed("rank", "place")
 
 
 def discovery_curve(conf: DataFrame, least: float = TAU_LEAST, step: float = GRID_STEP, size: int = GRID_SIZE) -> DataFrame:
@@ -102,8 +103,8 @@ def pooled_null_sweep(observed: DataFrame, null: DataFrame, count: int, alpha: f
     o = observed.select(F.round(F.abs("delta"), 12).alias("t"), F.lit(1).alias("o"), F.lit(0).alias("z"))
     z = null.select(F.round(F.abs("stat"), 12).alias("t"), F.lit(0).alias("o"), F.lit(1).alias("z"))
     levels = o.union(z).groupBy("t").agg(F.sum("o").alias("o"), F.sum("z").alias("z"))
-    down = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    swept = levels.withColumn("r", F.sum("o").over(down)).withColumn("v", F.sum("z").over(down) / F.lit(float(count))).where("o > 0")
+    swept = Ordered(levels, F.desc("t")).with_sum(F.col("o"), "r").with_sum(F.col("z"), "v").rows
+    swept = swept.withColumn("v", F.col("v") / F.lit(float(count))).where("o > 0")
     fdp = F.lit(pi0) * F.col("v") / F.greatest(F.col("r"), F.lit(1))
     return swept.withColumn("fdp", F.least(F.lit(1.0), fdp)).where(F.col("fdp") <= alpha).orderBy("t").limit(1).select(F.col("t").alias("tau"), "r", "fdp")
 
@@ -115,6 +116,23 @@ def inflation(observed_null: DataFrame) -> DataFrame:
         "inflation", F.try_divide("pooled_sd", "pattern_sd"))
 
 
+def pooled_inflation(tested: DataFrame, null: DataFrame, count: int, tau: float, pi0: float = 1.0) -> DataFrame:
+    """(tau, pooled, own, factor): false discoveries expected at |delta| >= tau by the pooled null of all patterns, and by
+    each discovered pattern's own null beyond its own difference; and how many times the former is the latter."""
+    at = null.where(F.abs("stat") >= tau).agg(F.count(F.lit(1)).alias("n"))
+    own = tested.where(F.abs("delta") >= tau).agg(F.coalesce(F.sum("exceed_two"), F.lit(0)).alias("k"))
+    pooled, single = F.lit(pi0) * F.col("n") / F.lit(float(count)), F.lit(pi0) * F.col("k") / F.lit(float(count))
+    return at.crossJoin(F.broadcast(own)).select(F.lit(tau).alias("tau"), pooled.alias("pooled"), single.alias("own"), (pooled / F.greatest(single, F.lit(1e-15))).alias("factor"))
+
+
+def pooled_null_report(tested: DataFrame, null: DataFrame, count: int, tau: float, family: Column, alpha: float = 0.05, pi0: float = 1.0) -> DataFrame:
+    """One row: why a pooled null fails here.  The ratio of the largest to the smallest mean spread of a family's nulls, the
+    inflation at ``tau``, and how many patterns the pooled sweep still finds."""
+    spread = null_spread_by_family(null, family).agg((F.max("mean") / F.greatest(F.min("mean"), F.lit(1e-15))).alias("spread_ratio"))
+    sweep = pooled_null_sweep(tested, null.select("stat"), count, alpha, pi0).agg(F.coalesce(F.max("r"), F.lit(0)).cast("long").alias("pooled_found"))
+    return pooled_inflation(tested, null, count, tau, pi0).crossJoin(F.broadcast(spread)).crossJoin(F.broadcast(sweep))
+
+
 def null_spread_by_family(null: DataFrame, family: Column) -> DataFrame:
     """Mean, deviation, extremes, median and number of the patterns' null deviations, by template family."""
     per = null.groupBy("ctype", "a", "b").agg(F.stddev_pop(F.abs("stat")).alias("sd")).withColumn("family", family)

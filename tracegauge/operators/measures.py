@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import templates as tp
-from .statistics import PAIR_SQL, activities, opposite_direction
+from .statistics import MERGED_SQL, PAIR_SQL, activities, opposite_direction
 
 
 def candidates(alphabet: DataFrame, binary=tp.ENABLED, unary=tp.UNARY, exclude_opposite: bool = True) -> DataFrame:
@@ -41,7 +41,7 @@ def _facts(variants: DataFrame, weights: list[str]) -> DataFrame:
     rows = activities(variants, weights).selectExpr(*weights, "size(trace) as _len", "array_append(acts, null) as acts")
     rows = rows.selectExpr(*weights, "_len", "acts", "explode(acts) as p").selectExpr(*weights, "_len", "p", "explode(acts) as q")
     rows = rows.where("not (p.act <=> q.act) or (p is null and q is null)").selectExpr(*weights, "_len", "p.act as x", "q.act as y", "p.at as px", "q.at as py")
-    return rows.selectExpr(*weights, "_len", "x", "y", *PAIR_SQL)
+    return rows.selectExpr("*", MERGED_SQL).selectExpr(*weights, "_len", "x", "y", *PAIR_SQL)
 
 
 def pattern_sums(variants: DataFrame, cands: DataFrame, semantics: str, weights: list[str], binary=tp.BINARY) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalogues as cat
+from .ranks import Ordered
 
 ORDER = ("econf", "esupp", "tconf", "tsupp")
 
@@ -21,6 +22,12 @@ def _leq(p, q):
     return reduce(lambda x, y: x & y, [p[m] <= q[m] for m in ORDER])
 
 
+def by_strength(constraints: DataFrame) -> DataFrame:
+    """Adds place: by falling trace confidence, event confidence and trace support, then by name."""
+    order = [F.desc(F.round(m, 12)) for m in ("tconf", "econf", "tsupp")]
+    return Ordered(constraints, *order, "ctype", "a", F.asc_nulls_first("b")).rows.drop("part").withColumnRenamed("rank", "place")
+
+
 def _folded(constraints: DataFrame, steps: list[tuple[str, str]], decide) -> DataFrame:
     """Drop what ``decide`` names; a step is skipped once either side is gone or absent."""
     groups = constraints.where("b is not null").groupBy("a", "b").agg(

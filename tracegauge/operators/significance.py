@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import binomial_sf, chi2_tail, student_sf
+from .ranks import Ordered
 
 #: Budgets of the two resampling axes; the weights follow from them.
 B_LABEL, B_ORDER = 1500, 2000
@@ -61,26 +62,59 @@ def analytic_p(df: DataFrame, statistic: str, c: float, f: float) -> DataFrame:
 
 
 # ---- false discovery rate ------------------------------------------------------------------------------
-# Ranks over all tests need one order; tests number at most templates x activities^2, not cases.
 
 
 def step_up(df: DataFrame, p: str, ids: list[str], alpha: float = 0.05, dependent: bool = False) -> DataFrame:
     """Adds rank, threshold and reject: Benjamini-Hochberg, or Benjamini-Yekutieli if ``dependent``."""
-    m = df.count()
+    placed = Ordered(df, p, *ids)
+    m = placed.count
     harmonic = sum(1 / i for i in range(1, m + 1)) if dependent else 1.0
-    ranked = df.withColumn("rank", F.row_number().over(Window.orderBy(p, *ids)))
-    ranked = ranked.withColumn("threshold", F.col("rank") * F.lit(alpha) / F.lit(max(m, 1) * harmonic))
-    last = F.max(F.when(F.col(p) <= F.col("threshold"), F.col("rank"))).over(Window.partitionBy())
-    return ranked.withColumn("reject", F.coalesce(F.col("rank") <= last, F.lit(False)))
+    out = placed.rows.drop("part").withColumn("threshold", F.col("rank") * F.lit(alpha) / F.lit(max(m, 1) * harmonic))
+    last = out.agg(F.max(F.when(F.col(p) <= F.col("threshold"), F.col("rank")))).first()[0]
+    return out.withColumn("reject", F.col("rank") <= F.lit(last or 0))
 
 
 def q_values(df: DataFrame, p: str, ids: list[str], pi0: float = 1.0) -> DataFrame:
     """Adds q: the running minimum, from the largest p down, of pi0 m p / rank, at most 1."""
-    m = df.count()
-    ranked = df.withColumn("rank", F.row_number().over(Window.orderBy(p, *ids)))
-    fdp = F.lit(pi0) * F.lit(m) * F.col(p) / F.col("rank")
-    down = Window.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)  # a running minimum, not one for each row
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(fdp).over(down)))
+    placed = Ordered(df, p, *ids)
+    fdp = F.lit(pi0) * F.lit(placed.count) * F.col(p) / F.col("rank")
+    return placed.with_least_from(fdp, "q").rows.drop("part").withColumn("q", F.least(F.lit(1.0), "q"))
+
+
+def per_pattern_fdr(tested: DataFrame, ids: list[str], alpha: float = 0.05, pi0: float | None = None) -> DataFrame:
+    """False discoveries of a permutation test, each pattern against its own null: adds sigma (of the null's absolute
+    values), d (the difference over sigma and the median sigma), rank, false (expected false discoveries), q, significant.
+
+    ``tested``: delta, p_two, null_mean, null_std, null.  ``pi0``: the share of true nulls, else estimated.
+    """
+    square = F.col("null_std") * F.col("null_std") + F.col("null_mean") * F.col("null_mean")
+    mean = F.aggregate("null", F.lit(0.0), lambda s, x: s + F.abs(x)) / F.size("null")
+    rows = tested.withColumn("sigma", F.sqrt(F.greatest(F.lit(0.0), square - mean * mean))).drop("null")
+    placed = Ordered(rows, "p_two", *ids)
+    own = placed.rows
+    if pi0 is None:
+        pi0 = pi0_bootstrap(own, "p_two").first()["pi0"]
+    middle = own.agg(F.median("sigma")).first()[0]
+    placed.rows = own.withColumn("false", F.lit(float(pi0)) * F.lit(placed.count) * F.col("p_two"))
+    out = placed.with_least_from(F.col("false") / F.col("rank"), "q").rows.drop("part").withColumn("q", F.least(F.lit(1.0), "q"))
+    cut = out.agg(F.max(F.when(F.col("q") <= alpha, F.col("p_two")))).first()[0]
+    out = out.withColumn("d", F.try_divide(F.abs("delta"), F.col("sigma") + F.lit(middle))).withColumn("pi0", F.lit(float(pi0)))
+    return out.withColumn("significant", F.col("p_two") <= F.lit(-1.0 if cut is None else cut))
+
+
+def pi0_range(df: DataFrame, axes: list[str]) -> DataFrame:
+    """(axis, m, lam, pi0, low, high): the share of true nulls of several columns of p-values, and the middle 95 % of its
+    estimates over the grid."""
+    grid = [round(0.05 * i, 2) for i in range(1, 18)]
+    out = None
+    for p in axes:
+        p_values = df.where(F.col(p).isNotNull())
+        counts = p_values.agg(F.count(F.lit(1)).alias("m"), *[F.count_if(F.col(p) > x).cast("double").alias(f"w{i}") for i, x in enumerate(grid)])
+        share = F.array(*[F.least(F.lit(1.0), F.try_divide(F.col(f"w{i}"), F.col("m") * (1 - x))) for i, x in enumerate(grid)])
+        spread = counts.select(F.explode(share).alias("v")).agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))
+        row = pi0_bootstrap(p_values, p).crossJoin(F.broadcast(spread)).select(F.lit(p).alias("axis"), "m", "lam", "pi0", "low", "high")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def _grid(spark: SparkSession, values: list[float]) -> DataFrame:

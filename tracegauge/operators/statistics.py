@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: The pair statistics from position arrays px and py (null: the activity is absent).
-_GAPS = "coalesce(size(array_distinct(filter(transform({inner}, p -> size(filter({outer}, o -> o < p))), k -> k >= 1 and k <= size({outer}) - 1))), 0)"
+#: Both activities' places in one order, doubled, and one more for the second's: from these the gaps are counted in one pass.
+MERGED_SQL = "sort_array(concat(transform(px, p -> 2 * p), transform(py, p -> 2 * p + 1))) as both_at"
+#: Gaps between consecutive places of one activity that hold the other: changes from the one to the other, less the last
+#: if nothing of the one comes after it.
+_GAPS = "coalesce(size(filter(transform(both_at, (e, i) -> e % 2 = {own} and get(both_at, i + 1) % 2 = {other}), t -> t)) - int(try_element_at(both_at, -1) % 2 = {other}), 0)"
+#: The pair statistics from position arrays px and py (null: the activity is absent) and both_at.
 PAIR_SQL = [
     "coalesce(size(px), 0) as cx", "coalesce(size(py), 0) as cy",
     "px[0] as fx", "try_element_at(px, -1) as lx", "py[0] as fy", "try_element_at(py, -1) as ly",
     "coalesce(size(array_intersect(transform(px, p -> p + 1), py)), 0) as b",
-    _GAPS.format(outer="px", inner="py") + " as gx", _GAPS.format(outer="py", inner="px") + " as gy",
+    _GAPS.format(own=0, other=1) + " as gx", _GAPS.format(own=1, other=0) + " as gy",
     "coalesce(size(filter(px, p -> p < try_element_at(py, -1))), 0) as xb",
     "coalesce(size(filter(py, p -> p > px[0])), 0) as ya",
 ]
@@ -36,7 +40,7 @@ def act_stats(traces: DataFrame, keep: list[str]) -> DataFrame:
 def pair_stats(traces: DataFrame, keep: list[str]) -> DataFrame:
     """(keep, x, y, cx, ... ya) for every ordered pair of different activities of a trace."""
     rows = activities(traces, keep).selectExpr(*keep, "acts", "explode(acts) as p").selectExpr(*keep, "p", "explode(acts) as q").where("p.act <> q.act")
-    return rows.selectExpr(*keep, "p.act as x", "q.act as y", "p.at as px", "q.at as py").selectExpr(*keep, "x", "y", *PAIR_SQL)
+    return rows.selectExpr(*keep, "p.act as x", "q.act as y", "p.at as px", "q.at as py").selectExpr("*", MERGED_SQL).selectExpr(*keep, "x", "y", *PAIR_SQL)
 
 
 def alphabet(traces: DataFrame, minimum: int = 1) -> DataFrame:

@@ -699,6 +699,55 @@ def empirical_error_rates(spark, sf_dir):
     return e.select("b_null", *[_r(c).alias(c) for c in ("e_v", "fdr_emp", "pcer_emp", "fwer_emp", "v_std")], "v_max", "v_zero")
 
 
+_OWN_P = """, x as (select o.ctype, o.a, o.b, delta, count_if(abs(d.d) >= abs(delta)) as k, stddev_pop(abs(d.d)) as sigma from o join d on o.ctype = d.ctype and o.a = d.a and o.b is not distinct from d.b group by 1, 2, 3, 4),
+p as (select *, (1 + k) / 21.0::double as p, count(*) over () as m from x)"""
+
+
+@query(_LABEL_NULL + _OWN_P + """, rk as (select *, row_number() over (order by p, ctype, a, b nulls first) as rank, 0.9::double * m * p as v from p),
+q as (select *, least(1, min(v / rank) over (order by rank rows between current row and unbounded following)) as q from rk), c as (select max(p) filter (where q <= 0.5) as cut, median(sigma) as s0 from q)
+select ctype, a, b, rank::int as rank, round(sigma, 7) as sigma, round(abs(delta) / (sigma + s0), 6) as d, round(v, 9) as false, round(q, 9) as q, coalesce(p <= cut, false) as significant from q, c""")
+def per_pattern_fdr(spark, sf_dir):
+    """False discoveries of the label test, each pattern against its own null."""
+    out = significance.per_pattern_fdr(_null(spark, sf_dir), ["ctype", "a", "b"], 0.5, 0.9)
+    return out.select("ctype", "a", "b", "rank", _r("sigma", 7).alias("sigma"), _r("d", 6).alias("d"), _r("false").alias("false"), _r("q").alias("q"), "significant")
+
+
+@query(_LABEL_NULL + _OWN_P + """, z as (select abs(d.d) as z, d.ctype from d where exists (select 1 from o where o.ctype = d.ctype and o.a = d.a and o.b is not distinct from d.b)),
+i as (select (select count(*) from z where z >= 0.05) / 20.0::double as pooled, (select coalesce(sum(k), 0) from p where abs(delta) >= 0.05) / 20.0::double as own),
+f as (select avg(sigma) as s from p group by case when ctype like 'Not%' then 'Negative' when ctype in ('Init','End') then 'Unary' when ctype like '%Succession' then 'Succession' else 'Response' end),
+lv as (select round(t, 12) as t, sum(o) as o, sum(z) as z from (select abs(delta) as t, 1 as o, 0 as z from p union all select z, 0, 1 from z) group by 1),
+s as (select t, o, sum(o) over (order by t desc) as r, sum(z) over (order by t desc) / 20.0::double as v from lv),
+w as (select r from s where o > 0 and least(1, v / greatest(r, 1)) <= 0.9 order by t limit 1)
+select 0.05::double as tau, round(pooled, 9) as pooled, round(own, 9) as own, round(pooled / greatest(own, 1e-15), 6) as factor, (select round(max(s) / greatest(min(s), 1e-15), 6) from f) as spread_ratio,
+coalesce((select r from w), 0)::bigint as pooled_found from i""")
+def pooled_null_report(spark, sf_dir):
+    """What pooling the nulls of all patterns costs."""
+    n = _null(spark, sf_dir).cache()
+    null = n.select("ctype", "a", "b", F.explode("null").alias("stat"))
+    r = comparison.pooled_null_report(n, null, 20, 0.05, tp.family(), 0.9)
+    return r.select("tau", _r("pooled").alias("pooled"), _r("own").alias("own"), _r("factor", 6).alias("factor"), _r("spread_ratio", 6).alias("spread_ratio"), "pooled_found")
+
+
+def _pi0_sql(p: str) -> str:
+    return f"""select '{p}' as axis, m::bigint as m, round(lam, 9) as lam, round(pi0, 9) as pi0, round(low, 9) as low, round(high, 9) as high from (
+  with g as (select round(0.05 * j, 2)::double as lam, j from range(1, 18) as r(j)), m as (select count(*) as m from p), w as (select j, lam, count_if({p} > lam)::double as w from p, g group by 1, 2),
+  e as (select *, least(1, w / (m * (1 - lam))) as pi0 from w, m), f as (select quantile_cont(pi0, 0.1) as floor, quantile_cont(pi0, 0.025) as low, quantile_cont(pi0, 0.975) as high from e)
+  select *, round(w / (m::double * m * pow(1 - lam, 2)) * (1 - w / m) + pow(pi0 - floor, 2), 15) as mse from e, f order by mse, j limit 1)"""
+
+
+@query(f"with {_P} select * from ({_pi0_sql('p1')}) union all select * from ({_pi0_sql('p2')})")
+def null_share_ranges(spark, sf_dir):
+    """The share of true nulls of both columns of p-values, with its range over the grid."""
+    out = significance.pi0_range(_p_values(spark, sf_dir), ["p1", "p2"])
+    return out.select("axis", "m", *[_r(c).alias(c) for c in ("lam", "pi0", "low", "high")])
+
+
+@query(f"{_SPEC} select ctype, a, b, row_number() over (order by round(tconf, 12) desc, round(econf, 12) desc, round(tsupp, 12) desc, ctype, a, b nulls first)::int as place from spec")
+def specification_order(spark, sf_dir):
+    """The positive class's specification from the strongest constraint down; equal ones by name."""
+    return pruning.by_strength(_spec(spark, sf_dir, "n1")).select("ctype", "a", "b", "place")
+
+
 # ---- feature mining ------------------------------------------------------------------------------------
 
 
