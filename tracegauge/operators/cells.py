@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ensure
 from . import replicates
+from .replicates import md5
 
 KEYS = replicates.KEYS
 COUNTS = ["n_app0", "n_sat0", "n_app1", "n_sat1"]
@@ -126,6 +126,7 @@ class Together:
 
 def confidences(traces: DataFrame, cands: DataFrame, change) -> DataFrame:
     """(cell, pattern, conf0, conf1, n_app0, n_sat0, n_app1, n_sat1) of every candidate in every cell."""
+    cands = replicates.stored(cands)
     names, unary = replicates.templates(cands)
     cells = change.cells
 

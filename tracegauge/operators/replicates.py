@@ -12,8 +12,6 @@ add to the others, so a candidate's vector is the sum of its keys', and pairs th
 
 from __future__ import annotations
 
-from hashlib import md5
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -21,8 +19,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import templates as tp
+from ..shared import shared_folder
 from ..shipping import ensure
 
+try:  # the interpreter's own md5 takes two thirds of the time of hashlib's, which goes through another library
+    from _md5 import md5
+except ImportError:
+    from hashlib import md5
+
 KEYS = ["ctype", "a", "b"]
 #: Templates with a verdict for traces that have only the first, or only the second, activity.
 X_LED, Y_LED = ("Response", "AlternateResponse", "ChainResponse"), ("Precedence", "AlternatePrecedence", "ChainPrecedence", "NotPrecedence")
@@ -226,6 +230,13 @@ def dealt(cases: DataFrame, n: int, *by: str) -> DataFrame:
     return cases.repartition(tasks, *by)
 
 
+def stored(cands: DataFrame) -> DataFrame:
+    """Candidates written once: they come from the log, which would be read again for each of their uses."""
+    folder = shared_folder(cands.sparkSession, "candidates")
+    cands.select(*KEYS).write.parquet(folder)
+    return cands.sparkSession.read.schema("ctype string, a string, b string").parquet(folder)
+
+
 def templates(cands: DataFrame) -> tuple[list[str], list[str]]:
     found = {r[0] for r in cands.select("ctype").distinct().collect()}  # names of templates
     return [t for t in tp.TRACE_BINARY if t in found], [t for t in tp.UNARY if t in found]
@@ -233,6 +244,7 @@ def templates(cands: DataFrame) -> tuple[list[str], list[str]]:
 
 def order_counts(traces: DataFrame, cands: DataFrame, count: int, seed: int) -> DataFrame:
     """(outer, candidate's vectors): applicable cases, then satisfied ones as observed and in ``count`` drawn orders."""
+    cands = stored(cands)
     names, unary = templates(cands)
 
     def run(batches):

@@ -50,6 +50,7 @@ def log_p_correlation(df: DataFrame, p_order: str, p_label: str) -> DataFrame:
 def moment_match(rho: float, w_order: float, w_label: float) -> tuple[float, float]:
     """Scale c and degrees of freedom f of the weighted statistic under correlation rho."""
     r = min(1.0, max(-0.5, rho))
+    # fixed values: the published approximation of the covariance of -2 ln p
     cov = r * (3.25 + 0.75 * r) if r >= 0 else r * (3.27 + 0.71 * r)
     mean = 2 * (w_order + w_label)
     var = max(4 * (w_order**2 + w_label**2) + 2 * w_order * w_label * cov, 1e-12)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import templates as tp
 from ..shared import shared_folder
 from ..shipping import ensure
-from . import measures, replicates
+from . import replicates
 
 KEYS = replicates.KEYS
 #: Draws that are handed out at a time.
@@ -79,7 +79,8 @@ def label_sums(traces: DataFrame, cands: DataFrame, count: int, seed: int) -> Da
     and all above it aren't; those in the band, some sqrt(n) of them, are ranked.  Should a replicate's cut lie outside
     the band, everything is ranked.
     """
-    spark, (names, unary) = traces.sparkSession, replicates.templates(cands)
+    spark, cands = traces.sparkSession, replicates.stored(cands)
+    names, unary = replicates.templates(cands)
     n, n1 = traces.agg(F.count(F.lit(1)), F.sum("outcome")).first()
     n1 = n1 or 0
     share = n1 / max(n, 1)
@@ -113,8 +114,8 @@ def label_sums(traces: DataFrame, cands: DataFrame, count: int, seed: int) -> Da
 
 
 def label_permutation(traces: DataFrame, cands: DataFrame, count: int, seed: int = 42, keep_null: bool = False) -> DataFrame:
-    """Per pattern that applies somewhere: observed prevalence difference, one- and two-sided p-values, null mean and
-    deviation.
+    """Per pattern that applies somewhere: observed prevalences and their difference, one- and two-sided p-values, null
+    mean and deviation.
 
     With ``keep_null`` also ``null``: the statistic of every replicate.
     """
@@ -127,25 +128,23 @@ def label_permutation(traces: DataFrame, cands: DataFrame, count: int, seed: int
                 app, sat = replicates.total((both, x, y, every), 2 * (count + 2)).reshape(2, -1)
                 if not app[0]:
                     continue
+                own = share(np.array([sat[0] - sat[1], sat[1]]), np.array([app[0] - app[1], app[1]]))
                 stat = np.round(share(sat[1:], app[1:]) - share(sat[0] - sat[1:], app[0] - app[1:]), 12)
                 null, seen = stat[1:], stat[0]
                 mean = null.sum() / count
                 one = int((null >= seen).sum() if seen >= 0 else (null <= seen).sum())
-                out.append((*key, seen, int((np.abs(null) >= abs(seen)).sum()), one, mean, max(0.0, (null**2).sum() / count - mean * mean) ** 0.5, null if keep_null else np.zeros(0)))
-            yield pd.DataFrame(out, columns=[*KEYS, "delta", "exceed_two", "exceed_one", "null_mean", "null_std", "null"])
+                out.append((*key, *own, seen, int((np.abs(null) >= abs(seen)).sum()), one, mean, max(0.0, (null**2).sum() / count - mean * mean) ** 0.5, null if keep_null else np.zeros(0)))
+            yield pd.DataFrame(out, columns=[*KEYS, "prev0", "prev1", "delta", "exceed_two", "exceed_one", "null_mean", "null_std", "null"])
 
     found = label_sums(traces, cands, count, seed).mapInPandas(
-        statistics, "ctype string, a string, b string, delta double, exceed_two long, exceed_one long, null_mean double, null_std double, null array<double>")
+        statistics, "ctype string, a string, b string, prev0 double, prev1 double, delta double, exceed_two long, exceed_one long, null_mean double, null_std double, null array<double>")
     return found.withColumn("p_two", (1 + F.col("exceed_two")) / F.lit(count + 1.0)).withColumn("p_one", (1 + F.col("exceed_one")) / F.lit(count + 1.0))
 
 
 def difference_test(traces: DataFrame, cands: DataFrame, count: int, alpha: float = 0.05, seed: int = 42, least_difference: float = 0.0, least_interest: float = 0.0) -> DataFrame:
     """The unsigned permutation test of confidences: the observed log counts as one replicate (C starts at 1)."""
-    tested = label_permutation(traces, cands, count, seed)
-    prevalence = measures.class_prevalence(_variants(traces), cands)
-    conf = prevalence.select(F.col("ctype").alias("_c"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("prev0").alias("conf0"), F.col("prev1").alias("conf1"))
-    out = tested.join(conf, (F.col("ctype") == F.col("_c")) & (F.col("a") == F.col("_a")) & F.col("b").eqNullSafe(F.col("_b"))).select(
-        "ctype", "a", "b", "conf0", "conf1", F.abs("delta").alias("ediff"), (1 + F.col("exceed_two")).alias("count_c"),
+    out = label_permutation(traces, cands, count, seed).select(
+        *KEYS, F.col("prev0").alias("conf0"), F.col("prev1").alias("conf1"), F.abs("delta").alias("ediff"), (1 + F.col("exceed_two")).alias("count_c"),
     )
     out = out.where((F.col("ediff") >= least_difference) & (F.greatest("conf0", "conf1") >= least_interest))
     p = F.col("count_c") / F.lit(float(count))
@@ -153,12 +152,6 @@ def difference_test(traces: DataFrame, cands: DataFrame, count: int, alpha: floa
         "direction", F.when(F.col("conf1") >= F.col("conf0"), "positive").otherwise("negative"))
 
 
-def _variants(traces: DataFrame) -> DataFrame:
-    from ..sources.event_log import variants
-
-    return variants(traces)
-
-
 def structural_permutation(traces: DataFrame, cands: DataFrame, count: int, seed: int = 42, negative=tp.NEGATIVE) -> DataFrame:
     """Per pattern that applies somewhere: prevalence of one class against logs whose traces are shuffled.
 

@@ -305,7 +305,7 @@ def prune_transitivity(spark, sf_dir):
     return pruning.transitivity(_strong(spark, sf_dir)).select("ctype", "a", "b")
 
 
-#: (premise, premise, entailed), written out for the SQL alone.
+#: Fixed values, written out for the SQL alone: (premise, premise, entailed).
 _ENTAILED = """('AlternateResponse', 'ChainPrecedence', 'ChainResponse'), ('AlternatePrecedence', 'ChainResponse', 'ChainPrecedence'),
 ('Response', 'NotResponse', 'AlternateResponse'), ('Response', 'NotResponse', 'ChainResponse'), ('Precedence', 'NotResponse', 'AlternatePrecedence'),
 ('Precedence', 'NotResponse', 'ChainPrecedence'), ('AlternateResponse', 'NotResponse', 'ChainResponse'), ('AlternatePrecedence', 'NotResponse', 'ChainPrecedence'),

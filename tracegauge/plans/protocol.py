@@ -69,6 +69,7 @@ def null_statistics(traces: DataFrame, cands: DataFrame, b: Budget, w_order: flo
     and as labelled; applicable cases by class; satisfied cases by class, as ordered and by inner orders].  Only
     vectors are shuffled.  The outer replicate is part of every draw, so replicates are independent.
     """
+    cands = replicates.stored(cands)
     names, unary = replicates.templates(cands)
     tests = range(1, b.inner_order, 2)  # even ones screen, which calibration has no use for
     labels_to, app_to, orders = b.inner_label + 1, 2 * (b.inner_label + 1), len(tests) + 1
@@ -151,6 +152,7 @@ def run(traces: DataFrame, cands: DataFrame, budget: Budget = Budget()) -> DataF
     """Every pattern with its p-values, q-value, verdict and category; patterns out of scope have no q."""
     b = budget
     w_order, w_label = significance.weights(b.label, b.order)
+    cands = replicates.stored(cands)
     tested = dominant(axes(traces, cands, b.label, b.order, b.seed), w_order, w_label).cache()
     rho = significance.log_p_correlation(tested, "p_struct", "p_disc").first()["rho"]
     c, f = significance.moment_match(rho, w_order, w_label)

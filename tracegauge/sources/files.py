@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import templates as tp
 
+# Field names of the specification and result files, and the syntax of .decl lines.
 SPEC_SCHEMA = "pattern_id string, constraint_type string, param_a string, param_b string"
 _SIDE = (
     "struct<label:string,n_traces:bigint,n_constraints:bigint,constraints:array<struct<pattern_id:string,constraint_type:string,param_a:string,param_b:string,"
