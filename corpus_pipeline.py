@@ -19,8 +19,8 @@ from tracegauge.llm.common import shared_folder, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold stay.
 
-    Repeated rows and equal texts have equal scores and stay or go together; empty texts are scored like others; without
-    labels of both classes every text has the share of label 1 as its score.
+    Repeated rows and equal texts have equal scores and stay or go together; empty texts are scored like others; with
+    labels of one class only every score is the smoothed share of label 1, and without labels it is 0.
     """
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
@@ -54,7 +54,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, placed in training sequences.
 
-    An empty text is one piece, its end token; repeated rows are packed each; documents with the same doc_id keep their own pieces.
+    An empty text is one piece, its end token; repeated rows are packed each; a doc_id that is no integer is refused.
     """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
