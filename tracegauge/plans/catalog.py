@@ -563,14 +563,17 @@ def log_p_correlation(spark, sf_dir):
     return significance.log_p_correlation(_p_values(spark, sf_dir), "p1", "p2").select("m", _r("rho").alias("rho"))
 
 
-@query()
+@query(f"""with {_P}, r as (select greatest(-0.5, least(1.0, corr(-ln(p1), -ln(p2))))::double as r from p),
+v as (select 4 * (0.16::double + 0.36::double) + 0.48::double * if(r >= 0, r * (3.25::double + 0.75::double * r), r * (3.27::double + 0.71::double * r)) as v from r),
+x as (select id, -2 * (0.4::double * ln(p1) + 0.6::double * ln(p2)) / (v / 4) / 2 as x, 4 / v as a from p, v)
+select id, round(1 - list_sum([exp((a + n) * ln(x) - x - lgamma(a + n + 1)) for n in range(300)]), 9) as p_conj from x""")
 def analytic_combination(spark, sf_dir):
     p = _p_values(spark, sf_dir)
     rho = significance.log_p_correlation(p, "p1", "p2").first()["rho"]
     w = significance.weights()
     c, f = significance.moment_match(rho, *w)
     out = significance.analytic_p(p.withColumn("t", significance.combined_statistic("p1", "p2", *w)), "t", c, f)
-    return out.select("id", F.round("p_conj", 12).alias("p_conj"))
+    return out.select("id", _r("p_conj").alias("p_conj"))
 
 
 @query(f"""with {_P}, g as (select round(0.05 * j, 2)::double as lam, j from range(1, 18) as r(j)), m as (select count(*) as m from p),
