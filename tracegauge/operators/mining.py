@@ -141,6 +141,16 @@ def three_way(traces: DataFrame, cands: DataFrame, counts: bool = False) -> Data
     return h.select("case_id", "outcome", name.alias("feature"), F.when(F.col("sat") == 1, 1.0).otherwise(-1.0).alias("value"))
 
 
+def sign_counts(features: DataFrame, traces: DataFrame, chosen: DataFrame | None = None, by: list[str] = ()) -> DataFrame:
+    """(n_plus, n_minus): features (of ``chosen``, by ``by``) whose mean is larger, and smaller, in positive cases, the absent
+    values being 0."""
+    n0, n1 = traces.agg(F.count_if(F.col("outcome") == 0), F.count_if(F.col("outcome") == 1)).first()
+    rows = features if chosen is None else features.join(chosen, "feature", "left_semi")
+    mean = lambda k, n: F.sum(F.when(F.col("outcome") == k, F.col("value")).otherwise(0.0)) / max(n or 0, 1)
+    means = rows.groupBy(*by, "feature").agg(F.round(mean(1, n1) - mean(0, n0), 12).alias("d"))
+    return means.groupBy(*by).agg(F.count_if(F.col("d") > 0).alias("n_plus"), F.count_if(F.col("d") < 0).alias("n_minus"))
+
+
 def fisher_scores(features: DataFrame, traces: DataFrame, eps: float = 1e-12) -> DataFrame:
     """(feature, score): generalised Fisher scores from sums, the absent values being 0."""
     n0, n1 = traces.agg(F.count_if(F.col("outcome") == 0), F.count_if(F.col("outcome") == 1)).first()

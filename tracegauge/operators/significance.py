@@ -233,6 +233,13 @@ def vacuity(prevalence: DataFrame, n0: int, n1: int, share: float = 0.05) -> Col
     return (F.col("n_app0") < share * n0) | (F.col("n_app1") < share * n1)
 
 
+def vacuity_rates(prevalence: DataFrame, n0: int, n1: int, family: Column, share: float = 0.05) -> DataFrame:
+    """(family, n, n_vacuous, rate): how many patterns apply to too few cases of a class."""
+    return prevalence.withColumn("family", family).groupBy("family").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(vacuity(prevalence, n0, n1, share)).alias("n_vacuous")
+    ).withColumn("rate", F.col("n_vacuous") / F.col("n"))
+
+
 def inflection(rows: DataFrame, key: str, level: str, low: str, threshold: float = 0.80) -> DataFrame:
     """(key, inflection): the first level whose interval's lower end is below the threshold."""
     return rows.groupBy(key).agg(F.min(F.when(F.col(low) < threshold, F.col(level))).alias("inflection"))

@@ -11,7 +11,7 @@ from ..functions import catalogues, templates as tp
 from ..operators import comparison, measures, mining, pruning, resampling, significance, tests_of_difference
 from ..operators.statistics import act_stats, alphabet, opposite_direction, pair_stats
 from ..shared import shared_folder
-from ..sources import event_log
+from ..sources import event_log, files
 from . import logs
 from .logs import CHECKS, CUSTOMER_ORDERS, ENABLED_SQL, ORDER_LINES, USER_DAYS, USERS
 
@@ -384,6 +384,30 @@ def specification_agreement(spark, sf_dir):
     return m.select(*[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")], *[_r(c).alias(c) for c in ("jaccard", "fdr_ref", "precision", "recall", "f1", "fp_burden", "fn_burden")], "reliable")
 
 
+_FAMILY = "case when ctype like 'Not%' then 'Negative' when ctype in ('Init','End') then 'Unary' when ctype like '%Succession' then 'Succession' when ctype like '%Precedence' then 'Precedence' else 'Response' end"
+
+
+@query(_SPECS + f""", f as (select {_FAMILY} as family, sum(x)::bigint as n_a, sum(y)::bigint as n_b, sum(x * y)::bigint as shared, count(*) as u from s group by 1)
+select family, n_a, n_b, shared, round(shared / u::double, 9) as jaccard from f""")
+def family_jaccard(spark, sf_dir):
+    """Agreement of both classes' specifications by template family."""
+    from .experiments import family_jaccard as by_family
+
+    j = by_family(*_two_specs(spark, sf_dir))
+    return j.select("family", *[F.col(c).cast("long").alias(c) for c in ("n_a", "n_b", "shared")], _r("jaccard").alias("jaccard"))
+
+
+@query(f"""with {USER_DAYS}, {CHECKS}, q as ({_PREVALENCE} where ctype in {ENABLED_SQL} group by 1, 2, 3), n as (select count_if(outcome = 0) as c0, count_if(outcome = 1) as c1 from tr),
+v as (select {_FAMILY} as family, coalesce(n_app0, 0) < 0.25::double * c0 or coalesce(n_app1, 0) < 0.25::double * c1 as vacuous from q, n)
+select family, count(*)::bigint as n, count_if(vacuous)::bigint as n_vacuous, round(count_if(vacuous) / count(*)::double, 9) as rate from v group by 1""")
+def vacuity_rates(spark, sf_dir):
+    """Patterns that apply to less than a quarter of a class, by template family."""
+    t = logs.user_days(spark, sf_dir)
+    n0, n1 = t.agg(F.count_if(F.col("outcome") == 0), F.count_if(F.col("outcome") == 1)).first()
+    v = significance.vacuity_rates(measures.class_prevalence(event_log.variants(t), _cands(t), tp.ENABLED), n0, n1, tp.family(), 0.25)
+    return v.select("family", "n", "n_vacuous", _r("rate").alias("rate"))
+
+
 # ---- resampling and perturbation -----------------------------------------------------------------------
 
 
@@ -706,6 +730,14 @@ _OWN_P = """, x as (select o.ctype, o.a, o.b, delta, count_if(abs(d.d) >= abs(de
 p as (select *, (1 + k) / 21.0::double as p, count(*) over () as m from x)"""
 
 
+@query(_LABEL_NULL + """, n as (select * from d where exists (select 1 from o where o.ctype = d.ctype and o.a = d.a and o.b is not distinct from d.b)), w as (select stddev_pop(d) as pooled from n)
+select ctype, a, b, round(stddev_pop(d), 7) as pattern_sd, round(any_value(pooled), 7) as pooled_sd, round(any_value(pooled) / nullif(stddev_pop(d), 0), 5) as inflation from n, w group by 1, 2, 3""")
+def null_inflation(spark, sf_dir):
+    """How far the pooled null of all patterns is from each pattern's own."""
+    i = comparison.inflation(_null(spark, sf_dir).select("ctype", "a", "b", F.explode("null").alias("stat")))
+    return i.select("ctype", "a", "b", _r("pattern_sd", 7).alias("pattern_sd"), _r("pooled_sd", 7).alias("pooled_sd"), _r("inflation", 5).alias("inflation"))
+
+
 @query(_LABEL_NULL + _OWN_P + """, rk as (select *, row_number() over (order by p, ctype, a, b nulls first) as rank, 0.9::double * m * p as v from p),
 q as (select *, least(1, min(v / rank) over (order by rank rows between current row and unbounded following)) as q from rk), c as (select max(p) filter (where q <= 0.5) as cut, median(sigma) as s0 from q)
 select ctype, a, b, rank::int as rank, round(sigma, 7) as sigma, round(abs(delta) / (sigma + s0), 6) as d, round(v, 9) as false, round(q, 9) as q, coalesce(p <= cut, false) as significant from q, c""")
@@ -782,6 +814,14 @@ def feature_scores(spark, sf_dir):
     return mining.fisher_scores(mining.activity_counts(t), t).select("feature", _r("score").alias("score"))
 
 
+@query(f"""with {USERS}, f as (select outcome, act, count(*)::double as v from (select outcome, unnest(t) as act from tr) group by 1, 2), n as (select count_if(outcome = 0)::double as n0, count_if(outcome = 1)::double as n1 from tr),
+d as (select act, round(sum(if(outcome = 1, v, 0)) / any_value(n1) - sum(if(outcome = 0, v, 0)) / any_value(n0), 12) as d from f, n group by 1) select count_if(d > 0)::bigint as n_plus, count_if(d < 0)::bigint as n_minus from d""")
+def feature_signs(spark, sf_dir):
+    """Activities that positive cases have more, and fewer, of."""
+    t = logs.users(spark, sf_dir)
+    return mining.sign_counts(mining.activity_counts(t), t)
+
+
 @query()
 def sequential_patterns(spark, sf_dir):
     t = logs.customer_orders(spark, sf_dir)
@@ -895,6 +935,30 @@ def noise_grid(spark, sf_dir):
     return grid(t, _cands(t), _methods()).select(*_GRID_COLUMNS, _r("jaccard").alias("jaccard"), _r("f1").alias("f1"), "reliable")
 
 
+_SMALL_GRID = [(f"{e}/{r}", _noisy_sql(USER_DAYS, 42 + 1000 * i, r, 42 + j, e)) for i, r in enumerate((0.2, 1.0)) for j, e in enumerate((0.0, 0.1, 0.5))]
+
+
+def _small_grid(spark, sf_dir):
+    from .experiments import noise_grid as grid
+
+    t = logs.user_days(spark, sf_dir)
+    return grid(t, _cands(t), _methods(), (0.0, 0.1, 0.5), (0.2, 1.0))
+
+
+@query("select second as rho, method, min(first::double) filter (where jaccard < 0.8) as inflection from (" + _agreement_sql(_SMALL_GRID) + ") group by 1, 2")
+def noise_inflection(spark, sf_dir):
+    """The first level of label noise at which a method's result is no longer close to the clean one."""
+    g = _small_grid(spark, sf_dir).withColumn("key", F.struct("rho", "method"))
+    return significance.inflection(g, "key", "eps", "jaccard").select("key.rho", "key.method", "inflection")
+
+
+@query("""select first::double as eps, max(jaccard) filter (where second = 0.2) as "0.2", max(jaccard) filter (where second = 1.0) as "1.0" from (""" + _agreement_sql(_SMALL_GRID) + ") where method = 'threshold' group by 1")
+def noise_pivot(spark, sf_dir):
+    """The threshold method's agreement as a table of label noise by order noise."""
+    p = files.metric_pivots(_small_grid(spark, sf_dir), ["jaccard"])["jaccard_threshold"]
+    return p.select("eps", *[_r(F.col(f"`{c}`")).alias(c) for c in ("0.2", "1.0")])
+
+
 def _perturbed_sql(family: str, eps: float, seed: int) -> str:
     log = f"with {USER_DAYS}"
     if family == "order":
