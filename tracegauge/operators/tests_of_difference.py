@@ -98,13 +98,16 @@ def label_sums(traces: DataFrame, cands: DataFrame, count: int, seed: int) -> Da
     quota = spark.createDataFrame([(r, k) for r, k, _ in left], "rep int, quota long")
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("h", "case_id"))
     more = drawn.where("rep is not null").select("rep", "h", "case_id", "trace").join(F.broadcast(quota), "rep").withColumn("rank", rank).where("rank <= quota")
-    more = more.groupBy("trace", "rep").agg(F.count(F.lit(1)).alias("k")).groupBy("trace").agg(F.collect_list(F.struct("rep", "k")).alias("drawn"))
+    more = more.groupBy("trace", "rep").agg(F.count(F.lit(1)).alias("k")).groupBy("trace").agg(F.collect_list("rep").alias("reps"), F.collect_list("k").alias("ks"))
 
     def add(batches):
         held = replicates.Products(count + 2, names, unary)
         for batch in batches:
-            for trace, drawn in zip(batch.column("trace").to_pylist(), batch.column("drawn").to_pylist(), strict=True):
-                held.of(trace)[[2 + d["rep"] for d in drawn]] += [d["k"] for d in drawn]
+            reps, ks = (batch.column(c) for c in ("reps", "ks"))
+            cut = np.append(0, np.cumsum(reps.value_lengths().to_numpy(zero_copy_only=False)))
+            reps, ks = (c.flatten().to_numpy(zero_copy_only=False) for c in (reps, ks))
+            for i, trace in enumerate(batch.column("trace").to_pylist()):
+                held.of(trace)[2 + reps[cut[i] : cut[i + 1]]] += ks[cut[i] : cut[i + 1]]
                 if held.full():
                     yield from held.rows()
         yield from held.rows()
