@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import measures
+from . import measures, rules
 from .resampling import draw
 
 REPEATS = T.MapType(T.StringType(), T.IntegerType())
@@ -134,11 +134,14 @@ def template_features(traces: DataFrame, cands: DataFrame, theta: float = 0.0) -
     return s.withColumn("source", F.when(F.col("n1_sat") >= need1, "positive").when(~first & (F.col("n0_sat") >= need0), "negative")).where("source is not null").select("ctype", "a", "b", "source")
 
 
+def constraint_name() -> Column:
+    return F.concat(F.col("ctype"), F.lit("("), F.concat_ws(", ", "a", "b"), F.lit(")"))
+
+
 def three_way(traces: DataFrame, cands: DataFrame, counts: bool = False) -> DataFrame:
     """(case_id, outcome, feature, value): -1 violated, +1 satisfied, 0 (absent) vacuous."""
     h = measures.holds(traces, cands, ["case_id", "outcome"])
-    name = F.concat(F.col("ctype"), F.lit("("), F.concat_ws(", ", "a", "b"), F.lit(")"))
-    return h.select("case_id", "outcome", name.alias("feature"), F.when(F.col("sat") == 1, 1.0).otherwise(-1.0).alias("value"))
+    return h.select("case_id", "outcome", constraint_name().alias("feature"), F.when(F.col("sat") == 1, 1.0).otherwise(-1.0).alias("value"))
 
 
 def sign_counts(features: DataFrame, traces: DataFrame, chosen: DataFrame | None = None, by: list[str] = ()) -> DataFrame:
@@ -151,40 +154,38 @@ def sign_counts(features: DataFrame, traces: DataFrame, chosen: DataFrame | None
     return means.groupBy(*by).agg(F.count_if(F.col("d") > 0).alias("n_plus"), F.count_if(F.col("d") < 0).alias("n_minus"))
 
 
-def fisher_scores(features: DataFrame, traces: DataFrame, eps: float = 1e-12) -> DataFrame:
-    """(feature, score): generalised Fisher scores from sums, the absent values being 0."""
+def fisher_scores(features: DataFrame, traces: DataFrame, eps: float = 1e-12, by: list[str] = ()) -> DataFrame:
+    """(by, feature, score): generalised Fisher scores from sums, the absent values being 0.  All logs of ``by`` have as many
+    cases of either class as ``traces``."""
     n0, n1 = traces.agg(F.count_if(F.col("outcome") == 0), F.count_if(F.col("outcome") == 1)).first()
     n0, n1 = float(n0 or 0), float(n1 or 0)
     on = lambda k, v: F.sum(F.when(F.col("outcome") == k, v).otherwise(0.0))
     v = F.col("value")
-    s = features.groupBy("feature").agg(on(0, v).alias("s0"), on(1, v).alias("s1"), on(0, v * v).alias("q0"), on(1, v * v).alias("q1"))
+    s = features.groupBy(*by, "feature").agg(on(0, v).alias("s0"), on(1, v).alias("s1"), on(0, v * v).alias("q0"), on(1, v * v).alias("q1"))
     m0, m1 = F.col("s0") / max(n0, 1), F.col("s1") / max(n1, 1)
     mean = (F.col("s0") + F.col("s1")) / max(n0 + n1, 1)
     num = n1 * F.pow(m1 - mean, 2) + n0 * F.pow(m0 - mean, 2)
     den = n1 * F.greatest(F.lit(0.0), F.col("q1") / max(n1, 1) - m1 * m1) + n0 * F.greatest(F.lit(0.0), F.col("q0") / max(n0, 1) - m0 * m0)
-    return s.select("feature", F.when(den > eps, num / den).when(num <= eps, 0.0).otherwise(num / eps).alias("score"))
+    return s.select(*by, "feature", F.when(den > eps, num / den).when(num <= eps, 0.0).otherwise(num / eps).alias("score"))
+
+
+def covering_features(features: DataFrame, traces: DataFrame, threshold: int = 20, by: list[str] = ()) -> DataFrame:
+    """(by, feature, score): greedy selection in order of score: a feature enters if it covers a case covered less than
+    ``threshold`` times.  Equal traces of a log have one counter, so what is covered are variants where features depend on the
+    trace alone, else cases.
+
+    features: (by, case_id, outcome, feature, value), and ``trace_id`` where a trace's features are the same in all cases.
+    """
+    unit = "trace_id" if "trace_id" in features.columns else "case_id"
+    cover = features.where("value <> 0").select(*by, F.col(unit).alias("unit"), "feature").distinct()
+    return rules.covering(cover, fisher_scores(features, traces, by=by), threshold, by)
 
 
 def select_by_coverage(features: DataFrame, traces: DataFrame, threshold: int = 20) -> list[str]:
-    """Greedy selection in order of score: a feature enters if it covers a case covered less than
-    ``threshold`` times.  Each accept changes the state, so ranked features are walked in order; the state
-    is one counter for each distinct trace, kept by the driver (variants, not cases)."""
-    scores = fisher_scores(features, traces)
-    ids = traces.select("case_id", F.md5(F.to_json("trace")).alias("variant"))
-    cover = features.where("value <> 0").select("case_id", "feature").join(ids, "case_id").groupBy("feature").agg(F.collect_set("variant").alias("on"))
-    ranked = cover.join(scores, "feature").orderBy(F.desc("score"), F.desc("feature")).select("feature", "on")
-    sizes = ids.select("variant").distinct().count()
-    covered: dict[str, int] = {}
-    full, chosen = 0, []
-    for row in ranked.toLocalIterator():
-        if any(covered.get(v, 0) < threshold for v in row["on"]):
-            chosen.append(row["feature"])
-            for v in row["on"]:
-                covered[v] = covered.get(v, 0) + 1
-                full += covered[v] == threshold
-            if full == sizes:
-                break
-    return chosen
+    """The names that :func:`covering_features` accepts, best first."""
+    ids = traces.select("case_id", F.md5(F.to_json("trace")).alias("trace_id"))
+    chosen = covering_features(features.join(ids, "case_id"), traces, threshold)
+    return [r["feature"] for r in chosen.orderBy(F.desc("score"), F.desc("feature")).collect()]  # names
 
 
 def folds(traces: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
@@ -264,21 +265,38 @@ def _scored(model, df: DataFrame) -> DataFrame:
     return model.transform(df).select("outcome", "prediction", vector_to_array("probability")[1].alias("score"))
 
 
-def tree_rules(model, names: list[str]) -> list[tuple[str, int]]:
-    """(conjunctive rule, conditions) of every leaf that predicts the positive class."""
-    import re
-
-    rules, path = [], []
-    for line in model.toDebugString.splitlines():
-        depth = len(line) - len(line.lstrip())
-        text = line.strip()
-        while path and path[-1][0] >= depth:
-            path.pop()
-        if m := re.match(r"(?:If|Else) \(feature (\d+) (<=|>|in|not in) (.+)\)", text):
-            path.append((depth, f"{names[int(m[1])]} {m[2]} {m[3]}"))
-        elif text.startswith("Predict: 1"):
-            rules.append((" AND ".join(p for _, p in path), len(path)))
-    return rules
+def tree_rules(model, names: list[str]) -> DataFrame:
+    """(leaf, rule, length, support, precision, conditions) of every leaf of a fitted tree that predicts the positive class."""
+    return rules.rules(rules.model_nodes(model, names))
+
+
+def mined_rules(features: DataFrame, traces: DataFrame, threshold: int = 20, depth: int = DEPTHS[0]) -> DataFrame:
+    """The rules of the final model: features chosen by coverage, then one tree on all cases."""
+    chosen = select_by_coverage(features, traces, threshold)
+    held = features.where(F.col("feature").isin(chosen))
+    return rules.rules(rules.grow(traces, held, depth=depth))
+
+
+def null_mining_counts(traces: DataFrame, cands: DataFrame, count: int, threshold: int = 20, depth: int = DEPTHS[0], seed: int = 42) -> DataFrame:
+    """(rep, selected, in_rules): features that coverage selects, and those in the rules of a tree on them, on ``count``
+    double-null logs; replicate ``count`` is the log as it is.  The pool of constraints is the same for all.
+
+    All replicates are one job a step: scores, rounds of selection and levels of trees are keyed by the replicate.
+    """
+    from .resampling import double_null
+
+    spark = traces.sparkSession
+    clean = traces.select(F.lit(count).alias("rep"), "case_id", "outcome", "trace")
+    logs = rules.stored(double_null(traces, count, seed).unionByName(clean), "null-logs")
+    held = measures.holds(logs.withColumn("trace_id", F.md5(F.to_json("trace"))), cands, ["rep", "case_id", "outcome", "trace_id"])
+    coded = rules.stored(held.select("rep", "case_id", "outcome", "trace_id", constraint_name().alias("feature"), F.when(F.col("sat") == 1, 1.0).otherwise(-1.0).alias("value")), "null-features")
+    chosen = covering_features(coded, traces, threshold, ["rep"]).select("rep", "feature")
+    nodes = rules.grow(logs, coded.join(chosen, ["rep", "feature"]), ["rep"], depth)
+    spoken = rules.rule_features(rules.rules(nodes, ["rep"]), ["rep"])
+    size = lambda d, name: d.groupBy("rep").agg(F.count(F.lit(1)).alias(name))
+    reps = spark.range(count + 1).select(F.col("id").cast("int").alias("rep"))
+    out = reps.join(size(chosen, "selected"), "rep", "left").join(size(spoken, "in_rules"), "rep", "left")
+    return out.select("rep", F.coalesce("selected", F.lit(0)).alias("selected"), F.coalesce("in_rules", F.lit(0)).alias("in_rules"))
 
 
 def sequential_rules(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 10, conditions: int = 4, least: int = 2) -> list[tuple[str, int]]:
@@ -313,17 +331,23 @@ def sequential_rules(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int
 
 
 def root_condition(features: DataFrame, cases: DataFrame, names: list[str]) -> tuple[str, float] | None:
-    """(feature, threshold) of the best single split: the data condition that enriches a constraint."""
-    from pyspark.ml.classification import DecisionTreeClassifier
+    """(feature, threshold) of the best single split of the cases by the named features."""
+    members = cases.select(F.lit(0).alias("group"), "case_id", "outcome")
+    best = rules.best_splits(members, rules.binned(features.where(F.col("feature").isin(names))), ["group"]).first()
+    return best and (best["feature"], best["threshold"])
+
 
-    data = assemble(features, cases.select("case_id", "outcome"), names).withColumn("label", F.col("outcome").cast("double"))
-    if data.select("label").distinct().count() < 2 or not names:
-        return None
-    model = DecisionTreeClassifier(maxDepth=1, seed=1).fit(data)
-    root = model._call_java("rootNode")
-    if model.depth == 0:
-        return None
-    return names[root.split().featureIndex()], float(root.split().threshold())
+def data_conditions(traces: DataFrame, cands: DataFrame, data: DataFrame, least: int = 4) -> DataFrame:
+    """(ctype, a, b, feature, threshold, gain): the data condition ``feature <= threshold`` of each constraint, for all of
+    them in one pass.
+
+    It is the best single split by outcome of the cases that satisfy the constraint; constraints that fewer than ``least``
+    cases satisfy, or those of one class only, or no feature parts, have none and no row.
+    """
+    held = measures.holds(traces, cands, ["case_id", "outcome"]).where("sat = 1")
+    members = held.select("ctype", "a", F.coalesce("b", F.lit("")).alias("b"), "case_id", "outcome")
+    best = rules.best_splits(members, rules.binned(data), ["ctype", "a", "b"]).where(F.col("n0") + F.col("n1") >= least)
+    return best.select("ctype", "a", F.nullif("b", F.lit("")).alias("b"), "feature", "threshold", "gain")
 
 
 #: Single encodings; "h" is all repeats plus constraints; compounds join names by "+".
@@ -335,28 +359,24 @@ def encodings() -> list[str]:
     return [*PARTS, *[f"data+{p}" for p in PARTS if p != "data"], "h+conditional", "h+data+conditional"]
 
 
-def conditional_templates(traces: DataFrame, cands: DataFrame, data: DataFrame, most: int = 10) -> DataFrame:
-    """(case_id, outcome, feature, value): the ``most`` best constraints, each under its data condition.
+def conditional_templates(traces: DataFrame, cands: DataFrame, data: DataFrame) -> DataFrame:
+    """(case_id, outcome, feature, value): every constraint under its data condition, outside which it counts as vacuous.
 
-    The condition is the best single split of the data features over the cases that activate the constraint;
-    outside it the constraint counts as vacuous.
+    A constraint without a condition holds as it is.
     """
-    coded, data = three_way(traces, cands).cache(), data.cache()
-    best = [r["feature"] for r in fisher_scores(coded, traces).orderBy(F.desc("score"), "feature").limit(most).collect()]
-    names = sorted(r[0] for r in data.select("feature").distinct().collect())
-    out = None
-    for name in best:
-        active = coded.where(F.col("feature") == name)
-        split = root_condition(data, active, names)
-        part = active.withColumn("feature", F.concat(F.col("feature"), F.lit(" if any")))
-        if split:
-            inside = data.where(F.col("feature") == split[0]).where(F.col("value") > split[1]).select("case_id").distinct()
-            part = active.join(inside, "case_id", "left_semi").withColumn("feature", F.lit(f"{name} if {split[0]} > {split[1]:.6g}"))
-        out = part if out is None else out.unionByName(part)
-    return coded.limit(0) if out is None else out
-
-
-def encode(traces: DataFrame, encoding: str, cands: DataFrame, theta: float = 0.1, data: DataFrame | None = None, most: int = 10) -> DataFrame:
+    coded = measures.holds(traces, cands, ["case_id", "outcome"])
+    data = rules.stored(data.select("case_id", "feature", "value"), "data")
+    found = rules.stored(data_conditions(traces, cands, data), "conditions")
+    named = coded.withColumn("name", constraint_name()).withColumn("b", F.coalesce("b", F.lit("")))
+    found = found.select("ctype", "a", F.coalesce("b", F.lit("")).alias("b"), F.col("feature").alias("by"), "threshold")
+    on = data.select("case_id", F.col("feature").alias("by"), F.col("value").alias("at"))
+    rows = named.join(found, ["ctype", "a", "b"], "left").join(on, ["case_id", "by"], "left")
+    rows = rows.where(F.col("by").isNull() | (F.coalesce(F.nanvl("at", F.lit(0.0)), F.lit(0.0)) <= F.col("threshold")))
+    condition = F.when(F.col("by").isNull(), "any").otherwise(F.concat_ws(" <= ", "by", F.round("threshold", 6).cast("string")))
+    return rows.select("case_id", "outcome", F.concat_ws(" if ", "name", condition).alias("feature"), F.when(F.col("sat") == 1, 1.0).otherwise(-1.0).alias("value"))
+
+
+def encode(traces: DataFrame, encoding: str, cands: DataFrame, theta: float = 0.1, data: DataFrame | None = None) -> DataFrame:
     """(case_id, outcome, feature, value) of an encoding such as "h+data+conditional"; absent values are 0.
 
     ``data``: the cases' data features (case_id, feature, value), for the parts that use them.
@@ -380,7 +400,7 @@ def encode(traces: DataFrame, encoding: str, cands: DataFrame, theta: float = 0.
         if "data" in parts:
             blocks.append(held)
         if "conditional" in parts:
-            blocks.append(conditional_templates(traces, cands, data, most))
+            blocks.append(conditional_templates(traces, cands, data))
     out = blocks[0]
     for b in blocks[1:]:
         out = out.unionByName(b.select(*out.columns))

@@ -828,13 +828,64 @@ def sequential_patterns(spark, sf_dir):
     return mining.discriminative(mining.sequential_patterns(t), t, 0.1)
 
 
-@query()
+@query(f"""with recursive {CUSTOMER_ORDERS}, {CHECKS}, f as (select array_to_string(tr.t, '>') as u, chk.outcome, ctype || '(' || concat_ws(', ', a, b) || ')' as feature, if(sat, 1, -1)::double as v from chk join tr on chk.case_id = tr.case_id where app and ctype in {ENABLED_SQL}),
+n as (select count_if(outcome = 0)::double as n0, count_if(outcome = 1)::double as n1 from tr),
+s as (select feature, n0, n1, sum(if(outcome = 0, v, 0)) / n0 as m0, sum(if(outcome = 1, v, 0)) / n1 as m1, sum(v) / (n0 + n1) as m, sum(if(outcome = 0, v * v, 0)) / n0 as q0, sum(if(outcome = 1, v * v, 0)) / n1 as q1 from f, n group by feature, n0, n1),
+r as (select feature, n1 * pow(m1 - m, 2) + n0 * pow(m0 - m, 2) as num, n1 * greatest(0, q1 - m1 * m1) + n0 * greatest(0, q0 - m0 * m0) as den from s),
+o as (select feature, row_number() over (order by round(case when den > 1e-12 then num / den when num <= 1e-12 then 0 else num / 1e-12 end, 9) desc, feature desc) as k from r),
+g as (select distinct u, feature from f), un as (select distinct u from g),
+bits as (select o.k, o.feature, list((g.u is not null)::int order by un.u) as on_units from o cross join un left join g on g.u = un.u and g.feature = o.feature group by 1, 2),
+walk as (select 0::bigint as k, (select list(0 order by u) from un) as held, ''::varchar as feature, false as taken
+  union all select b.k, if(x.take, [p[1] + p[2] for p in list_zip(w.held, b.on_units)], w.held), b.feature, x.take
+  from walk w join bits b on b.k = w.k + 1, lateral (select len([p for p in list_zip(w.held, b.on_units) if p[2] = 1 and p[1] < 20]) > 0 as take) x)
+select (row_number() over (order by k) - 1)::int as place, feature from walk where taken""")
 def coverage_selection(spark, sf_dir):
+    """Constraints that greedy coverage accepts, best first."""
     t = logs.customer_orders(spark, sf_dir)
     names = mining.select_by_coverage(mining.three_way(t, _cands(t)), t, 20)
     return spark.createDataFrame(list(enumerate(names)), "place int, feature string")
 
 
+def _user_data(spark, sf_dir):
+    data = mining.data_features(logs.read(spark, sf_dir, "events"), "user_id", "ts", ["value"], ["event_type"])
+    return data.where(~F.col("feature").isin("value_first", "value_last", "value_avg"))
+
+
+@query(f"""with {USERS}, {CHECKS}, e as (select user_id::varchar as case_id, * exclude (user_id) from events),
+w as (select case_id, min(value) as mi, max(value) as ma, count(*)::double as n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as dur from e group by 1),
+d as (select * from (select case_id, 'value_min' as feature, mi as value from w union all select case_id, 'value_max', ma from w union all select case_id, 'length', n from w
+  union all select case_id, 'duration', dur from w union all select case_id, 'event_type==' || event_type, count(*)::double from e where event_type is not null group by 1, 2) where value <> 0),
+k as (select feature, value, sign(value) as side, (row_number() over (partition by feature, sign(value) order by value) - 1) * 256 // count(*) over (partition by feature, sign(value)) as run from (select distinct feature, value from d)),
+m as (select ctype, a, coalesce(b, '') as b, case_id, outcome from chk where sat and ctype in {ENABLED_SQL}),
+n as (select ctype, a, b, count_if(outcome = 0) as n0, count_if(outcome = 1) as n1 from m group by all having n0 > 0 and n1 > 0 and n0 + n1 >= 4),
+h as (select ctype, a, b, feature, side, run, n0, n1, count_if(outcome = 0) as c0, count_if(outcome = 1) as c1, min(value) as low, max(value) as high from m join n using (ctype, a, b) join d using (case_id) join k using (feature, value) group by all),
+z as (select ctype, a, b, feature, n0, n1, c0, c1, low, high from h union all select ctype, a, b, feature, n0, n1, n0 - sum(c0), n1 - sum(c1), 0.0, 0.0 from h group by ctype, a, b, feature, n0, n1 having sum(c0) + sum(c1) < n0 + n1),
+c as (select *, sum(c0) over v as l0, sum(c1) over v as l1, lead(low) over v as following from z window v as (partition by ctype, a, b, feature order by low)),
+i as (select *, l0 + l1 as nl, n0 + n1 - l0 - l1 as nr, n0 + n1 as nn from c where following is not null),
+g as (select ctype, a, b, feature, (high + following) / 2 as threshold, round((2.0 * n0 * n1 / nn - 2.0 * l0 * l1 / nl - 2.0 * (n0 - l0) * (n1 - l1) / nr) / nn, 9) as gain from i)
+select ctype, a, nullif(b, '') as b, feature, round(threshold, 6) as threshold, gain from g where gain > 0 qualify row_number() over (partition by ctype, a, b order by gain desc, feature, threshold) = 1""")
+def data_conditions(spark, sf_dir):
+    """The data condition of every constraint over the users' event data."""
+    t = logs.users(spark, sf_dir)
+    c = mining.data_conditions(t, _cands(t), _user_data(spark, sf_dir))
+    return c.select("ctype", "a", "b", "feature", F.round("threshold", 6).alias("threshold"), "gain")
+
+
+@query()
+def mined_rules(spark, sf_dir):
+    """Rules of the final model on constraints and the users' activity counts."""
+    t = logs.users(spark, sf_dir)
+    found = mining.mined_rules(mining.encode(t, "ia+template", _cands(t)), t)
+    return found.select("leaf", "rule", "length", "support", _r("precision").alias("precision"))
+
+
+@query()
+def null_mining_counts(spark, sf_dir):
+    """Constraints that coverage selects, and those in the rules of a tree, on 200 double-null logs and (rep 200) on the log."""
+    t = logs.users(spark, sf_dir)
+    return mining.null_mining_counts(t, _cands(t), 200)
+
+
 @query("""with b as (select user_id::varchar as case_id, value, ts, event_id, event_type from events),
 w as (select case_id, min(value) as mi, max(value) as ma, avg(value) as av, count(*)::double as n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as dur from b group by 1)
 select case_id, 'value_min' as feature, round(mi, 6) as value from w union all select case_id, 'value_max', round(ma, 6) from w union all select case_id, 'value_avg', round(av, 6) from w
@@ -1088,7 +1139,7 @@ def composite_encoding(spark, sf_dir):
     """Number of cases and sum of values of every feature of a composite encoding."""
     t = logs.users(spark, sf_dir)
     data = mining.data_features(logs.read(spark, sf_dir, "events"), "user_id", "ts", ["value"], ["event_type"])
-    e = mining.encode(t, "ia+data+conditional", _cands(t), data=data, most=2)
+    e = mining.encode(t, "ia+data+conditional", _cands(t), data=data)
     return e.groupBy("feature").agg(F.count(F.lit(1)).alias("cases"), F.round(F.sum("value"), 4).alias("total"))
 
 
