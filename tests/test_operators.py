@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracegauge.functions import catalogues, special, templates
-from tracegauge.operators import comparison, mining, pruning, resampling, significance, tests_of_difference as tod
+from tracegauge.operators import bootstrap, comparison, mining, pruning, resampling, significance, tests_of_difference as tod
 from tracegauge.operators.measures import candidates
 from tracegauge.operators.statistics import alphabet
 from tracegauge.sources import event_log, files
@@ -151,7 +151,7 @@ def test_intervals(spark):
     assert special.bca([3, 3, 3]) == (3, 3) and all(map(math.isnan, special.bca([])))
     assert special.bca(v) == special.bca(v)
     df = spark.createDataFrame([("m", float(x)) for x in v], "k string, v double")
-    r = special.grouped_intervals(df, "k", "v").first()
+    r = bootstrap.intervals(df, ["k"], "v").first()
     assert r["n"] == 50 and r["bca_low"] < r["mean"] < r["bca_high"]
 
 

@@ -134,14 +134,3 @@ def percentile_interval(values, level: float = 0.95, draws: int = 1000, seed: in
     rng = np.random.default_rng(seed)
     boot = x[rng.integers(0, len(x), (draws, len(x)))].mean(1)
     return float(np.percentile(boot, 50 * (1 - level))), float(np.percentile(boot, 50 * (1 + level)))
-
-
-def grouped_intervals(df, key: str, value: str, draws: int = 2000, seed: int = 42):
-    """(key, mean, bca_low, bca_high, pct_low, pct_high, n) per group of replicate values (some hundreds each)."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(pdf[value].to_numpy(float))
-        b, p = bca(v, draws=draws, seed=seed), percentile_interval(v, draws=draws, seed=seed)
-        return pd.DataFrame({"key": [str(pdf[key].iloc[0])], "mean": [v.mean()], "bca_low": [b[0]], "bca_high": [b[1]], "pct_low": [p[0]], "pct_high": [p[1]], "n": [len(v)]})
-
-    return df.groupBy(key).applyInPandas(one, "key string, mean double, bca_low double, bca_high double, pct_low double, pct_high double, n long")

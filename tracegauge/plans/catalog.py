@@ -956,8 +956,8 @@ def perturbation_study(spark, sf_dir):
     return summarise(s).select("family", "eps", "n", *[_r(c).alias(c) for c in ("jaccard", "fdr_ref", "pct_low", "pct_high")])
 
 
-def _agreement_sql(changed: list[tuple[str, str]], columns: str = "*") -> str:
-    """Both methods on changed logs against the clean one.  ``changed``: (cell, SELECT of case_id, outcome and t)."""
+def _hits_sql(changed: list[tuple[str, str]]) -> str:
+    """What both methods find on changed logs and the clean one.  ``changed``: (cell, SELECT of case_id, outcome and t)."""
     parts = " union all ".join(f"select '{cell}#' || case_id as case_id, outcome, t from ({text})" for cell, text in [("clean", f"with {USER_DAYS} select * from tr"), *changed])
     return f"""with tr as ({parts}), {CHECKS},
 q as (select split_part(case_id, '#', 1) as cell, ctype, a, b, coalesce(sum(app::int) filter (where outcome = 0), 0) as a0, coalesce(sum(sat::int) filter (where outcome = 0), 0) as s0,
@@ -965,7 +965,12 @@ q as (select split_part(case_id, '#', 1) as cell, ctype, a, b, coalesce(sum(app:
 c as (select *, if(a0 > 0, s0 / a0::double, 0) as c0, if(a1 > 0, s1 / a1::double, 0) as c1 from q),
 f as (select *, pow(c1 - c0, 2) as num, if(a0 > 0, c0 * (1 - c0) / a0, 0) + if(a1 > 0, c1 * (1 - c1) / a1, 0) as den from c),
 hit as (select cell, 'threshold' as method, ctype, a, b from f where abs(c1 - c0) >= 0.02 and (c0 >= 0.01 or c1 >= 0.01)
-  union all select cell, 'fisher', ctype, a, b from f where case when den > 1e-12 then num / den when num <= 1e-12 then 0 else num / 1e-12 end >= 3.841458820694124),
+  union all select cell, 'fisher', ctype, a, b from f where case when den > 1e-12 then num / den when num <= 1e-12 then 0 else num / 1e-12 end >= 3.841458820694124)"""
+
+
+def _agreement_sql(changed: list[tuple[str, str]], columns: str = "*") -> str:
+    """Both methods on changed logs against the clean one."""
+    return _hits_sql(changed) + f""",
 k as (select cell, method from (select distinct cell from q where cell <> 'clean'), (select unnest(['threshold', 'fisher']) as method)),
 s as (select k.cell, k.method, h.ctype, h.a, h.b, max((h.cell = 'clean')::int) as x, max((h.cell <> 'clean')::int) as y from k join hit h on h.method = k.method and h.cell in ('clean', k.cell) group by 1, 2, 3, 4, 5),
 m as (select k.cell, k.method, coalesce(sum(x * y), 0)::bigint as tp, coalesce(sum((1 - x) * y), 0)::bigint as fp, coalesce(sum(x * (1 - y)), 0)::bigint as fn from k left join s using (cell, method) group by 1, 2)
@@ -1031,6 +1036,22 @@ def perturbation_cells(spark, sf_dir):
     return s.select(F.col("family").alias("first"), F.col("rep").cast("double").alias("second"), "method", "tp", "fp", "fn", _r("jaccard").alias("jaccard"))
 
 
+@query(_hits_sql([(f"{f}/{rep}", _perturbed_sql(f, 0.2, 42 + 100_000 * (k + 1) + 2000 + 7919 * rep)) for k, f in enumerate(resampling.PERTURBATIONS) for rep in range(4)]) + f""",
+k as (select cell, method, fam from (select distinct cell from q where cell <> 'clean'), (select unnest(['threshold', 'fisher']) as method), (select distinct {_FAMILY} as fam from q)),
+s as (select k.cell, k.method, k.fam, h.ctype, h.a, h.b, max((h.cell = 'clean')::int) as x, max((h.cell <> 'clean')::int) as y from k join (select *, {_FAMILY} as fam from hit) h on h.method = k.method and h.fam = k.fam and h.cell in ('clean', k.cell) group by all),
+m as (select k.cell, k.method, k.fam, coalesce(sum(x * y), 0) / greatest(count(s.x), 1)::double as part, count(s.x) as u from k left join s using (cell, method, fam) group by 1, 2, 3),
+g as (select split_part(cell, '/', 1) as family, method, fam, list(j order by j) as x, count(*) as n, avg(j) as mean from (select *, if(u = 0, 1.0::double, part) as j from m) group by 1, 2, 3),
+d as (select family, method, fam, n, mean, round(list_sum([x[1 + floor({_uniform_sql("'42'", 'family', "'0.2'", 'method', 'fam', 'd', 'i')} * n)::bigint] for i in range(n)]) / n::double, 12) as boot from g, range(1000) as r(d))
+select family, 0.2::double as eps, method, fam as template_family, any_value(n)::bigint as n, round(any_value(mean), 9) as jaccard, round(quantile_cont(boot, 0.025), 9) as pct_low, round(quantile_cont(boot, 0.975), 9) as pct_high from d group by family, method, fam""")
+def perturbation_families(spark, sf_dir):
+    """Agreement by template family over four repeats of each perturbation at one level, with bootstrap intervals."""
+    from .experiments import perturbation_study as study, summarise
+
+    t = logs.user_days(spark, sf_dir)
+    s = summarise(study(t, _cands(t), _methods(), levels=(0.2,), repeats=4, by_family=True))
+    return s.select("family", "eps", "method", "template_family", "n", *[_r(c).alias(c) for c in ("jaccard", "pct_low", "pct_high")])
+
+
 #: Double-null logs of a noisy log with inner labels and orders, for SQL: 3 outer, 9 inner label, 7 inner order replicates.
 _CALIBRATION = f"""with own as ({_noisy_sql(USER_DAYS, 43, 0.3, 42, 0.1)}), o as (select unnest(range(3)) as o),
 y as (select o, case_id, (row_number() over (partition by o order by md5('142|' || o || '|' || case_id), case_id) <= sum(outcome) over (partition by o))::int as outcome from own, o),
@@ -1096,6 +1117,21 @@ def null_counts_of_methods(spark, sf_dir):
     return null_counts(t, _cands(t), _methods(), 10)
 
 
+@query(f"""with nc as ({_NULL_COUNTS}), g as (select method, list(v order by v) as x, count(*) as n, round(sum(v) / count(*)::double, 12) as mean from nc where rep < 10 group by 1),
+b as (select method, n, mean, x, d, round(list_sum([x[1 + floor({_uniform_sql("'42'", 'method', 'd', 'i')} * n)::bigint] for i in range(n)]) / n::double, 12) as m from g, range(1000) as r(d))
+select method, any_value(n)::int as n, any_value(mean) as mean, round(quantile_cont(m, 0.025), 9) as pct_low, round(quantile_cont(m, 0.975), 9) as pct_high, avg((m < mean)::int::double) as below,
+  round(any_value(list_sum([pow(v - mean, 3) for v in x]) / (6 * pow(list_sum([pow(v - mean, 2) for v in x]), 1.5))), 9) as acceleration from b group by method""")
+def null_count_intervals(spark, sf_dir):
+    """Bootstrap intervals of the mean number of discoveries on ten double-null logs, with what accelerated ends are made of."""
+    from ..operators import bootstrap
+    from .experiments import null_counts
+
+    t = logs.user_days(spark, sf_dir)
+    null = null_counts(t, _cands(t), _methods(), 10).where("rep < 10")
+    i = bootstrap.intervals(null, ["method"], "v")
+    return i.select("method", "n", "mean", _r("pct_low").alias("pct_low"), _r("pct_high").alias("pct_high"), "below", _r("acceleration").alias("acceleration"))
+
+
 @query("select p as premise_1, q as premise_2, e as conclusion, true as proven from (values ('Response(a, b)', 'Response(b, c)', 'Response(a, c)'), ('ChainResponse(a, b)', 'Precedence(a, b)', 'AlternateResponse(a, b)'), ('Succession(a, b)', 'NotSuccession(a, b)', 'ChainSuccession(a, b)')) v(p, q, e)")
 def automata_entailment(spark, sf_dir):
     """Entailments proven by automata; the middle one needs the pairwise reading of alternation."""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special, templates as tp
-from ..operators import cells, comparison, resampling, significance
+from ..operators import bootstrap, cells, comparison, resampling, significance
 from ..shared import shared_folder
 
 KEYS = ["ctype", "a", "b"]
@@ -37,15 +37,22 @@ def discoveries(traces: DataFrame, cands: DataFrame, change, methods: dict[str,
     return traces.sparkSession.read.schema(found.schema).parquet(folder)
 
 
-def agreement(found: DataFrame, clean: int, methods: dict[str, Column]) -> DataFrame:
-    """(cell, method, agreement with the cell ``clean``) of the cells before it, also of those without a discovery."""
+def agreement(found: DataFrame, clean: int, methods: dict[str, Column], families: DataFrame | None = None) -> DataFrame:
+    """(cell, method, agreement with the cell ``clean``) of the cells before it, also of those without a discovery.
+
+    families: (template_family), to compare the patterns of each family by themselves.
+    """
     spark = found.sparkSession
     keys = spark.range(clean).select(F.col("id").cast("int").alias("cell")).crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in methods], "method string")))
-    reference = keys.join(found.where(F.col("cell") == clean).drop("cell"), "method")
-    met = significance.reference_metrics(reference, found.where(F.col("cell") < clean), KEYS, by=["cell", "method"])
+    by = ["cell", "method"]
+    if families is not None:
+        keys, by = keys.crossJoin(F.broadcast(families)), [*by, "template_family"]  # as many as templates at most
+        found = found.withColumn("template_family", tp.family())
+    reference = keys.join(found.where(F.col("cell") == clean).drop("cell"), by[1:])
+    met = significance.reference_metrics(reference, found.where(F.col("cell") < clean), KEYS, by=by)
     # a cell in which neither side has anything: two empty sets are equal
     zero = {"tp": 0, "fp": 0, "fn": 0, "jaccard": 1.0, "reliable": False}
-    return keys.join(met, ["cell", "method"], "left").na.fill(zero)
+    return keys.join(met, by, "left").na.fill(zero)
 
 
 def _with_names(rows: DataFrame, named: list[tuple], schema: str) -> DataFrame:
@@ -65,7 +72,7 @@ def error_rates(traces: DataFrame, cands: DataFrame, count: int, seed: int = 42,
         part = significance.empirical_error_rates(null.where(F.col("method") == name), observed[name], m, ["method"]).withColumn("r_obs", F.lit(observed[name]))
         part = part.withColumn("controls", F.col("fdr_emp") <= alpha)
         rates = part if rates is None else rates.unionByName(part)
-    ends = special.grouped_intervals(null, "method", "v").select(F.col("key").alias("method"), "bca_low", "bca_high")
+    ends = bootstrap.intervals(null, ["method"], "v", draws=2000).select("method", "bca_low", "bca_high")
     return rates.join(ends, "method").withColumn("fdr_low", F.col("bca_low") / F.greatest("r_obs", F.lit(1))).withColumn("fdr_high", F.col("bca_high") / F.greatest("r_obs", F.lit(1)))
 
 
@@ -86,25 +93,29 @@ def noise_grid(traces: DataFrame, cands: DataFrame, methods: dict[str, Column],
     return _with_names(agreement(found, grid.cells, methods), [(float(e), float(r)) for r in rho for e in eps], "eps double, rho double")
 
 
-def perturbation_study(traces: DataFrame, cands: DataFrame, methods: dict[str, Column], families=tuple(resampling.PERTURBATIONS), levels=LEVELS, repeats: int = 10, seed: int = 42, first: int = 0) -> DataFrame:
-    """(family, eps, rep, method, agreement metrics) against the clean result; repeats are numbered from ``first``."""
+def perturbation_study(traces: DataFrame, cands: DataFrame, methods: dict[str, Column], families=tuple(resampling.PERTURBATIONS), levels=LEVELS, repeats: int = 10, seed: int = 42, first: int = 0, by_family: bool = False) -> DataFrame:
+    """(family, eps, rep, method, agreement metrics) against the clean result; repeats are numbered from ``first``.
+
+    by_family: for each template family by itself (``template_family``).
+    """
     order = list(resampling.PERTURBATIONS)
     named = [(name, float(e), rep) for name in families for e in levels for rep in range(first, first + repeats)]
-    return _studied(traces, cands, methods, [(*x, seed + 100_000 * (order.index(x[0]) + 1) + round(1e4 * x[1]) + 7919 * x[2]) for x in named])
+    return _studied(traces, cands, methods, [(*x, seed + 100_000 * (order.index(x[0]) + 1) + round(1e4 * x[1]) + 7919 * x[2]) for x in named], by_family)
 
 
-def _studied(traces: DataFrame, cands: DataFrame, methods: dict[str, Column], what: list[tuple]) -> DataFrame:
+def _studied(traces: DataFrame, cands: DataFrame, methods: dict[str, Column], what: list[tuple], by_family: bool = False) -> DataFrame:
     change = cells.Perturbations(traces, [(name, e, s) for name, e, _, s in what])
     found = discoveries(traces, cands, cells.Together(change, cells.Unchanged()), methods)
-    return _with_names(agreement(found, change.cells, methods), [x[:3] for x in what], "family string, eps double, rep int")
+    families = cands.select(tp.family().alias("template_family")).distinct() if by_family else None
+    return _with_names(agreement(found, change.cells, methods, families), [x[:3] for x in what], "family string, eps double, rep int")
 
 
 def summarise(study: DataFrame) -> DataFrame:
-    """(family, eps, method, mean and interval of the Jaccard index, mean FDR) over repeats."""
-    keyed = study.withColumn("cell", F.concat_ws("|", "family", F.col("eps").cast("string"), "method"))
-    ends = special.grouped_intervals(keyed, "cell", "jaccard").select(F.col("key").alias("cell"), "pct_low", "pct_high")
-    means = keyed.groupBy("cell", "family", "eps", "method").agg(F.avg("jaccard").alias("jaccard"), F.avg("fdr_ref").alias("fdr_ref"), F.count(F.lit(1)).alias("n"))
-    return means.join(ends, "cell").drop("cell")
+    """(family, eps, method, and template_family if there, mean and interval of the Jaccard index, mean FDR) over repeats."""
+    keys = [c for c in ("family", "eps", "method", "template_family") if c in study.columns]
+    ends = bootstrap.intervals(study, keys, "jaccard").select(*keys, "pct_low", "pct_high")
+    means = study.groupBy(*keys).agg(F.avg("jaccard").alias("jaccard"), F.avg("fdr_ref").alias("fdr_ref"), F.count(F.lit(1)).alias("n"))
+    return means.join(ends, keys)
 
 
 def adaptive_study(traces: DataFrame, cands: DataFrame, methods: dict[str, Column], first: int = 3, more: int = 7, **options) -> DataFrame:
