@@ -1,5 +1,6 @@
 """Ranks, running sums and running minima over many partitions against plain Python."""
 
+import hashlib
 import random
 
 import pytest
@@ -53,3 +54,16 @@ def test_step_up_and_q_values(spark, rows, many_parts):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "id int, p double")
     assert significance.step_up(empty, "p", ["id"]).count() == 0 and significance.q_values(empty, "p", ["id"]).count() == 0
+
+
+@pytest.mark.parametrize("outcomes", [[0] * 9, [1] * 9, [1, 0, None] * 40, []])
+def test_permuted_labels_by_parts(spark, outcomes):
+    from tracegauge.operators import resampling
+
+    rows = [("k", f"c{i // 2}" if i < 4 else f"c{i}", o) for i, o in enumerate(outcomes)]  # two cases are there twice
+    got = resampling.permuted_labels(spark.createDataFrame(rows, "key string, case_id string, outcome int"), 3, 7, ["key"]).collect()
+    assert len(got) == 3 * len(outcomes)
+    for rep in range(3):
+        drawn = sorted((hashlib.md5(f"7|k|{rep}|{c}".encode()).hexdigest(), c) for _, c, _ in rows)
+        want = sorted((c, int(i < sum(o or 0 for o in outcomes))) for i, (_, c) in enumerate(drawn))
+        assert sorted((r["case_id"], r["label"]) for r in got if r["rep"] == rep) == want

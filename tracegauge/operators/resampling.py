@@ -26,11 +26,24 @@ def replicates(df: DataFrame, count: int, first: int = 0) -> DataFrame:
 
 
 def permuted_labels(cases: DataFrame, count: int, seed: int = 42, keys: list[str] = ()) -> DataFrame:
-    """(keys, rep, case_id, label): in every replicate as many positive cases as observed, drawn by rank."""
-    rows = replicates(cases.select(*keys, "case_id", "outcome"), count)
-    by = Window.partitionBy(*keys, "rep")
-    rank = F.row_number().over(by.orderBy(draw(seed, *keys, "rep", "case_id"), "case_id"))
-    return rows.select(*keys, "rep", "case_id", (rank <= F.sum("outcome").over(by)).cast("int").alias("label"))
+    """(keys, rep, case_id, label): in every replicate as many positive cases as observed, drawn by rank.
+
+    A replicate is ranked in 4096 parts, by the first digits of its draws; the part in which the last positive case lies is
+    found from their sizes, so that no task puts a whole replicate in order.  Keys are never null; an outcome of null counts as
+    negative, and a case that is there twice is drawn twice.
+    """
+    log = [*keys, "rep"]
+    rows = replicates(cases.select(*keys, "case_id", "outcome"), count).withColumn("_h", draw(seed, *keys, "rep", "case_id"))
+    rows = rows.withColumn("_part", F.substring("_h", 1, 3))
+    sizes = rows.groupBy(*log, "_part").agg(F.count(F.lit(1)).alias("n"), F.sum("outcome").alias("positive"))
+    whole = Window.partitionBy(*log)
+    upto = F.sum("n").over(whole.orderBy("_part"))
+    left = F.sum("positive").over(whole) - (upto - F.col("n"))
+    cut = sizes.select(*log, "_part", left.alias("left"), "n").where("left > 0 and left <= n").select(*log, F.col("_part").alias("_cut"), "left")
+    rank = F.row_number().over(Window.partitionBy(*log, "_part").orderBy("_h", "case_id"))
+    label = (F.col("_part") < F.col("_cut")) | ((F.col("_part") == F.col("_cut")) & (F.col("_rank") <= F.col("left")))
+    placed = rows.withColumn("_rank", rank).join(cut, log, "left")  # a row for each replicate
+    return placed.select(*log, "case_id", F.coalesce(label, F.lit(False)).cast("int").alias("label"))
 
 
 def permuted_traces(traces: DataFrame, count: int, seed: int = 42, keys: list[str] = ()) -> DataFrame:
