@@ -17,13 +17,15 @@ DIGITS = 12
 def resampled_means(df: DataFrame, by: list[str], value: str, draws: int = 1000, seed: int = 42) -> DataFrame:
     """(by, values, mean, draw, resampled): ``draws`` means of as many values, drawn with replacement, as the group has.
 
-    A group is a set of replicates of one study, held as an array in order of value; a draw needs no shuffle.
+    A group is a set of replicates of one study, held as an array in order of value; the draws of few groups are dealt over
+    all cores.
     """
     kept = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     groups = kept.groupBy(*by).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("values"))  # one value a replicate
     groups = groups.withColumn("n", F.size("values"))
     total = F.aggregate("values", F.lit(0.0), lambda acc, v: acc + v)
     rows = groups.select("*", F.round(total / F.col("n"), DIGITS).alias("mean"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism, *by, "draw")
     at = lambda i: F.floor(uniform(seed, *by, "draw", i) * F.col("n")).cast("int")
     drawn = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0.0), lambda acc, i: acc + F.get("values", at(i)))
     return rows.select(*by, "values", "mean", "draw", F.round(drawn / F.col("n"), DIGITS).alias("resampled"))
