@@ -38,3 +38,11 @@ def test_same_on_any_partitioning(spark):
     one, many = (bootstrap.intervals(df.repartition(n), ["k"], "v", draws=100).first() for n in (1, 7))
     assert one == many and one["pct_low"] < one["mean"] < one["pct_high"]
     assert bootstrap.intervals(df.limit(0), ["k"], "v", draws=100).count() == 0
+
+
+def test_acceleration_without_spread_is_undefined(spark):
+    """As SQL's 0 / 0; the ends are there all the same."""
+    df = spark.createDataFrame([("even", 0.0)] * 10 + [("one", 7.0), ("two", 1.0), ("two", 3.0)], "k string, v double")
+    got = {r["k"]: r for r in bootstrap.intervals(df, ["k"], "v", draws=50).collect()}
+    assert math.isnan(got["even"]["acceleration"]) and math.isnan(got["one"]["acceleration"]) and got["two"]["acceleration"] == 0.0
+    assert (got["even"]["bca_low"], got["even"]["bca_high"], got["one"]["bca_low"], got["one"]["bca_high"]) == (0.0, 0.0, 7.0, 7.0)

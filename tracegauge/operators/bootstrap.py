@@ -3,6 +3,8 @@ check them."""
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +50,9 @@ def intervals(df: DataFrame, by: list[str], value: str, level: float = 0.95, dra
     """(by, n, mean, pct_low, pct_high, below, acceleration, bca_low, bca_high) of each group's mean.
 
     Percentile ends, and bias-corrected accelerated ends by the share of resampled means ``below`` the mean and the
-    acceleration of the jackknife; both are linear between neighbours.  A group of equal values has no width.  Nulls and
-    NaN are left out; a group without values has no row.
+    acceleration of the jackknife; both are linear between neighbours.  A group of equal values has no width; its
+    acceleration is 0 / 0 and shown as NaN, its ends take it as 0.  Nulls and NaN are left out; a group without values has
+    no row.
     """
     tails = ((1 - level) / 2, (1 + level) / 2)
     means = resampled_means(df, by, value, draws, seed)
@@ -59,7 +62,7 @@ def intervals(df: DataFrame, by: list[str], value: str, level: float = 0.95, dra
         F.avg((F.col("resampled") < F.col("mean")).cast("double")).alias("below"),
     )
     spread = size(2)
-    rows = rows.withColumn("acceleration", F.round(F.when(spread > 1e-18, size(3) / (6 * F.pow(spread, 1.5))).otherwise(0.0), DIGITS))
+    rows = rows.withColumn("acceleration", F.round(F.when(spread > 1e-18, size(3) / (6 * F.pow(spread, 1.5))).otherwise(math.nan), DIGITS))
 
     def end(share: Column) -> Column:
         place = share * (draws - 1)
@@ -68,6 +71,6 @@ def intervals(df: DataFrame, by: list[str], value: str, level: float = 0.95, dra
         return first + (second - first) * (place - low)
 
     ends = [end(F.lit(t)).alias(name) for t, name in zip(tails, ("pct_low", "pct_high"))]
-    shares = [_accelerated(F.col("below"), F.col("acceleration"), normal_ppf(t), draws).alias(name) for t, name in zip(tails, ("_low", "_high"))]
+    shares = [_accelerated(F.col("below"), F.nanvl("acceleration", F.lit(0.0)), normal_ppf(t), draws).alias(name) for t, name in zip(tails, ("_low", "_high"))]
     rows = rows.select("*", *shares)
     return rows.select(*by, F.size("values").alias("n"), "mean", *ends, "below", "acceleration", end(F.col("_low")).alias("bca_low"), end(F.col("_high")).alias("bca_high"))
