@@ -94,13 +94,20 @@ class DoubleNull:
         self.cells, self.seed = count, seed
         n, n1 = traces.agg(F.count(F.lit(1)), F.sum("outcome")).first()
         heads = [f"{seed}|{r}|" for r in range(count)]
-        self.labels = replicates.Labels(heads, replicates.label_cuts(traces, heads, n, n1 or 0))
+        self.labels, self.orders = replicates.Labels(heads, replicates.label_cuts(traces, heads, n, n1 or 0)), []
 
     def of(self, case_id: str, outcome: int, trace: list[str]) -> Iterator[tuple]:
-        y = self.labels.of(case_id, 0, self.cells).tolist()
-        order = replicates.drawn_orders([f"{self.seed + 1}|{r}|{case_id}|".encode() for r in range(self.cells)], len(trace)).tolist()
-        for r in range(self.cells):
-            yield r, y[r], [trace[i] for i in order[r]]
+        yield from self.many([(case_id, outcome, trace)])
+
+    def many(self, rows: list[tuple]) -> Iterator[tuple]:
+        """Of cases whose traces have the same length."""
+        if not self.orders:
+            self.orders.append(replicates.Heads([f"{self.seed + 1}|{r}|".encode() for r in range(self.cells)]))
+        ids, length = [r[0] for r in rows], len(rows[0][2])
+        order = replicates.drawn_orders(self.orders[0], ids, length) if length > 1 else np.zeros((len(ids), self.cells, 1), np.int64)
+        for (_, _, trace), y, drawn in zip(rows, self.labels.many(ids, 0, self.cells), order, strict=True):
+            names = np.array(trace, object)
+            yield from zip(range(self.cells), y.tolist(), names[drawn].tolist(), strict=True)
 
 
 class Unchanged:
