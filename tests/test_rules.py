@@ -159,3 +159,14 @@ def test_null_mining_counts_are_those_of_single_logs(spark):
                 node //= 2
                 spoken.add(grown[node][2])
         assert got[rep] == (len(names), len(spoken))
+
+
+def test_constraints_cover_by_the_activities_of_a_trace(spark):
+    """What is accepted is what a walk over traces accepts, with one unit for each set of activities."""
+    t = small_log(spark)
+    cands = measures.candidates(alphabet(t))
+    held = mining.constraint_features(t, cands)
+    per_unit = held.select("case_id", "unit", "feature").distinct().groupBy("case_id", "unit").agg({"feature": "count"})
+    assert per_unit.select("unit").distinct().count() == len({frozenset(r["trace"]) for r in t.collect()})
+    for threshold in (1, 2, 5):
+        assert mining.select_by_coverage(held, t, threshold) == mining.select_by_coverage(mining.three_way(t, cands), t, threshold)

@@ -144,6 +144,18 @@ def three_way(traces: DataFrame, cands: DataFrame, counts: bool = False) -> Data
     return h.select("case_id", "outcome", constraint_name().alias("feature"), F.when(F.col("sat") == 1, 1.0).otherwise(-1.0).alias("value"))
 
 
+def coverage_unit() -> Column:
+    """What decides which constraints apply to a trace, and so which cover it: the activities that it has."""
+    return F.md5(F.to_json(F.array_sort(F.array_distinct("trace"))))
+
+
+def constraint_features(traces: DataFrame, cands: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by, case_id, outcome, unit, feature, value): :func:`three_way` with the units of coverage; no shuffle."""
+    keep = [*by, "case_id", "outcome", "unit"]
+    h = measures.holds(traces.withColumn("unit", coverage_unit()), cands, keep)
+    return h.select(*keep, constraint_name().alias("feature"), F.when(F.col("sat") == 1, 1.0).otherwise(-1.0).alias("value"))
+
+
 def sign_counts(features: DataFrame, traces: DataFrame, chosen: DataFrame | None = None, by: list[str] = ()) -> DataFrame:
     """(n_plus, n_minus): features (of ``chosen``, by ``by``) whose mean is larger, and smaller, in positive cases, the absent
     values being 0."""
@@ -171,20 +183,21 @@ def fisher_scores(features: DataFrame, traces: DataFrame, eps: float = 1e-12, by
 
 def covering_features(features: DataFrame, traces: DataFrame, threshold: int = 20, by: list[str] = ()) -> DataFrame:
     """(by, feature, score): greedy selection in order of score: a feature enters if it covers a case covered less than
-    ``threshold`` times.  Equal traces of a log have one counter, so what is covered are variants where features depend on the
-    trace alone, else cases.
+    ``threshold`` times.  Cases that the same features cover have one counter.
 
-    features: (by, case_id, outcome, feature, value), and ``trace_id`` where a trace's features are the same in all cases.
+    features: (by, case_id, outcome, feature, value), and ``unit`` where cases of one unit are known to be covered by the same
+    features; without it each case is its own unit.
     """
-    unit = "trace_id" if "trace_id" in features.columns else "case_id"
+    unit = "unit" if "unit" in features.columns else "case_id"
     cover = features.where("value <> 0").select(*by, F.col(unit).alias("unit"), "feature").distinct()
     return rules.covering(cover, fisher_scores(features, traces, by=by), threshold, by)
 
 
 def select_by_coverage(features: DataFrame, traces: DataFrame, threshold: int = 20) -> list[str]:
     """The names that :func:`covering_features` accepts, best first."""
-    ids = traces.select("case_id", F.md5(F.to_json("trace")).alias("trace_id"))
-    chosen = covering_features(features.join(ids, "case_id"), traces, threshold)
+    if "unit" not in features.columns:
+        features = features.join(traces.select("case_id", F.md5(F.to_json("trace")).alias("unit")), "case_id")
+    chosen = covering_features(features, traces, threshold)
     return [r["feature"] for r in chosen.orderBy(F.desc("score"), F.desc("feature")).collect()]  # names
 
 
@@ -288,8 +301,7 @@ def null_mining_counts(traces: DataFrame, cands: DataFrame, count: int, threshol
     spark = traces.sparkSession
     clean = traces.select(F.lit(count).alias("rep"), "case_id", "outcome", "trace")
     logs = rules.stored(double_null(traces, count, seed).unionByName(clean), "null-logs")
-    held = measures.holds(logs.withColumn("trace_id", F.md5(F.to_json("trace"))), cands, ["rep", "case_id", "outcome", "trace_id"])
-    coded = rules.stored(held.select("rep", "case_id", "outcome", "trace_id", constraint_name().alias("feature"), F.when(F.col("sat") == 1, 1.0).otherwise(-1.0).alias("value")), "null-features")
+    coded = rules.stored(constraint_features(logs, cands, ["rep"]), "null-features")
     chosen = covering_features(coded, traces, threshold, ["rep"]).select("rep", "feature")
     nodes = rules.grow(logs, coded.join(chosen, ["rep", "feature"]), ["rep"], depth)
     spoken = rules.rule_features(rules.rules(nodes, ["rep"]), ["rep"])
