@@ -170,3 +170,19 @@ def test_constraints_cover_by_the_activities_of_a_trace(spark):
     assert per_unit.select("unit").distinct().count() == len({frozenset(r["trace"]) for r in t.collect()})
     for threshold in (1, 2, 5):
         assert mining.select_by_coverage(held, t, threshold) == mining.select_by_coverage(mining.three_way(t, cands), t, threshold)
+
+
+def test_cut_tree_predicts_as_one_of_that_depth(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    rng = random.Random(5)
+    rows = [(f"c{i}", rng.randint(0, 1), f, float(rng.randint(0, 9))) for i in range(400) for f in ("a", "b")]
+    f = spark.createDataFrame(rows, "case_id string, outcome int, feature string, value double")
+    cases = f.groupBy("case_id").agg({"outcome": "first"}).withColumnRenamed("first(outcome)", "outcome")
+    data = mining.assemble(f, cases, ["a", "b"]).selectExpr("*", "cast(outcome as double) as label")
+    data = spark.createDataFrame(data.orderBy("case_id").collect(), data.schema).coalesce(1)
+    deep = DecisionTreeClassifier(maxDepth=8, seed=1).fit(data)
+    got = mining._cut(deep, data, (1, 3, 5, 8)).collect()
+    for depth in (1, 3, 5, 8):
+        want = [r["prediction"] for r in DecisionTreeClassifier(maxDepth=depth, seed=1).fit(data).transform(data).collect()]
+        assert [r["prediction"] for r in got if r["depth"] == depth] == want

@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import shared_folder
 from . import measures, rules
 from .resampling import draw
 
 REPEATS = T.MapType(T.StringType(), T.IntegerType())
 #: Decision-tree depths tried (Spark's trees go to 30).
 DEPTHS = (5, 10, 15, 20, 25, 30)
+#: Folds whose trees are fitted at a time; a level of a tree is a small job.
+TOGETHER = 5
 
 
 def activity_counts(traces: DataFrame) -> DataFrame:
@@ -252,22 +255,30 @@ def classification_metrics(predicted: DataFrame, score: str = "score", label: st
 def cross_validate(features: DataFrame, traces: DataFrame, names: list[str], k: int = 10, depths=DEPTHS, leak_free: bool = True, seed: int = 42) -> DataFrame:
     """Fold-averaged metrics of a decision tree; the depth is picked on a part of the training folds (or, if not
     ``leak_free``, on the test fold itself)."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml.classification import DecisionTreeClassifier
 
     data = assemble(features, folds(traces, k, seed), names).withColumn("label", F.col("outcome").cast("double")).cache()
-    scored = None
-    for fold in range(k):
+
+    def one(fold: int) -> DataFrame:
         train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
         inner = train.where(F.col("fold") == (fold + 1) % k) if leak_free else test
         learn = train.where(F.col("fold") != (fold + 1) % k) if leak_free and k > 2 else train
         best = (-1.0, depths[0])
-        for depth in depths if len(depths) > 1 else ():
-            model = DecisionTreeClassifier(maxDepth=depth, seed=seed).fit(learn)
-            f1 = classification_metrics(_scored(model, inner)).first()["f1"]
-            best = best if best[0] >= f1 else (f1, depth)
+        if len(depths) > 1:
+            model = DecisionTreeClassifier(maxDepth=max(depths), seed=seed).fit(learn)
+            f1 = {r["depth"]: r["f1"] for r in classification_metrics(_cut(model, inner, depths), by=["depth"]).collect()}
+            for depth in depths:
+                best = best if best[0] >= f1.get(depth, -1.0) else (f1[depth], depth)
         model = DecisionTreeClassifier(maxDepth=best[1], seed=seed).fit(train)
-        part = _scored(model, test).withColumn("fold", F.lit(fold))
-        scored = part if scored is None else scored.unionByName(part)
+        return _scored(model, test).withColumn("fold", F.lit(fold))
+
+    scored = None
+    with ThreadPool(min(k, TOGETHER)) as pool:
+        for part in pool.map(inheritable_thread_target(data.sparkSession)(one), range(k)):
+            scored = part if scored is None else scored.unionByName(part)
     per = classification_metrics(scored, by=["fold"])
     return per.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1", "accuracy", "auc")])
 
@@ -278,6 +289,33 @@ def _scored(model, df: DataFrame) -> DataFrame:
     return model.transform(df).select("outcome", "prediction", vector_to_array("probability")[1].alias("score"))
 
 
+def _cut(model, df: DataFrame, depths) -> DataFrame:
+    """(depth, outcome, prediction, score): what the fitted tree predicts when it is cut at each of ``depths``.
+
+    A tree grown to a smaller depth is the top of a deeper one, so one fit serves for all depths.  The nodes go to the
+    tasks, as a fitted model's do.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    folder = shared_folder(df.sparkSession, "model")
+    model.write().save(folder)
+    split = F.get("split.leftCategoriesOrThreshold", F.lit(0))
+    nodes = df.sparkSession.read.parquet(f"{folder}/data").select("id", "prediction", "leftChild", "rightChild", "split.featureIndex", split.alias("threshold")).toPandas().sort_values("id")
+    said, left, right, feature, threshold = (nodes[c].to_numpy() for c in ("prediction", "leftChild", "rightChild", "featureIndex", "threshold"))
+
+    def walk(batches):
+        for pdf in batches:
+            x, at, rows = np.stack(pdf["x"]) if len(pdf) else np.zeros((0, 1)), np.zeros(len(pdf), np.int64), np.arange(len(pdf))
+            for depth in range(max(depths) + 1):
+                if depth in depths:
+                    yield pd.DataFrame({"depth": depth, "outcome": pdf["outcome"], "prediction": said[at], "score": said[at]})
+                inner = left[at] >= 0
+                to = np.where(x[rows, np.maximum(feature[at], 0)] <= threshold[at], left[at], right[at])
+                at = np.where(inner, to, at)
+
+    return df.select("outcome", vector_to_array("features").alias("x")).mapInPandas(walk, "depth int, outcome int, prediction double, score double")
+
+
 def tree_rules(model, names: list[str]) -> DataFrame:
     """(leaf, rule, length, support, precision, conditions) of every leaf of a fitted tree that predicts the positive class."""
     return rules.rules(rules.model_nodes(model, names))
