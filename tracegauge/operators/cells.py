@@ -1,8 +1,9 @@
 """Many changed logs at once: every case goes through all changes where it is, and only counts leave its task.
 
-A change is an object whose ``of(case_id, outcome, trace)`` yields (cell, outcome, trace) for each of its cells.  Draws are those
-of :mod:`resampling`, so a cell's log is the one that its column expressions give.  A task counts its distinct changed
-traces by cell and class; a matrix product with their patterns gives all cells' sums.
+A change is an object whose ``many(case ids, outcomes, traces)`` yields (first cell, distinct changed traces, each
+case's number among them in that cell and those after it, its outcome there), as arrays; each part has some of the cases.  Draws
+are those of :mod:`resampling`, so a cell's log is the one that its column expressions give.  A task counts its distinct
+changed traces by cell and class; a matrix product with their patterns gives all cells' sums.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ KEYS = replicates.KEYS
 COUNTS = ["n_app0", "n_sat0", "n_app1", "n_sat1"]
 
 
-def _uniform(*parts) -> float:
-    return int.from_bytes(md5("|".join(map(str, parts)).encode()).digest()[:4], "big") / 4294967296.0
+def _uniform(heads: list[str], case_ids: list[str]) -> np.ndarray:
+    """(cases, heads): the first 32 bits of md5(head + case), in [0, 1)."""
+    return (replicates.Heads([h.encode() for h in heads]).first64([c.encode() for c in case_ids]) >> np.uint64(32)) / 4294967296.0
 
 
 def _places(seed: int, case_id: str, n: int) -> list[int]:
@@ -32,62 +34,88 @@ def _places(seed: int, case_id: str, n: int) -> list[int]:
     return sorted(range(n), key=lambda i: (md5(f"{seed}|{case_id}|{i}".encode()).digest(), i))
 
 
-def with_order_noise(case_id: str, trace: list[str], rho: float, seed: int) -> list[str]:
+def with_order_noise(case_id: str, trace: tuple[str, ...], rho: float, seed: int) -> tuple[str, ...]:
     k = round(rho * (len(trace) - 1))
     if len(trace) < 2 or k < 1:
         return trace
     out = list(trace)
     for i in sorted(_places(seed, case_id, len(trace) - 1)[:k]):
         out[i], out[i + 1] = out[i + 1], out[i]
-    return out
+    return tuple(out)
 
 
-class NoiseGrid:
+class Book(dict):
+    """Numbers of traces, in order of appearance."""
+
+    def number(self, trace: tuple[str, ...]) -> int:
+        return self.setdefault(trace, len(self))
+
+
+class Change:
+    def of(self, case_id: str, outcome: int, trace: list[str]) -> Iterator[tuple]:
+        """(cell, outcome, trace) of one case."""
+        for first, distinct, at, y in self.many([case_id], np.array([outcome], np.int64), [tuple(trace)]):
+            for cell, (i, label) in enumerate(zip(at[0].tolist(), y[0].tolist(), strict=True), first):
+                yield cell, label, list(distinct[i])
+
+
+class NoiseGrid(Change):
     """Label noise eps (columns) after order noise rho (rows); cell = row * columns + column."""
 
     def __init__(self, eps, rho, seed: int):
         self.eps, self.rho, self.seed, self.cells = tuple(eps), tuple(rho), seed, len(eps) * len(rho)
 
-    def of(self, case_id: str, outcome: int, trace: list[str]) -> Iterator[tuple]:
-        flipped = [outcome ^ (_uniform(self.seed + j, case_id) < e) for j, e in enumerate(self.eps)]
-        for i, rho in enumerate(self.rho):
-            noisy = with_order_noise(case_id, trace, rho, self.seed + 1000 * i)
-            for j, y in enumerate(flipped):
-                yield i * len(self.eps) + j, int(y), noisy
+    def many(self, ids: list[str], outcomes: np.ndarray, traces: list[tuple]) -> Iterator[tuple]:
+        flipped = outcomes[:, None] ^ (_uniform([f"{self.seed + j}|" for j in range(len(self.eps))], ids) < np.array(self.eps))
+        book = Book()
+        at = np.array([[book.number(with_order_noise(c, t, rho, self.seed + 1000 * i)) for i, rho in enumerate(self.rho)] for c, t in zip(ids, traces, strict=True)])
+        yield 0, list(book), np.repeat(at, len(self.eps), 1), np.tile(flipped, len(self.rho))
 
 
-class Perturbations:
+class Perturbations(Change):
     """Cells (family, eps, seed): swapped events, exactly flipped labels, or truncated traces."""
 
     def __init__(self, traces: DataFrame, cells: list[tuple[str, float, int]]):
         self.what, self.cells = cells, len(cells)
         n = traces.count()
-        self.cuts = {}
+        self.heads, cuts = [f"{seed}|" for _, _, seed in cells], {}
         for eps in {e for f, e, _ in cells if f != "order"}:
             own = [i for i, (f, e, _) in enumerate(cells) if f != "order" and e == eps]
-            found = replicates.label_cuts(traces, [f"{cells[i][2]}|" for i in own], n, max(1, round(n * eps)))
-            self.cuts |= dict(zip(own, found, strict=True))
-
-    def of(self, case_id: str, outcome: int, trace: list[str]) -> Iterator[tuple]:
-        for i, (family, eps, seed) in enumerate(self.what):
-            if family == "order":
-                if len(trace) >= 2 and _uniform(seed, case_id) < eps:
-                    p, q = _places(seed + 1, case_id, len(trace))[:2]
+            found = replicates.label_cuts(traces, [self.heads[i] for i in own], n, max(1, round(n * eps)))
+            cuts |= dict(zip(own, found, strict=True))
+        self.exact = sorted(cuts)
+        self.labels = replicates.Labels([self.heads[i] for i in self.exact], [cuts[i] for i in self.exact])
+
+    def many(self, ids: list[str], outcomes: np.ndarray, traces: list[tuple]) -> Iterator[tuple]:
+        book = Book()
+        own = np.array([book.number(t) for t in traces])
+        at, y = np.repeat(own[:, None], self.cells, 1), np.repeat(outcomes[:, None], self.cells, 1)
+        picked = dict(zip(self.exact, self.labels.many(ids, 0, len(self.exact)).T.astype(bool), strict=True))
+        shorter: dict[tuple, int] = {}
+        for i, rows in picked.items():
+            family, eps, _ = self.what[i]
+            if family == "labels":
+                y[rows, i] ^= 1
+                continue
+            for j in np.flatnonzero(rows).tolist():
+                if (cut := shorter.get((own[j], eps))) is None:
+                    keep = max(1, math.ceil(round((1.0 - eps) * len(traces[j]), 9)))
+                    cut = shorter[own[j], eps] = book.number(traces[j][:keep])
+                at[j, i] = cut
+        order = [i for i, (family, _, _) in enumerate(self.what) if family == "order"]
+        if order:
+            swapped = _uniform([self.heads[i] for i in order], ids) < np.array([self.what[i][1] for i in order])
+            for j, i in zip(*[x.tolist() for x in np.nonzero(swapped)], strict=True):
+                trace = traces[j]
+                if len(trace) >= 2:
+                    p, q = _places(self.what[order[i]][2] + 1, ids[j], len(trace))[:2]
                     changed = list(trace)
                     changed[p], changed[q] = trace[q], trace[p]
-                    yield i, outcome, changed
-                else:
-                    yield i, outcome, trace
-                continue
-            picked = (md5(f"{seed}|{case_id}".encode()).digest(), case_id) <= self.cuts[i]
-            if family == "labels":
-                yield i, 1 - outcome if picked else outcome, trace
-            else:
-                keep = max(1, math.ceil(round((1.0 - eps) * len(trace), 9)))
-                yield i, outcome, trace[:keep] if picked else trace
+                    at[j, order[i]] = book.number(tuple(changed))
+        yield 0, list(book), at, y
 
 
-class DoubleNull:
+class DoubleNull(Change):
     """``count`` logs with permuted labels and permuted traces."""
 
     def __init__(self, traces: DataFrame, count: int, seed: int):
@@ -96,38 +124,42 @@ class DoubleNull:
         heads = [f"{seed}|{r}|" for r in range(count)]
         self.labels, self.orders = replicates.Labels(heads, replicates.label_cuts(traces, heads, n, n1 or 0)), []
 
-    def of(self, case_id: str, outcome: int, trace: list[str]) -> Iterator[tuple]:
-        yield from self.many([(case_id, outcome, trace)])
-
-    def many(self, rows: list[tuple]) -> Iterator[tuple]:
-        """Of cases whose traces have the same length."""
+    def many(self, ids: list[str], outcomes: np.ndarray, traces: list[tuple]) -> Iterator[tuple]:
         if not self.orders:
             self.orders.append(replicates.Heads([f"{self.seed + 1}|{r}|".encode() for r in range(self.cells)]))
-        ids, length = [r[0] for r in rows], len(rows[0][2])
-        order = replicates.drawn_orders(self.orders[0], ids, length) if length > 1 else np.zeros((len(ids), self.cells, 1), np.int64)
-        for (_, _, trace), y, drawn in zip(rows, self.labels.many(ids, 0, self.cells), order, strict=True):
-            names = np.array(trace, object)
-            yield from zip(range(self.cells), y.tolist(), names[drawn].tolist(), strict=True)
-
-
-class Unchanged:
+        by_length: dict[int, list[int]] = {}
+        for i, t in enumerate(traces):
+            by_length.setdefault(len(t), []).append(i)
+        for length, places in by_length.items():
+            step = max(1, replicates.EVENTS // (2 * length * self.cells))
+            for some in (places[i : i + step] for i in range(0, len(places), step)):
+                acts = sorted({a for i in some for a in traces[i]})
+                place = {a: k for k, a in enumerate(acts)}
+                own = np.array([[place[a] for a in traces[i]] for i in some], np.int64)
+                drawn = replicates.drawn_codes(self.orders[0], [ids[i] for i in some], own).reshape(length, -1)
+                rows, at = replicates.numbered(drawn, len(acts))
+                yield 0, [tuple(acts[e] for e in r) for r in rows.tolist()], at.reshape(len(some), -1), self.labels.many([ids[i] for i in some], 0, self.cells)
+
+
+class Unchanged(Change):
     cells = 1
 
-    def of(self, case_id: str, outcome: int, trace: list[str]) -> Iterator[tuple]:
-        yield 0, outcome, trace
+    def many(self, ids: list[str], outcomes: np.ndarray, traces: list[tuple]) -> Iterator[tuple]:
+        book = Book()
+        at = np.array([book.number(t) for t in traces])
+        yield 0, list(book), at[:, None], outcomes[:, None]
 
 
-class Together:
+class Together(Change):
     """The cells of several changes, one after another."""
 
     def __init__(self, *changes):
         self.changes, self.cells = changes, sum(c.cells for c in changes)
 
-    def of(self, case_id: str, outcome: int, trace: list[str]) -> Iterator[tuple]:
+    def many(self, ids: list[str], outcomes: np.ndarray, traces: list[tuple]) -> Iterator[tuple]:
         first = 0
         for c in self.changes:
-            for cell, y, changed in c.of(case_id, outcome, trace):
-                yield first + cell, y, changed
+            yield from ((first + own, *part) for own, *part in c.many(ids, outcomes, traces))
             first += c.cells
 
 
@@ -139,12 +171,13 @@ def confidences(traces: DataFrame, cands: DataFrame, change) -> DataFrame:
 
     def run(batches):
         held = replicates.Products(2 * cells, names, unary)
+        step = max(1, replicates.EVENTS // (4 * cells))
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("case_id", "outcome", "trace")], strict=True):
-                for cell, outcome, trace in change.of(*row):
-                    held.of(trace)[2 * cell + outcome] += 1
-                    if held.full():
-                        yield from held.rows()
+            ids, outcomes, traces = (batch.column(c).to_pylist() for c in ("case_id", "outcome", "trace"))
+            for i in range(0, len(ids), step):
+                for first, distinct, at, y in change.many(ids[i : i + step], np.array(outcomes[i : i + step], np.int64), [tuple(t) for t in traces[i : i + step]]):
+                    column = 2 * (first + np.arange(at.shape[1])) + y
+                    yield from held.add(distinct, at.reshape(-1), column.reshape(-1))
         yield from held.rows()
 
     def split(batches):
@@ -160,6 +193,6 @@ def confidences(traces: DataFrame, cands: DataFrame, change) -> DataFrame:
             yield out
 
     ensure(traces.sparkSession)
-    parts = replicates.dealt(traces.select("case_id", "outcome", "trace"), traces.count(), "case_id").mapInArrow(run, replicates.PARTIAL)
+    parts = replicates.dealt(traces.select("case_id", "outcome", "trace"), traces.count(), "case_id", most=replicates.MANY_CASES).mapInArrow(run, replicates.PARTIAL)
     whole = replicates.by_candidate(replicates.added(parts), cands, 1)
     return whole.mapInPandas(split, "cell int, ctype string, a string, b string, conf0 double, n_app0 long, n_sat0 long, conf1 double, n_app1 long, n_sat1 long")
