@@ -11,7 +11,7 @@ class Stored(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["structural_permutation_test", "null_error_rates", "null_counts_of_permutation_tests", "perturbation_study"])
+@pytest.mark.parametrize("name", ["structural_permutation_test", "null_error_rates", "null_counts_of_permutation_tests", "perturbation_study", "error_control_tests"])
 def test_log_is_written_once(spark, monkeypatch, name):
     def stop(log):
         raise Stored
