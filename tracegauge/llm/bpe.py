@@ -45,7 +45,7 @@ STRETCH, PLACE = 8, 40
 #: are decoded by one query.
 PIECES, ROWS, ENCODE_BYTES, DECODE_BYTES = 30_000, 1_000_000, 4 << 20, 1 << 20
 #: Bytes of remembered pieces, and the longest of them.
-MEMORY, REMEMBERED = 64 << 20, 32
+MEMORY, REMEMBERED = 128 << 20, 32
 
 
 def merge_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, bool]:
