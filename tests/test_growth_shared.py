@@ -19,3 +19,11 @@ def test_both_classes_in_one_pass(spark, counted):
     pos, neg = catalog._two_specs(spark, "/root/testdata/sf0.001")
     assert counted == ["pattern_sums"] and pos.count() and neg.count()
     assert "Generate" not in pos._jdf.queryExecution().toString()
+
+
+def test_holds_of_conditional_constraints_are_taken_once(spark, counted):
+    t = logs.users(spark, "/root/testdata/sf0.001")
+    rows = mining.conditional_templates(t, catalog._cands(t), catalog._user_data(spark, "/root/testdata/sf0.001"))
+    assert counted == ["holds"] and not rows.isEmpty()
+    assert "Generate" not in rows._jdf.queryExecution().optimizedPlan().toString()
+

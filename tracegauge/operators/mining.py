@@ -387,15 +387,17 @@ def root_condition(features: DataFrame, cases: DataFrame, names: list[str]) -> t
     return best and (best["feature"], best["threshold"])
 
 
-def data_conditions(traces: DataFrame, cands: DataFrame, data: DataFrame, least: int = 4) -> DataFrame:
+def data_conditions(traces: DataFrame, cands: DataFrame, data: DataFrame, least: int = 4, coded: DataFrame | None = None) -> DataFrame:
     """(ctype, a, b, feature, threshold, gain): the data condition ``feature <= threshold`` of each constraint, for all of
-    them in one pass.
+    them in one pass.  ``coded``: the holds of the candidates, where they are written already.
 
     It is the best single split by outcome of the cases that satisfy the constraint; constraints that fewer than ``least``
     cases satisfy, or those of one class only, or no feature parts, have none and no row.
     """
-    held = measures.holds(traces, cands, ["case_id", "outcome"]).where("sat = 1")
-    members = held.select("ctype", "a", F.coalesce("b", F.lit("")).alias("b"), "case_id", "outcome")
+    if coded is None:
+        data = rules.stored(data.select("case_id", "feature", "value"), "data")
+        coded = rules.stored(measures.holds(traces, cands, ["case_id", "outcome"]), "holds")
+    members = coded.where("sat = 1").select("ctype", "a", F.coalesce("b", F.lit("")).alias("b"), "case_id", "outcome")
     best = rules.best_splits(members, rules.binned(data), ["ctype", "a", "b"]).where(F.col("n0") + F.col("n1") >= least)
     return best.select("ctype", "a", F.nullif("b", F.lit("")).alias("b"), "feature", "threshold", "gain")
 
@@ -414,9 +416,9 @@ def conditional_templates(traces: DataFrame, cands: DataFrame, data: DataFrame)
 
     A constraint without a condition holds as it is.
     """
-    coded = measures.holds(traces, cands, ["case_id", "outcome"])
+    coded = rules.stored(measures.holds(traces, cands, ["case_id", "outcome"]), "holds")
     data = rules.stored(data.select("case_id", "feature", "value"), "data")
-    found = rules.stored(data_conditions(traces, cands, data), "conditions")
+    found = rules.stored(data_conditions(traces, cands, data, coded=coded), "conditions")
     named = coded.withColumn("name", constraint_name()).withColumn("b", F.coalesce("b", F.lit("")))
     found = found.select("ctype", "a", F.coalesce("b", F.lit("")).alias("b"), F.col("feature").alias("by"), "threshold")
     on = data.select("case_id", F.col("feature").alias("by"), F.col("value").alias("at"))
