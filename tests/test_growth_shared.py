@@ -27,3 +27,18 @@ def test_holds_of_conditional_constraints_are_taken_once(spark, counted):
     assert counted == ["holds"] and not rows.isEmpty()
     assert "Generate" not in rows._jdf.queryExecution().optimizedPlan().toString()
 
+
+def test_features_of_rules_are_encoded_once(spark):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(v):
+        seen.add(1)
+        return v
+
+    t = spark.createDataFrame([(f"c{i}", i % 2, ["a", "b"]) for i in range(40)], "case_id string, outcome int, trace array<string>")
+    features = spark.createDataFrame([(f"c{i}", i % 2, "f", float(1 + i % 2)) for i in range(40)], "case_id string, outcome int, feature string, value double")
+    assert mining.mined_rules(features.withColumn("value", value.asNondeterministic()("value")), t).count()
+    assert seen.value == 40

@@ -323,6 +323,7 @@ def tree_rules(model, names: list[str]) -> DataFrame:
 
 def mined_rules(features: DataFrame, traces: DataFrame, threshold: int = 20, depth: int = DEPTHS[0]) -> DataFrame:
     """The rules of the final model: features chosen by coverage, then one tree on all cases."""
+    features = rules.stored(features, "features")  # for scores, coverage and the tree
     chosen = select_by_coverage(features, traces, threshold)
     held = features.where(F.col("feature").isin(chosen))
     return rules.rules(rules.grow(traces, held, depth=depth))
