@@ -11,7 +11,7 @@ class Stored(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["structural_permutation_test", "null_error_rates", "null_counts_of_permutation_tests", "perturbation_study", "error_control_tests", "calibration_on_noisy_log", "specification_agreement", "composite_encoding", "mined_rules"])
+@pytest.mark.parametrize("name", ["structural_permutation_test", "null_error_rates", "null_counts_of_permutation_tests", "perturbation_study", "error_control_tests", "calibration_on_noisy_log", "specification_agreement", "composite_encoding", "mined_rules", "data_conditions"])
 def test_log_is_written_once(spark, monkeypatch, name):
     def stop(log):
         raise Stored
