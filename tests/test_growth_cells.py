@@ -11,7 +11,8 @@ class Stored(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["structural_permutation_test", "null_error_rates", "null_counts_of_permutation_tests", "perturbation_study", "error_control_tests", "calibration_on_noisy_log", "specification_agreement", "composite_encoding", "mined_rules", "data_conditions"])
+@pytest.mark.parametrize("name", ["null_error_rates", "error_control_tests", "null_counts_of_methods", "perturbation_study", "structural_permutation_test",
+                                  "null_counts_of_permutation_tests", "calibration_on_noisy_log", "specification_agreement", "data_conditions", "mined_rules", "composite_encoding"])
 def test_log_is_written_once(spark, monkeypatch, name):
     def stop(log):
         raise Stored
