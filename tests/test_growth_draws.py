@@ -5,7 +5,9 @@ import hashlib
 import numpy as np
 import pytest
 
-from tracegauge.operators import cells, hashes, replicates
+from tracegauge.operators import cells, hashes, measures, replicates
+from tracegauge.operators.statistics import alphabet
+from tracegauge.plans import catalog
 
 FAMILIES = [("order", 0.5, 7), ("labels", 0.1, 8), ("truncation", 0.3, 9), ("labels", 0.4, 10)]
 
@@ -78,6 +80,16 @@ def test_swapped_places_are_drawn_as_arrays(monkeypatch):
         assert distinct[t] == tuple(want)
 
 
+def test_orders_of_one_activity_are_not_drawn(monkeypatch):
+    calls, own = [], replicates.Heads.first64
+    monkeypatch.setattr(replicates.Heads, "first64", lambda self, tails: calls.append(len(tails)) or own(self, tails))
+    change = cells.DoubleNull.__new__(cells.DoubleNull)
+    change.cells, change.seed, change.orders = 5, 42, []
+    change.labels = replicates.Labels([f"42|{r}|" for r in range(5)], [(b"\x80" + 15 * b"\0", "")] * 5)
+    got = _counted(change.many([f"c{i}" for i in range(90)], np.arange(90) % 2, [("a", "a"), ("a",), ("b",) * 40] * 30))
+    assert sum(calls) == 90 and {t for _, _, t in got} == {("a", "a"), ("a",), ("b",) * 40}
+
+
 def test_words_behind_the_texts_are_not_arrays(monkeypatch):
     arrays, own = [], hashes._first64
     monkeypatch.setattr(hashes, "_first64", lambda words, n: arrays.append(sum(isinstance(w, np.ndarray) for w in words)) or own(words, n))
@@ -85,3 +97,10 @@ def test_words_behind_the_texts_are_not_arrays(monkeypatch):
     got = hashes.Heads(heads).first64(tails)
     assert got.tolist() == [[int.from_bytes(hashlib.md5(h + t).digest()[:8], "big") for h in heads] for t in tails]
     assert arrays == [4, 10]  # the words of the longest text of either length, and one of lengths in bits
+
+
+def test_candidates_need_no_places(spark):
+    log = spark.createDataFrame([("1", 0, ["a", None, "b", "a"]), ("2", 1, []), ("3", 1, ["c"])], "case_id string, outcome int, trace array<string>")
+    got = catalog._cands(log)
+    assert sorted(got.collect(), key=str) == sorted(measures.candidates(alphabet(log)).collect(), key=str)
+    assert "named_struct" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -172,11 +172,11 @@ class DoubleNull(Change):
 
         by_length: dict[int, list[int]] = {}
         for i, t in enumerate(traces):
-            by_length.setdefault(len(t), []).append(i)
+            by_length.setdefault(len(t) if len(set(t)) > 1 else 1, []).append(i)
         for length, places in by_length.items():
             step = max(1, replicates.EVENTS // (2 * length * self.cells))
             for some in (places[i : i + step] for i in range(0, len(places), step)):
-                if length == 1:
+                if length == 1:  # one activity: every order is the same
                     book = Book()
                     at = np.array([book.number(traces[i]) for i in some])
                     yield 0, list(book), np.repeat(at[:, None], self.cells, 1), labels(some)
