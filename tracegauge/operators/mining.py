@@ -18,7 +18,9 @@ REPEATS = T.MapType(T.StringType(), T.IntegerType())
 #: Decision-tree depths tried (Spark's trees go to 30).
 DEPTHS = (5, 10, 15, 20, 25, 30)
 #: Folds whose trees are fitted at a time; a level of a tree is a small job.
-TOGETHER = 5
+TOGETHER = 10
+#: Cases of a task of such a job: each task adds up all nodes of a level, so that few cases are no work for many tasks.
+FITTED_CASES = 20_000
 
 
 def activity_counts(traces: DataFrame) -> DataFrame:
@@ -260,7 +262,10 @@ def cross_validate(features: DataFrame, traces: DataFrame, names: list[str], k:
     from pyspark import inheritable_thread_target
     from pyspark.ml.classification import DecisionTreeClassifier
 
-    data = assemble(features, folds(traces, k, seed), names).withColumn("label", F.col("outcome").cast("double")).cache()
+    data = assemble(features, folds(traces, k, seed), names).withColumn("label", F.col("outcome").cast("double"))
+    # in order, as Spark takes a tree's bins from a sample of rows by place where there are over 10,000
+    data = data.repartition(max(1, -(-traces.count() // FITTED_CASES)), "case_id").sortWithinPartitions("case_id").cache()
+    data.count()  # before folds read it side by side
 
     def one(fold: int) -> DataFrame:
         train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
