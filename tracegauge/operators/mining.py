@@ -175,10 +175,15 @@ def fisher_scores(features: DataFrame, traces: DataFrame, eps: float = 1e-12, by
     """(by, feature, score): generalised Fisher scores from sums, the absent values being 0.  All logs of ``by`` have as many
     cases of either class as ``traces``."""
     n0, n1 = traces.agg(F.count_if(F.col("outcome") == 0), F.count_if(F.col("outcome") == 1)).first()
-    n0, n1 = float(n0 or 0), float(n1 or 0)
     on = lambda k, v: F.sum(F.when(F.col("outcome") == k, v).otherwise(0.0))
     v = F.col("value")
     s = features.groupBy(*by, "feature").agg(on(0, v).alias("s0"), on(1, v).alias("s1"), on(0, v * v).alias("q0"), on(1, v * v).alias("q1"))
+    return scores_of_sums(s, n0, n1, eps, by)
+
+
+def scores_of_sums(s: DataFrame, n0: int | None, n1: int | None, eps: float = 1e-12, by: list[str] = ()) -> DataFrame:
+    """(by, feature, score): generalised Fisher scores from each feature's sums of values (s0, s1) and squares (q0, q1) by class."""
+    n0, n1 = float(n0 or 0), float(n1 or 0)
     m0, m1 = F.col("s0") / max(n0, 1), F.col("s1") / max(n1, 1)
     mean = (F.col("s0") + F.col("s1")) / max(n0 + n1, 1)
     num = n1 * F.pow(m1 - mean, 2) + n0 * F.pow(m0 - mean, 2)
@@ -338,19 +343,28 @@ def null_mining_counts(traces: DataFrame, cands: DataFrame, count: int, threshol
     """(rep, selected, in_rules): features that coverage selects, and those in the rules of a tree on them, on ``count``
     double-null logs; replicate ``count`` is the log as it is.  The pool of constraints is the same for all.
 
-    All replicates are one job a step: scores, rounds of selection and levels of trees are keyed by the replicate.
+    All replicates are one job a step: scores, rounds of selection and levels of trees are keyed by the replicate.  Which constraints hold in
+    which cases is kept as bits (:mod:`signs`); constraints cover a case by its activities, which are those of the log in every replicate.
     """
-    from .resampling import double_null
-
-    spark = traces.sparkSession
-    clean = traces.select(F.lit(count).alias("rep"), "case_id", "outcome", "trace")
-    logs = rules.stored(double_null(traces, count, seed).unionByName(clean), "null-logs")
-    coded = rules.stored(constraint_features(logs, cands, ["rep"]), "null-features")
-    chosen = covering_features(coded, traces, threshold, ["rep"]).select("rep", "feature")
-    nodes = rules.grow(logs, coded.join(chosen, ["rep", "feature"]), ["rep"], depth)
+    from . import signs
+
+    spark, traces = traces.sparkSession, traces.select("case_id", "outcome", "trace")
+    found = signs.ordered(cands)  # candidates
+    names = [f"{t}({', '.join(x for x in (a, b) if x is not None)})" for t, a, b in found]
+    bits = signs.null_bits(traces, found, count, seed)
+    first = signs.class_sums(bits, len(found), signs.Nodes(count + 1, depth), 0)
+    n0, n1 = traces.agg(F.count_if(F.col("outcome") == 0), F.count_if(F.col("outcome") == 1)).first()
+    of_class = lambda k: [(2.0 * F.col(f"sat{k}") - F.col(f"app{k}")).alias(f"s{k}"), F.col(f"app{k}").cast("double").alias(f"q{k}")]
+    sums = first.where("f >= 0 and app0 + app1 > 0").select("rep", F.element_at(F.lit(names), F.col("f") + 1).alias("feature"), *of_class(0), *of_class(1))
+    units = traces.select(F.array_sort(F.array_distinct("trace")).alias("trace"), coverage_unit().alias("unit")).dropDuplicates(["unit"])
+    cover = constraint_features(units.select("trace", F.col("unit").alias("case_id"), F.lit(0).alias("outcome")), cands).select("unit", "feature").distinct()
+    reps = spark.range(count + 1).select(F.col("id").cast("int").alias("rep"))
+    chosen = rules.covering(cover.crossJoin(F.broadcast(reps)), scores_of_sums(sums, n0, n1, by=["rep"]), threshold, ["rep"])
+    place = spark.createDataFrame(list(enumerate(names)), "f int, feature string")
+    chosen = rules.stored(chosen.join(F.broadcast(place), "feature").select("rep", "f"), "chosen")
+    nodes = signs.grow(bits, first, names, chosen, count + 1, depth)
     spoken = rules.rule_features(rules.rules(nodes, ["rep"]), ["rep"])
     size = lambda d, name: d.groupBy("rep").agg(F.count(F.lit(1)).alias(name))
-    reps = spark.range(count + 1).select(F.col("id").cast("int").alias("rep"))
     out = reps.join(size(chosen, "selected"), "rep", "left").join(size(spoken, "in_rules"), "rep", "left")
     return out.select("rep", F.coalesce("selected", F.lit(0)).alias("selected"), F.coalesce("in_rules", F.lit(0)).alias("in_rules"))
 
